@@ -60,3 +60,19 @@ def parts_for(rows: int, rows_per_part: int) -> int:
 def salt(column: Column, n: int) -> Column:
     """A stable salt in [0, n) from a column's value."""
     return F.pmod(F.xxhash64(column), F.lit(n))
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], weight: str, item: str, hot_from: int) -> DataFrame:
+    """Left join on keys, unique in right, where right's `weight` is the number of left rows with the key (at least 1).
+
+    Keys with more than hot_from left rows are broadcast: of n left rows there are at most n / hot_from of them, so a
+    caller who keeps hot_from at n / 2000 or above broadcasts at most 2000 rows. All others meet in a shuffle, to which
+    a hot row goes with a salt from its item, so that no task gets them all. `weight` is not in the result.
+    """
+    values = [c for c in right.columns if c not in {*keys, weight}]
+    hot = right.where(F.col(weight) > hot_from).select(*keys, F.struct(*values).alias("__hot"))
+    cold = right.where(F.col(weight) <= hot_from).select(*keys, F.lit(0).cast("long").alias("__spread"), F.struct(*values).alias("__cold"))
+    placed = left.join(F.broadcast(hot), keys, "left")
+    placed = placed.withColumn("__spread", F.when(F.col("__hot").isNotNull(), 1 + salt(F.col(item), 1024)).otherwise(F.lit(0).cast("long")))
+    found = placed.join(cold, [*keys, "__spread"], "left")
+    return found.select(*left.columns, *(F.coalesce(F.col(f"__hot.{v}"), F.col(f"__cold.{v}")).alias(v) for v in values))
