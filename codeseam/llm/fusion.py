@@ -13,13 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeseam.session import salt
+from codeseam.session import join_counted, salt
 
 #: The usual constant of reciprocal rank fusion.
 RRF_K = 60
 #: Buckets for each doubling of a value.
 PER_OCTAVE = 1024
-#: Equal values with more rows than this (or than 1/2000 of all rows) are joined by broadcast, at most 8000 of them.
+#: Equal values with more rows than this and than 1/500 of all items are joined by broadcast (at most 2000 of them).
 HOT_ROWS = 20_000
 
 
@@ -59,13 +59,9 @@ def fuse(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int = R
     long = items.select("g", "i", F.expr(unpivot)).where("value is not null or kind = 0")
     counts = long.where("value is not null").groupBy("g", "kind", "value").agg(F.count("*").alias("n"))
     ranks = competition_ranks(counts, ["g", "kind"], "value", "n")
-    hot_from = max(HOT_ROWS, df.count() // 2000)
-    hot = ranks.where(F.col("__weight") > hot_from).select("g", "kind", "value", F.col("rank").alias("hot_rank"))
-    cold = ranks.where(F.col("__weight") <= hot_from).select("g", "kind", "value", "rank", F.lit(0).cast("long").alias("spread"))
-    # A hot value, or none, is sent to a place of its own by the item: it finds nothing there and has its rank already.
-    settled = F.col("hot_rank").isNotNull() | F.col("value").isNull()
-    placed = long.join(F.broadcast(hot), ["g", "kind", "value"], "left").withColumn("spread", F.when(settled, 1 + salt(F.col("i"), 1024)).otherwise(F.lit(0).cast("long")))
-    ranked = placed.join(cold, ["g", "kind", "value", "spread"], "left").select("g", "i", F.coalesce("hot_rank", "rank").alias("r"))
+    hot_from = max(HOT_ROWS, df.count() // 500)  # of the 4 rows that an item has at most, one in 2000
+    ranked = join_counted(long.where("value is not null"), ranks, ["g", "kind", "value"], "__weight", "i", hot_from).select("g", "i", F.col("rank").alias("r"))
+    ranked = ranked.unionByName(long.where("value is null").select("g", "i", F.lit(None).cast("long").alias("r")))
     total = F.round(F.coalesce(F.sum(1 / (F.lit(float(k)) + F.col("r"))), F.lit(0.0)), 12)
     return ranked.groupBy("g", "i").agg(total.alias("fused")).select(F.col("g").alias(group), F.col("i").alias(item), "fused")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeseam.llm import fusion, mixing, packing, splitting, tokens
+from codeseam.llm import fusion, mixing, packing, provenance, secrets, splitting, tokens
 from codeseam.session import table
 
 SCORES = ("name_score", "grep_score", "grep_count", "terms_matched")
@@ -25,6 +25,35 @@ def p1_order(spark: SparkSession, d: str) -> DataFrame:
     return fusion.full_order(_fused(spark, d), "query_id", "result_id")
 
 
+def p2_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where secrets stand, in files and in blamed lines; rows delivered twice count once."""
+    return secrets.places_in_files(table(spark, d, "source_files")).unionByName(secrets.places_in_lines(table(spark, d, "blame_lines"))).distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_places(spark, d).select("origin", "record_id", "line_no").distinct()
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every file with its secrets masked."""
+    files = table(spark, d, "source_files").select("file_id", "rel_path", "content").dropDuplicates(["file_id"])
+    return secrets.redacted(files, "file_id", "rel_path", "content")
+
+
+def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_handwritten(table(spark, d, "source_files"), table(spark, d, "upstream_files"), table(spark, d, "scan_configs"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_reasons(spark, d).select("file_id")
+
+
+def p4_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Files copied from published libraries or between repositories, with the share of their lines in the original."""
+    found = provenance.copies(provenance.line_index(table(spark, d, "source_files"), table(spark, d, "upstream_files")))
+    return found.select("id", "owner", F.round("containment", 6).alias("containment"))
+
+
 def _pieces(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     return splitting.split_items(chunks, "chunk_id", "text", table(spark, d, "model_configs").withColumnRenamed("model_name", "model"), "model", "max_chunk_chars", "overlap_chars", "start_line")
 
@@ -82,7 +111,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_order, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_order, p2_found, p2_places, p2_redacted, p4_found, p4_reasons, p4_copies, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares)}
 
 
 _FUSED = """
