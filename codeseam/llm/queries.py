@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeseam.llm import fusion, mixing, packing, provenance, secrets, splitting, tokens
+from codeseam.llm import fusion, mixing, neighbors, packing, provenance, reading, secrets, splitting, tokens
 from codeseam.session import table
 
 SCORES = ("name_score", "grep_score", "grep_count", "terms_matched")
@@ -40,6 +40,26 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(files, "file_id", "rel_path", "content")
 
 
+#: Cells that a vector visits: all vectors as they are held against each other, and those few that ask for their ten best.
+PROBES_ALL, PROBES_FEW = 5, 32
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.valid_vectors(table(spark, d, "chunks"), table(spark, d, "model_configs"), "chunk_id", "model_name", "embedding")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """As pairs count from 0.80 only, the ten best of a chunk among those decide."""
+    edges = neighbors.search(_vectors(spark, d), 10, PROBES_ALL, at_least=0.80)
+    return neighbors.mutual(edges, 10).select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar chunks of every chunk whose id is divisible by 50, among all chunks."""
+    edges = neighbors.search(_vectors(spark, d), 10, PROBES_FEW, asking_every=50)
+    return neighbors.best_of(edges, 10).select(F.col("id").alias("chunk_id"), F.col("other").alias("similar_id"), "similarity", "rank")
+
+
 def p4_reasons(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_handwritten(table(spark, d, "source_files"), table(spark, d, "upstream_files"), table(spark, d, "scan_configs"))
 
@@ -110,8 +130,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(sized, plan), plan)
 
 
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).where("band = 5").select("doc_id")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source, language and band."""
+    source = table(spark, d, "documents").select("doc_id", mixing.source_key(F.col("source")).alias("source")).dropDuplicates(["doc_id"])
+    return p8_levels(spark, d).join(source, "doc_id").groupBy("source", "language", "band").agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 3).alias("mean_grade"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_order, p2_found, p2_places, p2_redacted, p4_found, p4_reasons, p4_copies, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p1_order, p2_found, p2_places, p2_redacted, p3_found, p3_nearest, p4_found, p4_reasons, p4_copies, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
 
 
 _FUSED = """
