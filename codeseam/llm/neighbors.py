@@ -2,8 +2,7 @@
 
 An index is fitted on a bounded sample: cells (centroids) and, for what remains of a vector after its cell's centroid,
 additive codebooks over the full dimension. Every vector is stored in its nearest cell with codes found by beam search
-and the norm of what they add up to, along the vector itself: divided by it, a score by lookup is right on average. A
-query visits its nearest cells, is scored against all their vectors by lookup tables, and what scores high is compared
+and its norm against theirs: scaled by it, a score by lookup is right on average. A query visits its nearest cells, is scored against all their vectors by lookup tables, and what scores high is compared
 exactly. Models are never compared with each other.
 """
 
@@ -25,20 +24,21 @@ CELL_VECTORS, MAX_CELLS = 400, 2048
 #: At most so many vectors of a model fit its index: per cell, and in all; of these so many fit the codebooks.
 SAMPLE_PER_CELL, SAMPLE_MAX, SAMPLE_CODES = 20, 40_960, 8_192
 #: Codebooks, codes in each, beam of the search.
-BOOKS, CODES, BEAM = 8, 64, 4
+BOOKS, CODES, BEAM = 12, 64, 4
 #: A cell whose share of the sample says it holds more than this many vectors is stored in blocks of half as many.
 BLOCK_FROM = 4 * CELL_VECTORS
 #: Copies of one vector above this number keep the first KEEP ids as candidates; none after them can be among ten.
 COPIES_FROM, KEEP = 1_000, 11
 #: How far a score by lookup may lie below the similarity that is asked for.
-MARGIN = 0.22
+MARGIN = 0.18
 
 
 class Index(NamedTuple):
     """What is fitted for one model; of fixed size whatever the number of vectors."""
 
     dim: int
-    cells: np.ndarray  # (L, dim), of length 1
+    cells: np.ndarray  # (L, dim), directions of length 1
+    means: np.ndarray  # (L, dim), mean of the vectors of a cell
     books: np.ndarray  # (BOOKS, CODES, dim)
     blocks: np.ndarray  # (L,) blocks in which a cell is stored
 
@@ -126,8 +126,11 @@ def fit_index(sample: np.ndarray, vectors: int) -> Index:
     home = (sample @ cells.T).argmax(1)
     held = np.bincount(home, minlength=len(cells)) * (vectors / len(sample))
     blocks = np.where(held > BLOCK_FROM, np.ceil(held / (BLOCK_FROM / 2)), 1).astype(np.int32)
+    means = np.zeros_like(cells)
+    np.add.at(means, home, sample)
+    means /= np.maximum(np.bincount(home, minlength=len(cells)), 1)[:, None]
     part = slice(0, SAMPLE_CODES)
-    return Index(sample.shape[1], cells, fit_books(sample[part] - cells[home[part]], rng), blocks)
+    return Index(sample.shape[1], cells, means, fit_books(sample[part] - means[home[part]], rng), blocks)
 
 
 # --- tables -----------------------------------------------------------------------------------------------------------
@@ -212,9 +215,9 @@ def place(vectors: DataFrame, indexes: dict[str, Index], probes: int, asking_eve
                 p = min(probes, near.shape[1])
                 visits = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < near.shape[1] else np.tile(np.arange(p), (len(ids), 1))
                 home = near.argmax(1)
-                left = unit - index.cells[home]
+                left = unit - index.means[home]
                 codes = encode(left, index.books)
-                norm = (unit * (index.cells[home] + decode(codes, index.books))).sum(1).astype(np.float32)
+                norm = ((left**2).sum(1) / np.maximum((left * decode(codes, index.books)).sum(1), 1e-3)).clip(0, 8).astype(np.float32)
                 asks = ids % asking_every == 0
                 own_block = (ids * 2654435761 % 2**32) % index.blocks[home]
                 r, k = np.nonzero(np.repeat(asks[:, None], p, axis=1))
@@ -263,10 +266,12 @@ def _scan(k: int, at_least: float | None, rerank: int, shared):
             q /= np.linalg.norm(q, axis=1, keepdims=True)
             narrow = q.astype(np.float32)
             table = narrow @ flat.T
-            score = np.repeat((narrow @ index.cells[key[1]])[:, None], len(members), axis=1)
+            score = np.zeros((len(narrow), len(members)), dtype=np.float32)
             for m in range(len(index.books)):
                 score += table[:, column[:, m]]
-            score /= np.maximum(norm, 1e-6)
+            # By the stored norm a score is right on average, as thresholds need; by its root it is nearest, as ranks need.
+            score *= norm if at_least is not None else np.sqrt(norm)
+            score += (narrow @ index.means[key[1]])[:, None]
             here = asking_ids[lo : lo + step]
             score[here[:, None] == ids[None, :]] = -9
             if at_least is not None:
@@ -314,7 +319,7 @@ def surplus_copies(vectors: DataFrame) -> DataFrame | None:
     return copies.select("id").join(first, "id", "left_anti")
 
 
-def search(vectors: DataFrame, k: int, probes: int, at_least: float | None = None, asking_every: int = 1, rerank: int = 128) -> DataFrame:
+def search(vectors: DataFrame, k: int, probes: int, at_least: float | None = None, asking_every: int = 1, rerank: int = 160) -> DataFrame:
     """(id, other, similarity): candidates for the k most similar others of each asking id, at most k per visited block.
 
     vectors: see valid_vectors. With at_least only pairs of that cosine similarity or more. Ties go to the smaller id. Of
