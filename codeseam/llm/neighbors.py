@@ -319,7 +319,7 @@ def surplus_copies(vectors: DataFrame) -> DataFrame | None:
     return copies.select("id").join(first, "id", "left_anti")
 
 
-def search(vectors: DataFrame, k: int, probes: int, at_least: float | None = None, asking_every: int = 1, rerank: int = 160) -> DataFrame:
+def search(vectors: DataFrame, k: int, probes: int, at_least: float | None = None, asking_every: int = 1, rerank: int = 224) -> DataFrame:
     """(id, other, similarity): candidates for the k most similar others of each asking id, at most k per visited block.
 
     vectors: see valid_vectors. With at_least only pairs of that cosine similarity or more. Ties go to the smaller id. Of
