@@ -83,4 +83,5 @@ def above_in_all(df: DataFrame, text: str, capacity: int, names: tuple[str, ...]
         for texts in batches:
             yield pd.Series([bool(t) and all(size(t) > capacity for size in sizes) for t in texts], dtype="bool")
 
-    return df.where(above(F.col(text)))
+    # Marked so that the optimizer doesn't count all texts before a join that leaves few.
+    return df.where(above.asNondeterministic()(F.col(text)))
