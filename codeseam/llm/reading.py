@@ -9,8 +9,10 @@ source with their training rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import log1p
 
 import numpy as np
 import pandas as pd
@@ -42,8 +44,6 @@ _ASIDE = re.compile(r"\([^()\n]{0,60}\)")
 _CODE = re.compile(r"`[^`\n]*`")
 #: A token (without blanks) that is no word: names of code, paths, links, tags, numbers and versions.
 _NO_WORD = re.compile(r"[\d_/\\<>{}=@#|]|[^\W\d]\.\w")
-_WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE_END = re.compile(r"[.!?…]+(?:\s+|$)|\n")
 
 
 def running_text(text: str) -> str:
@@ -110,40 +110,54 @@ FEATURES = (
 )
 
 
-def language_of(words: list[str]) -> str | None:
+#: Marks that end a sentence, and marks between words.
+_ENDS = (". ", "! ", "? ", "… ", ".\n", "!\n", "?\n", "…\n")
+_BETWEEN = ("-", "'", "’", ",", ";", ":", '"', ".", "!", "?", "(", ")", "[", "]", "*", "+", "–", "—", "«", "»", "“", "”", "„", "¿", "¡", "~", "%", "&", "^", "$")
+
+
+def language_of(seen: Counter) -> str | None:
     """The language whose frequent words make up most of the words; None where none is found."""
-    seen = Counter(words)
     counts = {k: sum([seen[w] for w in marks if w in seen]) for k, marks in _MARKS.items()}
     best = max(counts, key=lambda k: counts[k])
     return best if counts[best] else None
 
 
+def _spread(values: list[int]) -> tuple[float, float]:
+    n = len(values)
+    mean = sum(values) / n
+    return mean, max(0.0, sum([v * v for v in values]) / n - mean * mean) ** 0.5
+
+
 def measure(text: str | None) -> tuple[str | None, list[float]] | None:
     """Language and FEATURES of a text's running text; None for texts of too few words."""
     if not text:
         return None
-    prose = running_text(text).lower()
-    sentences = [w for w in (_WORD.findall(s) for s in _SENTENCE_END.split(prose)) if len(w) >= 2]
+    prose = running_text(text).lower() + "\n"
+    commas = prose.count(",")
+    for mark in _ENDS:
+        prose = prose.replace(mark, "\n")
+    for mark in _BETWEEN:
+        if mark in prose:
+            prose = prose.replace(mark, " ")
+    sentences = [w for w in map(str.split, prose.split("\n")) if len(w) >= 2]
     words = [w for s in sentences for w in s]
     n, m = len(words), len(sentences)
     if n < MIN_WORDS:
         return None
-    size = np.fromiter(map(len, words), dtype=np.int64, count=n)
-    per = np.fromiter(map(len, sentences), dtype=np.int64, count=m)
-    ordered, per_ordered = np.sort(size), np.sort(per)
-    distinct = set(words)
+    size, per = sorted(map(len, words)), sorted(map(len, sentences))
+    seen = Counter(words)
     long = [w for w in words if len(w) >= 10]
-    clauses = [sum([w in _CLAUSES for w in s]) for s in sentences] if not distinct.isdisjoint(_CLAUSES) else [0] * m
-    content = {w for w in distinct if len(w) > 3}
+    clauses = [len([w for w in s if w in _CLAUSES]) for s in sentences] if not _CLAUSES.isdisjoint(seen) else [0] * m
+    content = {w for w in seen if len(w) > 3}
     bags = [content.intersection(s) for s in sentences]
     links = [len(a & b) / min(len(a), len(b)) for a, b in zip(bags, bags[1:]) if a and b]
-    pick = lambda x, q: float(x[min(len(x) - 1, int(q * len(x)))])
+    (word_mean, word_sd), (sent_mean, sent_sd) = _spread(size), _spread(per)
     values = [
-        float(np.log1p(n)), float(np.log1p(m)), float(size.mean()), float(size.std()), pick(ordered, 0.5), pick(ordered, 0.9), float(ordered[-1]), float((size >= 7).mean()), float((size >= 10).mean()), float((size >= 13).mean()),
-        float(per.mean()), float(per.std()), pick(per_ordered, 0.5), pick(per_ordered, 0.9), float(per_ordered[-1]), float(size.sum() / m), len(distinct) / n, len(set(long)) / max(1, len(long)), sum(clauses) / m, sum(map(bool, clauses)) / m,
-        prose.count(",") / m, sum(links) / len(links) if links else 0.0, float((per > 20).mean()), len(long) / m,
+        log1p(n), log1p(m), word_mean, word_sd, float(size[n // 2]), float(size[min(n - 1, n * 9 // 10)]), float(size[-1]), 1 - bisect_left(size, 7) / n, 1 - bisect_left(size, 10) / n, 1 - bisect_left(size, 13) / n,
+        sent_mean, sent_sd, float(per[m // 2]), float(per[min(m - 1, m * 9 // 10)]), float(per[-1]), sum(size) / m, len(seen) / n, len(set(long)) / max(1, len(long)), sum(clauses) / m, sum(map(bool, clauses)) / m,
+        commas / m, sum(links) / len(links) if links else 0.0, 1 - bisect_right(per, 20) / m, len(long) / m,
     ]
-    return language_of(words), values
+    return language_of(seen), values
 
 
 # --- trees ------------------------------------------------------------------------------------------------------------
