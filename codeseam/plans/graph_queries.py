@@ -14,7 +14,7 @@ from codeseam.plans.text_queries import _ANY, _BYTES, _IMPORTANCE, CATEGORISED,
 from codeseam.session import table
 from codeseam.sources import corpus
 
-WORD, FUZZY = "cache", "chsess graph"
+WORD, FUZZY = "cache", "rtgrph"
 ROOTS = ("region:0",)
 SELECTED = ("s1", "s2", "s3", "s4")
 HISTORY_PATH, SINCE = "part/7", "1998-01-01 00:00:00"
