@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeseam.llm import fusion, mixing, neighbors, packing, provenance, reading, secrets, splitting, tokens
-from codeseam.session import table
+from codeseam.session import durable, small_side, table
 
 SCORES = ("name_score", "grep_score", "grep_count", "terms_matched")
 
@@ -102,8 +102,8 @@ def _windows(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, int]:
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The texts that packing had to divide, held against every public tokenizer."""
     packed, capacity = _windows(spark, d, "window_small")
-    divided = packed.where("n_segments > 1").select("doc_id").distinct()
-    texts = table(spark, d, "documents").select("doc_id", "text").join(divided, "doc_id", "left_semi")
+    divided = durable(packed.where("n_segments > 1").select("doc_id").distinct())
+    texts = table(spark, d, "documents").select("doc_id", "text").join(small_side(divided), "doc_id", "left_semi")
     return tokens.above_in_all(texts, "text", capacity).select("doc_id").distinct()
 
 

@@ -47,21 +47,34 @@ def counter(name: str = DEFAULT, folder: str = VOCABULARIES) -> Callable[[str],
 
     def sliced(text: str) -> int:
         """Whole text; very long ones slice by slice, which keeps the time linear."""
-        if len(text) <= SLICE:
-            return count(text)
-        total = at = 0
-        while at < len(text):
-            end = min(len(text), at + SLICE)
-            if end < len(text):
-                cut = max(text.rfind("\n", at + 1, end), text.rfind(" ", at + 1, end))
-                end = cut if cut > at else end
-            total += count(text[at:end])
-            at = end
-        return total
+        return count(text) if len(text) <= SLICE else sum(map(count, slices(text, SLICE)))
 
     return sliced
 
 
+def slices(text: str, most: int) -> Iterator[str]:
+    """The text in parts of at most `most` characters that end before a space or a line end where there is one."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + most)
+        if end < len(text):
+            cut = max(text.rfind("\n", at + 1, end), text.rfind(" ", at + 1, end))
+            end = cut if cut > at else end
+        yield text[at:end]
+        at = end
+
+
+def exceeds(text: str, capacity: int, size: Callable[[str], int]) -> bool:
+    """Whether a text has more tokens than capacity. Counting in parts stops where the parts leave no doubt, as they
+    may differ from the whole by a few tokens at their seams; a text they leave in doubt is counted as a whole."""
+    total = 0
+    for n, part in enumerate(slices(text, 4 * capacity), 1):
+        total += size(part)
+        if total > 1.25 * capacity + 8 * n:
+            return True
+    return size(text) > capacity
+
+
 def n_tokens(text: Column, name: str = DEFAULT, folder: str = VOCABULARIES) -> Column:
     """Tokens of a text; 0 for null and for the empty text."""
 
@@ -81,7 +94,7 @@ def above_in_all(df: DataFrame, text: str, capacity: int, names: tuple[str, ...]
     def above(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sizes = [counter(n, folder) for n in names]
         for texts in batches:
-            yield pd.Series([bool(t) and all(size(t) > capacity for size in sizes) for t in texts], dtype="bool")
+            yield pd.Series([bool(t) and all(exceeds(t, capacity, size) for size in sizes) for t in texts], dtype="bool")
 
     # Marked so that the optimizer doesn't count all texts before a join that leaves few.
     return df.where(above.asNondeterministic()(F.col(text)))
