@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codeseam.functions import columns as C
 from codeseam.operators import budget, fuzzy, graph, history, incremental, ranking, stats, stubs, treemap
 from codeseam.operators import grep as G
-from codeseam.plans.text_queries import _ANY, _BYTES, _IMPORTANCE, CATEGORISED, FILES, LINES, TERMS, _grep_sql
+from codeseam.plans.text_queries import _ANY, _BYTES, _IMPORTANCE, CATEGORISED, FILES, LINES, TERMS, _grep_sql, typed
 from codeseam.session import table
 from codeseam.sources import corpus
 
@@ -399,3 +399,4 @@ SQL = {
     "json_keys": "SELECT 'k' AS key, count(*) AS events, sum((props::JSON->>'$.k')::BIGINT)::BIGINT AS total FROM events WHERE props IS NOT NULL",
     "treemap_values": f"WITH {CATEGORISED}, n AS (SELECT node, count(*) AS files FROM (SELECT unnest({_ANC}) AS node FROM categorised) GROUP BY node) SELECT node, array_to_string(string_split(node, ' > ')[1:len(string_split(node, ' > ')) - 1], ' > ') AS parent, len(string_split(node, ' > '))::INT AS depth, files, round(cbrt(files), 6) AS value FROM n",
 }
+SQL["seen_penalty"] = typed(SQL["seen_penalty"], "importance", "DOUBLE")

@@ -345,3 +345,16 @@ SQL = {
         SELECT repo, count(*) FILTER (WHERE a OR b) AS n_union, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND NOT b) AS n_left FROM s GROUP BY repo""",
     "prompt_sink": f"WITH {CATEGORISED} SELECT category, '## ' || category || chr(10) || string_agg('- ' || path, chr(10) ORDER BY path) AS text FROM (SELECT DISTINCT category, path FROM categorised WHERE repo = 'harbor-mono') GROUP BY category",
 }
+
+
+def typed(sql: str, columns: str, kind: str) -> str:
+    """The SQL with some columns cast, where DuckDB's type of a count, sum or literal isn't Spark's."""
+    return "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS {kind}) AS {c}" for c in columns.split()) + f") FROM ({sql})"
+
+
+for _name, _columns, _kind in (
+    ("static_importance", "importance", "DOUBLE"), ("query_importance", "importance", "DOUBLE"), ("grep_any_topk", "match_count first_line", "INT"), ("grep_all_topk", "match_count first_line", "INT"), ("grep_exact", "match_count first_line", "INT"),
+    ("grep_regex", "match_count first_line", "INT"), ("grep_files_only", "match_count", "INT"), ("grep_max_per_file", "line_no", "INT"), ("grep_context", "line_no", "INT"), ("grep_context", "block", "BIGINT"), ("grep_total_matches", "shown_matches all_matches", "BIGINT"),
+    ("batch_read", "bytes n_lines", "INT"), ("stats_totals", "bytes", "BIGINT"), ("stats_lang_breakdown", "bytes", "BIGINT"), ("stats_top_files", "bytes", "INT"), ("selection_algebra", "n_union n_both n_left", "INT"),
+):
+    SQL[_name] = typed(SQL[_name], _columns, _kind)
