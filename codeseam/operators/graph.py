@@ -94,22 +94,43 @@ def reach(edges: DataFrame, start: list[str], max_depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 12) -> DataFrame:
-    """One row (path, hops) with a shortest way along the edges, the first in order among equals; none if there is none."""
+def shortest_paths(edges: DataFrame, start: str, goals: list[str], max_depth: int = 12) -> DataFrame:
+    """(goal, path, hops) with a shortest way along the edges to each goal, the first in order among equals; goals out of reach have no row."""
     spark = edges.sparkSession
     step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     newest = spark.createDataFrame([(start, [start])], "node string, path array<string>")
-    seen = newest.select("node")
-    for _ in range(max_depth):
-        hit = newest.where(F.col("node") == goal)
-        if not hit.isEmpty():
-            return hit.select(F.array_join("path", " -> ").alias("path"), (F.size("path") - 1).alias("hops")).limit(1)
+    seen, found, missing = newest.select("node"), spark.createDataFrame([], newest.schema), set(goals)
+    for _ in range(max_depth + 1):
+        hits = newest.where(F.col("node").isin(sorted(missing)))
+        missing -= {r["node"] for r in hits.select("node").collect()}
+        found = found.unionByName(hits)
+        if not missing:
+            break
         ways = newest.join(step, "node").select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         newest = durable(ways.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
         if newest.isEmpty():
             break
         seen = seen.unionByName(newest.select("node"))
-    return spark.createDataFrame([], "path string, hops int")
+    return found.select(F.col("node").alias("goal"), F.array_join("path", " -> ").alias("path"), (F.size("path") - 1).alias("hops"))
+
+
+def connections(deps: DataFrame, selected: list[str], max_nodes: int = 6) -> DataFrame:
+    """(a, b, kind, path) for each pair of selected modules: a direct edge by kind and direction, else the shorter of the two ways."""
+    spark = deps.sparkSession
+    pairs = [(a, b) for n, a in enumerate(sorted(selected)) for b in sorted(selected)[n + 1 :]]
+    chosen = sorted(set(selected))
+    direct = {(r["module"], r["dep"]): r["kind"] for r in deps.where(F.col("module").isin(chosen) & F.col("dep").isin(chosen)).groupBy("module", "dep").agg(F.max("kind").alias("kind")).collect()}
+    edges = deps.select(F.col("module").alias("src"), F.col("dep").alias("dst"))
+    ways = {(a, r["goal"]): r["path"] for a in chosen for r in shortest_paths(edges, a, [x for x in chosen if x != a], max_nodes - 1).collect()} if any((a, b) not in direct and (b, a) not in direct for a, b in pairs) else {}
+    out = []
+    for a, b in pairs:
+        if (a, b) in direct:
+            out.append((a, b, direct[a, b], f"{a} -> {b}"))
+        elif (b, a) in direct:
+            out.append((a, b, direct[b, a], f"{b} -> {a}"))
+        elif both := [w for w in (ways.get((a, b)), ways.get((b, a))) if w]:
+            out.append((a, b, "path", min(both, key=lambda w: w.count("->"))))
+    return spark.createDataFrame(out, "a string, b string, kind string, path string")
 
 
 def neighbours(edges: DataFrame, node: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,8 +111,7 @@ def impact_by_depth(spark: SparkSession, d: str) -> DataFrame:
 
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     """From one order to each region: one of them can be reached."""
-    found = [graph.shortest_path(corpus.fk_edges(spark, d), "orders:1", f"region:{r}") for r in range(5)]
-    return reduce(DataFrame.unionByName, found)
+    return graph.shortest_paths(corpus.fk_edges(spark, d), "orders:1", [f"region:{r}" for r in range(5)])
 
 
 def dep_degree(spark: SparkSession, d: str) -> DataFrame:
@@ -362,7 +359,7 @@ SQL = {
     "impact": f"WITH RECURSIVE {_IMPACT} SELECT node, depth FROM impact",
     "impact_by_depth": f"WITH RECURSIVE {_IMPACT} SELECT depth, count(*) AS files FROM impact GROUP BY depth",
     "shortest_path": f"""WITH RECURSIVE {_EDGES}, w AS (SELECT 'orders:1' AS node, 'orders:1' AS path, 0 AS hops UNION ALL SELECT e.dst, w.path || ' -> ' || e.dst, hops + 1 FROM w JOIN edges e ON e.src = w.node WHERE hops < 12)
-        SELECT path, hops::INT AS hops FROM w WHERE starts_with(node, 'region:')""",
+        SELECT node AS goal, path, hops::INT AS hops FROM w WHERE starts_with(node, 'region:')""",
     "dep_degree": f"""WITH {_DEPS}, e AS (SELECT module AS node, 1 AS o, 0 AS i FROM deps UNION ALL SELECT dep, 0, 1 FROM deps), c AS (SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM e GROUP BY node)
         SELECT *, round(greatest(1.5, CASE WHEN out_degree + in_degree <= 25 THEN 0.8 * sqrt(out_degree + in_degree) ELSE 4 + 1.5 * log2((out_degree + in_degree) / 25) END), 6) AS radius FROM c""",
     "shared_deps": f"WITH {_DEPS} SELECT dep, count(DISTINCT module) AS modules FROM deps WHERE module IN ({_SEL}) AND dep NOT IN ({_SEL}) GROUP BY dep HAVING count(DISTINCT module) >= 2 ORDER BY modules DESC, dep LIMIT 15",

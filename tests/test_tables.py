@@ -73,8 +73,10 @@ def test_namespaces(spark):
 def test_traversal(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("a", "d")], "src string, dst string")
     assert {tuple(r) for r in graph.reach(edges, ["a"], 5).collect()} == {("b", 1), ("d", 1), ("c", 2)}
-    assert [tuple(r) for r in graph.shortest_path(edges, "c", "d").collect()] == [("c -> b -> a -> d", 3)]
-    assert graph.shortest_path(edges, "a", "zz").count() == 0 and graph.reach(edges, ["zz"], 3).count() == 0
+    assert sorted(tuple(r) for r in graph.shortest_paths(edges, "c", ["d", "c", "zz"]).collect()) == [("c", "c", 0), ("d", "c -> b -> a -> d", 3)]
+    deps = edges.select(F.col("src").alias("module"), F.col("dst").alias("dep"), F.lit("public").alias("kind"))
+    assert sorted(tuple(r) for r in graph.connections(deps, ["a", "b", "c"]).collect()) == [("a", "b", "public", "b -> a"), ("a", "c", "path", "a -> d -> c"), ("b", "c", "public", "c -> b")]
+    assert graph.shortest_paths(edges, "a", ["zz"]).count() == 0 and graph.reach(edges, ["zz"], 3).count() == 0
 
 
 def test_upsert_latest_and_cache(spark):
