@@ -104,7 +104,7 @@ class Corpus:
         rows = self.files.where(F.col("path").isin(paths)).dropDuplicates(["path"])
         score = C.importance(F.col("path"), F.octet_length("content")) + C.query_importance(F.col("path"), F.col("content"), terms)
         rows = rows.withColumn("importance", budget.seen_penalty(score, F.col("path").isin(seen or [])))
-        packed = budget.pack_requests(rows.select(F.lit(1).alias("request_id"), "path", "ext", "content", C.describe(F.col("path")).alias("desc"), "importance"), tokens, query)
+        packed = budget.pack_requests(rows.select(F.lit(1).alias("request_id"), "path", "ext", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub"), C.describe(F.col("path")).alias("desc"), "importance"), tokens, query)
         if ordering == "attention":
             return graph.attention_order(packed, "request_id", "importance", "path")
         from pyspark.sql import Window

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
 from codeseam.operators import graph
-from codeseam.operators.stubs import Block, blocks, size, stub
+from codeseam.operators.stubs import Block, blocks, size, stub_column
 
 MIN_UPGRADE, PASSES, WEIGHT_POWER = 30, 5, 1.5
 BLOCK_WEIGHT = {"function": 3.0, "class": 2.5, "macro": 1.5, "annotation": 1.5, "misc": 0.5, "imports": 0.5}
@@ -73,13 +73,13 @@ def prune(parts: list[Block], terms: list[str], budget: int) -> str:
 
 
 def allocate(files: list[tuple[str, str, str, str, float]], budget: int, terms: list[str]) -> list[tuple[str, int, int, str]]:
-    """(path, tier, cost, content) of each (path, ext, content, description, importance).
+    """(path, tier, cost, content) of each (path, ext, summary, description, importance); for summaries see stubs.stub.
 
     Tier 1 is the whole summary, 2 its best blocks, 4 a mention. If all summaries fit, all are whole; if at the end the
     sum is above the budget, the least important become mentions until it fits.
     """
     mention = [f"// {path} — {desc}\n" for path, _, _, desc, _ in files]
-    texts = [stub(content, ext) for _, ext, content, _, _ in files]
+    texts = [summary for _, _, summary, _, _ in files]
     tiers = [1] * len(files)
     if sum(map(size, texts)) > budget:
         shares = water_fill([(f[4], size(t), size(m)) for f, t, m in zip(files, texts, mention)], budget)
@@ -115,16 +115,16 @@ def fill_requests(requests: DataFrame, budget: int) -> DataFrame:
 
 
 def pack_requests(requests: DataFrame, budget: int, query: str = "") -> DataFrame:
-    """(request_id, path, tier, tokens, importance) for rows of request_id, path, ext, content, desc, importance."""
+    """(request_id, path, tier, tokens, importance) for rows of request_id, path, ext, stub, desc, importance."""
     terms = [t for t in query.lower().split() if len(t) >= 2]
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("path")
-        rows = allocate(list(zip(frame["path"], frame["ext"], frame["content"], frame["desc"], frame["importance"])), budget, terms)
+        rows = allocate(list(zip(frame["path"], frame["ext"], frame["stub"], frame["desc"], frame["importance"])), budget, terms)
         return pd.DataFrame({"request_id": frame["request_id"], "path": [r[0] for r in rows], "tier": [r[1] for r in rows], "tokens": [r[2] for r in rows], "importance": frame["importance"]})
 
     kind = requests.schema["request_id"].dataType.simpleString()
-    return requests.select("request_id", "path", "ext", "content", "desc", "importance").groupBy("request_id").applyInPandas(run, f"request_id {kind}, path string, tier int, tokens long, importance double")
+    return requests.select("request_id", "path", "ext", "stub", "desc", "importance").groupBy("request_id").applyInPandas(run, f"request_id {kind}, path string, tier int, tokens long, importance double")
 
 
 def summary(packed: DataFrame, budget: int) -> DataFrame:
@@ -158,8 +158,13 @@ def greedy(files: DataFrame, group: str, budget: int) -> DataFrame:
 
 
 def requests_of(files: DataFrame) -> DataFrame:
-    """Each repository's files as one request, with standing importance and costs."""
+    """Each repository's files as one request, with standing importance and costs, and summaries where the texts are at hand.
+
+    The summary is made before anything is shuffled, so that texts aren't. files: file_id, repo, path, ext, bytes and
+    perhaps content; a file that occurs twice is to be made one by its file_id.
+    """
     mention = C.tokens(C.manifest_line(F.col("path"), C.describe(F.col("path"))))
+    summary = [stub_column(F.col("content"), F.col("ext")).alias("stub")] if "content" in files.columns else []
     return files.select(
-        F.col("repo").alias("request_id"), "path", "ext", "content", C.describe(F.col("path")).alias("desc"), C.importance(F.col("path"), F.octet_length("content")).alias("importance"), C.tokens(F.col("content")).alias("full_cost"), mention.alias("mention_cost")
+        "file_id", F.col("repo").alias("request_id"), "path", "ext", *summary, C.describe(F.col("path")).alias("desc"), C.importance(F.col("path"), F.col("bytes")).alias("importance"), F.ceil(F.col("bytes") / 3).cast("long").alias("full_cost"), mention.alias("mention_cost")
     )

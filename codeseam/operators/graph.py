@@ -27,10 +27,10 @@ SYSTEM_NAMESPACES = ("System", "Microsoft")
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
-    """(repo, src, target): what each file imports, as written, once each; every file is read once."""
+    """(repo, src, ext, target): what each file imports, as written, once each; every file is read once."""
     own = lambda exts, pattern: F.when(F.col("ext").isin(exts.split()), F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
     found = F.array_distinct(F.flatten(F.array(*(own(*i) for i in IMPORTS))))
-    return files.select("repo", F.col("path").alias("src"), "ext", F.explode(found).alias("target")).where("target <> ''").select("repo", "src", "ext", "target")
+    return files.select("repo", F.col("path").alias("src"), "ext", F.explode(found).alias("target")).where("target <> ''").select("repo", "src", "ext", "target").distinct()
 
 
 def _first(rows: DataFrame, keys: list[str]) -> DataFrame:

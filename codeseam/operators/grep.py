@@ -46,9 +46,9 @@ def words(text: Column) -> Column:
 
 
 def term_doc_freq(files: DataFrame, text: str = "content") -> DataFrame:
-    """(term, df): the number of texts that hold each word."""
-    small = files.where(F.octet_length(text) <= MAX_TERM_BYTES)
-    return small.select(F.explode(words(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df): the number of files that hold each word; a file_id that occurs twice counts once."""
+    small = files.where(F.octet_length(text) <= MAX_TERM_BYTES).select("file_id", words(F.col(text)).alias("w")).dropDuplicates(["file_id"])
+    return small.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -57,9 +57,9 @@ def idf(df: Column, n: Column) -> Column:
 
 def term_weights(files: DataFrame, terms: list[str], text: str = "content") -> DataFrame:
     """One row: idfs, the weight of each term in order; a term that is in no text counts as if in all."""
-    small = F.octet_length(text) <= MAX_TERM_BYTES
-    own = F.when(small, words(F.col(text)))
-    counts = files.select(own.alias("w")).agg(F.count("*").alias("n"), *(F.count_if(F.array_contains("w", t)).alias(f"d{k}") for k, t in enumerate(terms)))
+    own = F.when(F.octet_length(text) <= MAX_TERM_BYTES, words(F.col(text)))
+    held = files.select("file_id", own.alias("w")).select("file_id", *(F.array_contains("w", t).alias(f"h{k}") for k, t in enumerate(terms))).dropDuplicates(["file_id"])
+    counts = held.agg(F.count("*").alias("n"), *(F.count_if(f"h{k}").alias(f"d{k}") for k in range(len(terms))))
     each = [idf(F.when(F.col(f"d{k}") == 0, F.col("n")).otherwise(F.col(f"d{k}")), F.col("n")) for k in range(len(terms))]
     return counts.select(F.array(*each).alias("idfs"))
 
@@ -83,15 +83,21 @@ def _holds(term: str):
     return lambda hit: F.contains(F.lower(hit["line"]), F.lit(term))
 
 
-def matching_lines(files: DataFrame, query: str, mode: str) -> DataFrame:
-    """files with hits, an array of (idx, line) from 0, and n_lines; only files with a hit.
+def _with_hits(files: DataFrame, query: str, mode: str) -> DataFrame:
+    """files with __lines and hits, an array of (idx, line) from 0; only files with a hit.
 
     The text is searched as a whole first, so that files without any term are never split into lines.
     """
     prefilter = line_match(F.col("content"), query, "regex" if mode == "regex" else "exact" if mode == "exact" else "any")
     rows = (files if mode == "regex" else files.where(prefilter)).withColumn("__lines", C.lines(F.col("content")))
     hits = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("idx"), x.alias("line"))), lambda s: line_match(s["line"], query, mode))
-    return rows.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("n_lines", F.greatest(F.size("__lines"), F.lit(1))).drop("__lines")
+    return rows.withColumn("hits", hits).where(F.size("hits") > 0)
+
+
+def matching_lines(files: DataFrame, query: str, mode: str) -> DataFrame:
+    """(file_id, repo, path, filename, ext, hits, n_lines) of files with a hit, each once; only matching lines leave a task."""
+    rows = _with_hits(files, query, mode).select("file_id", "repo", "path", "filename", "ext", "hits", F.greatest(F.size("__lines"), F.lit(1)).alias("n_lines"))
+    return rows.dropDuplicates(["file_id"])
 
 
 def grep(files: DataFrame, query: str, mode: str = "all", limit: int = 50) -> DataFrame:
@@ -116,13 +122,14 @@ def first_matches(files: DataFrame, query: str, mode: str, per_file: int, width:
 
 def context_lines(files: DataFrame, query: str, mode: str, around: int) -> DataFrame:
     """(repo, path, block, line_no, is_match, line): matching lines with neighbours; blocks that touch are one."""
-    rows = matching_lines(files, query, mode)
-    rows = rows.select("repo", "path", F.transform("hits", lambda h: h["idx"]).alias("at"), F.posexplode(C.lines(F.col("content"))).alias("pos", "line"))
-    near = rows.where(F.exists("at", lambda i: F.abs(i - F.col("pos")) <= around))
-    w = Window.partitionBy("repo", "path").orderBy("pos")
-    starts = F.when(F.col("pos") - F.lag("pos").over(w) == 1, 0).otherwise(1)
-    blocks = near.withColumn("starts", starts).withColumn("block", F.sum("starts").over(w))
-    return blocks.select("repo", "path", "block", (F.col("pos") + 1).alias("line_no"), F.array_contains("at", F.col("pos")).alias("is_match"), "line")
+    rows = _with_hits(files, query, mode).withColumn("at", F.transform("hits", lambda h: h["idx"]))
+    numbered = F.transform("__lines", lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    near = F.filter(numbered, lambda s: F.exists("at", lambda i: F.abs(i - s["pos"]) <= around))
+    rows = rows.select("file_id", "repo", "path", "at", near.alias("near")).dropDuplicates(["file_id"]).select("file_id", "repo", "path", "at", F.explode("near").alias("n"))
+    w = Window.partitionBy("file_id").orderBy("n.pos")
+    starts = F.when(F.col("n.pos") - F.lag("n.pos").over(w) == 1, 0).otherwise(1)
+    blocks = rows.withColumn("starts", starts).withColumn("block", F.sum("starts").over(w))
+    return blocks.select("repo", "path", "block", (F.col("n.pos") + 1).alias("line_no"), F.array_contains("at", F.col("n.pos")).alias("is_match"), F.col("n.line").alias("line"))
 
 
 def match_totals(files: DataFrame, query: str, mode: str, limit: int) -> DataFrame:

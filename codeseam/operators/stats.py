@@ -1,4 +1,4 @@
-"""Counts and roll-ups over files and their categories."""
+"""Counts and roll-ups over files (with their bytes) and their categories."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
 
-_BYTES = F.octet_length
-
 
 def modules(files: DataFrame) -> DataFrame:
     """(id, id_lower, name, file_count): one module per category."""
@@ -19,23 +17,23 @@ def modules(files: DataFrame) -> DataFrame:
 def totals(files: DataFrame) -> DataFrame:
     """One row: files, bytes, lines of code (a line for every 40 bytes begun), top-level modules."""
     top = F.split("category", " > ")[0]
-    size = F.sum(_BYTES("content"))
+    size = F.sum("bytes")
     return files.agg(F.count("*").alias("files"), size.alias("bytes"), F.ceil(size / 40).cast("long").alias("loc"), F.countDistinct(top).alias("modules"))
 
 
 def languages(files: DataFrame, most: int) -> DataFrame:
-    rows = files.where("ext <> ''").groupBy("ext").agg(F.count("*").alias("files"), F.sum(_BYTES("content")).alias("bytes"))
+    rows = files.where("ext <> ''").groupBy("ext").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
     return rows.orderBy(F.desc("files"), "ext").limit(most)
 
 
 def size_buckets(files: DataFrame) -> DataFrame:
-    b = _BYTES("content")
+    b = F.col("bytes")
     bucket = F.when(b < 1_000, "<1K").when(b < 10_000, "<10K").when(b < 100_000, "<100K").when(b < 1_000_000, "<1M").otherwise(">=1M")
     return files.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("files"))
 
 
 def largest(files: DataFrame, most: int) -> DataFrame:
-    return files.select("repo", "path", _BYTES("content").alias("bytes")).orderBy(F.desc("bytes"), "repo", "path").limit(most)
+    return files.select("repo", "path", "bytes").orderBy(F.desc("bytes"), "repo", "path").limit(most)
 
 
 def facets(files: DataFrame) -> DataFrame:

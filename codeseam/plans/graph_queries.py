@@ -33,8 +33,7 @@ def fuzzy_module_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_find(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.files(spark, d)
-    return ranking.find(fuzzy.name_rank(rows, WORD, 100_000), G.grep(rows, TERMS, "any", 100_000), 2, 60)
+    return ranking.find(fuzzy.name_rank(corpus.files(spark, d), WORD, 100_000), G.grep(corpus.file_rows(spark, d), TERMS, "any", 100_000), 2, 60)
 
 
 def hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +75,7 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extract_imports(spark: SparkSession, d: str) -> DataFrame:
-    return graph.extract_imports(corpus.files(spark, d)).select("repo", "src", "target").distinct()
+    return graph.extract_imports(corpus.file_rows(spark, d)).select("repo", "src", "target").distinct()
 
 
 def _imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +83,7 @@ def _imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = corpus.files(spark, d)
     name = F.concat(F.regexp_extract(F.regexp_replace("filename", r"\.[^.]*$", ""), r"([^_]*)$", 1), F.lit("."), "ext")
     cut = rows.withColumn("path", F.lower(F.concat(C.directory(F.col("path")), F.lit("/"), name))).withColumn("filename", C.filename(F.col("path")))
-    return graph.extract_imports(rows), cut.dropDuplicates(["repo", "path"])
+    return graph.extract_imports(corpus.file_rows(spark, d)), cut.dropDuplicates(["repo", "path"])
 
 
 def import_resolution(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +148,7 @@ def longest_module(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attention_order(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.files(spark, d).select("file_id", "repo", F.round(C.importance(F.col("path"), F.octet_length("content")), 6).alias("importance"))
+    rows = corpus.files(spark, d).select("file_id", "repo", F.round(C.importance(F.col("path"), F.col("bytes")), 6).alias("importance"))
     return graph.attention_order(rows, "repo", "importance", "file_id").select("file_id", "place")
 
 
@@ -158,7 +157,7 @@ def water_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    packed = budget.pack_requests(budget.requests_of(corpus.files(spark, d)), 4_000, TERMS)
+    packed = budget.pack_requests(corpus.once(budget.requests_of(corpus.file_rows(spark, d))), 4_000, TERMS)
     return packed.withColumn("importance", F.round("importance", 6))
 
 
@@ -167,19 +166,19 @@ def budget_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_cap(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.files(spark, d).select("repo", "file_id", F.round(C.importance(F.col("path"), F.octet_length("content")), 6).alias("importance"), C.tokens(F.col("content")).alias("tokens"))
+    rows = corpus.files(spark, d).select("repo", "file_id", F.round(C.importance(F.col("path"), F.col("bytes")), 6).alias("importance"), F.ceil(F.col("bytes") / 3).cast("long").alias("tokens"))
     return budget.greedy(rows, "repo", 3_000)
 
 
 def seen_penalty(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.files(spark, d).select("file_id", C.importance(F.col("path"), F.octet_length("content")).alias("importance"))
+    rows = corpus.files(spark, d).select("file_id", C.importance(F.col("path"), F.col("bytes")).alias("importance"))
     seen = table(spark, d, "events").where("event_type = 'click'").select((F.col("user_id") % 100).alias("file_id")).distinct().withColumn("seen", F.lit(True))
     return rows.join(seen, "file_id", "left").select("file_id", F.round(budget.seen_penalty(F.col("importance"), F.coalesce("seen", F.lit(False))), 6).alias("importance"))
 
 
 def selected_meter(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of the selected files of each repository against a budget."""
-    rows = corpus.files(spark, d).where("ext in ('py', 'rs')").groupBy("repo").agg(F.ceil(F.sum(F.octet_length("content")) / 3).cast("long").alias("tokens"))
+    rows = corpus.files(spark, d).where("ext in ('py', 'rs')").groupBy("repo").agg(F.ceil(F.sum("bytes") / 3).cast("long").alias("tokens"))
     ratio = F.col("tokens") / 5_000
     return rows.select("repo", "tokens", F.when(ratio > 0.9, "danger").when(ratio > 0.6, "warn").otherwise("ok").alias("level"))
 
@@ -188,27 +187,27 @@ def selected_meter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stub_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.files(spark, d).select("file_id", stubs.head_stub(F.col("content")).alias("stub"))
+    return corpus.once(corpus.file_rows(spark, d).select("file_id", stubs.head_stub(F.col("content")).alias("stub")))
 
 
 def stub_yaml(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.files(spark, d).where("ext in ('yaml', 'yml')").select("file_id", stubs.yaml_stub(F.col("content")).alias("stub"))
+    return corpus.once(corpus.file_rows(spark, d).where("ext in ('yaml', 'yml')").select("file_id", stubs.yaml_stub(F.col("content")).alias("stub")))
 
 
 def stub_ini(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.files(spark, d).where("ext = 'ini'").select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub"))
+    return corpus.once(corpus.file_rows(spark, d).where("ext = 'ini'").select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub")))
 
 
 def stub_all(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.files(spark, d).select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub"))
+    return corpus.once(corpus.file_rows(spark, d).select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub")))
 
 
 def stub_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return stubs.block_table(corpus.files(spark, d))
+    return stubs.block_table(corpus.file_rows(spark, d)).dropDuplicates(["file_id", "position"])
 
 
 def stub_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return stubs.chunk_table(corpus.files(spark, d), 1_500)
+    return stubs.chunk_table(corpus.file_rows(spark, d), 1_500).dropDuplicates(["file_id", "start_line"])
 
 
 # --- history ----------------------------------------------------------------------------------------------------------

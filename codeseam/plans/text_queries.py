@@ -48,7 +48,7 @@ def category_path(spark: SparkSession, d: str) -> DataFrame:
 
 def file_kinds(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
-    return corpus.files(spark, d).select("file_id", "ext", C.lookup(F.col("ext"), C.FAMILIES, "unknown").alias("family"), F.col("ext").isin(list(C.DEFINITION_EXTS)).alias("is_definition"), C.embeddable(p, F.octet_length("content")).alias("is_embeddable"))
+    return corpus.files(spark, d).select("file_id", "ext", C.lookup(F.col("ext"), C.FAMILIES, "unknown").alias("family"), F.col("ext").isin(list(C.DEFINITION_EXTS)).alias("is_definition"), C.embeddable(p, F.col("bytes")).alias("is_embeddable"))
 
 
 def char_bitmask(spark: SparkSession, d: str) -> DataFrame:
@@ -86,13 +86,13 @@ def color_slots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def static_importance(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.files(spark, d).select("file_id", F.round(C.importance(F.col("path"), F.octet_length("content")), 6).alias("importance"))
+    return corpus.files(spark, d).select("file_id", F.round(C.importance(F.col("path"), F.col("bytes")), 6).alias("importance"))
 
 
 def query_importance(spark: SparkSession, d: str) -> DataFrame:
     terms = G.terms_of(TERMS)
-    score = C.query_importance(F.col("path"), F.col("content"), terms) + C.importance(F.col("path"), F.octet_length("content"))
-    return corpus.files(spark, d).select("file_id", F.round(score, 6).alias("importance")).orderBy(F.desc("importance"), "file_id").limit(200)
+    score = C.query_importance(F.col("path"), F.col("content"), terms) + C.importance(F.col("path"), F.col("bytes"))
+    return corpus.once(corpus.file_rows(spark, d).select("file_id", F.round(score, 6).alias("importance"))).orderBy(F.desc("importance"), "file_id").limit(200)
 
 
 # --- filters ----------------------------------------------------------------------------------------------------------
@@ -131,57 +131,57 @@ def module_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grep_any_topk(spark: SparkSession, d: str) -> DataFrame:
-    return G.grep(corpus.files(spark, d), TERMS, "any", 50)
+    return G.grep(corpus.file_rows(spark, d), TERMS, "any", 50)
 
 
 def grep_all_topk(spark: SparkSession, d: str) -> DataFrame:
-    return G.grep(corpus.files(spark, d), TERMS, "all", 50)
+    return G.grep(corpus.file_rows(spark, d), TERMS, "all", 50)
 
 
 def grep_exact(spark: SparkSession, d: str) -> DataFrame:
-    return G.grep(corpus.files(spark, d), PHRASE, "exact", 100)
+    return G.grep(corpus.file_rows(spark, d), PHRASE, "exact", 100)
 
 
 def grep_regex(spark: SparkSession, d: str) -> DataFrame:
-    return G.grep(corpus.files(spark, d), PATTERN, "regex", 100)
+    return G.grep(corpus.file_rows(spark, d), PATTERN, "regex", 100)
 
 
 def grep_files_only(spark: SparkSession, d: str) -> DataFrame:
-    return G.matching_lines(corpus.files(spark, d), TERMS, "any").select("repo", "path", F.size("hits").alias("match_count"))
+    return G.matching_lines(corpus.file_rows(spark, d), TERMS, "any").select("repo", "path", F.size("hits").alias("match_count"))
 
 
 def grep_max_per_file(spark: SparkSession, d: str) -> DataFrame:
-    return G.first_matches(corpus.files(spark, d), TERMS, "any", 8, 40)
+    return G.first_matches(corpus.file_rows(spark, d), TERMS, "any", 8, 40)
 
 
 def grep_context(spark: SparkSession, d: str) -> DataFrame:
-    return G.context_lines(corpus.files(spark, d), PHRASE, "exact", 2)
+    return G.context_lines(corpus.file_rows(spark, d), PHRASE, "exact", 2)
 
 
 def grep_total_matches(spark: SparkSession, d: str) -> DataFrame:
-    return G.match_totals(corpus.files(spark, d), TERMS, "any", 50)
+    return G.match_totals(corpus.file_rows(spark, d), TERMS, "any", 50)
 
 
 def term_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return G.term_doc_freq(corpus.files(spark, d))
+    return G.term_doc_freq(corpus.file_rows(spark, d))
 
 
 def term_idf_topk(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.files(spark, d)
-    n = rows.agg(F.count("*").alias("n"))
+    rows = corpus.file_rows(spark, d)
+    n = corpus.files(spark, d).agg(F.count("*").alias("n"))
     weighted = G.term_doc_freq(rows).where("df >= 3").crossJoin(F.broadcast(n))  # one row
     return weighted.select("term", "df", F.round(G.idf(F.col("df"), F.col("n")), 6).alias("idf")).orderBy(F.desc("idf"), "term").limit(100)
 
 
 def read_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines 3 to 5 of every file, numbered and right-aligned."""
-    rows = corpus.files(spark, d).select("file_id", F.posexplode(C.lines(F.col("content"))).alias("pos", "line"))
-    return rows.where("pos between 2 and 4").select("file_id", F.concat(F.lpad((F.col("pos") + 1).cast("string"), 5, " "), F.lit(" | "), "line").alias("numbered"))
+    few = F.transform(F.slice(C.lines(F.col("content")), 3, 3), lambda x, i: F.concat(F.lpad((i + 3).cast("string"), 5, " "), F.lit(" | "), x))
+    return corpus.once(corpus.file_rows(spark, d).select("file_id", few.alias("few"))).select("file_id", F.explode("few").alias("numbered"))
 
 
 def batch_read(spark: SparkSession, d: str) -> DataFrame:
     """Requested paths with their size and lines, or why there is none."""
-    rows = corpus.files(spark, d).where("repo = 'harbor-mono'").groupBy("path").agg(F.max(F.octet_length("content")).alias("bytes"), F.max(F.size(C.lines(F.col("content")))).alias("n_lines"))
+    rows = corpus.file_rows(spark, d).where("repo = 'harbor-mono'").groupBy("path").agg(F.max("bytes").alias("bytes"), F.max(F.size(C.lines(F.col("content")))).alias("n_lines"))
     wanted = corpus.files(spark, d).where("file_id < 200").select("path").distinct()
     return wanted.join(rows, "path", "left").select("path", "bytes", "n_lines", F.when(F.col("bytes").isNull(), "not found").alias("error"))
 

@@ -10,7 +10,7 @@ from codeseam.functions.encoder import encode
 from codeseam.operators import incremental, views
 from codeseam.plans.graph_queries import _DEPS
 from codeseam.plans.text_queries import CATEGORISED, FILES, typed
-from codeseam.session import table
+from codeseam.session import small_side, table
 from codeseam.sources import corpus
 
 PALETTE = {"py": (53, 114, 165), "rs": (222, 165, 132), "js": (241, 224, 90), "go": (0, 173, 216)}
@@ -58,11 +58,11 @@ def flat_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def index_increment(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of those files only that the cache lacks or holds in an older state."""
-    rows = corpus.files(spark, d)
+    rows = corpus.file_rows(spark, d)
     cached = rows.where("file_id % 3 = 0").select("repo", "path", (F.col("size") + F.when(F.col("file_id") % 2 == 0, 1).otherwise(0)).alias("size"), "mtime")
     state = incremental.cache_state(cached, rows.select("repo", "path", "size", "mtime"), ["repo", "path"], ["size", "mtime"])
-    todo = rows.join(state.where("state <> 'hit'").select("repo", "path"), ["repo", "path"], "left_semi").where(C.embeddable(F.col("path"), F.octet_length("content")))
-    return todo.select("repo", "path", encode(F.concat_ws("\n", C.path_header(F.col("path")), "content"), "hash-96").alias("embedding"))
+    todo = rows.join(small_side(state.where("state <> 'hit'").select("repo", "path")), ["repo", "path"], "left_semi").where(C.embeddable(F.col("path"), F.col("bytes")))
+    return corpus.once(todo.select("file_id", "repo", "path", encode(F.concat_ws("\n", C.path_header(F.col("path")), "content"), "hash-96").alias("embedding"))).drop("file_id")
 
 
 def mask_prefilter(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def mask_prefilter(spark: SparkSession, d: str) -> DataFrame:
 
 def config_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of configuration files near to a known one, by edit distance up to 3."""
-    keys = corpus.files(spark, d).where("ext in ('toml', 'ini', 'yaml')").select(F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^([a-z_]+)\s*[=:]"), F.lit(1))).alias("key")).distinct()
+    keys = corpus.file_rows(spark, d).where("ext in ('toml', 'ini', 'yaml')").select(F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^([a-z_]+)\s*[=:]"), F.lit(1))).alias("key")).distinct()
     distance = F.levenshtein("key", F.lit("cache_graph"))
     return keys.select("key", distance.alias("distance")).where("distance <= 3")
 

@@ -9,21 +9,31 @@ from codeseam.functions import columns as C
 from codeseam.session import small_side, table
 
 
-def files(spark: SparkSession, d: str) -> DataFrame:
-    """One row per scanned file: file_id, repo, path (with /), filename, ext (lower case), size, mtime, content.
+def file_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned files with their text, as they were delivered: file_id, repo, path (with /), filename, ext (lower case), size, mtime, bytes, content.
 
-    Files without text are left out, as are those without path; a file delivered twice counts once.
+    Files without text or path are left out. A file may occur twice: what is derived from its text is made once by
+    `once`, after the text is gone, so that texts are never shuffled for it.
     """
     path = F.translate(F.col("rel_path"), "\\", "/")
     rows = table(spark, d, "source_files").where("content is not null and rel_path is not null").select("file_id", "repo", path.alias("path"), "size", "mtime", "content")
-    return rows.dropDuplicates(["file_id"]).select("file_id", "repo", "path", C.filename(F.col("path")).alias("filename"), F.lower(C.extension(F.col("path"))).alias("ext"), "size", "mtime", "content")
+    return rows.select("file_id", "repo", "path", C.filename(F.col("path")).alias("filename"), F.lower(C.extension(F.col("path"))).alias("ext"), "size", "mtime", F.octet_length("content").alias("bytes"), "content")
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """One row for each file."""
+    return rows.dropDuplicates(["file_id"])
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """One row per scanned file, without its text."""
+    return once(file_rows(spark, d).drop("content"))
 
 
-def categorised(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+def categorised(spark: SparkSession, d: str) -> DataFrame:
     """files with their category under the scan configuration of their repository."""
-    rows = files(spark, d) if rows is None else rows
     configs = small_side(table(spark, d, "scan_configs").select("repo", "scan_dirs", "noise_dirs").dropDuplicates(["repo"]))
-    return rows.join(configs, "repo", "left").withColumn("category", C.category(F.col("path"), F.col("scan_dirs"), F.col("noise_dirs"))).drop("scan_dirs", "noise_dirs")
+    return files(spark, d).join(configs, "repo", "left").withColumn("category", C.category(F.col("path"), F.col("scan_dirs"), F.col("noise_dirs"))).drop("scan_dirs", "noise_dirs")
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:

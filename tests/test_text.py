@@ -134,6 +134,7 @@ def test_water_fill_keeps_the_budget(files, budget):
 
 def test_allocation_tiers():
     body = "class A {\n" + "".join(f"    int f{i}(int x) {{ return x; }}\n" for i in range(60)) + "};\n"
+    body = stub(body, "cpp")
     few = allocate([("a.cpp", "cpp", body, "a", 1.0)], 100_000, [])
     assert few[0][1] == 1
     tight = allocate([("a.cpp", "cpp", body, "a", 1.0), ("b.cpp", "cpp", body, "b", 0.1)], 120, ["f1"])
