@@ -83,21 +83,28 @@ def _holds(term: str):
     return lambda hit: F.contains(F.lower(hit["line"]), F.lit(term))
 
 
+def _may_match(query: str, mode: str) -> Column:
+    """A test of the whole text that no text with a matching line fails; cheap, and before anything is split into lines."""
+    text = F.col("content")
+    if mode != "regex":
+        return line_match(text, query, "exact" if mode == "exact" else "any")
+    return F.lit(True) if re.search(r"\\[AzZG]", query) else text.rlike("(?im)" + query)
+
+
 def _with_hits(files: DataFrame, query: str, mode: str) -> DataFrame:
-    """files with __lines and hits, an array of (idx, line) from 0; only files with a hit.
+    """files with __lines and hits, an array of (idx, line) from 0, perhaps empty.
 
-    The text is searched as a whole first, so that files without any term are never split into lines.
+    Empty ones are left to the caller to drop after a shuffle: a filter here would have Spark find the lines twice.
     """
-    prefilter = line_match(F.col("content"), query, "regex" if mode == "regex" else "exact" if mode == "exact" else "any")
-    rows = (files if mode == "regex" else files.where(prefilter)).withColumn("__lines", C.lines(F.col("content")))
-    hits = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("idx"), x.alias("line"))), lambda s: line_match(s["line"], query, mode))
-    return rows.withColumn("hits", hits).where(F.size("hits") > 0)
+    line_match(F.lit(""), query, mode)  # refuses what isn't valid
+    rows = files.where(_may_match(query, mode)).withColumn("__lines", C.lines(F.col("content")))
+    return rows.withColumn("hits", F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("idx"), x.alias("line"))), lambda s: line_match(s["line"], query, mode)))
 
 
 def matching_lines(files: DataFrame, query: str, mode: str) -> DataFrame:
     """(file_id, repo, path, filename, ext, hits, n_lines) of files with a hit, each once; only matching lines leave a task."""
     rows = _with_hits(files, query, mode).select("file_id", "repo", "path", "filename", "ext", "hits", F.greatest(F.size("__lines"), F.lit(1)).alias("n_lines"))
-    return rows.dropDuplicates(["file_id"])
+    return rows.dropDuplicates(["file_id"]).where(F.size("hits") > 0)
 
 
 def grep(files: DataFrame, query: str, mode: str = "all", limit: int = 50) -> DataFrame:
