@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
@@ -16,6 +16,8 @@ MATCH, GAP_START, GAP_MORE = 16, -3, -1
 AFTER_WHITE, AFTER_DELIMITER, AFTER_OTHER, CAMEL, CONSECUTIVE, FIRST_FACTOR = 10, 9, 8, 7, 4, 2
 EXACT, PREFIX, PREFIX_SHARE, PREFIX_FROM = 10_000.0, 5_000.0, 1_000.0, 3
 _LOW = -(2**30)
+#: Characters that a name must have to be looked at.
+MASKED = "abcdefghijklmnopqrstuvwxyz0123456789_-./"
 
 
 def _kind(c: str) -> str:
@@ -111,10 +113,6 @@ class Token:
         self.case = any("A" <= c <= "Z" for c in word)
         self.low = word.lower()
         self.pattern = word if self.case and not compat else self.low
-        self.mask = sum({1 << "abcdefghijklmnopqrstuvwxyz0123456789_-./".index(c) for c in self.low if c in "abcdefghijklmnopqrstuvwxyz0123456789_-./"})
-
-    def inside(self, mask: int) -> bool:
-        return self.mask & mask == self.mask
 
 
 def score_file(tokens: list[Token], name: str, path: str, desc: str) -> float | None:
@@ -138,9 +136,13 @@ def score_file(tokens: list[Token], name: str, path: str, desc: str) -> float |
     return total
 
 
-def _may_hold(tokens: list[Token], *masks) -> object:
-    """Every word's characters occur in one of the fields: what the masks rule out never reaches Python."""
-    each = [reduce(lambda a, b: a | b, [m.bitwiseAND(F.lit(t.mask)) == t.mask for m in masks]) for t in tokens]
+def _may_hold(tokens: list[Token], *fields: Column) -> Column:
+    """Every word's characters occur in one of the fields: what lacks one never reaches Python.
+
+    The same test as with bit masks (functions.columns.bitmask), on the few characters of the words only.
+    """
+    holds = lambda t, f: reduce(lambda a, b: a & b, [F.contains(F.lower(f), F.lit(c)) for c in sorted(set(t.low) & set(MASKED))], F.lit(True))
+    each = [reduce(lambda a, b: a | b, [holds(t, f) for f in fields]) for t in tokens]
     return reduce(lambda a, b: a & b, each)
 
 
@@ -150,7 +152,7 @@ def search_files(files: DataFrame, query: str, limit: int, compat: bool = False)
     if not tokens:
         return files.select("repo", "path", F.lit(0.0).alias("score")).limit(0)
     rows = files.select("repo", "path", "filename", C.describe(F.col("path")).alias("desc"))
-    rows = rows.where(_may_hold(tokens, C.bitmask(F.col("filename")), C.bitmask(F.col("path")), C.bitmask(F.col("desc"))))
+    rows = rows.where(_may_hold(tokens, F.col("filename"), F.col("path"), F.col("desc")))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -166,7 +168,7 @@ def search_modules(modules: DataFrame, query: str, limit: int, compat: bool = Fa
     tokens = [Token(w, compat) for w in query.split()]
     if not tokens:
         return modules.select("id", "name", "file_count", F.lit(0.0).alias("score")).limit(0)
-    rows = modules.where(_may_hold(tokens, C.bitmask(F.col("name")), C.bitmask(F.col("id"))))
+    rows = modules.where(_may_hold(tokens, F.col("name"), F.col("id")))
 
     def one(name: str, ident: str) -> float | None:
         total = 0.0
