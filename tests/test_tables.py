@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeseam.api import Corpus
 from codeseam.functions import encoder
 from codeseam.operators import graph, incremental, ranking, treemap
-from codeseam.sources import git, manifests, walk
+from codeseam.sources import cache, git, manifests, walk
 from codeseam.streaming import watch
 
 MANIFESTS = {
@@ -146,3 +146,17 @@ def test_hybrid_weights(spark):
     rows = spark.createDataFrame([(1, "q", 10.0, 5.0, 2), (2, "q", None, 10.0, 2), (3, "q", float("nan"), None, 2)], "id long, g string, n double, c double, t int")
     got = {r["id"]: (r["combined"], r["match"]) for r in ranking.hybrid(rows, ["g"], "n", "c", "t").collect()}
     assert got == {1: (0.875, "both"), 2: (0.6, "content"), 3: (0.0, "none")}
+
+
+def test_vector_cache(spark, tmp_path):
+    entry = lambda path, size, v: ("m", "r", path, 1, size, 0, [v])
+    frame = lambda *rows: spark.createDataFrame(list(rows), "model_name string, repo string, path string, start_line int, size long, mtime long, embedding array<float>")
+    folder = str(tmp_path / "cache")
+    cache.append(frame(entry("a", 1, 1.0), entry("b", 1, 2.0)), folder)
+    cache.append(frame(entry("a", 2, 3.0)), folder)
+    loaded = cache.load(spark, folder, "m")
+    assert sorted((r["path"], r["embedding"][0]) for r in loaded.collect()) == [("a", 3.0), ("b", 2.0)]
+    now = spark.createDataFrame([("r", "a", 2, 0), ("r", "b", 9, 0), ("r", "c", 1, 0), ("r", "d", 1, 0)], "repo string, path string, size long, mtime long")
+    assert {(r["state"], r["files"], r["percent"]) for r in cache.status(loaded, now).collect()} == {("hit", 1, 25.0), ("stale", 1, 25.0), ("missing", 2, 50.0)}
+    cache.write_metadata(loaded, str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).first()["chunks"] == 2
