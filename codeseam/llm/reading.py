@@ -43,7 +43,14 @@ _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _ASIDE = re.compile(r"\([^()\n]{0,60}\)")
 _CODE = re.compile(r"`[^`\n]*`")
 #: A token (without blanks) that is no word: names of code, paths, links, tags, numbers and versions.
-_NO_WORD = re.compile(r"[\d_/\\<>{}=@#|]|[^\W\d]\.\w")
+_NO_LETTER = re.compile(r"[\d_/\\<>{}=@#|]")
+_INNER_DOT = re.compile(r"\.\w")
+
+
+def _is_word(token: str) -> bool:
+    return token.isalpha() or not (_NO_LETTER.search(token) or ("." in token and _INNER_DOT.search(token)))
+
+
 
 
 def running_text(text: str) -> str:
@@ -81,8 +88,8 @@ def running_text(text: str) -> str:
             unit = _CODE.sub(" ", unit)
         if "(" in unit:
             unit = _ASIDE.sub(" ", unit)
-        if not unit.replace(" ", "").isalpha() and _NO_WORD.search(unit):
-            unit = " ".join([t for t in unit.split(" ") if t.isalpha() or not _NO_WORD.search(t)])
+        if _NO_LETTER.search(unit) or _INNER_DOT.search(unit):
+            unit = " ".join(filter(_is_word, unit.split(" ")))
         units[n] = unit
     return "\n".join(units)
 
@@ -164,9 +171,12 @@ def measure(text: str | None) -> tuple[str | None, list[float]] | None:
 
 
 class Trees:
-    """Gradient-boosted regression trees on binned features, squared error, grown level by level."""
+    """Gradient-boosted regression trees on binned features, squared error, grown level by level.
 
-    def __init__(self, rounds: int = 160, depth: int = 3, rate: float = 0.08, least: int = 8, bins: int = 48, seed: int = 7, part: float = 0.8) -> None:
+    Each tree sees a random half of the rows and of the features.
+    """
+
+    def __init__(self, rounds: int = 160, depth: int = 3, rate: float = 0.08, least: int = 8, bins: int = 32, seed: int = 7, part: float = 0.5) -> None:
         self.rounds, self.depth, self.rate, self.least, self.bins, self.seed, self.part = rounds, depth, rate, least, bins, seed, part
 
     def fit(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> Trees:
@@ -175,48 +185,42 @@ class Trees:
         self.base = float(np.average(y, weights=w))
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         codes = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(self.cuts, x.T)])
+        n_features = max(1, round(self.part * len(codes)))
         now = np.full(len(y), self.base)
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for _ in range(self.rounds):
-            used = rng.random(len(y)) < self.part
-            tree = self._grow(codes, (y - now), w * used)
+            rows = np.flatnonzero(rng.random(len(y)) < self.part)
+            some = np.sort(rng.choice(len(codes), n_features, replace=False))
+            tree = self._grow(codes[np.ix_(some, rows)], some, (y - now)[rows], w[rows])
             self.trees.append(tree)
             now += self.rate * self._apply(tree, x)
         return self
 
-    def _grow(self, codes: np.ndarray, residual: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nodes = 2 ** (self.depth + 1) - 1
+    def _grow(self, codes: np.ndarray, names: np.ndarray, residual: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nodes, bins, n_features = 2 ** (self.depth + 1) - 1, self.bins, len(codes)
         feature, cut, value = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
         at = np.zeros(codes.shape[1], dtype=np.int64)
-        wr, bins = w * residual, self.bins
+        wr = w * residual
         value[0] = wr.sum() / max(w.sum(), 1e-9)
         for level in range(self.depth):
             first, width = 2**level - 1, 2**level
-            here = at - first
-            live = here >= 0
-            best = np.full(width, 1e-9)
-            choice = [(-1, -1)] * width
-            for f, c in enumerate(codes):
-                if not len(self.cuts[f]):
-                    continue
-                key = here[live] * bins + c[live]
-                s = np.bincount(key, wr[live], width * bins).reshape(width, bins).cumsum(1)
-                k = np.bincount(key, w[live], width * bins).reshape(width, bins).cumsum(1)
-                left_k, right_k = k[:, :-1], k[:, -1:] - k[:, :-1]
-                left_s, right_s = s[:, :-1], s[:, -1:] - s[:, :-1]
-                gain = left_s**2 / np.maximum(left_k, 1e-9) + right_s**2 / np.maximum(right_k, 1e-9) - s[:, -1:] ** 2 / np.maximum(k[:, -1:], 1e-9)
-                gain[(left_k < self.least) | (right_k < self.least)] = -1
-                top = gain.argmax(1)
-                for j in range(width):
-                    if gain[j, top[j]] > best[j]:
-                        best[j], choice[j] = gain[j, top[j]], (f, int(top[j]))
-            for j, (f, b) in enumerate(choice):
-                if f < 0:
-                    at[at == first + j] = -1
-                    continue
+            live = np.flatnonzero(at >= first)
+            # Sums of all features, nodes and bins in one pass.
+            key = ((np.arange(n_features)[:, None] * width + (at[live] - first)) * bins + codes[:, live]).ravel()
+            sums = lambda v: np.bincount(key, np.tile(v[live], n_features), n_features * width * bins).reshape(n_features, width, bins).cumsum(2)
+            s, k = sums(wr), sums(w)
+            left_k, right_k, left_s, right_s = k[..., :-1], k[..., -1:] - k[..., :-1], s[..., :-1], s[..., -1:] - s[..., :-1]
+            gain = left_s**2 / np.maximum(left_k, 1e-9) + right_s**2 / np.maximum(right_k, 1e-9) - s[..., -1:] ** 2 / np.maximum(k[..., -1:], 1e-9)
+            gain[(left_k < self.least) | (right_k < self.least)] = -1
+            best = gain.transpose(1, 0, 2).reshape(width, -1)
+            for j, top in enumerate(best.argmax(1)):
                 node = first + j
-                feature[node], cut[node] = f, self.cuts[f][b]
                 mine = at == node
+                if best[j, top] <= 1e-9:
+                    at[mine] = -1
+                    continue
+                f, b = divmod(int(top), bins - 1)
+                feature[node], cut[node] = names[f], self.cuts[names[f]][b]
                 right = codes[f] > b
                 at[mine & ~right], at[mine & right] = 2 * node + 1, 2 * node + 2
                 for child, rows in ((2 * node + 1, mine & ~right), (2 * node + 2, mine & right)):
