@@ -46,14 +46,22 @@ class Index(NamedTuple):
 # --- fitting ----------------------------------------------------------------------------------------------------------
 
 
+def _sums(x: np.ndarray, a: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the rows of each of k classes, and their number."""
+    n = np.bincount(a, minlength=k)
+    out = np.zeros((k, x.shape[1]), dtype=np.float32)
+    some = np.flatnonzero(n)
+    starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+    out[some] = np.add.reduceat(x[np.argsort(a, kind="stable")], starts, axis=0)
+    return out, n
+
+
 def _k_means(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit: bool) -> np.ndarray:
     k = min(k, len(x))
     c = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
         a = (x @ c.T - (0 if unit else 0.5 * (c**2).sum(1))).argmax(1)
-        n = np.bincount(a, minlength=k)
-        s = np.zeros_like(c)
-        np.add.at(s, a, x)
+        s, n = _sums(x, a, k)
         empty = n == 0
         c = np.where(empty[:, None], x[rng.integers(len(x), size=k)], s / np.maximum(n, 1)[:, None])
         if unit:
@@ -107,13 +115,10 @@ def fit_books(x: np.ndarray, rng: np.random.Generator, rounds: int = 2) -> np.nd
         rest = rest - book[(rest @ book.T - 0.5 * (book**2).sum(1)).argmax(1)]
     out = np.stack(books)
     for _ in range(rounds if len(x) >= 4 * CODES else 0):
-        hot = (encode(x, out).astype(np.int64) + np.arange(BOOKS) * CODES)
-        gram = np.zeros((BOOKS * CODES, BOOKS * CODES), dtype=np.float32)
-        target = np.zeros((BOOKS * CODES, x.shape[1]), dtype=np.float32)
-        for i in range(BOOKS):
-            np.add.at(target, hot[:, i], x)
-            for j in range(BOOKS):
-                np.add.at(gram, (hot[:, i], hot[:, j]), 1)
+        hot = encode(x, out).astype(np.int64) + np.arange(BOOKS) * CODES
+        chosen = np.zeros((len(x), BOOKS * CODES), dtype=np.float32)
+        np.put_along_axis(chosen, hot, 1, axis=1)
+        gram, target = chosen.T @ chosen, chosen.T @ x
         gram[np.diag_indices_from(gram)] += 0.1 + 1e-3 * len(x) / CODES
         out = np.linalg.solve(gram.astype(float), target.astype(float)).reshape(BOOKS, CODES, -1).astype(np.float32)
     return out
@@ -126,9 +131,8 @@ def fit_index(sample: np.ndarray, vectors: int) -> Index:
     home = (sample @ cells.T).argmax(1)
     held = np.bincount(home, minlength=len(cells)) * (vectors / len(sample))
     blocks = np.where(held > BLOCK_FROM, np.ceil(held / (BLOCK_FROM / 2)), 1).astype(np.int32)
-    means = np.zeros_like(cells)
-    np.add.at(means, home, sample)
-    means /= np.maximum(np.bincount(home, minlength=len(cells)), 1)[:, None]
+    sums, n = _sums(sample, home, len(cells))
+    means = sums / np.maximum(n, 1)[:, None]
     part = slice(0, SAMPLE_CODES)
     return Index(sample.shape[1], cells, means, fit_books(sample[part] - means[home[part]], rng), blocks)
 
