@@ -80,6 +80,11 @@ def in_module(cat: Column, module: Column) -> Column:
     return (cat == module) | cat.startswith(F.concat(module, F.lit(" > ")))
 
 
+def fence(ext: Column) -> Column:
+    """The word after the opening fence of a code block in Markdown."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in FENCES.items() for x in pair))[ext], ext)
+
+
 _MASKED = "abcdefghijklmnopqrstuvwxyz0123456789_-./"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
-from codeseam.session import durable, small_side
+from codeseam.session import SMALL_ROWS, durable, small_side
 
 # How imports look in each family of languages (extensions, pattern with one group).
 IMPORTS = (
@@ -76,6 +76,11 @@ def cross_repo_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
 # --- traversal --------------------------------------------------------------------------------------------------------
 
 
+def _front(nodes: DataFrame, n: int) -> DataFrame:
+    """Broadcast for a front of few nodes; n is their number."""
+    return F.broadcast(nodes) if n <= SMALL_ROWS else nodes
+
+
 def reach(edges: DataFrame, start: list[str], max_depth: int) -> DataFrame:
     """(node, depth): what depends on the start nodes, directly or not, at its least depth; the start itself isn't in it.
 
@@ -85,10 +90,11 @@ def reach(edges: DataFrame, start: list[str], max_depth: int) -> DataFrame:
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
     seen = spark.createDataFrame([(s, 0) for s in start], "node string, depth int")
     newest = seen
+    n = len(start)
     for depth in range(1, max_depth + 1):
-        found = back.join(small_side(newest.select("node")), "node").select(F.col("next").alias("node")).distinct()
+        found = back.join(_front(newest.select("node"), n), "node").select(F.col("next").alias("node")).distinct()
         newest = durable(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
-        if newest.isEmpty():
+        if not (n := newest.count()):
             break
         seen = seen.unionByName(newest)
     return seen.where("depth > 0")
@@ -173,11 +179,11 @@ def levels(deps: DataFrame, root: str, max_depth: int) -> DataFrame:
     """(node, depth, kind): the tree of dependencies below a module, each node once, public edges before private ones."""
     spark = deps.sparkSession
     seen = spark.createDataFrame([(root, 0, "root")], "node string, depth int, kind string")
-    newest = seen
+    newest, n = seen, 1
     for depth in range(1, max_depth + 1):
-        found = deps.join(small_side(newest.select(F.col("node").alias("module"))), "module").groupBy(F.col("dep").alias("node")).agg(F.max("kind").alias("kind"))
+        found = deps.join(_front(newest.select(F.col("node").alias("module")), n), "module").groupBy(F.col("dep").alias("node")).agg(F.max("kind").alias("kind"))
         newest = durable(found.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"), "kind"))
-        if newest.isEmpty():
+        if not (n := newest.count()):
             break
         seen = seen.unionByName(newest)
     return seen

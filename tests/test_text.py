@@ -37,6 +37,13 @@ def test_category_strips_prefix_and_noise(spark):
     assert cat("a/b/c/d/e/f/x.c", ["src"], ["none"]) == "a > b > c > d > e"
 
 
+def test_small_columns(spark):
+    assert one(spark, C.fence(F.col("e")), e="rs") == "rust" and one(spark, C.fence(F.col("e")), e="go") == "go"
+    assert [one(spark, C.byte_label(F.col("n")), n=n) for n in (900, 2048, 3 << 20)] == ["900", "2.0K", "3.0M"]
+    assert one(spark, C.ancestors(F.col("c")), c="a > b > c") == ["a", "a > b", "a > b > c"]
+    assert one(spark, C.cut_line(F.col("t"), 3), t="abcd") == "abc..." and one(spark, C.bitmask(F.col("t")), t="aB9/") == 1 | 2 | 1 << 35 | 1 << 39
+
+
 def test_path_guard(spark):
     e = lambda p: one(spark, C.path_error(F.col("p")), p=p)
     assert (e(""), e("../x"), e("/x"), e("a/b.c")) == ("empty", "parent", "absolute", None)
