@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,24 @@ def local_session(name: str = "codeseam", cores: str = "*", partitions: int = 8)
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the workers import this package wherever they run: Spark hands them an archive of it, once per context."""
+    context, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_codeseam_shipped", False) or not os.path.isdir(package):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="codeseam-"), "codeseam.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._codeseam_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
