@@ -35,9 +35,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Every file with its secrets masked."""
+    """Every file and every blamed line with its secrets masked; origin and record_id as in p2_found."""
     files = table(spark, d, "source_files").select("file_id", "rel_path", "content").dropDuplicates(["file_id"])
-    return secrets.redacted(files, "file_id", "rel_path", "content")
+    texts = secrets.redacted(files, "file_id", "rel_path", "content").select(F.lit("file").alias("origin"), F.col("file_id").alias("record_id"), "content", "n_secrets")
+    lines = secrets.redacted_lines(table(spark, d, "blame_lines")).select(F.lit("blame").alias("origin"), F.col("blame_id").alias("record_id"), "content", "n_secrets")
+    return texts.unionByName(lines)
 
 
 #: Cells that a vector visits: all vectors as they are held against each other, and those few that ask for their ten best.

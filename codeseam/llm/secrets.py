@@ -537,3 +537,69 @@ def redacted(df: DataFrame, item: str, path: str, text: str) -> DataFrame:
 
     rows = df.select(F.col(item).alias("record_id"), F.col(path).alias("path"), F.col(text).alias("body"))
     return rows.mapInPandas(mask, f"record_id {kind}, body string, n_secrets int").select(F.col("record_id").alias(item), F.col("body").alias(text), "n_secrets")
+
+
+def _mask_lines(numbers: list, texts: list, plain: bool) -> tuple[list, list[int]]:
+    """The lines of one file, masked, and of each how many secrets stand in it; a gap in the numbers is crossed by no secret.
+
+    Lines are searched together, so that all lines of a key block are masked, and each by itself, as in places_in_lines.
+    """
+    body = [t or "" for t in texts]
+    starts, together = [], []
+    at = 0
+    for n, t in enumerate(body):
+        follows = n and None not in (numbers[n], numbers[n - 1]) and numbers[n] == numbers[n - 1] + 1
+        glue = "" if n == 0 else "\n" if follows else "\n\x00\n"
+        together += [glue, t]
+        starts.append(at + len(glue))
+        at += len(glue) + len(t)
+    apart, begin = [], 0
+    for t in body:
+        apart.append(begin)
+        begin += len(t) + 3
+    spans: list[list[tuple[int, int]]] = [[] for _ in body]
+    hulls: list[list[tuple[int, int]]] = [[] for _ in body]
+    for text, offsets in (("".join(together), starts), ("\n\x00\n".join(body), apart)):
+        for s in find_secrets(text, plain):
+            parts: dict[int, list[tuple[int, int]]] = {}
+            n = bisect_right(offsets, s.opens) - 1
+            parts[n] = [(s.opens - offsets[n],) * 2]
+            for a, b in s.spans:
+                n = bisect_right(offsets, a) - 1
+                while n < len(body) and offsets[n] < b:
+                    lo, hi = max(a - offsets[n], 0), min(b - offsets[n], len(body[n]))
+                    if lo < hi:
+                        parts.setdefault(n, []).append((lo, hi))
+                        spans[n].append((lo, hi))
+                    n += 1
+            for n, found in parts.items():
+                hulls[n].append((min(a for a, _ in found), max(b for _, b in found)))
+    counts = []
+    for found in hulls:
+        k, end = 0, -1
+        for lo, hi in sorted(set(found)):
+            k += lo >= end
+            end = max(end, hi, lo + 1)
+        counts.append(k)
+    masked = [redact(t, [Secret("", 0, tuple(x))]) if x else t for t, x in zip(texts, spans)]
+    return masked, counts
+
+
+def redacted_lines(lines: DataFrame, item: str = "blame_id", repo: str = "repo", line_no: str = "line_no", path: str = "rel_path", text: str = "content") -> DataFrame:
+    """As redacted, for a table of single lines, once per item. The lines of a file meet in one task, as a file's text does in one row."""
+    kind = lines.schema[item].dataType.simpleString()
+
+    def mask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, keys, numbers, texts in zip(frame["path"], frame["keys"], frame["numbers"], frame["texts"]):
+                keys, numbers, texts = ([None if pd.isna(x) else x for x in column] for column in (keys, numbers, texts))
+                first = list({k: n for n, k in reversed(list(enumerate(keys)))}.values())[::-1]
+                masked, counts = _mask_lines([numbers[n] for n in first], [texts[n] for n in first], _is_plain(path))
+                rows += zip([keys[n] for n in first], masked, counts)
+            yield pd.DataFrame(rows, columns=["record_id", "body", "n_secrets"])
+
+    alone = F.when(F.col(repo).isNull() | F.col(path).isNull() | F.col(line_no).isNull(), F.col(item))
+    rows = lines.where(F.col(item).isNotNull()).select(F.col(repo).alias("repo"), F.col(path).alias("path"), alone.alias("alone"), F.struct(F.col(line_no).cast("int").alias("n"), F.col(item).alias("k"), F.col(text).alias("t")).alias("line"))
+    files = rows.groupBy("repo", "path", "alone").agg(F.array_sort(F.collect_list("line")).alias("lines")).select("path", F.col("lines.k").alias("keys"), F.col("lines.n").alias("numbers"), F.col("lines.t").alias("texts"))
+    return files.mapInPandas(mask, f"record_id {kind}, body string, n_secrets int").select(F.col("record_id").alias(item), F.col("body").alias(text), "n_secrets")

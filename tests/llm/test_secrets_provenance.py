@@ -2,7 +2,7 @@ import base64
 
 import pytest
 
-from codeseam.llm import provenance, secrets
+from codeseam.llm import provenance, queries, secrets
 
 KEY = "-----BEGIN {0}-----\nMIIEpAIBAAKCAQEA7Tq0hZ3x9fVbW1uQ\nk2Jd83hsKQmPz0yX4vNbR7tLgEoWcAiS\n-----END {0}-----\n"
 FOUND = [
@@ -73,6 +73,21 @@ def test_places_and_redaction_on_dirty_rows(spark):
     assert secrets.places_in_lines(lines.limit(0)).count() == 0 and secrets.places_in_files(files.limit(0)).count() == 0
 
 
+def test_blamed_lines_are_redacted(spark, tmp_path):
+    block = KEY.format("RSA PRIVATE KEY").split("\n")[:4]
+    texts = ["a: 1", "password: S@ddl3#1785", *block, None, "", "token: Drizzl3#1706"]
+    rows = [(100 + n, "r", "c.yaml", n + 1, t) for n, t in enumerate(texts)]
+    rows += [rows[1], (200, "r", "c.yaml", 20, "password: Pickl3#5627"), (201, None, None, None, "api_key: Drizzl3#1706"), (202, "q", "d.yaml", 2, block[1])]
+    spark.createDataFrame(rows, "blame_id long, repo string, rel_path string, line_no int, content string").write.parquet(f"{tmp_path}/blame_lines.parquet")
+    spark.createDataFrame([(1, "c.yaml", "password: S@ddl3#1785\n")], "file_id long, rel_path string, content string").write.parquet(f"{tmp_path}/source_files.parquet")
+    got = queries.p2_redacted(spark, str(tmp_path)).collect()
+    masked = {(r["origin"], r["record_id"]): (r["content"], r["n_secrets"]) for r in got}
+    assert len(got) == len(masked) == 13 and masked["file", 1] == ("password: ***********\n", 1)
+    want = ["a: 1", "password: ***********", block[0], "*" * 32, "*" * 32, block[3], None, "", "token: ************"]
+    assert [masked["blame", 100 + n] for n in range(9)] == list(zip(want, [0, 1, 1, 1, 1, 0, 0, 0, 1]))
+    assert masked["blame", 200] == ("password: ***********", 1) and masked["blame", 201] == ("api_key: ************", 1) and masked["blame", 202] == (block[1], 0)
+
+
 CODE = "import a\n" + "".join(f"def handler_{n}(value, other):\n    result = other.compute(value, {n * 7})\n    return result + {n}\n" for n in range(1, 12))
 
 
