@@ -22,9 +22,7 @@ from codeseam.session import durable, join_counted, small_side
 LINE_CHARS = 12
 #: Files need as many different lines to be judged as copies.
 MIN_LINES = 5
-#: A line is rare if it is in at most so many files, in files of one name only, or in a published file.
-RARE_FILES = 64
-#: Share of a file's rare lines that must name one owner for a look, and of all its lines that must be in the owner.
+#: Share of a file's lines that must name one owner for a look, and that must be in the owner.
 LOOK, COPIED = 0.3, 0.7
 
 
@@ -35,16 +33,15 @@ def line_hashes(text: Column) -> Column:
 
 
 def line_index(files: DataFrame, published: DataFrame) -> DataFrame:
-    """(id, repo, name, n, h): one row per file and line; ids of published files are below 0.
+    """(id, repo, n, h): one row per file and line; ids of published files are below 0.
 
     files: file_id, repo, rel_path, content. published: lib, rel_path, content. A file that occurs twice counts once.
     """
-    name = F.lower(F.regexp_extract(F.coalesce(F.col("rel_path"), F.lit("")), r"([^/\\]*)$", 1))
-    own = files.where("file_id is not null and content is not null").select(F.col("file_id").cast("long").alias("id"), F.hash(F.coalesce("repo", F.lit(""))).alias("repo"), F.hash(name).alias("name"), line_hashes(F.col("content")).alias("lines"))
+    own = files.where("file_id is not null and content is not null").select(F.col("file_id").cast("long").alias("id"), F.hash(F.coalesce("repo", F.lit(""))).alias("repo"), line_hashes(F.col("content")).alias("lines"))
     key = F.xxhash64("lib", "rel_path", "content").bitwiseOR(F.lit(-(1 << 63)))
-    theirs = published.where("content is not null").select(key.alias("id"), F.hash(F.lit("published"), "lib").alias("repo"), F.hash(name).alias("name"), line_hashes(F.col("content")).alias("lines"))
-    rows = own.unionByName(theirs).where(F.size("lines") >= MIN_LINES).select("id", "repo", "name", F.size("lines").alias("n"), F.explode("lines").alias("h"))
-    return rows.groupBy("id", "h").agg(F.min("repo").alias("repo"), F.min("name").alias("name"), F.min("n").alias("n"))
+    theirs = published.where("content is not null").select(key.alias("id"), F.hash(F.lit("published"), "lib").alias("repo"), line_hashes(F.col("content")).alias("lines"))
+    rows = own.unionByName(theirs).where(F.size("lines") >= MIN_LINES).select("id", "repo", F.size("lines").alias("n"), F.explode("lines").alias("h"))
+    return rows.groupBy("id", "h").agg(F.min("repo").alias("repo"), F.min("n").alias("n"))
 
 
 def copies(index: DataFrame) -> DataFrame:
@@ -54,9 +51,8 @@ def copies(index: DataFrame) -> DataFrame:
     """
     index = durable(index)
     hot_from = max(10_000, index.count() // 2000)
-    lines = index.groupBy("h").agg(F.min("id").alias("owner"), F.count("*").alias("files"), F.min("name").alias("a"), F.max("name").alias("b"))
-    rare = lines.where((F.col("files") > 1) & ((F.col("files") <= RARE_FILES) | (F.col("a") == F.col("b")) | (F.col("owner") < 0))).select("h", "owner", "files")
-    named = join_counted(index, rare, ["h"], "files", "id", hot_from).where("owner is not null and owner <> id")
+    lines = index.groupBy("h").agg(F.min("id").alias("owner"), F.count("*").alias("files"))
+    named = join_counted(index, lines.where("files > 1"), ["h"], "files", "id", hot_from).where("owner is not null and owner <> id")
     votes = named.groupBy("id", "n", "repo", "owner").agg(F.count("*").alias("votes"))
     best = votes.groupBy("id", "n", "repo").agg(F.max(F.struct("votes", (-F.col("owner")).alias("minus"))).alias("m"))
     look = durable(best.where(F.col("m.votes") >= LOOK * F.col("n")).select("id", "n", F.col("repo").alias("own_repo"), (-F.col("m.minus")).alias("owner")))

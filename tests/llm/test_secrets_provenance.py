@@ -132,3 +132,18 @@ def test_copies_against_brute_force(spark):
     configs = spark.createDataFrame([("repo1", ["out"]), ("repo1", None)], "repo string, skip_dirs array<string>")
     reasons = {r["file_id"]: r["reasons"] for r in provenance.not_handwritten(files, published, configs).collect()}
     assert {k for k, v in reasons.items() if "copied" in v} == set(got)
+
+
+def copied(spark, rows, published=()):
+    files = spark.createDataFrame(rows, "file_id long, repo string, rel_path string, content string")
+    theirs = spark.createDataFrame(list(published), "lib string, lib_version string, rel_path string, ext string, content string")
+    found = provenance.copies(provenance.line_index(files, theirs)).collect()
+    got = {r["id"]: r["containment"] for r in found}
+    assert len(got) == len(found)
+    return got
+
+
+def test_large_groups_of_copies(spark):
+    rows = [(n, f"repo{n % 5}", f"lib/x{n}.py", variant(1)) for n in range(90)]
+    rows += [(200 + n, f"repo{n % 3}", "lib/same.py" if n else "lib/other.py", variant(2)) for n in range(80)]
+    assert set(copied(spark, rows)) == {*range(90), *range(200, 280)}
