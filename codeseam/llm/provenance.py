@@ -1,9 +1,10 @@
 """Problem 4: source files that nobody wrote by hand: generated, minified, copied from outside, or data kept as code.
 
-Copies are found by an inverted index over hashes of lines. Each line names one owner, the published file or else the
-oldest file that has it; a file whose lines mostly name one owner is held against that owner line by line. So a copy
-with edits is found, and of a group of copies, however large, only links to the owner arise, never all pairs. What isn't
-a copy is judged by its head, its path and the composition of its tokens.
+Copies are found by an inverted index over hashes of lines. Each line names all published files that have it, and of our
+own the oldest; a file is held line by line against the owners that its lines name. So a copy with edits is found, and
+of a group of copies, however large, mostly links to the owner arise; only files that no such owner holds, though most of
+their lines are known, are held against all that share one of their rarest lines. What isn't a copy is judged by its
+head, its path and the composition of its tokens.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeseam.session import durable, join_counted, small_side
@@ -33,41 +34,84 @@ def line_hashes(text: Column) -> Column:
 
 
 def line_index(files: DataFrame, published: DataFrame) -> DataFrame:
-    """(id, repo, n, h): one row per file and line; ids of published files are below 0.
+    """(id, repo, n, whole, h): one row per file and line; ids of published files are below 0, whole is a hash of all lines.
 
     files: file_id, repo, rel_path, content. published: lib, rel_path, content. A file that occurs twice counts once.
     """
     own = files.where("file_id is not null and content is not null").select(F.col("file_id").cast("long").alias("id"), F.hash(F.coalesce("repo", F.lit(""))).alias("repo"), line_hashes(F.col("content")).alias("lines"))
     key = F.xxhash64("lib", "rel_path", "content").bitwiseOR(F.lit(-(1 << 63)))
     theirs = published.where("content is not null").select(key.alias("id"), F.hash(F.lit("published"), "lib").alias("repo"), line_hashes(F.col("content")).alias("lines"))
-    rows = own.unionByName(theirs).where(F.size("lines") >= MIN_LINES).select("id", "repo", F.size("lines").alias("n"), F.explode("lines").alias("h"))
-    return rows.groupBy("id", "h").agg(F.min("repo").alias("repo"), F.min("n").alias("n"))
+    rows = own.unionByName(theirs).where(F.size("lines") >= MIN_LINES).select("id", "repo", F.size("lines").alias("n"), F.xxhash64(F.array_sort("lines")).alias("whole"), F.explode("lines").alias("h"))
+    return rows.groupBy("id", "h").agg(F.min("repo").alias("repo"), F.min("n").alias("n"), F.min("whole").alias("whole"))
+
+
+def _contained(pairs: DataFrame, index: DataFrame, hot_from: int) -> DataFrame:
+    """Of the pairs (id, n, own_repo, owner) those with COPIED of the lines in the owner, with owner_repo and containment."""
+    pairs = durable(pairs)
+    # The lines of the owners, each with the number of files that are held against it.
+    owners = pairs.groupBy("owner").agg(F.count("*").alias("lookers"))
+    have = index.join(owners, index["id"] == owners["owner"]).select("owner", "h", "lookers", F.lit(1).alias("there"), index["repo"].alias("owner_repo"))
+    mine = index.select("id", "h").join(pairs, "id")
+    shared = join_counted(mine, have, ["owner", "h"], "lookers", "id", hot_from).where("there = 1")
+    held = shared.groupBy("id", "n", "own_repo", "owner", "owner_repo").agg(F.count("*").alias("shared")).withColumn("containment", F.col("shared") / F.col("n"))
+    return durable(held.where(F.col("containment") >= COPIED))
+
+
+def _foreign(contained: DataFrame) -> DataFrame:
+    """(owner, members) of the groups that lie in more than one repository."""
+    groups = contained.groupBy("owner").agg(F.min("own_repo").alias("a"), F.max("own_repo").alias("b"), F.min("owner_repo").alias("c"), F.count("*").alias("members"))
+    return groups.where((F.col("a") != F.col("b")) | (F.col("a") != F.col("c"))).select("owner", "members")
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    best = rows.groupBy("id").agg(F.max(F.struct("containment", (-F.col("owner")).alias("minus"))).alias("m"))
+    return best.select("id", (-F.col("m.minus")).alias("owner"), F.col("m.containment").alias("containment"))
 
 
 def copies(index: DataFrame) -> DataFrame:
     """(id, owner, containment) of the files that were copied: from a published file or between repositories.
 
-    The owner itself is among them if it is a file of ours; containment is the share of the file's lines in the owner.
+    The owner itself is among them if it is a file of ours; containment is the share of the file's lines in the owner, the
+    largest where several hold it. Every published file counts as an owner. Files that none of them holds are compared
+    with those of our files that own LOOK of their lines, and what is left with all that share one of its rarest lines.
     """
     index = durable(index)
     hot_from = max(10_000, index.count() // 2000)
-    lines = index.groupBy("h").agg(F.min("id").alias("owner"), F.count("*").alias("files"))
-    named = join_counted(index, lines.where("files > 1"), ["h"], "files", "id", hot_from).where("owner is not null and owner <> id")
-    votes = named.groupBy("id", "n", "repo", "owner").agg(F.count("*").alias("votes"))
-    best = votes.groupBy("id", "n", "repo").agg(F.max(F.struct("votes", (-F.col("owner")).alias("minus"))).alias("m"))
-    look = durable(best.where(F.col("m.votes") >= LOOK * F.col("n")).select("id", "n", F.col("repo").alias("own_repo"), (-F.col("m.minus")).alias("owner")))
-    # The lines of the owners, each with the number of files that are held against it.
-    owners = look.groupBy("owner").agg(F.count("*").alias("lookers"))
-    have = index.join(owners, index["id"] == owners["owner"]).select("owner", "h", "lookers", F.lit(1).alias("there"), index["repo"].alias("owner_repo"))
-    mine = index.select("id", "h").join(look, "id")
-    shared = join_counted(mine, have, ["owner", "h"], "lookers", "id", hot_from).where("there = 1")
-    contained = shared.groupBy("id", "n", "own_repo", "owner", "owner_repo").agg(F.count("*").alias("shared")).withColumn("containment", F.col("shared") / F.col("n")).where(F.col("containment") >= COPIED)
-    contained = durable(contained)
-    groups = contained.groupBy("owner").agg(F.min("own_repo").alias("a"), F.max("own_repo").alias("b"), F.min("owner_repo").alias("c"), F.count("*").alias("members"))
-    foreign = groups.where((F.col("a") != F.col("b")) | (F.col("a") != F.col("c"))).select("owner", "members", F.lit(True).alias("foreign"))
-    members = join_counted(contained.select("id", "owner", "containment"), foreign, ["owner"], "members", "id", hot_from).where("foreign").select("id", "owner", "containment")
-    originals = foreign.where("owner >= 0").select(F.col("owner").alias("id"), "owner", F.lit(1.0).alias("containment"))
-    return members.where("id >= 0").unionByName(originals)
+    own = index.where("id >= 0")
+    counts = own.groupBy("h").agg(F.count("*").alias("files"))
+    theirs = index.where("id < 0").groupBy("h").agg(F.collect_list("id").alias("owners")).join(counts, "h")
+    named = join_counted(own.select("id", "n", "h"), theirs, ["h"], "files", "id", hot_from).select("id", "n", F.explode("owners").alias("owner"))
+    shared = named.groupBy("id", "n", "owner").agg(F.count("*").alias("shared")).withColumn("containment", F.col("shared") / F.col("n"))
+    direct = durable(_largest(shared.where(F.col("containment") >= COPIED)))
+
+    # Files of one repository with the same lines are one: the smallest id stands for them.
+    same = own.groupBy("id").agg(F.min("repo").alias("repo"), F.min("whole").alias("whole"))
+    stands = same.groupBy("repo", "whole").agg(F.min("id").alias("one"), F.count("*").alias("members"))
+    same = durable(join_counted(same, stands, ["repo", "whole"], "members", "id", hot_from).select("id", "one"))
+    own = durable(own.drop("whole").join(same.where("id = one").select("id"), "id", "left_semi"))
+    lines = own.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("files")).where("files > 1").withColumn("held", F.col("files"))
+    held = join_counted(own, lines, ["h"], "files", "id", hot_from).where("held is not null")
+    able = held.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= COPIED * F.col("n")).join(direct.select("id"), "id", "left_anti").select("id", "k")
+    held = durable(held.join(able, "id"))
+    votes = held.where("first <> id").groupBy("id", "n", F.col("repo").alias("own_repo"), F.col("first").alias("owner")).agg(F.count("*").alias("votes"))
+    contained = _contained(votes.where(F.col("votes") >= LOOK * F.col("n")).drop("votes"), own, hot_from)
+    foreign = _foreign(contained)
+    known = contained.join(foreign, "owner", "left_semi").select("id").union(foreign.select(F.col("owner").alias("id"))).distinct()
+    # An owner lacks n - ceil(0.7 n) lines at most, so it has one of the file's rarest lines, one more than these.
+    spare = F.col("n") - F.ceil(COPIED * F.col("n") - 1e-9) + 1 - (F.col("n") - F.col("k"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("held", "h"))
+    rarest = held.join(known, "id", "left_anti").withColumn("nth", nth).where(F.col("nth") <= spare).select("h", "id", "n", F.col("repo").alias("own_repo"))
+    others = small_side(durable(rarest)).join(own.select("h", F.col("id").alias("owner")), "h").where("owner <> id")
+    contained = contained.unionByName(_contained(others.select("id", "n", "own_repo", "owner").distinct(), own, hot_from)).distinct()
+    foreign = _foreign(contained).withColumn("foreign", F.lit(True))
+    members = join_counted(contained.select("id", "owner", "containment"), foreign, ["owner"], "members", "id", hot_from).where("foreign")
+    members = durable(_largest(members).unionByName(direct))
+    originals = foreign.select(F.col("owner").alias("id"), "owner", F.lit(1.0).alias("containment")).join(members, "id", "left_anti")
+    found = members.unionByName(originals)
+    each = same.groupBy("one").agg(F.count("*").alias("members"))
+    found = found.join(each, found["id"] == each["one"]).select("one", "owner", "containment", "members")  # direct ones find themselves below
+    mates = join_counted(same, found, ["one"], "members", "id", hot_from).where("owner is not null").select("id", "owner", "containment")
+    return mates
 
 
 # --- files by themselves ----------------------------------------------------------------------------------------------

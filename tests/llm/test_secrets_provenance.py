@@ -147,3 +147,17 @@ def test_large_groups_of_copies(spark):
     rows = [(n, f"repo{n % 5}", f"lib/x{n}.py", variant(1)) for n in range(90)]
     rows += [(200 + n, f"repo{n % 3}", "lib/same.py" if n else "lib/other.py", variant(2)) for n in range(80)]
     assert set(copied(spark, rows)) == {*range(90), *range(200, 280)}
+
+
+def test_every_owner_is_compared(spark):
+    line = lambda kind, n: f"{kind}_{n} = compute(step_{n}, other)\n"
+    old = "".join(line("a", n) for n in range(60)) + "".join(line("b", n) for n in range(40))
+    new = "".join(line("a", n) for n in range(60)) + "".join(line("c", n) for n in range(40))
+    published = [("lib", "1", "x.py", "py", old), ("lib", "2", "x.py", "py", new)]
+    assert copied(spark, [(1, "r", "p.py", old), (2, "r", "q.py", new)], published) == {1: 1.0, 2: 1.0}
+    # Edited copies of a file of ours that has not the smallest id: 0.8 of each is in it, 0.6 in one another.
+    edited = [(n, f"repo{n % 3}", f"e{n}.py", "".join(line(f"edit{n}" if k % 10 in (n, n + 5) else "a", k) for k in range(100))) for n in range(5)]
+    got = copied(spark, [*edited, (9, "repo9", "o.py", "".join(line("a", k) for k in range(100)))])
+    assert got.keys() == {0, 1, 2, 3, 4, 9} and all(got[n] == 0.8 for n in range(1, 5))
+    twins = [(n, "repo1", f"t{n}.py", variant(7)) for n in range(4)]
+    assert copied(spark, twins) == {} and copied(spark, [*twins, (8, "repo2", "u.py", variant(7, 3))]).keys() == {0, 1, 2, 3, 8}
