@@ -154,14 +154,14 @@ _LOGIN_SAID = re.compile(r"\b(?:login|logon|credentials?|account|zugang|user)\b[
 #: What lines with the name of a secret, or a phrase about one, have in them.
 _HINT_WORDS = ("pass", "pwd", "pw", "secret", "token", "key", "kennwort", "passwort", "mot", "contrase", "clave", "senha", "parola", "wachtwoord", "credential", "login", "auth", "pin", "bearer", "basic ")
 _HINT = re.compile("|".join(_HINT_WORDS), re.I)
-_NAME_BEFORE_QUOTE = re.compile(r"(?<![\w$])([^\W\d][\w.\-]*)[\"'`]?\]?\s*(?::=|=>|==?|:|,|\()?\s*(?:[rbfu]{1,2}(?=[\"'`]))?(\"\"\"|'''|[\"'`])")
+#: The whole run of name characters, once: what follows it is the same wherever in the run the name begins.
+_NAME_BEFORE_QUOTE = re.compile(r"(?<![\w.\-])([\w.\-]++)[\"'`]?\]?\s*+(?:(?::=|=>|==?|:|,|\()\s*+)?(?:[rbfu]{1,2}(?=[\"'`]))?(\"\"\"|\'\'\'|[\"'`])")
+_NAME_IN_RUN = re.compile(r"(?:^|(?<=[.\-]))[^\W\d].*", re.S)
 _CONTINUED = re.compile(r"\s*(?:\+|\.\.?|<>|\\)\s*([\"'`])([^\"'`\n]*)\1")
 _ELEMENT = re.compile(r"<([^\W\d][\w.\-]*)(?:\s[^<>]*)?>\s*([^<>\s]+)\s*</\1>")
 _ATTRIBUTES = re.compile(r"(?:key|name|id)\s*[=:]\s*[\"']([^\"'\n]+)[\"'][\s,]+[\"']?(?:value|val|content)[\"']?\s*[=:]\s*[\"']([^\"'\n]+)[\"']", re.I)
 _PLAIN = re.compile(r"^[ \t]*(?:(?:export|set|setx|env|arg|declare -x)[ \t]+|-[ \t]+|(?:#|//|;|--)[ \t]*)?[\"']?([^\W\d][\w.\-]*)[\"']?[ \t]*(?:=|:[ \t]|:(?=\S))[ \t]*([^\s\"'`][^\s]*)[ \t]*(?:#.*)?$", re.I)
 _BLOCK = re.compile(r"^[ \t]*(?:-[ \t]+)?[\"']?([^\W\d][\w.\-]*)[\"']?[ \t]*:[ \t]*[|>][+-]?[ \t]*\r?\n[ \t]+([^\s\"'`]+)[ \t]*$", re.M)
-#: Reaches this far around a hint on lines longer than twice that.
-_REACH = 2000
 
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{24,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
@@ -170,10 +170,9 @@ _LITERAL_ENDS = frozenset(" \t\r\n\"'`<>\x00")
 _ESCAPES = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){4,}(?:[^\s\"'`\\]*(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}))*")
 
 
-def _quoted(text: str, at: int, mark: str) -> int:
+def _quoted(text: str, at: int, mark: str, line_end: int) -> int:
     """The end of the literal that begins at `at`; -1 if it doesn't end (on its line, but for triple quotes and `)."""
-    stop = len(text) if len(mark) == 3 or mark == "`" else text.find("\n", at)
-    stop = len(text) if stop < 0 else stop
+    stop = len(text) if len(mark) == 3 or mark == "`" else line_end
     while True:
         end = text.find(mark, at, stop)
         if end < 0:
@@ -189,9 +188,10 @@ def _quoted(text: str, at: int, mark: str) -> int:
 def _keyed(text: str, lo: int, hi: int, plain: bool) -> Iterator[Secret]:
     """Secrets by the name of what holds them, and those that comments give away, within text[lo:hi] (a line)."""
     for m in _NAME_BEFORE_QUOTE.finditer(text, lo, hi):
-        if not names_secret(m[1]):
+        name = _NAME_IN_RUN.search(m[1], 1 if text[m.start() - 1 : m.start()] == "$" else 0)
+        if not name or not names_secret(name[0]):
             continue
-        start, end = m.end(), _quoted(text, m.end(), m[2])
+        start, end = m.end(), _quoted(text, m.end(), m[2], hi)
         if end < 0:
             continue
         spans, value, rest = [(start, end)], text[start:end], end + len(m[2])
@@ -241,7 +241,7 @@ def _hints(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _lines_with_hints(text: str) -> Iterator[tuple[int, int]]:
-    """The lines around hints; of very long lines the reach around each hint."""
+    """The lines around hints, however long."""
     done = 0
     for start, end in _hints(text):
         if end <= done:
@@ -249,9 +249,7 @@ def _lines_with_hints(text: str) -> Iterator[tuple[int, int]]:
         lo = text.rfind("\n", 0, start) + 1
         hi = text.find("\n", end)
         hi = len(text) if hi < 0 else hi
-        if hi - lo > 2 * _REACH:
-            lo, hi = max(lo, start - _REACH, done), min(hi, end + _REACH)
-        yield max(lo, done), hi
+        yield lo, hi
         done = hi
 
 
@@ -317,9 +315,9 @@ def _plain_finds(text: str, plain: bool) -> Iterator[Secret]:
         yield from _links(text)
     for lo, hi in _lines_with_hints(text):
         yield from _keyed(text, lo, hi, plain)
-        if "=" in text[lo:hi]:
+        if "=" in (line := text[lo:hi]) and ";" in line:
             for m in _DSN_PART.finditer(text, lo, hi):
-                if ";" in text[lo:hi] and len(m[1]) >= 4 and not re.search(r"[(){}\[\]]|::", m[1]) and not _PLACEHOLDER.search(m[1]) and not _repeats(m[1]):
+                if len(m[1]) >= 4 and not re.search(r"[(){}\[\]]|::", m[1]) and not _PLACEHOLDER.search(m[1]) and not _repeats(m[1]):
                     yield Secret("connection", m.start(1), (m.span(1),))
     if plain and ("|" in text or ">" in text):
         for m in _BLOCK.finditer(text):

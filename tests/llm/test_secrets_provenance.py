@@ -88,6 +88,16 @@ def test_blamed_lines_are_redacted(spark, tmp_path):
     assert masked["blame", 200] == ("password: ***********", 1) and masked["blame", 201] == ("api_key: ************", 1) and masked["blame", 202] == (block[1], 0)
 
 
+def test_secrets_on_long_lines():
+    pairs = [f'db_password="S@ddl3#{1000 + n}x"' for n in range(4000)]
+    for sep in (",", ", pad: 1234567, "):
+        assert len(secrets.find_secrets(sep.join(pairs), False)) == 4000
+    element = f'<db_password note="{"n " * 3000}">Ember-49-Mosaic</db_password>'
+    assert len(secrets.find_secrets("<a>" + element * 50 + "</a>", False)) == 50
+    assert [s.opens for s in secrets.find_secrets("a-" * 200_000 + 'password="S@ddl3#1785"', False)] == [400_010]
+    assert secrets.find_secrets('x = $password"S@ddl3#1785"', False) == []
+
+
 CODE = "import a\n" + "".join(f"def handler_{n}(value, other):\n    result = other.compute(value, {n * 7})\n    return result + {n}\n" for n in range(1, 12))
 
 
