@@ -166,6 +166,12 @@ _BLOCK = re.compile(r"^[ \t]*(?:-[ \t]+)?[\"']?([^\W\d][\w.\-]*)[\"']?[ \t]*:[ \
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{24,}={0,2}")
 _HEX = re.compile(r"(?:[0-9a-fA-F]{2}){16,}")
 _PERCENT = re.compile(r"(?:%[0-9a-fA-F]{2}[^\s\"'`<>%]*){3,}")
+#: What stands between the pieces of a wrapped literal: a line end, quotes with or without a sign that joins, an escaped line end.
+_WRAP = re.compile(
+    r"(?:(?:\\r)?(?:\\n)?\\?[ \t]*\r?\n[ \t]*(?:(?://|[#*;]|--?)[ \t]+)?|(?:(?:\\r)?\\n)?[\"'`][ \t]*(?:\.\.|<>|[+.,&\\])?[ \t]*(?:\\?\r?\n[ \t]*)?(?:[+.&,][ \t]*)?[rbfu]{0,2}[\"'`]|(?:\\r)?\\n)"
+)
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]++")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?([A-Za-z0-9+/_-]{{16,}}+(?:{_WRAP.pattern}{_PIECE.pattern}(?=={{0,2}}(?:[\s\"'`\\,;)\]}}<]|\Z)))+)")
 _LITERAL_ENDS = frozenset(" \t\r\n\"'`<>\x00")
 _ESCAPES = re.compile(r"(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){4,}(?:[^\s\"'`\\]*(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}))*")
 
@@ -431,6 +437,56 @@ def _layers(text: str) -> Iterator[tuple[int, int, bytes]]:
                 pass
 
 
+def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Pieces of base64 or hex that may be one literal: those of one width with the shorter last one, and all that are joined."""
+    for m in _WRAPPED.finditer(text):
+        pieces, at = [], m.start(1)
+        while at < m.end(1):
+            piece = _PIECE.match(text, at)
+            pieces.append(piece.span())
+            at = _WRAP.match(text, piece.end()).end() if piece.end() < m.end(1) else m.end(1)
+        width = [b - a for a, b in pieces]
+        groups, first = [], 0
+        for n in range(1, len(pieces) + 1):
+            if n == len(pieces) or width[n] > width[first] or width[n - 1] < width[first]:
+                groups.append((first, n))
+                first = n
+        groups += [(a, b - 1) for a, b in groups if width[b - 1] < width[a]] + [(0, len(pieces))]
+        yield from (pieces[a:b] for a, b in dict.fromkeys(groups) if b - a > 1)
+
+
+def _in_wrapped(text: str, pieces: list[tuple[int, int]], depth: int) -> Iterator[Secret]:
+    """Secrets of a wrapped literal: a key container masks all pieces, a find in its text those that hold it."""
+    word = "".join(text[a:b] for a, b in pieces)
+    if word.islower() and not any(c.isdigit() for c in word):
+        return
+    ends, at = [], 0
+    for a, b in pieces:
+        at += b - a
+        ends.append(at)
+    decoded = [(_unbase64(word), 4, 3)]
+    if len(word) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", word):
+        decoded.append((bytes.fromhex(word), 2, 1))
+    for data, chars, size in decoded:
+        if data and (kind := key_container(data)):
+            yield Secret(kind, pieces[0][0], tuple(pieces))
+        elif inner := _text_of(data):
+            ranges: list[list[int]] = []
+            for s in find_secrets(inner, True, depth - 1):
+                lo, hi = s.opens, max([s.opens + 1, *(b for _, b in s.spans)])
+                lo, hi = (len(inner[:k].encode()) * chars for k in (lo, hi))
+                i, k = bisect_right(ends, lo // size), min(bisect_right(ends, (hi - 1) // size), len(pieces) - 1)
+                if ranges and i == ranges[-1][0]:
+                    ranges[-1][1] = max(ranges[-1][1], k)
+                elif ranges and i <= ranges[-1][1]:
+                    k = max(k, ranges[-1][1])
+                    ranges[-1][1] = i - 1
+                    ranges.append([i, k])
+                else:
+                    ranges.append([i, k])
+            yield from (Secret("encoded", pieces[i][0], tuple(pieces[i : k + 1])) for i, k in ranges)
+
+
 def find_secrets(text: str | None, plain: bool = True, depth: int = DEPTH) -> list[Secret]:
     """The secrets of a text, in the order in which they open, none inside another; none for null and empty texts.
 
@@ -445,6 +501,8 @@ def find_secrets(text: str | None, plain: bool = True, depth: int = DEPTH) -> li
             inner = _text_of(data) if not kind else None
             if kind or (inner and inner != text[start:end] and find_secrets(inner, True, depth - 1)):
                 found.append(Secret(kind or "encoded", start, ((start, end),)))
+        for pieces in _wrapped(text):
+            found += _in_wrapped(text, pieces, depth)
     out: list[Secret] = []
     taken = -1
     for s in sorted(found, key=lambda s: (s.opens, -max([b for _, b in s.spans], default=s.opens))):

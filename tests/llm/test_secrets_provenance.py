@@ -88,6 +88,24 @@ def test_blamed_lines_are_redacted(spark, tmp_path):
     assert masked["blame", 200] == ("password: ***********", 1) and masked["blame", 201] == ("api_key: ************", 1) and masked["blame", 202] == (block[1], 0)
 
 
+def test_wrapped_layers():
+    oid = der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01")
+    pkcs8 = der(0x30, der(0x02, b"\x00"), der(0x30, oid, der(0x05)), der(0x04, b"\x30\x82" + bytes(range(200))))
+    openssh = b"openssh-key-v1\x00" + bytes(range(150))
+    note = b'notes of the day, nothing here ' + b'db_password = "S@ddl3#1785-long-enough"'
+    for data, kind in ((pkcs8, "pkcs8"), (openssh, "openssh"), (note, "encoded")):
+        for word, width in ((base64.b64encode(data).decode(), 64), (base64.b64encode(data).decode(), 76), (data.hex(), 60)):
+            lines = [word[n : n + width] for n in range(0, len(word), width)]
+            for text in ("\n".join(lines) + "\n", "k: >\n  " + "\n  ".join(lines) + "\nother: 1\n", 'k = "' + '" +\n  "'.join(lines) + '";', 'k = ("' + '"\n "'.join(lines) + '")', 'k = "' + "\\n".join(lines) + '"', "# " + "\r\n# ".join(lines)):
+                found = secrets.find_secrets(text)
+                assert [s.kind for s in found] == [kind], text
+                masked = secrets.redact(text, found)
+                assert len(masked) == len(text) and not secrets.find_secrets(masked)
+                assert kind == "encoded" or not any(x.rstrip("=") in masked for x in lines)
+    apart = [base64.b64encode(f'db_password = "S@ddl3#{n}-long"'.encode()).decode() for n in range(1700, 1703)]
+    assert len(secrets.find_secrets("[" + ",\n".join(f'"{x}"' for x in apart) + "]")) == 3
+
+
 def test_secrets_on_long_lines():
     pairs = [f'db_password="S@ddl3#{1000 + n}x"' for n in range(4000)]
     for sep in (",", ", pad: 1234567, "):
