@@ -188,11 +188,11 @@ def search_modules(modules: DataFrame, query: str, limit: int, compat: bool = Fa
     return scored.select("id", "name", "file_count", F.round(F.col("s") + 2 * F.log2(F.col("file_count") + 1.0), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def name_rank(files: DataFrame, word: str, limit: int) -> DataFrame:
-    """(repo, path, score) by the exact and leading name alone, in built-in expressions."""
+def name_rank(files: DataFrame, word: str, limit: int | None) -> DataFrame:
+    """(repo, path, score) by the exact and leading name alone, in built-in expressions; all in no order if limit is None."""
     low = word.lower()
     name = F.lower("filename")
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     score = F.when((stem == low) | (name == low), EXACT).when(stem.startswith(low) & (F.lit(len(low)) >= PREFIX_FROM), PREFIX + PREFIX_SHARE * len(low) / F.length(stem))
     rows = files.select("repo", "path", F.round(score, 6).alias("score")).where("score is not null")
-    return rows.orderBy(F.desc("score"), "repo", "path").limit(limit)
+    return rows if limit is None else rows.orderBy(F.desc("score"), "repo", "path").limit(limit)

@@ -107,8 +107,8 @@ def matching_lines(files: DataFrame, query: str, mode: str) -> DataFrame:
     return rows.dropDuplicates(["file_id"]).where(F.size("hits") > 0)
 
 
-def grep(files: DataFrame, query: str, mode: str = "all", limit: int = 50) -> DataFrame:
-    """(repo, path, match_count, first_line, terms_matched, score), the best `limit` files; ties in the order of repo and path."""
+def grep(files: DataFrame, query: str, mode: str = "all", limit: int | None = 50) -> DataFrame:
+    """(repo, path, match_count, first_line, terms_matched, score), the best `limit` files, all in no order if None; ties in the order of repo and path."""
     if len(terms_of(query)) < 2 and mode == "all":
         mode = "any"
     terms = terms_of(query)
@@ -118,7 +118,7 @@ def grep(files: DataFrame, query: str, mode: str = "all", limit: int = 50) -> Da
     scored = rows.crossJoin(F.broadcast(term_weights(files, terms)))  # one row
     score = relevance(F.col("match_count"), F.col("n_lines"), F.col("filename"), F.col("ext"), terms, F.col("terms_matched"), F.col("first_line"), F.col("idfs"))
     out = scored.select("repo", "path", "match_count", "first_line", "terms_matched", F.round(score, 6).alias("score"))
-    return out.orderBy(F.desc("score"), "repo", "path").limit(limit)
+    return out if limit is None else out.orderBy(F.desc("score"), "repo", "path").limit(limit)
 
 
 def first_matches(files: DataFrame, query: str, mode: str, per_file: int, width: int = 200) -> DataFrame:

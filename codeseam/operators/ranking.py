@@ -42,11 +42,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(chunks: DataFrame, query: DataFrame, limit: int, at_least: float | None = MIN_COSINE) -> DataFrame:
-    """(file_path, start_line, cosine) of the chunks most like the one query vector (a row with `query`), in unit length."""
+def nearest(chunks: DataFrame, query: DataFrame, limit: int | None, at_least: float | None = MIN_COSINE) -> DataFrame:
+    """(file_path, start_line, cosine) of the chunks most like the one query vector (a row with `query`), in unit length; all in no order if limit is None."""
     scored = chunks.crossJoin(F.broadcast(query.select("query").limit(1))).select("file_path", "start_line", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("cosine"))  # one row
     scored = scored if at_least is None else scored.where(F.col("cosine") >= at_least)
-    return scored.orderBy(F.desc("cosine"), "file_path", "start_line").limit(limit)
+    return scored if limit is None else scored.orderBy(F.desc("cosine"), "file_path", "start_line").limit(limit)
 
 
 def adjusted(cosine: Column, path: Column, terms: list[str]) -> Column:

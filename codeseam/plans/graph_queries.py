@@ -33,7 +33,7 @@ def fuzzy_module_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_find(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.find(fuzzy.name_rank(corpus.files(spark, d), WORD, 100_000), G.grep(corpus.file_rows(spark, d), TERMS, "any", 100_000), 2, 60)
+    return ranking.find(fuzzy.name_rank(corpus.files(spark, d), WORD, None), G.grep(corpus.file_rows(spark, d), TERMS, "any", None), 2, 60)
 
 
 def hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.nearest(corpus.chunks(spark, d), _query(spark, d, 7), 100_000)
+    return ranking.nearest(corpus.chunks(spark, d), _query(spark, d, 7), None)
 
 
 def vector_rerank(spark: SparkSession, d: str) -> DataFrame:

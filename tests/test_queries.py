@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -26,3 +27,10 @@ def test_query(spark, duck, name):
 def test_name_filters_reach_the_scan(spark):
     plan = registry.queries()["hot_files"](spark, oracle.DATA)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in plan
+
+
+@pytest.mark.parametrize(("name", "limits"), [("vector_threshold", ["1"]), ("hybrid_find", ["60"])])
+def test_inputs_have_no_row_cap(spark, name, limits):
+    """One limit is left: the query vector's single row, the best 60 of the fused list."""
+    plan = registry.queries()[name](spark, oracle.DATA)._jdf.queryExecution().analyzed().toString()
+    assert re.findall(r"GlobalLimit (\d+)", plan) == limits
