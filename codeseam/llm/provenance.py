@@ -138,12 +138,30 @@ _WORD = re.compile(r"\w+")
 _LITERAL = re.compile(r"([\"'`])([^\"'`\s]{48,})\1")
 _TOKENS = re.compile(r"[A-Za-z_]\w*|[-+]?(?:0x[0-9a-fA-F]+|\d[\d.]*(?:[eE][-+]?\d+)?)")
 _HEAD_LINES = 12
+#: How comments over several lines open and close; all lines of the plain ones are comments.
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"))
+_PLAIN_BLOCKS = ("*/", "-->")
 
 
 def _head(text: str) -> str:
-    """The comments among the first lines, and a marker that may stand on the second line of a block."""
-    lines = text[:4000].splitlines()[:_HEAD_LINES]
-    return "\n".join(x for x in lines if _COMMENT.match(x))
+    """The comments before the first line of code, however many, and those among the first lines."""
+    head, close, at, n = [], None, 0, 0
+    leading = True
+    while at < len(text) and (leading or n < _HEAD_LINES and at < 4000):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end].rstrip("\r") if leading else text[at : min(end, 4000)].rstrip("\r")
+        opened = next((c for o, c in _BLOCKS if line.lstrip().startswith(o)), None) if leading and not close else None
+        if _COMMENT.match(line) or leading and close in _PLAIN_BLOCKS:
+            head.append(line)
+        elif leading and not close and line.strip() and not (n == 0 and line.startswith(("#!", "<?"))):
+            leading = False
+        if close and close in line or opened and opened in line.lstrip()[len(opened) :]:
+            close = None
+        elif opened:
+            close = opened
+        at, n = end + 1, n + 1
+    return "\n".join(head)
 
 
 def _template(line: str) -> str:

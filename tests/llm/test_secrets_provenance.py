@@ -189,3 +189,10 @@ def test_every_owner_is_compared(spark):
     assert got.keys() == {0, 1, 2, 3, 4, 9} and all(got[n] == 0.8 for n in range(1, 5))
     twins = [(n, "repo1", f"t{n}.py", variant(7)) for n in range(4)]
     assert copied(spark, twins) == {} and copied(spark, [*twins, (8, "repo2", "u.py", variant(7, 3))]).keys() == {0, 1, 2, 3, 8}
+
+
+def test_markers_after_a_long_licence():
+    licence = [f"Permission {n} is granted to any person who has a copy of these {'words ' * 18}" for n in range(40)]
+    for text in ("// " + "\n// ".join(licence) + "\n\n// Code generated by x. DO NOT EDIT.\n", "/*\n" + "\n".join(licence) + "\nCode generated by x. DO NOT EDIT.\n*/\n"):
+        assert provenance.made_by_tool("a/b.go", text + CODE) == "marker"
+    assert provenance.made_by_tool("a/b.py", "# " + "\n# ".join(licence) + "\n" + CODE + "# Code generated by x. DO NOT EDIT.\n") is None
