@@ -2,8 +2,9 @@
 
 Each score is ranked on its own, so that its scale and outliers don't matter, and an item gets the sum of 1 / (k + rank).
 
-No task ever holds a whole group: equal values are counted first (ties collapse map-side), distinct values fall into
-order-preserving buckets, and a value's rank is the count in the higher buckets plus the count above it in its own bucket.
+Groups are counted first. Those of ordinary size meet in one shuffle by group: copies, ranks, sum and position all use it.
+A group of more than HOT_ITEMS rows (and 1/20000 of all rows) never meets in one task: equal values are counted first,
+ranks and positions come from running counts over range partitions, which sampling keeps even whatever the values are.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeseam.session import join_counted, salt
+from codeseam.session import durable, join_counted, parts_for, small_side
 
 #: The usual constant of reciprocal rank fusion.
 RRF_K = 60
-#: Buckets for each doubling of a value.
-PER_OCTAVE = 1024
+#: Groups with more rows are spread over all tasks.
+HOT_ITEMS = 200_000
+#: Rows of a range partition of a spread group.
+RANGE_ROWS = 200_000
 #: Equal values with more rows than this and than 1/500 of all items are joined by broadcast (at most 2000 of them).
 HOT_ROWS = 20_000
 
@@ -26,65 +29,114 @@ HOT_ROWS = 20_000
 def usable(score: Column) -> Column:
     """The score as double; null where it wasn't computed (null, NaN, 0 or below)."""
     v = score.cast("double")
-    return F.when(v.isNotNull() & ~F.isnan(v) & (v > 0), F.least(v, F.lit(1e300)))
+    return F.when(v.isNotNull() & ~F.isnan(v) & (v > 0), v)
 
 
-def _bucket(value: Column) -> Column:
-    return F.floor(F.log2(value) * PER_OCTAVE).cast("long")
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], weight: str, out: str, part_rows: int = RANGE_ROWS) -> DataFrame:
+    """df with `out`: the sum of `weight` over the rows before this one in its group (keys), by order (column, descending).
 
-
-def competition_ranks(values: DataFrame, keys: Sequence[str], value: str, weight: str, ascending: bool = False) -> DataFrame:
-    """keys, value -> rank, where values has one row per (keys, value), value > 0, and weight is its number of items.
-
-    Rank is 1 + the number of items with a better value, as SQL's rank().
+    Rows are unique by keys and order. They are dealt out by range, counted by partition and group, and summed within;
+    so a group is cut wherever it has to be, and no task holds more of it than a partition.
     """
-    b, n, base, order = "__bucket", "__n", "__base", (lambda c: c.asc()) if ascending else (lambda c: c.desc())
-    counted = values.select(*keys, value, F.col(weight).alias(n)).withColumn(b, _bucket(F.col(value)))
-    above = Window.partitionBy(*keys).orderBy(order(F.col(b))).rowsBetween(Window.unboundedPreceding, -1)
-    bases = counted.groupBy(*keys, b).agg(F.sum(n).alias("__bn")).select(*keys, b, F.coalesce(F.sum("__bn").over(above), F.lit(0)).alias(base))
-    within = Window.partitionBy(*keys, b).orderBy(order(F.col(value))).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.join(bases, [*keys, b]).select(*keys, value, F.col(n).alias("__weight"), (1 + F.col(base) + F.coalesce(F.sum(n).over(within), F.lit(0))).alias("rank"))
+    by = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
+    kept = durable(df)
+    placed = kept.repartitionByRange(parts_for(kept.count(), part_rows), *keys, *by)
+    placed = durable(placed.withColumn("__part", F.spark_partition_id()))  # the partition of a row is fixed from here on
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy(*keys, "__part").agg(F.sum(weight).alias("__sum"))
+    base = sums.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    within = Window.partitionBy(*keys, "__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.join(small_side(base), [*keys, "__part"])
+    return rows.withColumn(out, F.col("__base") + F.coalesce(F.sum(weight).over(within), F.lit(0))).drop("__part", "__base")
+
+
+def _by_size(df: DataFrame, group: str, hot_items: int) -> tuple[DataFrame, DataFrame | None]:
+    """df's rows of the groups of ordinary size, and those of the large ones (None if there is none)."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    rows, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    bound = max(hot_items, rows // 20_000)
+    if largest <= bound:
+        return df, None
+    hot = F.broadcast(durable(sizes.where(F.col("n") > bound).select(group)))  # fewer than 20 000 rows, as they share all rows
+    return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
+
+
+def _total(ranks: Sequence[Column], k: int) -> Column:
+    """The sum of 1 / (k + rank), rounded to 12 digits so that it doesn't depend on the order of the sum; nulls add nothing."""
+    parts = [F.coalesce(1 / (F.lit(float(k)) + r), F.lit(0.0)) for r in ranks]
+    return F.round(sum(parts[1:], parts[0]), 12)
+
+
+def _fuse_meeting(rows: DataFrame, n_scores: int, k: int) -> DataFrame:
+    """(g, i, fused) of groups that fit into a task: one shuffle by g."""
+    items = rows.repartition("g").groupBy("g", "i").agg(*(F.max(f"s{n}").alias(f"s{n}") for n in range(n_scores)))
+    place = lambda s: F.when(F.col(s).isNotNull(), F.rank().over(Window.partitionBy("g").orderBy(F.col(s).desc_nulls_last())))
+    return items.select("g", "i", _total([place(f"s{n}") for n in range(n_scores)], k).alias("fused"))
+
+
+def _fuse_spread(rows: DataFrame, n_scores: int, k: int) -> DataFrame:
+    """As _fuse_meeting, for groups of any size."""
+    items = durable(rows.groupBy("g", "i").agg(*(F.max(f"s{n}").alias(f"s{n}") for n in range(n_scores))))
+    unpivot = f"stack({n_scores}, {', '.join(f'{n}, s{n}' for n in range(n_scores))}) as (kind, value)"
+    long = items.select("g", "i", F.expr(unpivot)).where("value is not null")
+    counts = long.groupBy("g", "kind", "value").agg(F.count("*").alias("n"))
+    ranks = running(counts, ["g", "kind"], [("value", True)], "n", "above")
+    hot_from = max(HOT_ROWS, items.count() // 500)  # of the n_scores rows that an item has at most, one in 2000
+    ranked = join_counted(long, ranks, ["g", "kind", "value"], "n", "i", hot_from)
+    ranked = ranked.groupBy("g", "i").pivot("kind", list(range(n_scores))).agg(F.max(F.col("above") + 1))
+    total = _total([F.col(f"`{n}`") for n in range(n_scores)], k)
+    return items.select("g", "i").join(ranked, ["g", "i"], "left").select("g", "i", total.alias("fused"))
+
+
+def _scored(df: DataFrame, group: str, item: str, scores: Sequence[str]) -> DataFrame:
+    items = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *(usable(F.col(s)).alias(f"s{n}") for n, s in enumerate(scores)))
+    return items.where("g is not null and i is not null")
 
 
-def fuse(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int = RRF_K) -> DataFrame:
+def fuse(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int = RRF_K, hot_items: int = HOT_ITEMS) -> DataFrame:
     """(group, item, fused): the reciprocal rank fusion of the scores within each group.
 
     A score that is null, NaN, 0 or negative contributes nothing; an item without any usable score gets 0. Equal values
-    share the best rank. An item delivered several times counts once (per score its largest usable value). Rows without
-    group or item are left out. fused is rounded to 12 digits, so that the order doesn't depend on the order of a sum.
-    """
-    items = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *(usable(F.col(s)).alias(f"s{n}") for n, s in enumerate(scores)))
-    items = items.where("g is not null and i is not null").groupBy("g", "i").agg(*(F.max(f"s{n}").alias(f"s{n}") for n in range(len(scores))))
-    unpivot = f"stack({len(scores)}, {', '.join(f'{n}, s{n}' for n in range(len(scores)))}) as (kind, value)"
-    long = items.select("g", "i", F.expr(unpivot)).where("value is not null or kind = 0")
-    counts = long.where("value is not null").groupBy("g", "kind", "value").agg(F.count("*").alias("n"))
-    ranks = competition_ranks(counts, ["g", "kind"], "value", "n")
-    hot_from = max(HOT_ROWS, df.count() // 500)  # of the 4 rows that an item has at most, one in 2000
-    ranked = join_counted(long.where("value is not null"), ranks, ["g", "kind", "value"], "__weight", "i", hot_from).select("g", "i", F.col("rank").alias("r"))
-    ranked = ranked.unionByName(long.where("value is null").select("g", "i", F.lit(None).cast("long").alias("r")))
-    total = F.round(F.coalesce(F.sum(1 / (F.lit(float(k)) + F.col("r"))), F.lit(0.0)), 12)
-    return ranked.groupBy("g", "i").agg(total.alias("fused")).select(F.col("g").alias(group), F.col("i").alias(item), "fused")
-
-
-def top_per_group(fused: DataFrame, group: str, item: str, wants: DataFrame, want: str, salts: int = 64) -> DataFrame:
-    """The first `want` items of each group (fused descending, item ascending), with their position.
-
-    wants holds one row per group with the number wanted; groups without one, or with null, yield nothing. The first
-    stage keeps the best of each salted share of a group, so that the second sees at most salts * want rows of it.
+    share the best rank, as in SQL's rank(), so that a tie lifts nobody above another. An item delivered several times
+    counts once (per score its largest usable value). Rows without group or item are left out.
     """
-    need = wants.where(F.col(group).isNotNull() & F.col(want).isNotNull()).groupBy(group).agg(F.max(want).alias("__want"))
-    rows = fused.join(need, group).withColumn("__salt", salt(F.col(item), salts))
-    order = [F.col("fused").desc(), F.col(item).asc()]
-    first = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group, "__salt").orderBy(*order))).where("__n <= __want")
-    return first.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where("position <= __want").select(group, item, "fused", "position")
+    meeting, spread = _by_size(_scored(df, group, item, scores), "g", hot_items)
+    fused = _fuse_meeting(meeting, len(scores), k)
+    if spread is not None:
+        fused = fused.unionByName(_fuse_spread(spread, len(scores), k))
+    return fused.select(F.col("g").alias(group), F.col("i").alias(item), "fused")
 
 
-def full_order(fused: DataFrame, group: str, item: str) -> DataFrame:
-    """Every item with its position in its group, 1 first; equal totals in the order of the item (a number, 0 or more).
+def _order_meeting(fused: DataFrame) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("g").orderBy(F.col("fused").desc(), F.col("i").asc()))
+    return fused.withColumn("position", at.cast("long"))
 
-    Positions come from counts, as the ranks do, so that a group of any size is spread over all tasks.
-    """
-    by_total = competition_ranks(fused.groupBy(group, "fused").agg(F.count("*").alias("n")).withColumn("v", F.col("fused") + 1), [group], "v", "n").select(group, (F.col("v")).alias("v"), F.col("rank").alias("base"))
-    rows = fused.withColumn("v", F.col("fused") + 1)
-    ties = competition_ranks(rows.select(group, "v", (F.col(item) + 1).cast("double").alias("at"), F.lit(1).alias("n")), [group, "v"], "at", "n", ascending=True).select(group, "v", (F.col("at") - 1).cast("long").alias(item), F.col("rank").alias("tie"))
-    return ties.join(by_total, [group, "v"]).select(group, item, F.round(F.col("v") - 1, 12).alias("fused"), (F.col("base") + F.col("tie") - 1).alias("position"))
+
+def _order_spread(fused: DataFrame) -> DataFrame:
+    rows = running(fused.withColumn("one", F.lit(1).cast("long")), ["g"], [("fused", True), ("i", False)], "one", "before")
+    return rows.select("g", "i", "fused", (F.col("before") + 1).alias("position"))
+
+
+def ranking(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int = RRF_K, hot_items: int = HOT_ITEMS) -> DataFrame:
+    """(group, item, fused, position): fuse and full_order in one, with one shuffle for all but the large groups."""
+    meeting, spread = _by_size(_scored(df, group, item, scores), "g", hot_items)
+    ordered = _order_meeting(_fuse_meeting(meeting, len(scores), k))
+    if spread is not None:
+        ordered = ordered.unionByName(_order_spread(_fuse_spread(spread, len(scores), k)))
+    return ordered.select(F.col("g").alias(group), F.col("i").alias(item), "fused", "position")
+
+
+def full_order(fused: DataFrame, group: str, item: str, hot_items: int = HOT_ITEMS) -> DataFrame:
+    """Every item with its position in its group, 1 first; equal totals in the order of the item, of whatever type it is."""
+    rows = durable(fused.select(F.col(group).alias("g"), F.col(item).alias("i"), "fused"))
+    meeting, spread = _by_size(rows, "g", hot_items)
+    ordered = _order_meeting(meeting)
+    if spread is not None:
+        ordered = ordered.unionByName(_order_spread(spread))
+    return ordered.select(F.col("g").alias(group), F.col("i").alias(item), "fused", "position")
+
+
+def top(ordered: DataFrame, group: str, wants: DataFrame, want: str) -> DataFrame:
+    """The first `want` items of each group of a ranking; groups without a number, or with null, yield nothing."""
+    need = wants.where(F.col(group).isNotNull() & F.col(want).isNotNull()).groupBy(group).agg(F.max(want).alias("__want"))
+    return ordered.join(need, group).where("position <= __want").drop("__want")

@@ -13,16 +13,13 @@ from codeseam.session import durable, small_side, table
 SCORES = ("name_score", "grep_score", "grep_count", "terms_matched")
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.fuse(table(spark, d, "find_results"), "query_id", "result_id", SCORES)
+def p1_order(spark: SparkSession, d: str) -> DataFrame:
+    """All results of every query in one order."""
+    return fusion.ranking(table(spark, d, "find_results"), "query_id", "result_id", SCORES)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.top_per_group(_fused(spark, d), "query_id", "result_id", table(spark, d, "find_queries"), "want_k").select("query_id", "result_id")
-
-
-def p1_order(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.full_order(_fused(spark, d), "query_id", "result_id")
+    return fusion.top(p1_order(spark, d), "query_id", table(spark, d, "find_queries"), "want_k").select("query_id", "result_id")
 
 
 def p2_places(spark: SparkSession, d: str) -> DataFrame:

@@ -36,34 +36,56 @@ def results(spark, rows):
     return spark.createDataFrame([(*r, "x", "y") for r in rows], RESULTS)
 
 
-def test_fusion_equals_brute_force(spark):
+@pytest.mark.parametrize("hot", [100, fusion.HOT_ITEMS])
+def test_fusion_equals_brute_force(spark, hot):
     rng = random.Random(5)
     pick = lambda: rng.choice([None, NAN, -1.0, 0.0, 1.0, 2.5, rng.random() * 10_000, float("inf")])
     rows = [(i, rng.choice([1, 1, 1, 2, 3]), pick(), pick(), rng.choice([None, -1, 0, 1, 5, 5]), rng.choice([None, 0, 1, 2])) for i in range(300)]
     rows += [rows[0], rows[7], (None, 1, 1.0, 1.0, 1, 1), (900, None, 1.0, 1.0, 1, 1)]
-    fused = fusion.fuse(results(spark, rows), "query_id", "result_id", SCORES)
+    fused = fusion.fuse(results(spark, rows), "query_id", "result_id", SCORES, hot_items=hot)
     want = brute_fusion(rows)
     got = {(r["query_id"], r["result_id"]): r["fused"] for r in fused.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    order = {(r["query_id"], r["result_id"]): r["position"] for r in fusion.full_order(fused, "query_id", "result_id").collect()}
+    order = {(r["query_id"], r["result_id"]): r["position"] for r in fusion.full_order(fused, "query_id", "result_id", hot).collect()}
+    both = fusion.ranking(results(spark, rows), "query_id", "result_id", SCORES, hot_items=hot)
+    assert {(r["query_id"], r["result_id"]): r["position"] for r in both.collect()} == order
     by = defaultdict(list)
     for (g, i), v in got.items():
         by[g].append((-v, i))
     assert order == {(g, i): n for g, items in by.items() for n, (_, i) in enumerate(sorted(items), 1)}
     wants = spark.createDataFrame([(1, 5), (2, 1000), (3, None), (4, 2), (1, 3)], "query_id long, want_k int")
-    top = fusion.top_per_group(fused, "query_id", "result_id", wants, "want_k").collect()
+    top = fusion.top(fusion.full_order(fused, "query_id", "result_id"), "query_id", wants, "want_k").collect()
     assert {(r["query_id"], r["result_id"]) for r in top} == {k for k, n in order.items() if n <= {1: 5, 2: 1000}.get(k[0], 0)}
 
 
-def test_fusion_of_hot_values_and_nothing(spark):
+@pytest.mark.parametrize("hot", [1000, fusion.HOT_ITEMS])
+def test_fusion_of_hot_values_and_nothing(spark, hot):
     rows = [(i, 1, 7.0, None, 3, 1 + i % 2) for i in range(30_000)]
-    fused = fusion.fuse(results(spark, rows), "query_id", "result_id", SCORES)
+    fused = fusion.fuse(results(spark, rows), "query_id", "result_id", SCORES, hot_items=hot)
     assert {r["fused"] for r in fused.collect()} == {round(3 / 61, 12), round(2 / 61 + 1 / (60 + 15_001), 12)}
-    assert fusion.fuse(results(spark, rows).limit(0), "query_id", "result_id", SCORES).count() == 0
+    assert fusion.fuse(results(spark, rows).limit(0), "query_id", "result_id", SCORES, hot_items=hot).count() == 0
     alone = fusion.fuse(results(spark, [(1, 1, None, NAN, 0, -1)]), "query_id", "result_id", SCORES).collect()
     assert [tuple(r) for r in alone] == [(1, 1, 0.0)]
 
 
+@pytest.mark.parametrize("hot", [2, fusion.HOT_ITEMS])
+def test_order_keeps_ids_of_any_size_and_sign(spark, hot):
+    ids = [-(1 << 62), -5, -1, 0, 3, (1 << 60), (1 << 60) + 1, (1 << 60) + 2]
+    rows = [(i, 1, 1.0, 2.0, 3, 1) for i in ids]
+    got = fusion.ranking(results(spark, rows), "query_id", "result_id", SCORES, hot_items=hot).orderBy("position").collect()
+    assert [(r["result_id"], r["position"]) for r in got] == [(i, n) for n, i in enumerate(sorted(ids), 1)]
+
+
+def test_a_hot_group_is_cut_into_even_parts(spark):
+    """Totals of a large group lie close together; ranges by sample still hold about as many rows each."""
+    rows = spark.range(400_000).select(F.lit(1).alias("g"), F.col("id").alias("i"), F.round(1 / (61.0 + F.col("id") % 200_000), 12).alias("fused"), F.lit(1).cast("long").alias("one"))
+    n = 100
+    placed = rows.repartitionByRange(n, F.col("g"), F.col("fused").desc(), F.col("i"))
+    assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 400_000 * 2 / n
+    got = fusion.running(rows, ["g"], [("fused", True), ("i", False)], "one", "before", 20_000)
+    assert got.agg(F.countDistinct("before"), F.min("before"), F.max("before")).first() == (400_000, 0, 399_999)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("ab. \n\r#é😀", max_size=400), st.integers(1, 60), st.integers(0, 40))
 def test_pieces_cover_the_text(text, limit, overlap):
