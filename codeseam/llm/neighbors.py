@@ -1,36 +1,43 @@
 """Problem 3: the most similar vectors of every vector, by additive quantisation and exact reranking.
 
-An index is fitted on a bounded sample: cells (centroids) and, for what remains of a vector after its cell's centroid,
-additive codebooks over the full dimension. Every vector is stored in its nearest cell with codes found by beam search
-and its norm against theirs: scaled by it, a score by lookup is right on average. A query visits its nearest cells, is scored against all their vectors by lookup tables, and what scores high is compared
-exactly. Models are never compared with each other.
+An index is fitted on a bounded sample: cells and, for what remains of a vector after its cell's centre, additive
+codebooks over the full dimension. The number of cells grows with that of the vectors, the index does not: beyond
+MAX_CELLS centroids a cell is a centroid plus a code of each of one or more shared books, found by the same beam search.
+Every vector is stored in its nearest cell with its codes and the norms that its codes leave. A query visits its nearest
+cells, is scored against all their vectors by lookup tables, and what may be similar enough by the stored norms is
+compared exactly. Models are never compared with each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeseam.session import salt, small_side
+from codeseam.session import parts_for, salt, small_side
 
-#: Vectors a cell should hold, and the most cells of a model.
-CELL_VECTORS, MAX_CELLS = 400, 2048
+#: Vectors a cell should hold, and the most centroids of a model; more cells are made of centroids and codes.
+CELL_VECTORS, MAX_CELLS, FINE_CODES = 400, 2048, 256
 #: At most so many vectors of a model fit its index: per cell, and in all; of these so many fit the codebooks.
 SAMPLE_PER_CELL, SAMPLE_MAX, SAMPLE_CODES = 20, 40_960, 8_192
+#: At most so many vectors of all models together (but 256 of each).
+SAMPLE_ALL = 200_000
+#: How many vectors are placed to find the cells that hold too many, where the sample says too little; only counts leave the tasks.
+COUNT_SAMPLE, COUNT_HITS = 4_000_000, 16
 #: Codebooks, codes in each, beam of the search.
 BOOKS, CODES, BEAM = 12, 64, 4
 #: A cell whose share of the sample says it holds more than this many vectors is stored in blocks of half as many.
 BLOCK_FROM = 4 * CELL_VECTORS
 #: Copies of one vector above this number keep the first KEEP ids as candidates; none after them can be among ten.
 COPIES_FROM, KEEP = 1_000, 11
-#: How far a score by lookup may lie below the similarity that is asked for.
-MARGIN = 0.18
+#: Slack for the single precision of scores by lookup.
+ROUNDING = 1e-4
 
 
 class Index(NamedTuple):
@@ -38,9 +45,46 @@ class Index(NamedTuple):
 
     dim: int
     cells: np.ndarray  # (L, dim), directions of length 1
-    means: np.ndarray  # (L, dim), mean of the vectors of a cell
+    means: np.ndarray  # (L, dim), mean of the vectors nearest to a centroid
+    fine: np.ndarray  # (levels, F, dim), codes that divide what is near a centroid; no levels while centroids suffice
     books: np.ndarray  # (BOOKS, CODES, dim)
-    blocks: np.ndarray  # (L,) blocks in which a cell is stored
+    large: np.ndarray  # the cells that are stored in blocks, in order
+    n_blocks: np.ndarray  # in how many
+
+    def centres(self, cells: np.ndarray) -> np.ndarray:
+        """The centre of each cell (n, dim)."""
+        rest, out = cells, 0
+        for book in self.fine[::-1]:
+            out = out + book[rest % len(book)]
+            rest = rest // len(book)
+        return self.means[rest] + out
+
+    def blocks(self, cells: np.ndarray) -> np.ndarray:
+        """In how many blocks each cell is stored."""
+        if not len(self.large):
+            return np.ones(len(cells), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.large, cells), len(self.large) - 1)
+        return np.where(self.large[at] == cells, self.n_blocks[at], 1)
+
+    def nearest(self, unit: np.ndarray, probes: int) -> np.ndarray:
+        """(n, at most probes) cells nearest to each vector, the nearest first."""
+        near = unit @ self.cells.T
+        wide = min(near.shape[1], probes if not len(self.fine) else max(2 * probes, 16))
+        cells = np.argpartition(-near, wide - 1, axis=1)[:, :wide] if wide < near.shape[1] else np.tile(np.arange(wide), (len(unit), 1))
+        if not len(self.fine):
+            return np.take_along_axis(cells, np.argsort(-np.take_along_axis(near, cells, 1), axis=1, kind="stable"), 1)
+        out = [self._refine(unit[lo : lo + 2000], cells[lo : lo + 2000], probes) for lo in range(0, len(unit), 2000)]
+        return np.concatenate(out) if out else cells
+
+    def _refine(self, unit: np.ndarray, cells: np.ndarray, probes: int) -> np.ndarray:
+        """From the nearest centroids to the nearest cells, level by level, by distance."""
+        rest = unit[:, None, :] - self.means[cells]
+        error = (rest**2).sum(2)
+        for level, book in enumerate(self.fine, 1):
+            keep = probes if level == len(self.fine) else max(2 * probes, 16)
+            branch, code, error, rest = _extend(rest, error, book, keep)
+            cells = np.take_along_axis(cells, branch, 1) * len(book) + code
+        return np.take_along_axis(cells, np.argsort(error, axis=1, kind="stable"), 1)
 
 
 # --- fitting ----------------------------------------------------------------------------------------------------------
@@ -79,6 +123,21 @@ def _fit_cells(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.vstack([_k_means(p, max(1, round(k * len(p) / len(x))), 8, rng, True) for p in parts if len(p)])
 
 
+def _extend(rest: np.ndarray, error: np.ndarray, book: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One step of a beam search: the `keep` best (branch, code) of each row, what they leave as squared error and as vector.
+
+    rest: (n, beam, dim), error: (n, beam).
+    """
+    n, wide, dim = rest.shape
+    # |r - c|^2 = |r|^2 - 2 r.c + |c|^2 for every branch of the beam and every code
+    now = (error[:, :, None] - 2 * (rest.reshape(n * wide, dim) @ book.T).reshape(n, wide, -1) + (book**2).sum(1)).reshape(n, -1)
+    keep = min(keep, now.shape[1])
+    best = np.argpartition(now, keep - 1, axis=1)[:, :keep] if keep < now.shape[1] else np.tile(np.arange(keep), (n, 1))
+    branch, code = best // len(book), best % len(book)
+    rows = np.arange(n)[:, None]
+    return branch, code, now[rows, best], rest[rows, branch] - book[code]
+
+
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """(n, BOOKS) codes whose vectors add up to nearly x: beam search, codebook by codebook, over the full dimension."""
     n, m = len(x), len(books)
@@ -86,16 +145,8 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     rest = x[:, None, :]
     error = (x**2).sum(1)[:, None]
     for j, book in enumerate(books):
-        wide = rest.shape[1]
-        # |r - c|^2 = |r|^2 - 2 r.c + |c|^2 for every branch of the beam and every code
-        now = (error[:, :, None] - 2 * (rest.reshape(n * wide, -1) @ book.T).reshape(n, wide, -1) + (book**2).sum(1)).reshape(n, -1)
-        keep = min(beam, now.shape[1]) if j < m - 1 else 1
-        best = np.argpartition(now, keep - 1, axis=1)[:, :keep] if keep < now.shape[1] else np.tile(np.arange(keep), (n, 1))
-        branch, code = best // len(book), best % len(book)
-        rows = np.arange(n)[:, None]
-        error = now[rows, best]
-        rest = rest[rows, branch] - book[code]
-        codes = codes[rows, branch]
+        branch, code, error, rest = _extend(rest, error, book, beam if j < m - 1 else 1)
+        codes = np.take_along_axis(codes, branch[:, :, None], 1)
         codes[:, :, j] = code
     return codes[:, 0]
 
@@ -124,17 +175,37 @@ def fit_books(x: np.ndarray, rng: np.random.Generator, rounds: int = 2) -> np.nd
     return out
 
 
+def _blocks(cells: np.ndarray, hits: np.ndarray, each: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that hold too many vectors, and in how many blocks they go; few hits tell nothing."""
+    held = hits * each
+    large = (held > BLOCK_FROM) & (hits >= COUNT_HITS)
+    return cells[large], np.ceil(held[large] / (BLOCK_FROM / 2)).astype(np.int64)
+
+
 def fit_index(sample: np.ndarray, vectors: int) -> Index:
     """An index for about `vectors` vectors, from a sample of them (of length 1)."""
     rng = np.random.default_rng(11)
-    cells = _fit_cells(sample, max(1, min(MAX_CELLS, -(-vectors // CELL_VECTORS), len(sample))), rng)
+    wanted = max(1, -(-vectors // CELL_VECTORS))
+    cells = _fit_cells(sample, min(MAX_CELLS, wanted, len(sample)), rng)
     home = (sample @ cells.T).argmax(1)
-    held = np.bincount(home, minlength=len(cells)) * (vectors / len(sample))
-    blocks = np.where(held > BLOCK_FROM, np.ceil(held / (BLOCK_FROM / 2)), 1).astype(np.int32)
     sums, n = _sums(sample, home, len(cells))
     means = sums / np.maximum(n, 1)[:, None]
+    fine = np.zeros((0, 1, sample.shape[1]), dtype=np.float32)
+    more = wanted / MAX_CELLS if wanted > MAX_CELLS else 1.0
+    if more > 1:
+        levels = max(1, math.ceil(math.log(more) / math.log(FINE_CODES) - 1e-9))
+        codes = max(2, min(math.ceil(more ** (1 / levels)), len(sample)))
+        books, rest = [], sample - means[home]
+        for _ in range(levels):
+            books.append(_k_means(rest, codes, 8, rng, False))
+            rest = rest - books[-1][(rest @ books[-1].T - 0.5 * (books[-1] ** 2).sum(1)).argmax(1)]
+        fine = np.stack(books)
+    none = np.zeros(0, dtype=np.int64)
+    index = Index(sample.shape[1], cells, means, fine, np.zeros((0, 1, sample.shape[1]), dtype=np.float32), none, none)
+    home = index.nearest(sample, 1)[:, 0]
+    large, n_blocks = _blocks(*np.unique(home, return_counts=True), vectors / len(sample))
     part = slice(0, SAMPLE_CODES)
-    return Index(sample.shape[1], cells, means, fit_books(sample[part] - means[home[part]], rng), blocks)
+    return index._replace(books=fit_books(sample[part] - index.centres(home[part]), rng), large=large, n_blocks=n_blocks)
 
 
 # --- tables -----------------------------------------------------------------------------------------------------------
@@ -162,16 +233,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _drawn(parts: dict[str, float], seed: int) -> Column:
+    """Whether a vector is in the sample of its model, by the hash of its id."""
+    within = F.lit(False)
+    for m, part in parts.items():
+        within = within | ((F.col("model") == m) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) < int(part * (1 << 40)) + 1))
+    return within
+
+
 def fit(vectors: DataFrame, seed: int = 3) -> dict[str, Index]:
-    """model -> Index. The driver gets a sample by hash of the ids, of at most SAMPLE_MAX vectors (and a quarter more) per model."""
+    """model -> Index. The driver gets a sample by hash of the ids: at most SAMPLE_MAX vectors of a model and SAMPLE_ALL of all."""
     counts = {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    share = {m: min(1.0, max(min(SAMPLE_MAX, SAMPLE_PER_CELL * min(MAX_CELLS, -(-n // CELL_VECTORS))), SAMPLE_CODES) / n) for m, n in counts.items()}
-    within = F.lit(False)
-    for m, part in share.items():
-        within = within | ((F.col("model") == m) & (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) < int(part * 1_000_003) + 1))
-    drawn = vectors.where(within).select("id", "model", "vector").toArrow()
+    most = min(SAMPLE_MAX, max(256, SAMPLE_ALL // len(counts)))
+    share = {m: min(1.0, min(most, max(SAMPLE_PER_CELL * -(-n // CELL_VECTORS), SAMPLE_CODES)) / n) for m, n in counts.items()}
+    drawn = vectors.where(_drawn(share, seed)).select("id", "model", "vector").toArrow()
     found = {}
     for m, n in counts.items():
         mine = drawn.filter(pa.compute.equal(drawn["model"], m)).sort_by("id")
@@ -179,10 +256,36 @@ def fit(vectors: DataFrame, seed: int = 3) -> dict[str, Index]:
             x, ok = _matrix(mine["vector"].combine_chunks())
             if ok.any():
                 found[m] = fit_index(_unit(x[ok]), n)
-    return found
+    return _count_cells(vectors, found, counts, share, seed)
+
+
+def _count_cells(vectors: DataFrame, indexes: dict[str, Index], counts: dict[str, int], share: dict[str, float], seed: int) -> dict[str, Index]:
+    """The indexes with the blocks of models so large that COUNT_HITS of the sample would be more than a cell may hold.
+
+    The driver gets the cells with COUNT_HITS vectors or more among COUNT_SAMPLE: at most COUNT_SAMPLE / COUNT_HITS rows a model.
+    """
+    again = {m: min(1.0, COUNT_SAMPLE / counts[m]) for m in indexes if COUNT_HITS / share[m] > BLOCK_FROM}
+    if not again:
+        return indexes
+    shared = vectors.sparkSession.sparkContext.broadcast(indexes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for model in pa.compute.unique(batch["model"]).to_pylist():
+                x, ok = _matrix(batch.filter(pa.compute.equal(batch["model"], model))["vector"])
+                cells = shared.value[model].nearest(_unit(x[ok]), 1)[:, 0] if ok.any() else np.zeros(0, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([model] * len(cells), pa.string()), pa.array(cells.astype(np.int64))], names=["model", "cell"])
+
+    placed = vectors.where(_drawn(again, seed + 1)).select("model", "vector").mapInArrow(run, "model string, cell long")
+    hits = placed.groupBy("model", "cell").agg(F.count("*").alias("n")).where(F.col("n") >= COUNT_HITS).toPandas()
+    for m, part in again.items():
+        mine = hits[hits["model"] == m].sort_values("cell")
+        large, n_blocks = _blocks(mine["cell"].to_numpy(), mine["n"].to_numpy(), 1 / part)
+        indexes[m] = indexes[m]._replace(large=large, n_blocks=n_blocks)
+    return indexes
 
 
-_PLACED = "model string, cell int, block int, id long, member boolean, asks boolean, vec binary, codes binary, norm float"
+_PLACED = "model string, cell long, block int, id long, member boolean, asks boolean, vec binary, codes binary, norm float, along float, across float"
 
 
 def _binary(x: np.ndarray) -> pa.Array:
@@ -215,18 +318,23 @@ def place(vectors: DataFrame, indexes: dict[str, Index], probes: int, asking_eve
                 if not len(ids):
                     continue
                 unit = _unit(x)
-                near = unit @ index.cells.T
-                p = min(probes, near.shape[1])
-                visits = np.argpartition(-near, p - 1, axis=1)[:, :p] if p < near.shape[1] else np.tile(np.arange(p), (len(ids), 1))
-                home = near.argmax(1)
-                left = unit - index.means[home]
+                visits = index.nearest(unit, probes)
+                p = visits.shape[1]
+                home = visits[:, 0]
+                base = index.centres(home)
+                left = unit - base
                 codes = encode(left, index.books)
-                norm = ((left**2).sum(1) / np.maximum((left * decode(codes, index.books)).sum(1), 1e-3)).clip(0, 8).astype(np.float32)
+                coded = decode(codes, index.books)
+                norm = ((left**2).sum(1) / np.maximum((left * coded).sum(1), 1e-3)).clip(0, 8).astype(np.float32)
+                # What the code and its cell say of the vector: their part along it, and the length of what lies across.
+                said = base + coded
+                along = (unit * said).sum(1)
+                across = np.sqrt(np.maximum((said**2).sum(1) - along**2, 0))
                 asks = ids % asking_every == 0
-                own_block = (ids * 2654435761 % 2**32) % index.blocks[home]
+                own_block = (ids * 2654435761 % 2**32) % index.blocks(home)
                 r, k = np.nonzero(np.repeat(asks[:, None], p, axis=1))
                 cells = visits[r, k]
-                n_blocks = index.blocks[cells]
+                n_blocks = index.blocks(cells)
                 again = np.repeat(np.arange(len(r)), n_blocks)
                 block = np.concatenate([np.arange(b) for b in n_blocks]) if len(n_blocks) else np.zeros(0, dtype=int)
                 r, cells = r[again], cells[again]
@@ -237,8 +345,8 @@ def place(vectors: DataFrame, indexes: dict[str, Index], probes: int, asking_eve
                 codes_all = pa.concat_arrays([_binary(codes[m]), pa.nulls(len(r), pa.binary())])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([model] * len(take), pa.string()), pa.array(np.concatenate([home[m], cells]).astype(np.int32)), pa.array(np.concatenate([own_block[m], block]).astype(np.int32)), pa.array(ids[take]),
-                        pa.array(np.arange(len(take)) < len(m)), pa.array(asks[take]), _binary(x[take]), codes_all, pa.array(norm[take]),
+                        pa.array([model] * len(take), pa.string()), pa.array(np.concatenate([home[m], cells]).astype(np.int64)), pa.array(np.concatenate([own_block[m], block]).astype(np.int32)), pa.array(ids[take]),
+                        pa.array(np.arange(len(take)) < len(m)), pa.array(asks[take]), _binary(x[take]), codes_all, pa.array(norm[take]), pa.array(along[take].astype(np.float32)), pa.array(across[take].astype(np.float32)),
                     ],
                     names=[c.split()[0] for c in _PLACED.split(", ")],
                 )
@@ -246,6 +354,17 @@ def place(vectors: DataFrame, indexes: dict[str, Index], probes: int, asking_eve
     return vectors.select("id", "model", "vector", "aside").mapInArrow(run, _PLACED)
 
 
+def _least_score(along: np.ndarray, across: np.ndarray, similarity: float) -> np.ndarray:
+    """The least that lookup can score a query of that similarity, or a greater one, to a vector x; so none is lost.
+
+    A query of similarity s is s x + r u with r = sqrt(1 - s^2) and u across x, so it scores s along + r (u . said), at
+    least s along - r across. From the given similarity on this rises, unless along is far below 0: then the length of
+    what the code says bounds it.
+    """
+    rest = math.sqrt(max(0.0, 1 - similarity**2))
+    return np.where(along * rest + similarity * across >= 0, similarity * along - rest * across, -np.hypot(along, across))
+
+
 def _scan(k: int, at_least: float | None, rerank: int, shared):
     """The search of one block of one cell: lookup tables, then exact similarity of what scores high."""
 
@@ -261,6 +380,9 @@ def _scan(k: int, at_least: float | None, rerank: int, shared):
         norm, ids, asking_ids = members["norm"].to_numpy(), members["id"].to_numpy(), asking["id"].to_numpy()
         wide = x.astype(np.float64)
         wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+        centre = index.centres(np.array([key[1]]))[0]
+        if at_least is not None:
+            least = _least_score(members["along"].to_numpy(), members["across"].to_numpy(), at_least) - ROUNDING
         flat = index.books.reshape(-1, index.dim)
         column = codes.astype(np.int64) + np.arange(len(index.books)) * CODES
         out = []
@@ -273,13 +395,13 @@ def _scan(k: int, at_least: float | None, rerank: int, shared):
             score = np.zeros((len(narrow), len(members)), dtype=np.float32)
             for m in range(len(index.books)):
                 score += table[:, column[:, m]]
-            # By the stored norm a score is right on average, as thresholds need; by its root it is nearest, as ranks need.
-            score *= norm if at_least is not None else np.sqrt(norm)
-            score += (narrow @ index.means[key[1]])[:, None]
+            if at_least is None:
+                score *= np.sqrt(norm)  # by the root of the stored norm a score is nearest to the truth, as ranks need
+            score += (narrow @ centre)[:, None]
             here = asking_ids[lo : lo + step]
             score[here[:, None] == ids[None, :]] = -9
             if at_least is not None:
-                a, b = np.nonzero(score >= at_least - MARGIN)
+                a, b = np.nonzero(score >= least)
             else:
                 r = min(rerank, len(members))
                 b = (np.argpartition(-score, r - 1, axis=1)[:, :r] if r < len(members) else np.tile(np.arange(r), (len(here), 1))).ravel()
@@ -341,6 +463,42 @@ def search(vectors: DataFrame, k: int, probes: int, at_least: float | None = Non
     return placed.groupBy("model", "cell", "block").applyInPandas(_scan(k, at_least, rerank, spark.sparkContext.broadcast(indexes)), schema)
 
 
+def search_exact(vectors: DataFrame, k: int, at_least: float | None = None, asking_every: int = 1, block_rows: int = 20_000) -> DataFrame:
+    """(id, other, similarity) as search, by comparing every asking vector with every other one of its model.
+
+    Nothing is missed, at the price of n * asking comparisons. Members and asking ones go in blocks of about block_rows; a
+    vector travels once for each block of the other kind, so that a task holds two blocks however large a model is.
+    """
+    counts = {r["model"]: r["n"] for r in vectors.groupBy("model").agg(F.count("*").alias("n")).collect()}
+    schema = "id long, other long, similarity double"
+    if not counts:
+        return vectors.sparkSession.createDataFrame([], schema)
+    sizes = [(m, parts_for(n, block_rows), parts_for(-(-n // asking_every), block_rows)) for m, n in counts.items()]
+    rows = vectors.join(F.broadcast(vectors.sparkSession.createDataFrame(sizes, "model string, mine int, theirs int")), "model")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.withColumns({"block": salt(F.col("id"), F.col("mine")).cast("int"), "asks": F.lit(False)}).withColumn("turn", every("theirs"))
+    asking = rows.where(F.pmod("id", F.lit(asking_every)) == 0)
+    asking = asking.withColumns({"turn": F.pmod(F.xxhash64("id", F.lit(1)), F.col("theirs")).cast("int"), "asks": F.lit(True)}).withColumn("block", every("mine"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["id", "asks"])
+        x = np.array(frame["vector"].tolist(), dtype=np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            size = np.linalg.norm(x, axis=1)
+        ok = np.isfinite(size) & (size > 0)
+        x, ids, asks = x[ok] / size[ok][:, None], frame["id"].to_numpy()[ok], frame["asks"].to_numpy(dtype=bool)[ok]
+        member, member_ids, out = x[~asks], ids[~asks], []
+        for i, q in zip(ids[asks], x[asks]):
+            s = (member @ q).round(9)
+            near = np.flatnonzero((member_ids != i) & (s >= (-2 if at_least is None else at_least)))
+            near = near[np.lexsort((member_ids[near], -s[near]))[:k]]
+            out.append(pd.DataFrame({"id": i, "other": member_ids[near], "similarity": s[near]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "other": [], "similarity": []})
+
+    columns = ["model", "block", "turn", "id", "asks", "vector"]
+    return members.select(columns).unionByName(asking.select(columns)).groupBy("model", "block", "turn").applyInPandas(run, schema)
+
+
 def mutual(edges: DataFrame, k: int) -> DataFrame:
     """(a, b), a < b: pairs in which each is among the k best of the other; a pair found from one side counts for both."""
     both = edges.unionByName(edges.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity"))

@@ -40,7 +40,7 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Cells that a vector visits: all vectors as they are held against each other, and those few that ask for their ten best.
-PROBES_ALL, PROBES_FEW = 5, 24
+PROBES_ALL, PROBES_FEW = 5, 40
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -42,12 +42,81 @@ def test_mutual_pairs_against_brute_force(spark):
     for i, v in near.items():
         want |= {(i, j) for j, s in v if i < j and s >= 0.8 and i in [k for k, _ in near[j]]}
     assert len(want) > 200 and got <= want and len(got) >= 0.95 * len(want)
-    asked = neighbors.best_of(neighbors.search(vectors, 10, 24, asking_every=50), 10).collect()
+    asked = neighbors.best_of(neighbors.search(vectors, 10, 40, asking_every=50), 10).collect()
     assert {r["id"] for r in asked} == {i for i in near if i % 50 == 0}
     assert sum(r["other"] in [j for j, _ in near[r["id"]]] for r in asked) >= 0.9 * len(asked)
     assert neighbors.search(vectors.limit(0), 10, 4).count() == 0
 
 
+def recalls(spark, x, probes=40):
+    """Of the mutual pairs and of the ten nearest of each asking vector, the shares that are found."""
+    vectors = neighbors.valid_vectors(table(spark, [(i, "a", v.tolist(), 0, "") for i, v in enumerate(x)]), spark.createDataFrame([("a", x.shape[1], 1)], MODELS), "chunk_id", "model_name", "embedding")
+    near = brute(dict(enumerate(x)))
+    want = {(i, j) for i, v in near.items() for j, s in v if i < j and s >= 0.8 and i in [k for k, _ in near[j]]}
+    got = {tuple(r) for r in neighbors.mutual(neighbors.search(vectors, 10, 5, at_least=0.8), 10).collect()}
+    assert got <= want and len(want) > 200
+    asked = neighbors.best_of(neighbors.search(vectors, 10, probes, asking_every=50), 10).collect()
+    return len(got) / len(want), sum(r["other"] in [j for j, _ in near[r["id"]]] for r in asked) / len(asked)
+
+
+def test_recall_where_cells_are_made_of_codes(spark, monkeypatch):
+    """As above MAX_CELLS: 16 centroids, the other 204 cells by one book, or by two."""
+    monkeypatch.setattr(neighbors, "CELL_VECTORS", 10)
+    monkeypatch.setattr(neighbors, "MAX_CELLS", 16)
+    x = clustered(2200, 32, 5)
+    for codes, levels in ((256, 1), (4, 2)):
+        monkeypatch.setattr(neighbors, "FINE_CODES", codes)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        index = neighbors.fit_index(unit.astype(np.float32), len(x))
+        assert len(index.fine) == levels and len(index.cells) <= 18 and len(np.unique(index.nearest(unit.astype(np.float32), 1))) > 100
+        pairs, nearest = recalls(spark, x)
+        assert pairs >= 0.95 and nearest >= 0.9
+
+
+def test_recall_where_cells_are_stored_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_FROM", 15)
+    vectors = clustered(1200, 24, 6)
+    pairs, nearest = recalls(spark, vectors)
+    assert pairs >= 0.95 and nearest >= 0.9
+
+
+def test_rows_do_not_grow_with_the_number_of_vectors(monkeypatch):
+    """At most 6 rows a vector and about as many vectors a cell, at 1e6, 1e7 and 1e8 vectors (centroids scaled down for speed)."""
+    monkeypatch.setattr(neighbors, "MAX_CELLS", 256)
+    monkeypatch.setattr(neighbors, "SAMPLE_CODES", 1024)
+    x = clustered(12_000, 32, 7)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for n in (10**6, 10**7, 10**8):
+        index = neighbors.fit_index(x[:10_000], n)
+        cells = len(index.cells) * np.prod([len(b) for b in index.fine]) if len(index.fine) else len(index.cells)
+        assert n / cells <= 2 * neighbors.CELL_VECTORS
+        visits = index.nearest(x[10_000:], 5)
+        assert index.blocks(visits.ravel()).sum() / len(visits) + 1 <= 6 + 1e-9
+
+
+def test_exact_search(spark):
+    x = clustered(600, 16, 8)
+    vectors = neighbors.valid_vectors(table(spark, [(i, "a", v.tolist(), 0, "") for i, v in enumerate(x)] + [(900, "a", [0.0] * 16, 0, "")]), spark.createDataFrame([("a", 16, 1)], MODELS), "chunk_id", "model_name", "embedding")
+    near = brute(dict(enumerate(x)))
+    got = neighbors.best_of(neighbors.search_exact(vectors, 10, asking_every=7, block_rows=100), 10).collect()
+    assert {(r["id"], r["other"]) for r in got} == {(i, j) for i, v in near.items() if i % 7 == 0 for j, _ in v}
+    assert neighbors.search_exact(vectors.limit(0), 10).count() == 0
+
+
+def test_no_score_bound_loses_a_pair():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    said = x * rng.uniform(-0.4, 1.3, size=(400, 1)) + rng.normal(size=x.shape) * rng.uniform(0, 0.4, size=(400, 1))
+    along = (x * said).sum(1)
+    across = np.sqrt(np.maximum((said**2).sum(1) - along**2, 0))
+    q = x + rng.normal(size=x.shape) * rng.uniform(0, 0.6, size=(400, 1))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    for t in (0.3, 0.8, 0.99, 1.0):
+        s, score = q @ x.T, q @ said.T
+        assert (score >= neighbors._least_score(along, across, t)[None] - 1e-9)[s >= t].all()
+
+
 def test_many_copies_of_one_vector(spark):
     x = clustered(600, 16, 3)
     rows = [(i, "a", v.tolist(), 0, "") for i, v in enumerate(x)] + [(1000 + i, "a", x[0].tolist(), 0, "") for i in range(1500)]
