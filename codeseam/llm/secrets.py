@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Layers of encoding that are opened.
-DEPTH = 4
+#: Layers are opened as long as there are any: every one is shorter than what it was in. A text that is made to hold very
+#: many is left when what was decoded from it comes to so many times its length, and so many characters more.
+DECODED_TIMES, DECODED_MORE = 40, 1_000_000
 #: Extensions of files in which values stand without quotes; also for files without extension.
 PLAIN_VALUES = frozenset("yaml yml ini env toml conf cfg cnf properties sh bash zsh ps1 bat txt xml json tf tfvars dockerfile netrc pgpass npmrc".split()) | {""}
 
@@ -74,7 +75,7 @@ def _repeats(value: str) -> bool:
 
 def opaque(value: str) -> bool:
     """Whether a literal can be a secret: no reference, placeholder, word, path, sentence, id or checksum."""
-    if not 6 <= len(value) <= 4096 or any(c.isspace() for c in value):
+    if len(value) < 6 or any(c.isspace() for c in value):
         return False
     if _PLACEHOLDER.search(value) or _repeats(value) or _DIGEST.match(value) or _UUID.fullmatch(value) or "://" in value or value.startswith(("data:", "./", "../", "~/")):
         return False
@@ -384,16 +385,134 @@ def _children(data: bytes, lo: int, hi: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def key_container(data: bytes) -> str | None:
-    """The kind of private key container the bytes are, by their grammar: PKCS#1, #8, #12, SEC 1, OpenSSH, JKS, OpenPGP; else None."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        return "openssh"
-    if data[:4] in (b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce") and len(data) > 32 and int.from_bytes(data[4:8], "big") in (1, 2):
-        return "keystore"
-    if data and data[0] in (0x94, 0x95, 0x96, 0xC5) and len(data) > 40:
-        body = data[1 + {0x94: 1, 0x95: 2, 0x96: 4, 0xC5: 1 if data[1] < 192 else 2}[data[0]] :]
-        if body[:1] in (b"\x03", b"\x04", b"\x05", b"\x06") and body[5:6] in (b"\x01", b"\x10", b"\x11", b"\x12", b"\x13", b"\x16", b"\x19", b"\x1b"):
-            return "openpgp"
+class _Bytes:
+    """Reads the fields of a binary format; any field that would end beyond the data raises ValueError."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = data, 0
+
+    def take(self, n: int) -> bytes:
+        if n < 0 or self.at + n > len(self.data):
+            raise ValueError("ends too early")
+        self.at += n
+        return self.data[self.at - n : self.at]
+
+    def number(self, n: int) -> int:
+        return int.from_bytes(self.take(n), "big")
+
+    def field(self, n: int = 4) -> bytes:
+        """A field that is preceded by its length in n bytes."""
+        return self.take(self.number(n))
+
+    def left(self) -> int:
+        return len(self.data) - self.at
+
+
+def _openssh(data: bytes) -> bool:
+    """Magic, cipher, derivation and its options, number of keys, as many public keys, and the private part, whole in blocks of 8."""
+    r = _Bytes(data)
+    if r.take(15) != b"openssh-key-v1\x00":
+        return False
+    cipher, derivation = r.field(), r.field()
+    r.field()
+    keys = r.number(4)
+    if not cipher.isascii() or not derivation or not 1 <= keys <= 64:
+        return False
+    for _ in range(keys):
+        if not _Bytes(r.field()).field().isascii():
+            return False
+    private = r.field()
+    if len(private) < 8 or len(private) % 8:
+        return False
+    return cipher != b"none" or private[:4] == private[4:8]  # twice the same number, where it isn't encrypted
+
+
+def _key_store(data: bytes) -> bool:
+    """JKS and JCEKS: magic, version, entries; at least one of a private (1) or secret (3) key. Certificates (2) alone are none."""
+    r = _Bytes(data)
+    if r.take(4) not in (b"\xfe\xed\xfe\xed", b"\xce\xce\xce\xce"):
+        return False
+    version, entries, keys = r.number(4), r.number(4), 0
+    if version not in (1, 2):
+        return False
+    for _ in range(entries):
+        tag = r.number(4)
+        r.field(2)  # alias
+        r.take(8)  # created
+        if tag == 3:
+            return True  # a serialised object follows, whose end only Java can tell
+        if tag not in (1, 2):
+            return False
+        chain = 1
+        if tag == 1:
+            r.field()
+            chain, keys = r.number(4), keys + 1
+        for _ in range(chain):
+            if version == 2:
+                r.field(2)
+            r.field()
+    return keys > 0 and r.left() in (0, 20)
+
+
+def _openpgp(data: bytes) -> bool:
+    """Packets from the first to the end of the data; the first is a secret key (5) whose numbers are as long as they say."""
+    r, first = _Bytes(data), True
+    while r.left():
+        head = r.number(1)
+        if not head & 0x80:
+            return False
+        if head & 0x40:
+            tag, size = head & 0x3F, r.number(1)
+            if size >= 192:
+                size = int.from_bytes(r.take(4), "big") if size == 255 else ((size - 192) << 8) + r.number(1) + 192 if size < 224 else -1
+        else:
+            tag, kind = (head >> 2) & 15, head & 3
+            size = r.left() if kind == 3 else r.number((1, 2, 4)[kind])
+        body = r.take(size)
+        if first and not (tag == 5 and _secret_key_body(body)):
+            return False
+        if tag in (0, 15, 16) or tag > 21 and tag < 60:
+            return False
+        first = False
+    return not first
+
+
+def _secret_key_body(body: bytes) -> bool:
+    r = _Bytes(body)
+    version = r.number(1)
+    if version not in (3, 4, 5, 6):
+        return False
+    r.take(4)
+    if version == 3:
+        r.take(2)
+    algorithm = r.number(1)
+    if version >= 5:
+        public = _Bytes(r.field())
+    else:
+        public = r
+    # Numbers of the public key, by algorithm; curves begin with the length of their name.
+    numbers = {1: 2, 2: 2, 3: 2, 16: 3, 17: 4, 18: 1, 19: 1, 22: 1}.get(algorithm)
+    if algorithm in (25, 26, 27, 28):
+        public.take({25: 32, 26: 56, 27: 32, 28: 57}[algorithm])
+    elif numbers is None:
+        return False
+    else:
+        if algorithm in (18, 19, 22):
+            name = public.field(1)
+            if name[:1] not in (b"\x2a", b"\x2b"):
+                return False
+        for _ in range(numbers):
+            bits = public.number(2)
+            value = public.take((bits + 7) // 8)
+            if bits == 0 or value[0].bit_length() != (bits - 1) % 8 + 1:
+                return False
+        if algorithm == 18:
+            public.field(1)
+    r.number(1)  # how the secret part is protected
+    return r.left() >= 2
+
+
+def _der_kind(data: bytes) -> str | None:
     top = _der(data)
     if not top or top[0] != 0x30 or top[2] - top[1] < 16 or len(data) - top[2] > 4:
         return None
@@ -412,6 +531,17 @@ def key_container(data: bytes) -> str | None:
     return None
 
 
+def key_container(data: bytes) -> str | None:
+    """The kind of private key container the bytes are, by their grammar: PKCS#1, #8, #12, SEC 1, OpenSSH, JKS, OpenPGP; else None."""
+    for start, kind, holds in ((b"openssh-key-v1\x00", "openssh", _openssh), (b"\xfe\xed\xfe\xed", "keystore", _key_store), (b"\xce\xce\xce\xce", "keystore", _key_store), (None, "openpgp", _openpgp)):
+        if data.startswith(start) if start else data[:1] in (b"\x94", b"\x95", b"\x96", b"\xc5"):
+            try:
+                return kind if holds(data) else None
+            except ValueError:
+                return None
+    return _der_kind(data)
+
+
 def _layers(text: str) -> Iterator[tuple[int, int, bytes]]:
     """Literals that hold another text or bytes: [start, end) and what they hold."""
     for m in _BASE64.finditer(text):
@@ -428,7 +558,8 @@ def _layers(text: str) -> Iterator[tuple[int, int, bytes]]:
             start = m.start()
             while start > 0 and text[start - 1] not in _LITERAL_ENDS:
                 start -= 1
-            yield start, m.end(), unquote(text[start : m.end()]).encode()
+            # %2525..41 is as many layers as it has 25s: they are opened at once.
+            yield start, m.end(), unquote(re.sub(r"%(?:25)+(?=[0-9A-Fa-f]{2})", "%", text[start : m.end()])).encode()
     if "\\" in text:
         for m in _ESCAPES.finditer(text):
             try:
@@ -455,7 +586,7 @@ def _wrapped(text: str) -> Iterator[list[tuple[int, int]]]:
         yield from (pieces[a:b] for a, b in dict.fromkeys(groups) if b - a > 1)
 
 
-def _in_wrapped(text: str, pieces: list[tuple[int, int]], depth: int) -> Iterator[Secret]:
+def _in_wrapped(text: str, pieces: list[tuple[int, int]], room: list[int]) -> Iterator[Secret]:
     """Secrets of a wrapped literal: a key container masks all pieces, a find in its text those that hold it."""
     word = "".join(text[a:b] for a, b in pieces)
     if word.islower() and not any(c.isdigit() for c in word):
@@ -472,7 +603,7 @@ def _in_wrapped(text: str, pieces: list[tuple[int, int]], depth: int) -> Iterato
             yield Secret(kind, pieces[0][0], tuple(pieces))
         elif inner := _text_of(data):
             ranges: list[list[int]] = []
-            for s in find_secrets(inner, True, depth - 1):
+            for s in _search(inner, True, room):
                 lo, hi = s.opens, max([s.opens + 1, *(b for _, b in s.spans)])
                 lo, hi = (len(inner[:k].encode()) * chars for k in (lo, hi))
                 i, k = bisect_right(ends, lo // size), min(bisect_right(ends, (hi - 1) // size), len(pieces) - 1)
@@ -487,22 +618,28 @@ def _in_wrapped(text: str, pieces: list[tuple[int, int]], depth: int) -> Iterato
             yield from (Secret("encoded", pieces[i][0], tuple(pieces[i : k + 1])) for i, k in ranges)
 
 
-def find_secrets(text: str | None, plain: bool = True, depth: int = DEPTH) -> list[Secret]:
+def find_secrets(text: str | None, plain: bool = True) -> list[Secret]:
     """The secrets of a text, in the order in which they open, none inside another; none for null and empty texts.
 
-    plain: values without quotes count too, as in configuration files.
+    plain: values without quotes count too, as in configuration files. Layers within layers are opened to any depth.
     """
-    if not text:
-        return []
+    return _search(text, plain, [DECODED_TIMES * len(text) + DECODED_MORE]) if text else []
+
+
+def _search(text: str, plain: bool, room: list[int]) -> list[Secret]:
+    """room: how many characters may still be decoded out of the whole text."""
     found = list(_plain_finds(text, plain))
-    if depth > 0:
-        for start, end, data in _layers(text):
-            kind = key_container(data)
-            inner = _text_of(data) if not kind else None
-            if kind or (inner and inner != text[start:end] and find_secrets(inner, True, depth - 1)):
-                found.append(Secret(kind or "encoded", start, ((start, end),)))
-        for pieces in _wrapped(text):
-            found += _in_wrapped(text, pieces, depth)
+    for start, end, data in _layers(text):
+        if kind := key_container(data):
+            found.append(Secret(kind, start, ((start, end),)))
+        elif (inner := _text_of(data)) and inner != text[start:end] and room[0] > 0:
+            room[0] -= len(inner)
+            if _search(inner, True, room):
+                found.append(Secret("encoded", start, ((start, end),)))
+    for pieces in _wrapped(text):
+        if room[0] > 0:
+            room[0] -= pieces[-1][1] - pieces[0][0]
+            found += _in_wrapped(text, pieces, room)
     out: list[Secret] = []
     taken = -1
     for s in sorted(found, key=lambda s: (s.opens, -max([b for _, b in s.spans], default=s.opens))):

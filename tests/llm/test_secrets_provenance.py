@@ -1,4 +1,5 @@
 import base64
+import random
 
 import pytest
 
@@ -39,6 +40,55 @@ def der(tag, *parts):
     return bytes([tag]) + size + body
 
 
+def field(data, n=4):
+    return len(data).to_bytes(n, "big") + data
+
+
+def openssh_key(cipher=b"none"):
+    public = field(b"ssh-ed25519") + field(b"p" * 32)
+    private = b"\x00\x01\x02\x03" * 2 + field(b"ssh-ed25519") + field(b"p" * 32) + field(b"s" * 64) + field(b"me")
+    private += bytes(range(1, 1 + -len(private) % 8))
+    return b"openssh-key-v1\x00" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(private)
+
+
+def key_store(*tags):
+    out = b"\xfe\xed\xfe\xed" + (2).to_bytes(4, "big") + len(tags).to_bytes(4, "big")
+    certificate = field(b"X.509", 2) + field(b"c" * 90)
+    for tag in tags:
+        out += tag.to_bytes(4, "big") + field(b"alias", 2) + b"t" * 8
+        out += field(b"k" * 120) + (1).to_bytes(4, "big") + certificate if tag == 1 else certificate
+    return out + b"d" * 20
+
+
+def pgp_key(bits=1024):
+    body = b"\x04" + b"time" + b"\x01" + bits.to_bytes(2, "big") + b"\x80" + b"n" * (bits // 8 - 1) + (17).to_bytes(2, "big") + b"\x01\x00\x01" + b"\x00" + b"s" * 80
+    return b"\x95" + field(body, 2) + b"\xb4" + field(b"me <me@x.test>", 1)
+
+
+def test_grammars_of_key_containers():
+    kinds = {openssh_key(): "openssh", openssh_key(b"aes256-ctr"): "openssh", key_store(1): "keystore", key_store(2, 1): "keystore", pgp_key(): "openpgp"}
+    for data, kind in kinds.items():
+        assert secrets.key_container(data) == kind
+        assert secrets.key_container(data[: len(data) // 2]) is None
+    assert secrets.key_container(b"openssh-key-v1\x00junk") is None and secrets.key_container(key_store(2, 2)) is None
+    rng = random.Random(1)
+    assert not any(secrets.key_container(b"\x95" + rng.randbytes(rng.randint(40, 400))) for _ in range(20_000))
+
+
+def test_layers_have_no_depth_and_values_no_length():
+    text = 'db_password = "S@ddl3#1785-long-enough"'
+    for n in range(9):
+        text = f"x{n}: " + base64.b64encode(text.encode()).decode()
+        assert len(secrets.find_secrets(text)) == 1
+    percent = "".join(f"%{b:02x}" for b in b'db_password = "S@ddl3#1785-long-enough"')
+    for _ in range(30):
+        percent = percent.replace("%", "%25")
+    assert len(secrets.find_secrets(f'v("{percent}")')) == 1
+    long = "aB3xY9-" * 720
+    found = secrets.find_secrets(f'token = "{long}"')
+    assert [s.spans for s in found] == [((9, 9 + len(long)),)]
+
+
 def test_layers_and_containers():
     inner = 'db_password = "S@ddl3#1785-long-enough"'
     once = base64.b64encode(inner.encode()).decode()
@@ -55,7 +105,7 @@ def test_layers_and_containers():
     pkcs1 = der(0x30, der(0x02, b"\x00"), *(der(0x02, bytes([n]) * 16) for n in range(1, 9)))
     sec1 = der(0x30, der(0x02, b"\x01"), der(0x04, b"k" * 32))
     public = der(0x30, der(0x30, oid, der(0x05)), der(0x03, b"\x00" + b"k" * 60))
-    for data, kind in ((pkcs8, "pkcs8"), (pkcs1, "pkcs1"), (sec1, "sec1"), (b"openssh-key-v1\x00" + b"z" * 60, "openssh"), (public, None), (b"k" * 60, None)):
+    for data, kind in ((pkcs8, "pkcs8"), (pkcs1, "pkcs1"), (sec1, "sec1"), (openssh_key(), "openssh"), (b"openssh-key-v1\x00" + b"z" * 60, None), (public, None), (b"k" * 60, None)):
         assert secrets.key_container(data) == kind
         assert [s.kind for s in secrets.find_secrets(f'k = "{base64.b64encode(data).decode()}"')] == ([kind] if kind else [])
 
@@ -91,7 +141,7 @@ def test_blamed_lines_are_redacted(spark, tmp_path):
 def test_wrapped_layers():
     oid = der(0x06, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01")
     pkcs8 = der(0x30, der(0x02, b"\x00"), der(0x30, oid, der(0x05)), der(0x04, b"\x30\x82" + bytes(range(200))))
-    openssh = b"openssh-key-v1\x00" + bytes(range(150))
+    openssh = openssh_key()
     note = b'notes of the day, nothing here ' + b'db_password = "S@ddl3#1785-long-enough"'
     for data, kind in ((pkcs8, "pkcs8"), (openssh, "openssh"), (note, "encoded")):
         for word, width in ((base64.b64encode(data).decode(), 64), (base64.b64encode(data).decode(), 76), (data.hex(), 60)):
