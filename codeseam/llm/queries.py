@@ -99,9 +99,9 @@ def _windows(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, int]:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """The texts that packing had to divide, held against every public tokenizer."""
+    """The texts that lie in several of the packed containers, held against every public tokenizer."""
     packed, capacity = _windows(spark, d, "window_small")
-    divided = durable(packed.where("n_segments > 1").select("doc_id").distinct())
+    divided = durable(packing.divided(packed))
     texts = table(spark, d, "documents").select("doc_id", "text").join(small_side(divided), "doc_id", "left_semi")
     return tokens.above_in_all(texts, "text", capacity).select("doc_id").distinct()
 

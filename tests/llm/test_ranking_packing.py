@@ -141,7 +141,7 @@ def test_packing_fills_and_keeps_the_mixture():
     sources = [rng.choice("aaaabbc") for _ in sizes]
     total = sum(sizes)
     shares = {s: sum(z for z, t in zip(sizes, sources) if t == s) / total for s in "abc"}
-    where = packing.pack(sizes, sources, 2048, shares, {})
+    where = [p.container for p in sorted(packing.pack(sizes, sources, 2048, shares, {}))]
     filled = defaultdict(int)
     for w, z in zip(where, sizes):
         filled[w] += z
@@ -150,7 +150,36 @@ def test_packing_fills_and_keeps_the_mixture():
     for s in "abc":
         part = sum(sizes[i] for i in first if sources[i] == s) / sum(sizes[i] for i in first)
         assert abs(part - shares[s]) < 0.03
-    assert packing.pack([], [], 10, {}, {}) == [] and packing.pack([0, 0], ["a", "a"], 10, {"a": 0.0}, {}) == [0, 0]
+    assert packing.pack([], [], 10, {}, {}) == [] and packing.pack([0, 0], ["a", "a"], 10, {"a": 0.0}, {}) == [(0, 0, 0, 0), (1, 0, 0, 0)]
+    assert packing.pack([25], ["a"], 10, {"a": 1.0}, {}) == [(0, 0, 10, 0), (0, 1, 10, 1), (0, 2, 5, 2)]
+
+
+@pytest.mark.parametrize("capacity", [700, 8000])
+def test_what_sources_are_owed_stays_bounded(capacity):
+    """However many containers: no source runs ahead of its share, or behind it, by more than about two containers, until a source ends."""
+    rng = random.Random(3)
+    sources = [rng.choice("aaaaabbcd") for _ in range(9000)]
+    sizes = [min(3 * capacity, int(rng.lognormvariate(5.2, 0.9)) + 1) for _ in sources]
+    total = {s: sum(z for z, t in zip(sizes, sources) if t == s) for s in "abcd"}
+    shares = {s: t / sum(total.values()) for s, t in total.items()}
+    owed = {"a": 300.0, "b": -200.0, "c": -100.0}
+    packed, taken = 0, {s: -owed.get(s, 0.0) for s in "abcd"}
+    for p in packing.pack(sizes, sources, capacity, shares, owed):
+        packed += p.tokens
+        taken[sources[p.row]] += p.tokens
+        assert all(abs(taken[s] - shares[s] * packed) <= 3 * capacity for s in "abcd")
+    # What is owed at the end is what the sums foretell.
+    assert all(abs((taken[s] - shares[s] * packed) + owed.get(s, 0.0)) < 1e-6 for s in "abcd")
+
+
+def test_windows_follow_target_proportions(spark):
+    rows = [(n, "word " * (5 + n % 20), "ab"[n % 2]) for n in range(2000)]
+    sized = mixing.sized_documents(documents(spark, rows))
+    targets = spark.createDataFrame([("a", 0.8), ("b", 0.2), ("c", 0.0)], "source string, share double")
+    packed = packing.pack_windows(sized, 300, targets=targets).toPandas()
+    first = packed[packed["container_id"] < 40].groupby("source")["tokens"].sum()
+    assert abs(first["a"] / first.sum() - 0.8) < 0.03
+    assert packed["tokens"].sum() == sum(r["tokens"] for r in sized.collect())
 
 
 def test_windows_hold_every_token_once(spark):
