@@ -380,6 +380,7 @@ def _scan(k: int, at_least: float | None, rerank: int, shared):
         norm, ids, asking_ids = members["norm"].to_numpy(), members["id"].to_numpy(), asking["id"].to_numpy()
         wide = x.astype(np.float64)
         wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+        single = wide.astype(np.float32)
         centre = index.centres(np.array([key[1]]))[0]
         if at_least is not None:
             least = _least_score(members["along"].to_numpy(), members["across"].to_numpy(), at_least) - ROUNDING
@@ -391,23 +392,30 @@ def _scan(k: int, at_least: float | None, rerank: int, shared):
             q = np.frombuffer(b"".join(asking["vec"].iloc[lo : lo + step]), dtype=np.float32).reshape(-1, index.dim).astype(np.float64)
             q /= np.linalg.norm(q, axis=1, keepdims=True)
             narrow = q.astype(np.float32)
-            table = narrow @ flat.T
-            score = np.zeros((len(narrow), len(members)), dtype=np.float32)
+            table = flat @ narrow.T  # a code's row holds its part of the score of every query
+            score = np.zeros((len(members), len(narrow)), dtype=np.float32)
             for m in range(len(index.books)):
-                score += table[:, column[:, m]]
+                score += table[column[:, m]]
             if at_least is None:
-                score *= np.sqrt(norm)  # by the root of the stored norm a score is nearest to the truth, as ranks need
-            score += (narrow @ centre)[:, None]
+                score *= np.sqrt(norm)[:, None]  # by the root of the stored norm a score is nearest to the truth, as ranks need
+            score += narrow @ centre
             here = asking_ids[lo : lo + step]
-            score[here[:, None] == ids[None, :]] = -9
             if at_least is not None:
-                a, b = np.nonzero(score >= least)
+                b, a = np.nonzero(score >= least[:, None])
             else:
+                score = score.T
+                score[here[:, None] == ids[None, :]] = -9
                 r = min(rerank, len(members))
                 b = (np.argpartition(-score, r - 1, axis=1)[:, :r] if r < len(members) else np.tile(np.arange(r), (len(here), 1))).ravel()
                 a = np.repeat(np.arange(len(here)), r)
             same = here[a] == ids[b]
             a, b = a[~same], b[~same]
+            if at_least is not None:  # in single precision first, which leaves few
+                near = np.empty(len(a), dtype=np.float32)
+                for s in range(0, len(a), 50_000):
+                    near[s : s + 50_000] = np.einsum("ij,ij->i", narrow[a[s : s + 50_000]], single[b[s : s + 50_000]])
+                high = near >= at_least - ROUNDING
+                a, b = a[high], b[high]
             exact = np.empty(len(a))
             for s in range(0, len(a), 100_000):
                 exact[s : s + 100_000] = (q[a[s : s + 100_000]] * wide[b[s : s + 100_000]]).sum(1)
