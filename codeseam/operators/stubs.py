@@ -16,14 +16,25 @@ from codeseam.functions import columns as C
 BODY = " { /* ... */ }"
 MAX_LINES, MAX_ENTRIES, CHUNK_BYTES = 100, 5, 40
 
-# How lines begin that are kept whatever they hold, and that open a scope whose members are kept.
-_KEPT = ("#", "//", "using ", "typedef ", "template", "friend ", "import ", "from ", "use ", "mod ", "extern ", "package ")
-_TYPE_WORDS = ("class ", "struct ", "namespace ", "enum ", "interface ", "trait ", "impl ")
-_TYPE_STARTS = (*_TYPE_WORDS, "union ", "module ", "package ", "object ", "extern ")
-_FUNCTION_ENDS = (")", "const", "override", "final", "noexcept", "= 0", "= default", "= delete")
-_FUNCTION_WORDS = ("fn ", "func ", "function ")
+# Words that open a scope of declarations, and words of functions.
+_TYPE_WORDS = "class struct namespace enum interface trait impl union module package object extern"
+_FUNCTION_WORDS = "fn func fun function"
+#: How annotations and macros stand before what they are about (fixed values).
 _ANNOTATION = re.compile(r"@[A-Z]|#\[|\[[A-Z]|//go:|[A-Z][A-Z_]{2,}\(")
 
+_GROUP = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+_ADORNMENT = re.compile(rf"\s*(?:@[\w.]+(?:\s*{_GROUP})?|[A-Z][A-Z_]{{2,}}\s*{_GROUP}|#!?\[[^\]]*\]|\[\[?[A-Z][^\]]*\]\]?|template\s*<(?:[^<>]|<[^<>]*>)*>|(?:public|private|protected|signals|slots)\s*:(?!:))")
+_TYPE_HEAD = re.compile(rf"(?<![\w.])(?:{_TYPE_WORDS.replace(' ', '|')})(?![\w.])")
+_FUNCTION_HEAD = re.compile(rf"(?<![\w.])(?:{_FUNCTION_WORDS.replace(' ', '|')})(?!\w)")
+_VALUE_OF_TYPE = re.compile(r"(?:struct|enum|union)\s+\w+[\s*&]+\w+\s*$")
+#: What the scan of a brace language looks at; texts between quotes and comments hold no braces.
+_SCAN = {
+    "'": re.compile(r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<directive>^[ \t]*#(?:[^\n\\]|\\.)*)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?P<mark>[{};])", re.S | re.M),
+    "": re.compile(r"(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<directive>^[ \t]*#(?:[^\n\\]|\\.)*)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\[^\n]{1,8}?|[^'\\\n])'|`[^`]*`|(?P<mark>[{};])", re.S | re.M),
+}
+#: Languages in which a text may stand between single quotes.
+_QUOTED = frozenset("js jsx ts tsx mjs cjs php dart groovy vue svelte".split())
+
 
 def _lines(text: str) -> list[str]:
     out = text.split("\n")
@@ -32,71 +43,88 @@ def _lines(text: str) -> list[str]:
     return [x[:-1] if x.endswith("\r") else x for x in out]
 
 
-def _names_type(line: str) -> bool:
-    line = line.strip()
-    return line.startswith(_TYPE_STARTS) or ("{" in line and any(w in line for w in _TYPE_WORDS))
-
-
-def _opener(lines: list[str], at: int) -> str:
-    """The line that a lone brace belongs to: the one before, past blank lines and lines that go on with base classes."""
-    at -= 1
-    while at > 0:
-        line = lines[at].strip()
-        goes_on = line.startswith(",") or (line.startswith(":") and not line.startswith("::"))
-        if line and not goes_on:
+class Scope(NamedTuple):
+    """A pair of braces: [start, end) with both, nesting depth (0 outermost), where its head begins, whether it declares."""
+
+    start: int
+    end: int
+    depth: int
+    head: int
+    declares: bool
+
+
+def declares(head: str) -> bool:
+    """Whether braces after this head hold declarations or values (a type, a namespace, a literal) and no code."""
+    while m := _ADORNMENT.match(head):
+        head = head[m.end() :]
+    before = head.split("(", 1)[0]
+    function = _FUNCTION_HEAD.search(before)
+    if (m := _TYPE_HEAD.search(before)) and not (function and function.start() < m.start()):
+        return "(" not in head or not _VALUE_OF_TYPE.search(before)
+    if function or head.rstrip().endswith(("=>", "->")):
+        return False
+    opened = head.count("(") - head.count(")")
+    inside = head.rsplit("(", 1)[-1]
+    return "(" not in head or opened > 0 and ")" not in inside and not _FUNCTION_HEAD.search(inside)
+
+
+def scopes(text: str, quoted: bool = False) -> tuple[list[Scope], list[tuple[int, int]]]:
+    """All scopes of a text in a brace language, in the order in which they open, and its comments, in one pass.
+
+    quoted: texts may stand between single quotes. A scope that isn't closed ends with the text.
+    """
+    found: list[list] = []
+    open_scopes: list[int] = []
+    comments = []
+    head = 0
+    for m in _SCAN["'" if quoted else ""].finditer(text):
+        if m["comment"] is not None:
+            comments.append(m.span())
+            if not text[head : m.start()].strip():
+                head = m.end()
+        elif m["directive"] is not None:
+            if not m["directive"].lstrip().startswith("#["):
+                head = m.end()
+        elif m["mark"] == "{":
+            line = text.rfind("\n\n", head, m.start())
+            head = line + 2 if line >= 0 and text[line:m.start()].strip() else head
+            found.append([m.start(), len(text), len(open_scopes), head, declares(_without(text, head, m.start(), comments))])
+            open_scopes.append(len(found) - 1)
+            head = m.end()
+        elif m["mark"] == "}":
+            if open_scopes:
+                found[open_scopes.pop()][1] = m.end()
+            head = m.end()
+        elif m["mark"] == ";":
+            head = m.end()
+    return [Scope(*x) for x in found], comments
+
+
+def _without(text: str, start: int, end: int, comments: list[tuple[int, int]]) -> str:
+    """text[start:end] without its comments; comments are in order, and those of the head are the last ones."""
+    parts, at = [], end
+    for a, b in reversed(comments):
+        if a < start:
             break
-        at -= 1
-    return lines[max(at, 0)]
-
-
-def keeps_members(lines: list[str], at: int) -> bool:
-    """Whether the scope that opens on this line is one of declarations (a type, a namespace) and not a body."""
-    line = lines[at].strip()
-    if _names_type(line):
-        return True
-    if at > 0 and (line in ("{", "{}") or line.startswith("{ ")):
-        return _names_type(_opener(lines, at))
-    head = line.split("{", 1)[0].strip()
-    is_function = head.endswith(_FUNCTION_ENDS) or ") :" in head or "):" in head or ("]" in head and "(" in head)
-    return not (is_function or head.startswith(_FUNCTION_WORDS) or any(f" {w}" in head for w in _FUNCTION_WORDS))
-
-
-def _braced(text: str) -> str:
-    lines, out = _lines(text), []
-    depth, resume, comment = 0, None, None  # resume: the depth at which a body ends; comment: whether the open one is kept
-    for at, line in enumerate(lines):
-        bare = line.strip()
-        if comment is not None:
-            if comment:
-                out.append(line)
-            if "*/" in bare:
-                comment = None
-        elif resume is not None:
-            for c in line:
-                depth += (c == "{") - (c == "}")
-                if c == "}" and depth <= resume:
-                    resume = None
-                    break
-        elif bare.startswith("/*") and "*/" not in bare:
-            comment = bare.startswith(("/**", "/*!"))
-            if comment:
-                out.append(line)
-        elif not bare or bare.startswith(_KEPT) or _ANNOTATION.match(bare):
-            out.append(line)
-        elif "{" in bare and not keeps_members(lines, at):
-            out.append(line.split("{", 1)[0].rstrip() + BODY)
-            if line.rfind("}") <= line.find("{"):
-                resume = depth
-                depth += line.count("{") - line.count("}")
-        else:
-            depth += line.count("{") - line.count("}")
-            out.append(line)
-    kept, blanks = [], 0
-    for line in out:
-        blanks = blanks + 1 if not line.strip() else 0
-        if blanks <= 2:
-            kept.append(line if line.strip() else "")
-    return "".join(x + "\n" for x in kept)
+        parts.append(text[b:at])
+        at = a
+    parts.append(text[start:at])
+    return "".join(reversed(parts))
+
+
+def _braced(text: str, ext: str = "") -> str:
+    """The text without bodies and without comments over several lines that document nothing."""
+    text = "".join(x + "\n" for x in _lines(text))
+    found, comments = scopes(text, ext in _QUOTED)
+    cuts = [(s.start, s.end, BODY if s.start and not text[s.start - 1].isspace() else BODY.lstrip()) for s in found if not s.declares]
+    cuts += [(a, b, "") for a, b in comments if "\n" in text[a:b] and not text.startswith(("/**", "/*!"), a)]
+    parts, at = [], 0
+    for start, end, instead in sorted(cuts):
+        if start >= at:
+            parts += [text[at:start], instead]
+            at = end
+    out = "".join([*parts, text[at:]])
+    return re.sub(r"\n(?:[ \t]*\n){3,}", "\n\n\n", re.sub(r"(?m)[ \t]+$", "", out))
 
 
 def _indented(text: str) -> str:
@@ -165,7 +193,7 @@ def stub(text: str | None, ext: str | None) -> str:
     ext = ext or ""
     family = next((k for k, v in C.FAMILIES.items() if ext in v.split()), "unknown")
     if family == "brace":
-        return _braced(text)
+        return _braced(text, ext)
     if family == "indent":
         return _indented(text)
     if family == "ini":
@@ -207,96 +235,89 @@ def size(text: str) -> int:
     return -(-len(text.encode()) // 3)
 
 
+# How imports, macros and types begin.
 _IMPORT = re.compile(r"#include|#pragma|import |from |use (?!.*\{)")
 _MACRO = re.compile(r"IMPLEMENT_|DECLARE_|[A-Z][A-Z_]{2,}\(")
 _CLASS = re.compile(r"(?:class|struct|interface|trait|impl) ")
-_STUBBED = re.compile(r".*\(.*\{ /\* \.\.\. \*/ \}$")
-
-
-def _argument(line: str) -> str:
-    m = re.search(r"\(([^,)]*)[,)]", line)
-    return m[1].strip().lower() if m else ""
-
 
-def _function_name(line: str) -> str:
-    return re.split(r"[ \t*&>]", line.split("(", 1)[0])[-1].strip().lower()
 
-
-def _starts_block(line: str) -> bool:
-    return bool(line.startswith(("#include", "#pragma", "import ", "from ")) or _CLASS.match(line) or _MACRO.match(line) or _STUBBED.match(line))
+def _statements(text: str, quoted: bool) -> Iterator[tuple[str, Scope | None]]:
+    """The statements of a summary, whole lines each, with their first outermost scope.
+
+    One ends at the line on which its outermost scope closes, on which a ; stands outside all, or before a blank line. A
+    line that is a comment, a directive, an import, an annotation or a closed macro is one by itself.
+    """
+    found, comments = scopes(text, quoted)
+    outer = [s for s in found if s.depth == 0]
+    held = sorted([(s.start, s.end) for s in outer] + comments)
+    first, start, at, k = 0, 0, 0, 0
+    while at < len(text):
+        end = text.find("\n", at) + 1 or len(text)
+        while k < len(held) and held[k][0] < end:  # a line goes on as long as something is open on it
+            if held[k][1] > end:
+                end = text.find("\n", held[k][1] - 1) + 1 or len(text)
+            k += 1
+        line, own = text[at:end].strip(), None
+        while first < len(outer) and outer[first].start < at:
+            first += 1
+        if first < len(outer) and outer[first].start < end:
+            own = outer[first]
+        alone = line.startswith(("//", "/*", "#")) or _IMPORT.match(line) or _ANNOTATION.match(line) and line.count("(") <= line.count(")")
+        if start < at and (not line or alone):
+            yield text[start:at], None
+            start = at
+        if not line:
+            start = end
+        elif alone or own or line.endswith(";"):
+            yield text[start:end], own
+            start = end
+        at = end
+    if text[start:].strip():
+        yield text[start:], None
+
+
+def _describe(statement: str, scope: Scope | None, text: str) -> Block:
+    """What a statement is, by its first line and its scope."""
+    bare = statement.strip()
+    line = bare.split("\n", 1)[0]
+    if _IMPORT.match(line):
+        return Block("imports", "", statement, "")
+    if _MACRO.match(line):
+        named = re.search(r"\(([^,)]*)[,)]", line)
+        return Block("macro", named[1].strip().lower() if named else "", statement, statement)
+    if _ANNOTATION.match(line):
+        return Block("annotation", "", statement, statement)
+    if bare.endswith(BODY.strip()) and "(" in bare:
+        return Block("function", re.split(r"[\s*&>]", bare.split("(", 1)[0])[-1].lower(), statement, statement)
+    if scope and scope.declares and _CLASS.match(line):
+        inner = [x.strip() for x in text[scope.start + 1 : scope.end - 1].split("\n")]
+        name = re.split(r"[\s:{<]", line.split(" ", 1)[1].lstrip())[0].lower()
+        return Block("class", name, statement, f"{bare.split('{', 1)[0].strip()} {{ /* {sum(x[:1] not in ('', '{', '}') for x in inner)} members */ }};\n")
+    return Block("misc", "", statement, "")
 
 
 def blocks(text: str, ext: str) -> list[Block]:
-    """A summary as blocks that can be kept, shortened or dropped by themselves; one block where there are no braces."""
+    """A summary as blocks that can be kept, shortened or dropped by themselves; one block where there are no braces.
+
+    Neighbouring imports are one block, and so are neighbouring annotations and statements of no kind.
+    """
     if ext not in C.FAMILIES["brace"].split():
         return [Block("misc", "", text, text)]
-    lines, out, at = _lines(text), [], 0
+    out: list[Block] = []
+    for statement, scope in _statements(text, ext in _QUOTED):
+        new = _describe(statement, scope, text)
+        if out and new.kind == out[-1].kind and new.kind in ("imports", "annotation", "misc"):
+            both = out[-1].full + new.full
+            out[-1] = out[-1]._replace(full=both, summary=both if new.kind == "annotation" else "")
+        else:
+            out.append(new)
+    return [b._replace(summary=_imports(b.full)) if b.kind == "imports" else b for b in out]
 
-    def upto(end: int) -> str:
-        return "\n".join(lines[at:end]) + "\n"
 
-    while at < len(lines):
-        bare = lines[at].strip()
-        end = at + 1
-        if not bare:
-            at += 1
-            continue
-        if _IMPORT.match(bare):
-            group = []
-            while at < len(lines) and (not lines[at].strip() or _IMPORT.match(lines[at].strip())):
-                if lines[at].strip():
-                    group.append(lines[at])
-                at += 1
-            names = [x.strip()[8:].strip().strip('"<>').strip().rsplit("/", 1)[-1] if x.strip().startswith("#include") else x.strip() for x in group[:3]]
-            out.append(Block("imports", "", "\n".join(group) + "\n", f"// {len(group)} imports ({', '.join(names)})\n"))
-            continue
-        if _MACRO.match(bare):
-            known = bare.startswith(("IMPLEMENT_", "DECLARE_"))
-            closing = (";", ")") if known else (";", ")", "}")
-            if not bare.endswith(closing):
-                last = len(lines) if known else min(len(lines), at + 20)
-                while end < last:
-                    end += 1
-                    if lines[end - 1].strip().endswith(closing):
-                        break
-            out.append(Block("macro", _argument(bare), upto(end), upto(end)))
-        elif _ANNOTATION.match(bare):
-            while end < len(lines) and _ANNOTATION.match(lines[end].strip()):
-                end += 1
-            out.append(Block("annotation", "", upto(end), upto(end)))
-        elif _CLASS.match(bare) and not bare.endswith(";"):
-            depth, opened, members, end = 0, False, 0, at
-            while end < len(lines):
-                depth += lines[end].count("{") - lines[end].count("}")
-                opened = opened or "{" in lines[end]
-                inner = lines[end].strip()
-                members += bool(opened and depth > 0 and inner and inner[0] not in "{}")
-                end += 1
-                if opened and depth <= 0:
-                    break
-            name = re.split(r"[ :{\t<]", bare.split(" ", 1)[1])[0].strip().lower()
-            out.append(Block("class", name, upto(end), f"{bare.split('{', 1)[0].strip()} {{ /* {members} members */ }};\n"))
-        elif _STUBBED.match(bare):
-            out.append(Block("function", _function_name(bare), upto(end), upto(end)))
-        else:
-            stubbed = None
-            if "(" in bare and not bare.startswith(("//", "#")):
-                for j in range(at + 1, min(len(lines), at + 5)):
-                    after = lines[j].strip()
-                    if after.endswith(BODY.strip()):
-                        stubbed = j + 1
-                    elif not after or after.startswith("//") or "(" in after or after.endswith((")", "const", "override")):
-                        continue
-                    break
-            if stubbed:
-                end = stubbed
-                out.append(Block("function", _function_name(bare), upto(end), upto(end)))
-            else:
-                while end < len(lines) and not _starts_block(lines[end].strip()):
-                    end += 1
-                out.append(Block("misc", "", upto(end), ""))
-        at = end
-    return out
+def _imports(text: str) -> str:
+    lines = [x.strip() for x in _lines(text)]
+    shown = [re.sub(r'^#include\s*[<"]?|[>"]$', "", x).rsplit("/", 1)[-1] if x.startswith("#include") else x for x in lines[:3]]
+    return f"// {len(lines)} imports ({', '.join(shown)})\n"
 
 
 # --- chunks -----------------------------------------------------------------------------------------------------------
