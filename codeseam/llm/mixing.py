@@ -2,6 +2,8 @@
 
 No sort: tokens are summed by source and hash bucket, the bucket in which a source's budget ends is looked up, and only
 the documents of that bucket are summed again, on the next bits of their hash. Choosing is then a filter on the hash.
+What sources lack that can't reach their target is given out to the others, so that the mix is as large as promised as
+long as any source has repeats left.
 """
 
 from __future__ import annotations
@@ -32,25 +34,55 @@ def sized_documents(documents: DataFrame, **tokenizer: str) -> DataFrame:
     return durable(once.withColumn("h", F.xxhash64("doc_id").bitwiseAND(F.lit((1 << BITS * LEVELS) - 1))))
 
 
+def give_out(total: float, rows: list[tuple[float, float]]) -> list[float]:
+    """Budgets that add up to total, in proportion to the shares, none above its source's most; rows: (share, most).
+
+    What doesn't fit goes to those with room, again by share, until nothing is left or nobody has room.
+    """
+    budgets, open_rows = [0.0] * len(rows), [n for n, (share, most) in enumerate(rows) if share > 0 and most > 0]
+    left = float(total)
+    while open_rows and left > 1e-9 * max(total, 1.0):
+        shares = sum(rows[n][0] for n in open_rows)
+        filled = [n for n in open_rows if budgets[n] + left * rows[n][0] / shares >= rows[n][1]]
+        if not filled:
+            for n in open_rows:
+                budgets[n] += left * rows[n][0] / shares
+            return budgets
+        # Full ones are set first: what is left is then given anew to the others from the start.
+        for n in filled:
+            budgets[n] = float(rows[n][1])
+        open_rows = [n for n in open_rows if n not in set(filled)]
+        for n in open_rows:
+            budgets[n] = 0.0
+        left = total - sum(budgets)
+    return budgets
+
+
+PLAN = "source string, key string, target_share double, max_repeats long, tokens long, n_docs long, target_tokens double, budget double, copies long, partial long"
+
+
 def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row per listed source: share, max_repeats, available tokens, budget, whole copies and tokens of the partial one.
+    """One row per listed source: share, max_repeats, available tokens, target and budget, whole copies and tokens of the partial one.
 
-    The mix is as large as all documents of the listed sources together. Targets spelt differently but alike by
-    source_key are one source (shares add up, the largest cap holds); null shares and caps count as 0 and 1.
+    The mix is as large as all documents of the listed sources together; target_tokens is a source's share of it, budget
+    what it gives: the target, less what its documents lack at max_repeats, plus its part of what others lack. Targets
+    spelt differently but alike by source_key are one source (shares add up, the largest cap holds); null shares and caps
+    count as 0 and 1. The driver holds one row per listed source.
     """
     listed = targets.where("source is not null").groupBy(source_key(F.col("source")).alias("key")).agg(
-        F.min("source").alias("source"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("max_repeats")
+        F.min("source").alias("source"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("long").alias("max_repeats")
     )
     have = sized.groupBy(F.col("source").alias("key")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"))
-    rows = small_side(listed).join(have, "key", "left").withColumns({"tokens": F.coalesce("tokens", F.lit(0)), "n_docs": F.coalesce("n_docs", F.lit(0))})
-    total = rows.agg(F.sum("tokens").alias("mix_tokens"))
-    budget = F.col("target_share") * F.col("mix_tokens")
-    rows = rows.join(F.broadcast(total)).withColumn("budget", budget)  # one row
-    copies = F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("long"), F.floor(F.col("budget") / F.col("tokens")))).otherwise(F.lit(0).cast("long"))
-    rows = rows.withColumn("copies", F.greatest(copies, F.lit(0).cast("long")))
-    rest = F.when(F.col("copies") < F.col("max_repeats"), F.floor(F.col("budget") - F.col("copies") * F.col("tokens"))).otherwise(F.lit(0))
-    short = F.col("tokens") * F.col("max_repeats") < F.col("budget") * (1 - 1e-9)
-    return rows.withColumns({"partial": F.greatest(rest, F.lit(0)).cast("long"), "short": short})
+    found = small_side(listed).join(have, "key", "left").orderBy("key").collect()
+    rows = [(r["source"], r["key"], max(r["target_share"], 0.0), max(r["max_repeats"], 0), r["tokens"] or 0, r["n_docs"] or 0) for r in found]
+    total = sum(r[4] for r in rows)
+    out = []
+    for row, budget in zip(rows, give_out(total, [(share, tokens * cap) for _, _, share, cap, tokens, _ in rows])):
+        _, _, share, cap, tokens, _ = row
+        copies = min(cap, int((budget + 1e-6) // tokens)) if tokens else 0
+        partial = max(0, int(budget - copies * tokens + 1e-6)) if copies < cap else 0
+        out.append((*row, float(share * total), float(budget), copies, partial))
+    return sized.sparkSession.createDataFrame(out, PLAN)
 
 
 def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
@@ -93,10 +125,17 @@ def mix(sized: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """One row per listed source: target and actual share, tokens, repeats used, and whether it misses its target."""
-    used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
-    rows = plan.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    """One row per listed source: target and actual share, tokens, repeats used, and whether it misses its target.
+
+    short is read off the mix: its tokens of the source are below the target although every document of the source is in
+    it as often as it may be.
+    """
+    used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"), F.min("repeats").alias("least_repeats"), F.count("*").alias("used_docs"))
+    rows = plan.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0).cast("long")))
     total = rows.agg(F.sum("mixed_tokens").alias("all_tokens"))
     rows = rows.join(F.broadcast(total))  # one row
     actual = F.round(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("all_tokens").cast("double")), 6)
-    return rows.select("source", "target_share", actual.alias("actual_share"), "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.col("tokens").alias("available_tokens"), "mixed_tokens", "short")
+    exhausted = (F.col("n_docs") == 0) | ((F.col("used_docs") == F.col("n_docs")) & (F.col("least_repeats") == F.col("max_repeats")))
+    short = F.coalesce(exhausted & (F.col("mixed_tokens") < F.col("target_tokens") * (1 - 1e-9)), F.lit(False))
+    columns = ["source", "target_share", actual.alias("actual_share"), "max_repeats", F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.col("tokens").alias("available_tokens"), "mixed_tokens", short.alias("short")]
+    return rows.select(*columns)

@@ -213,8 +213,11 @@ def test_mix_reaches_shares_and_reports_short_sources(spark):
     assert {s for s, r in report.items() if r["short"]} == {"tiny", "absent"}
     size = {r["doc_id"]: r["tokens"] for r in sized.collect()}
     total = sum(r["tokens"] for r in sized.collect() if r["source"] in ("big", "mid-one", "tiny"))
-    for s, share in (("big", 0.4), ("mid-one", 0.3)):
-        assert 0 <= share * total - report[s]["mixed_tokens"] <= max(size.values()) + 1
+    # What tiny and absent lack goes to the others, 4 : 3; the mix is as large as all listed documents but for a document of each.
+    left = total - report["tiny"]["mixed_tokens"]
+    for s, share in (("big", 4 / 7), ("mid-one", 3 / 7)):
+        assert 0 <= share * left - report[s]["mixed_tokens"] <= max(size.values()) + 1
+    assert 0 <= total - sum(r["mixed_tokens"] for r in report.values()) <= 2 * max(size.values()) + 2
     assert report["tiny"]["most_repeats"] == 2 and report["absent"]["mixed_tokens"] == 0
     got = mixed.collect()
     assert all(size[r["doc_id"]] == r["tokens"] for r in got) and len({r["doc_id"] for r in got}) == len(got)
@@ -226,7 +229,15 @@ def test_mix_reaches_shares_and_reports_short_sources(spark):
         after = next((t for h, t in own if h >= below[p["key"]]), None)
         assert sum(inside) <= p["partial"] and (after is None or sum(inside) + after > p["partial"])
     empty = mixing.plan_mix(sized.limit(0), targets)
-    assert mixing.mix(sized.limit(0), empty).count() == 0 and empty.where("short").count() == 0
+    assert mixing.mix(sized.limit(0), empty).count() == 0
+    assert mixing.shares(mixing.mix(sized.limit(0), empty), empty).where("short").count() == 0
+
+
+def test_leftovers_are_given_out():
+    assert mixing.give_out(100, [(0.5, 1000), (0.5, 1000)]) == [50, 50]
+    assert mixing.give_out(100, [(0.5, 10), (0.3, 1000), (0.2, 1000)]) == [10, 54, 36]
+    assert mixing.give_out(100, [(0.5, 10), (0.3, 50), (0.2, 1000)]) == [10, 50, 40]
+    assert mixing.give_out(100, [(0.5, 10), (0.3, 20), (0.2, 0)]) == [10, 20, 0] and mixing.give_out(0, [(1.0, 5)]) == [0.0]
 
 
 @pytest.mark.parametrize("spelling", ["Read_Me", " read-me", "READ me ", "read-me"])
