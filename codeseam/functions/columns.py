@@ -111,8 +111,14 @@ def byte_label(n: Column) -> Column:
 
 
 def cut_line(text: Column, most: int) -> Column:
-    """At most `most` characters, with ... where something was cut off."""
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    """At most `most` bytes in UTF-8, whole characters, with ... where something was cut off."""
+    return F.when(F.octet_length(text) > most, F.concat(cut_bytes(text, most), F.lit("..."))).otherwise(text)
+
+
+def cut_bytes(text: Column, most: int) -> Column:
+    """The longest beginning of at most `most` bytes in UTF-8 that ends with a whole character."""
+    ends = [F.substring(text.cast("binary"), 1, most - k).cast("string") for k in range(min(4, most))]
+    return F.coalesce(*(F.when(F.is_valid_utf8(e), e) for e in ends), F.lit(""))
 
 
 def snippet(text: Column) -> Column:

@@ -151,7 +151,8 @@ def search_files(files: DataFrame, query: str, limit: int, compat: bool = False)
     tokens = [Token(w, compat) for w in query.split()]
     if not tokens:
         return files.select("repo", "path", F.lit(0.0).alias("score")).limit(0)
-    rows = files.select("repo", "path", "filename", C.describe(F.col("path")).alias("desc"))
+    # explode keeps the description a column: in a projection it would be worked out anew for each character that is tested.
+    rows = files.select("repo", "path", "filename", F.explode(F.array(C.describe(F.col("path")))).alias("desc"))
     rows = rows.where(_may_hold(tokens, F.col("filename"), F.col("path"), F.col("desc")))
 
     @F.pandas_udf("double")

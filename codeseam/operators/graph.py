@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
-from codeseam.session import SMALL_ROWS, durable, small_side
+from codeseam.session import HOT_ROWS, SMALL_ROWS, durable, numbered, small_side
 
 # How imports look in each family of languages (extensions, pattern with one group).
 IMPORTS = (
@@ -87,7 +89,8 @@ def reach(edges: DataFrame, start: list[str], max_depth: int) -> DataFrame:
     A round joins the newest nodes with the edges and drops those seen before; each round is kept in the shared folder.
     """
     spark = edges.sparkSession
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
+    # Kept once by node: every round joins with it.
+    back = durable(edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct().repartition("node"))
     seen = spark.createDataFrame([(s, 0) for s in start], "node string, depth int")
     newest = seen
     n = len(start)
@@ -100,23 +103,27 @@ def reach(edges: DataFrame, start: list[str], max_depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
-def shortest_paths(edges: DataFrame, start: str, goals: list[str], max_depth: int = 12) -> DataFrame:
-    """(goal, path, hops) with a shortest way along the edges to each goal, the first in order among equals; goals out of reach have no row."""
+def shortest_paths(edges: DataFrame, start: str, goals: list[str], max_depth: int | None = None) -> DataFrame:
+    """(goal, path, hops) with a shortest way along the edges to each goal, the first in order among equals; goals out of reach have no row.
+
+    A round per hop, until all goals are met or nothing new is: however long the ways are, unless max_depth bounds them.
+    """
     spark = edges.sparkSession
-    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    step = durable(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct().repartition("node"))
     newest = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen, found, missing = newest.select("node"), spark.createDataFrame([], newest.schema), set(goals)
-    for _ in range(max_depth + 1):
+    for _ in itertools.count() if max_depth is None else range(max_depth + 1):
         hits = newest.where(F.col("node").isin(sorted(missing)))
-        missing -= {r["node"] for r in hits.select("node").collect()}
-        found = found.unionByName(hits)
+        if met := {r["node"] for r in hits.select("node").collect()}:
+            missing -= met
+            found = found.unionByName(hits)
         if not missing:
             break
         ways = newest.join(step, "node").select(F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         newest = durable(ways.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
         if newest.isEmpty():
             break
-        seen = seen.unionByName(newest.select("node"))
+        seen = durable(seen.unionByName(newest.select("node")))
     return found.select(F.col("node").alias("goal"), F.array_join("path", " -> ").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
@@ -195,10 +202,14 @@ def longest_module(files: DataFrame, modules: DataFrame) -> DataFrame:
     return up.join(modules, "module_category").groupBy("file_id").agg(F.max_by("module", F.length("module_category")).alias("module"))
 
 
-def attention_order(rows: DataFrame, group: str, score: str, tie: str) -> DataFrame:
-    """rows with place: the best third first, then the last, the middle third at the end; below three by score alone."""
-    w = Window.partitionBy(group)
-    r, n = F.row_number().over(w.orderBy(F.desc(score), tie)) - 1, F.count("*").over(w)
+def attention_order(rows: DataFrame, group: str, score: str, tie: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with place: the best third first, then the last, the middle third at the end; below three by score alone.
+
+    tie makes the order unique in a group. A large group is numbered by ranges, see session.numbered.
+    """
+    counts = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    ranked = numbered(rows, group, [(score, True), (tie, False)], "__r", hot_rows).join(counts, group)
+    r, n = F.col("__r"), F.col("__n")
     third = F.floor(n / 3)
     place: Column = F.when(n < 3, r).when(r < third, r).when(r < 2 * third, r + n - 2 * third).otherwise(r - third)
-    return rows.withColumn("place", place.cast("int"))
+    return ranked.withColumn("place", place.cast("int")).drop("__r", "__n")

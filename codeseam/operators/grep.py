@@ -5,15 +5,19 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
+from codeseam.session import distinct_rows, durable
 
 #: Texts above this many bytes don't enter the term statistics (but are counted as documents).
 MAX_TERM_BYTES = 256 * 1024
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 MODES = ("any", "all", "exact", "regex")
+#: Bytes that are shown of a line.
+SNIPPET_BYTES = 200
 
 
 def terms_of(query: str) -> list[str]:
@@ -29,10 +33,7 @@ def line_match(line: Column, query: str, mode: str) -> Column:
         raise ValueError("empty query" if not query.strip() else f"match mode {mode}")
     low = F.lower(line)
     if mode == "regex":
-        try:
-            re.compile(query)
-        except re.error as e:
-            raise ValueError(f"invalid pattern: {e}") from e
+        _check_pattern(query)
         return line.rlike("(?i)" + query)
     if mode == "exact":
         return F.contains(low, F.lit(query.lower()))
@@ -40,6 +41,15 @@ def line_match(line: Column, query: str, mode: str) -> Column:
     return reduce(lambda a, b: a & b if mode == "all" else a | b, hits)
 
 
+def _check_pattern(pattern: str) -> None:
+    """Raises ValueError for a pattern that isn't valid where it will run: in Java, which knows other constructs than Python."""
+    jvm = SparkSession.active()._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
+    except Py4JJavaError as e:
+        raise ValueError(f"invalid pattern: {e.java_exception.getDescription()}") from e
+
+
 def words(text: Column) -> Column:
     """The different words of a text: letters, digits and _, at least two bytes, in lower case."""
     return F.filter(F.array_distinct(F.split(F.lower(text), WORD_BREAK)), lambda w: F.octet_length(w) >= 2)
@@ -47,7 +57,7 @@ def words(text: Column) -> Column:
 
 def term_doc_freq(files: DataFrame, text: str = "content") -> DataFrame:
     """(term, df): the number of files that hold each word; a file_id that occurs twice counts once."""
-    small = files.where(F.octet_length(text) <= MAX_TERM_BYTES).select("file_id", words(F.col(text)).alias("w")).dropDuplicates(["file_id"])
+    small = distinct_rows(files.select("file_id", text), "file_id").where(F.octet_length(text) <= MAX_TERM_BYTES).select(words(F.col(text)).alias("w"))
     return small.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -55,12 +65,17 @@ def idf(df: Column, n: Column) -> Column:
     return F.greatest(F.lit(1.0), F.log((n + 1) / (df + 1)) + 1)
 
 
-def term_weights(files: DataFrame, terms: list[str], text: str = "content") -> DataFrame:
-    """One row: idfs, the weight of each term in order; a term that is in no text counts as if in all."""
-    own = F.when(F.octet_length(text) <= MAX_TERM_BYTES, words(F.col(text)))
-    held = files.select("file_id", own.alias("w")).select("file_id", *(F.array_contains("w", t).alias(f"h{k}") for k, t in enumerate(terms))).dropDuplicates(["file_id"])
-    counts = held.agg(F.count("*").alias("n"), *(F.count_if(f"h{k}").alias(f"d{k}") for k in range(len(terms))))
-    each = [idf(F.when(F.col(f"d{k}") == 0, F.col("n")).otherwise(F.col(f"d{k}")), F.col("n")) for k in range(len(terms))]
+def holds_word(text: Column, term: str) -> Column:
+    """Whether a text has the term among its words, without finding all of them: as array_contains(words(text), term)."""
+    if len(term.encode()) < 2 or re.search(r"[^\w]", term):
+        return F.lit(False)
+    low, one = F.lower(text), r"[\p{L}\p{N}_]"
+    return F.contains(low, F.lit(term)) & low.rlike(f"(?<!{one}){re.escape(term)}(?!{one})")
+
+
+def _weights(counts: DataFrame, n_terms: int) -> DataFrame:
+    """One row: idfs, the weight of each term, from n and how many files hold each; one that none holds counts as if in all."""
+    each = [idf(F.when(F.col(f"d{k}") == 0, F.col("n")).otherwise(F.col(f"d{k}")), F.col("n")) for k in range(n_terms)]
     return counts.select(F.array(*each).alias("idfs"))
 
 
@@ -107,17 +122,36 @@ def matching_lines(files: DataFrame, query: str, mode: str) -> DataFrame:
     return rows.dropDuplicates(["file_id"]).where(F.size("hits") > 0)
 
 
-def grep(files: DataFrame, query: str, mode: str = "all", limit: int | None = 50) -> DataFrame:
-    """(repo, path, match_count, first_line, terms_matched, score), the best `limit` files, all in no order if None; ties in the order of repo and path."""
+def _scanned(files: DataFrame, query: str, mode: str, terms: list[str]) -> DataFrame:
+    """What a search needs of every file, in one reading of the texts: matches, best snippet, and which terms it holds."""
+    line_match(F.lit(""), query, mode)  # refuses what isn't valid
+    lines = C.lines(F.col("content"))
+    numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("idx"), x.alias("line"))), lambda s: line_match(s["line"], query, mode))
+    none = F.array().cast("array<struct<idx:int,line:string>>")
+    rows = files.select("file_id", "repo", "path", "filename", "ext", F.when(_may_match(query, mode), numbered).otherwise(none).alias("hits"), F.greatest(F.size(lines), F.lit(1)).alias("n_lines"),
+                        *(((F.octet_length("content") <= MAX_TERM_BYTES) & holds_word(F.col("content"), t)).alias(f"h{k}") for k, t in enumerate(terms)))
+    seen = sum((F.exists("hits", _holds(t)).cast("int") for t in terms), F.lit(0))
+    in_line = lambda h: sum((F.contains(F.lower(h["line"]), F.lit(t)).cast("int") for t in terms), F.lit(0))
+    best = F.array_max(F.transform("hits", lambda h: F.struct(in_line(h).alias("n"), (-h["idx"]).alias("minus"), h["line"].alias("line"))))
+    return rows.select("file_id", "repo", "path", "filename", "ext", F.size("hits").alias("match_count"), F.get(F.col("hits"), F.lit(0))["idx"].alias("first_line"), "n_lines", seen.alias("terms_matched"),
+                       (-best["minus"] + 1).alias("best_line"), C.cut_line(best["line"], SNIPPET_BYTES).alias("snippet"), *(f"h{k}" for k in range(len(terms)))).dropDuplicates(["file_id"])
+
+
+def grep(files: DataFrame, query: str, mode: str = "all", limit: int | None = 50, snippets: bool = False) -> DataFrame:
+    """(repo, path, match_count, first_line, terms_matched, score), the best `limit` files, all in no order if None; ties in the order of repo and path.
+
+    With snippets also best_line and snippet: the matching line with most of the terms, the first of these. Texts are
+    read once; what is kept of them, a short row for each file, serves the weights of the terms and the scores.
+    """
     if len(terms_of(query)) < 2 and mode == "all":
         mode = "any"
     terms = terms_of(query)
-    hits = matching_lines(files, query, mode)
-    seen = sum((F.exists("hits", _holds(t)).cast("int") for t in terms), F.lit(0))
-    rows = hits.select("repo", "path", "filename", "ext", F.size("hits").alias("match_count"), F.get(F.col("hits"), F.lit(0))["idx"].alias("first_line"), "n_lines", seen.alias("terms_matched"))
-    scored = rows.crossJoin(F.broadcast(term_weights(files, terms)))  # one row
+    rows = durable(_scanned(files, query, mode, terms))
+    weights = _weights(rows.agg(F.count("*").alias("n"), *(F.count_if(f"h{k}").alias(f"d{k}") for k in range(len(terms)))), len(terms))
+    scored = rows.where("match_count > 0").crossJoin(F.broadcast(weights))  # one row
     score = relevance(F.col("match_count"), F.col("n_lines"), F.col("filename"), F.col("ext"), terms, F.col("terms_matched"), F.col("first_line"), F.col("idfs"))
-    out = scored.select("repo", "path", "match_count", "first_line", "terms_matched", F.round(score, 6).alias("score"))
+    more = ["best_line", "snippet"] if snippets else []
+    out = scored.select("repo", "path", "match_count", "first_line", "terms_matched", F.round(score, 6).alias("score"), *more)
     return out if limit is None else out.orderBy(F.desc("score"), "repo", "path").limit(limit)
 
 
@@ -141,6 +175,7 @@ def context_lines(files: DataFrame, query: str, mode: str, around: int) -> DataF
 
 def match_totals(files: DataFrame, query: str, mode: str, limit: int) -> DataFrame:
     """One row: matches in the files that are returned under the limit, and in all files."""
-    everything = matching_lines(files, query, mode).agg(F.sum(F.size("hits")).alias("all_matches"), F.count("*").alias("all_files"))
-    shown = grep(files, query, mode, limit).agg(F.sum("match_count").alias("shown_matches"), F.count("*").alias("shown_files"))
+    rows = durable(grep(files, query, mode, None))
+    everything = rows.agg(F.sum("match_count").alias("all_matches"), F.count("*").alias("all_files"))
+    shown = rows.orderBy(F.desc("score"), "repo", "path").limit(limit).agg(F.sum("match_count").alias("shown_matches"), F.count("*").alias("shown_files"))
     return shown.crossJoin(F.broadcast(everything))  # one row each

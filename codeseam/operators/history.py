@@ -24,17 +24,32 @@ def blame(lines: DataFrame, repo: str, first: int = 1, last: int | None = None)
     )
 
 
-def file_history(commits: DataFrame, files: DataFrame, path: str, limit: int) -> DataFrame:
-    """(hash, author, ts, files_changed): the latest commits that touched a path, with the number of files they changed."""
+def file_history(commits: DataFrame, files: DataFrame, path: str, limit: int, most_files: int = 50) -> DataFrame:
+    """(hash, author, ts, files_changed, paths): the latest commits that touched a path, with the files they changed.
+
+    paths are the first most_files of them in order; files_changed counts all.
+    """
     touched = files.where(F.col("path") == path).select("hash").distinct()
-    sizes = files.join(touched, "hash", "left_semi").groupBy("hash").agg(F.countDistinct("path").alias("files_changed"))
-    return commits.join(sizes, "hash").select("hash", "author", "ts", "files_changed").orderBy(F.desc("ts"), "hash").limit(limit)
+    latest = commits.join(touched, "hash").select("hash", "author", "ts").orderBy(F.desc("ts"), "hash").limit(limit)
+    changed = files.join(F.broadcast(latest.select("hash")), "hash", "left_semi").select("hash", "path").distinct()  # of at most `limit` commits
+    sizes = changed.groupBy("hash").agg(F.count("*").alias("files_changed"), F.slice(F.array_sort(F.collect_list("path")), 1, most_files).alias("paths"))
+    return latest.join(sizes, "hash").select("hash", "author", "ts", "files_changed", "paths").orderBy(F.desc("ts"), "hash")
 
 
 def changed_since(commits: DataFrame, files: DataFrame, since: str) -> DataFrame:
-    """(path, status): the last status of each path changed after a moment; renames show as deleted and added."""
-    late = files.join(commits.where(F.col("ts") > F.lit(since).cast("timestamp_ntz")).select("hash", "ts"), "hash")
-    return late.groupBy("path").agg(F.max_by("status", F.struct("ts", "hash", "status")).alias("status"))
+    """(path, status) of the paths that differ between the state at a moment and the last: added, deleted or modified.
+
+    A path is there if its last change up to a time isn't its deletion; if its first known change comes after the moment,
+    it was there before unless that change added it. What was added and deleted since shows nothing, what was added and
+    then modified is added. Renames show as deleted and added.
+    """
+    rows = files.join(commits.select("hash", "ts"), "hash").select("path", "status", F.struct("ts", "hash", "status").alias("at"), (F.col("ts") > F.lit(since).cast("timestamp_ntz")).alias("late"))
+    ends = rows.groupBy("path").agg(
+        F.max_by("status", F.when(~F.col("late"), F.col("at"))).alias("old"), F.min_by("status", F.when(F.col("late"), F.col("at"))).alias("first"), F.max_by("status", "at").alias("last"), F.max("late").alias("changed")
+    )
+    was, is_now = F.coalesce(F.col("old") != "deleted", F.col("first") != "added"), F.col("last") != "deleted"
+    status = F.when(was & is_now, "modified").when(is_now, "added").when(was, "deleted")
+    return ends.where("changed").select("path", status.alias("status")).where("status is not null")
 
 
 def by_status(changes: DataFrame) -> DataFrame:

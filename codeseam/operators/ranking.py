@@ -14,7 +14,7 @@ MIN_COSINE, OVERSAMPLE, RRF_K = 0.25, 6, 60
 
 
 def hybrid(rows: DataFrame, group: Sequence[str], name: str, content: str, terms: str) -> DataFrame:
-    """rows with combined and match: both scores against the largest of their group, weighted, a quarter more for both.
+    """rows with combined and match: both scores against the largest of their group (of all without a group), weighted, a quarter more for both.
 
     A score that is null or NaN counts as 0. Several terms give the content 0.6, one term gives the name 0.6. The
     largest scores come from an aggregate joined back, not from a window over the group.
@@ -26,15 +26,16 @@ def hybrid(rows: DataFrame, group: Sequence[str], name: str, content: str, terms
     score = F.col("__n") / F.col("__mn") * wn + F.col("__c") / F.col("__mc") * (1 - wn)
     both = (F.col("__n") > 0) & (F.col("__c") > 0)
     label = F.when(both, "both").when(F.col("__n") > 0, "name").when(F.col("__c") > 0, "content").otherwise("none")
-    out = base.join(most, list(group)).withColumn("combined", F.round(score * F.when(both, 1.25).otherwise(1.0), 6)).withColumn("match", label)
+    placed = base.join(most, list(group)) if group else base.crossJoin(F.broadcast(most))  # without a group `most` is one row
+    out = placed.withColumn("combined", F.round(score * F.when(both, 1.25).otherwise(1.0), 6)).withColumn("match", label)
     return out.drop("__n", "__c", "__mn", "__mc")
 
 
 def find(names: DataFrame, contents: DataFrame, n_terms: int, limit: int) -> DataFrame:
     """(repo, path, name_score, content_score, combined, match): both sides by path, the best `limit`."""
     rows = names.select("repo", "path", F.col("score").alias("name_score")).join(contents.select("repo", "path", F.col("score").alias("content_score")), ["repo", "path"], "full_outer")
-    rows = rows.fillna(0.0, ["name_score", "content_score"]).withColumn("terms", F.lit(n_terms)).withColumn("one", F.lit(1))
-    scored = hybrid(rows, ["one"], "name_score", "content_score", "terms").select("repo", "path", "name_score", "content_score", "combined", "match")
+    rows = rows.fillna(0.0, ["name_score", "content_score"]).withColumn("terms", F.lit(n_terms))
+    scored = hybrid(rows, [], "name_score", "content_score", "terms").select("repo", "path", "name_score", "content_score", "combined", "match")
     return scored.orderBy(F.desc("combined"), "repo", "path").limit(limit)
 
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
 from codeseam.operators import graph
-from codeseam.session import small_side
+from codeseam.session import numbered, small_side
 
 
 def cluster_bounds(points: DataFrame, group: str) -> DataFrame:
@@ -63,11 +63,10 @@ def cache_identity(remote: Column) -> Column:
 
 
 def flat_tree(files: DataFrame) -> DataFrame:
-    """(node, depth, files, place): categories in the order in which a tree shows them, parents before children."""
-    rows = files.select(F.explode(C.ancestors(F.col("category"))).alias("node")).groupBy("node").agg(F.count("*").alias("files"))
-    key = F.array_join(F.split("node", " > "), "\x01")
-    # One row per category and not per file; places need the order of all of them.
-    return rows.select("node", F.size(F.split("node", " > ")).alias("depth"), "files", (F.row_number().over(Window.orderBy(key)) - 1).alias("place"))
+    """(repo, node, depth, files, place): the categories of each repository in the order in which a tree shows them, parents before children."""
+    rows = files.select("repo", F.explode(C.ancestors(F.col("category"))).alias("node")).groupBy("repo", "node").agg(F.count("*").alias("files"))
+    keyed = rows.withColumn("key", F.array_join(F.split("node", " > "), "\x01"))
+    return numbered(keyed, "repo", [("key", False)], "place").select("repo", "node", F.size(F.split("node", " > ")).alias("depth"), "files", F.col("place").cast("int").alias("place"))
 
 
 def tree_json(files: DataFrame) -> str:
@@ -84,3 +83,21 @@ def tree_json(files: DataFrame) -> str:
 def validation_count(files: DataFrame, most: int = 10_000) -> int:
     """Files under the filters, counted up to a limit."""
     return files.limit(most).count()
+
+
+def path_prompts(files: DataFrame, most: int = 200) -> DataFrame:
+    """(repo, category, piece, text): the paths of each category as texts of at most `most` paths; each path once."""
+    paths = files.select("repo", "category", "path").distinct().withColumn("key", F.struct("repo", "category"))
+    placed = numbered(paths, "key", [("path", False)], "n").withColumn("piece", F.floor(F.col("n") / most))
+    rows = placed.groupBy("repo", "category", "piece").agg(F.array_sort(F.collect_list("path")).alias("paths"))  # at most `most`
+    text = F.concat(F.lit("## "), "category", F.lit("\n"), F.array_join(F.transform("paths", lambda p: F.concat(F.lit("- "), p)), "\n"))
+    return rows.select("repo", "category", "piece", text.alias("text"))
+
+
+def content_prompts(files: DataFrame, most: int = 200) -> DataFrame:
+    """(repo, piece, files, text): the texts of each repository's files by path, each under its path, `most` files a piece."""
+    places = numbered(files.select("file_id", "repo", "path"), "repo", [("path", False), ("file_id", False)], "n")
+    rows = files.select("file_id", "path", "content").join(places.select("file_id", "repo", F.floor(F.col("n") / most).alias("piece")), "file_id")
+    one = F.concat(F.lit("// File: "), "path", F.lit("\n"), "content").alias("text")
+    pieces = rows.groupBy("repo", "piece").agg(F.array_sort(F.collect_list(F.struct("path", "file_id", one))).alias("f"))
+    return pieces.select("repo", "piece", F.size("f").cast("long").alias("files"), F.array_join("f.text", "\n\n").alias("text"))

@@ -157,7 +157,7 @@ def water_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budget_pack(spark: SparkSession, d: str) -> DataFrame:
-    packed = budget.pack_requests(corpus.once(budget.requests_of(corpus.file_rows(spark, d))), 4_000, TERMS)
+    packed = budget.pack_requests(budget.requests_of(corpus.distinct_file_rows(spark, d)), 4_000, TERMS)
     return packed.withColumn("importance", F.round("importance", 6))
 
 
@@ -187,27 +187,27 @@ def selected_meter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stub_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.once(corpus.file_rows(spark, d).select("file_id", stubs.head_stub(F.col("content")).alias("stub")))
+    return corpus.distinct_file_rows(spark, d).select("file_id", stubs.head_stub(F.col("content")).alias("stub"))
 
 
 def stub_yaml(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.once(corpus.file_rows(spark, d).where("ext in ('yaml', 'yml')").select("file_id", stubs.yaml_stub(F.col("content")).alias("stub")))
+    return corpus.distinct_file_rows(spark, d).where("ext in ('yaml', 'yml')").select("file_id", stubs.yaml_stub(F.col("content")).alias("stub"))
 
 
 def stub_ini(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.once(corpus.file_rows(spark, d).where("ext = 'ini'").select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub")))
+    return corpus.distinct_file_rows(spark, d).where("ext = 'ini'").select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub"))
 
 
 def stub_all(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.once(corpus.file_rows(spark, d).select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub")))
+    return corpus.distinct_file_rows(spark, d).select("file_id", stubs.stub_column(F.col("content"), F.col("ext")).alias("stub"))
 
 
 def stub_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return stubs.block_table(corpus.file_rows(spark, d)).dropDuplicates(["file_id", "position"])
+    return stubs.block_table(corpus.distinct_file_rows(spark, d))
 
 
 def stub_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return stubs.chunk_table(corpus.file_rows(spark, d), 1_500).dropDuplicates(["file_id", "start_line"])
+    return stubs.chunk_table(corpus.distinct_file_rows(spark, d), 1_500)
 
 
 # --- history ----------------------------------------------------------------------------------------------------------
@@ -316,12 +316,19 @@ by_name AS (SELECT a.repo, src, target, arg_min(dst, (CASE WHEN ends_with(dst, t
 by_stem AS (SELECT a.repo, src, target, min(dst) AS d2 FROM asked a JOIN paths p ON a.repo = p.repo AND a.stem = p.stem GROUP BY ALL),
 resolved AS (SELECT repo, src, target, stem, CASE WHEN coalesce(d1, d2) <> src THEN coalesce(d1, d2) END AS dst FROM asked LEFT JOIN by_name USING (repo, src, target) LEFT JOIN by_stem USING (repo, src, target))"""
 _EDGES = """edges AS (SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst FROM nation UNION SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
-  UNION SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey FROM orders)"""
+  UNION SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier UNION SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey FROM orders
+  UNION SELECT 'lineitem:' || l_orderkey || '.' || l_linenumber, 'orders:' || l_orderkey FROM lineitem)"""
 _IMPACT = _EDGES + """, walk AS (SELECT 'region:0' AS node, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.depth < 5),
 impact AS (SELECT node, min(depth) AS depth FROM walk WHERE node <> 'region:0' GROUP BY node)"""
-_DEPS = "deps AS (SELECT DISTINCT 's' || l_suppkey AS module, 'p' || (l_partkey % 97) AS dep, CASE WHEN l_returnflag = 'N' THEN 'public' ELSE 'private' END AS kind FROM lineitem WHERE l_linenumber = 1)"
+_DEPS = "deps AS (SELECT DISTINCT 's' || l_suppkey AS module, 'p' || l_partkey AS dep, CASE WHEN l_returnflag = 'N' THEN 'public' ELSE 'private' END AS kind FROM lineitem)"
 _SEL = ", ".join(repr(s) for s in SELECTED)
 _COMMITS = "commits AS (SELECT o_orderkey AS hash, 'a' || o_custkey AS author, o_orderdate AS ts FROM orders), cfiles AS (SELECT l_orderkey AS hash, 'part/' || l_partkey AS path, CASE l_returnflag WHEN 'A' THEN 'added' WHEN 'R' THEN 'deleted' ELSE 'modified' END AS status FROM lineitem)"
+#: A path is there at a moment if its last change until then isn't its deletion, or, without one, if its next change doesn't add it.
+_CHANGED = f"""c AS (SELECT path, status, ts, hash, row_number() OVER (PARTITION BY path ORDER BY ts DESC, hash DESC, status DESC) AS newest FROM cfiles JOIN commits USING (hash)),
+late AS (SELECT path, arg_min(status, (ts, hash, status)) AS first FROM c WHERE ts > TIMESTAMP '{SINCE}' GROUP BY path),
+early AS (SELECT path, arg_max(status, (ts, hash, status)) AS old FROM c WHERE ts <= TIMESTAMP '{SINCE}' GROUP BY path),
+ends AS (SELECT path, coalesce(old <> 'deleted', first <> 'added') AS was, status <> 'deleted' AS now FROM late JOIN c USING (path) LEFT JOIN early USING (path) WHERE newest = 1),
+changed AS (SELECT path, CASE WHEN was AND now THEN 'modified' WHEN now THEN 'added' ELSE 'deleted' END AS status FROM ends WHERE was OR now)"""
 _READS = "reads AS (SELECT user_id AS session_id, 'f' || (props::JSON->>'$.k') AS path, floor(value)::BIGINT AS tokens, ts FROM events)"
 _ANC = "list_transform(range(1, len(string_split(category, ' > ')) + 1), lambda n: array_to_string(string_split(category, ' > ')[1:n], ' > '))"
 
@@ -379,9 +386,9 @@ SQL = {
         e AS (SELECT *, sum(CASE WHEN entry THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, section ORDER BY idx) AS n FROM s)
         SELECT file_id, string_agg(CASE WHEN entry AND n = 6 THEN '; ... (more entries)' ELSE line END || chr(10), '' ORDER BY idx) AS stub FROM e WHERE NOT entry OR n <= 6 GROUP BY file_id""",
     "blame": "SELECT DISTINCT blame_id, replace(rel_path, '\\', '/') AS path, line_no, author, strftime(committed_at, '%Y-%m-%d %H:%M') AS time, substr(commit_hash, 1, 8) AS hash, content FROM blame_lines WHERE repo = 'harbor-mono' AND line_no BETWEEN 2 AND 30",
-    "file_history": f"WITH {_COMMITS}, t AS (SELECT DISTINCT hash FROM cfiles WHERE path = '{HISTORY_PATH}'), n AS (SELECT hash, count(DISTINCT path) AS files_changed FROM cfiles WHERE hash IN (SELECT hash FROM t) GROUP BY hash) SELECT hash, author, ts, files_changed FROM commits JOIN n USING (hash) ORDER BY ts DESC, hash LIMIT 100",
-    "changed_since": f"WITH {_COMMITS} SELECT path, arg_max(status, (ts, hash, status)) AS status FROM cfiles JOIN commits USING (hash) WHERE ts > TIMESTAMP '{SINCE}' GROUP BY path",
-    "changed_by_status": f"WITH {_COMMITS}, c AS (SELECT path, arg_max(status, (ts, hash, status)) AS status FROM cfiles JOIN commits USING (hash) WHERE ts > TIMESTAMP '{SINCE}' GROUP BY path) SELECT status, count(*) AS files, min(path) AS first_path FROM c GROUP BY status",
+    "file_history": f"WITH {_COMMITS}, t AS (SELECT DISTINCT hash FROM cfiles WHERE path = '{HISTORY_PATH}'), n AS (SELECT hash, count(DISTINCT path) AS files_changed FROM cfiles WHERE hash IN (SELECT hash FROM t) GROUP BY hash), p AS (SELECT hash, list_sort(list(DISTINCT path))[1:50] AS paths FROM cfiles WHERE hash IN (SELECT hash FROM t) GROUP BY hash) SELECT hash, author, ts, files_changed, p.paths FROM commits JOIN n USING (hash) JOIN p USING (hash) ORDER BY ts DESC, hash LIMIT 100",
+    "changed_since": f"WITH {_COMMITS}, {_CHANGED} SELECT path, status FROM changed",
+    "changed_by_status": f"WITH {_COMMITS}, {_CHANGED} SELECT status, count(*) AS files, min(path) AS first_path FROM changed GROUP BY status",
     "hot_files": f"WITH {_COMMITS} SELECT path, count(DISTINCT hash) AS commits FROM cfiles JOIN commits USING (hash) WHERE ts >= TIMESTAMP '{SINCE}' - INTERVAL 365 DAY AND ts <= TIMESTAMP '{SINCE}' GROUP BY path ORDER BY commits DESC, path LIMIT 50",
     "churn_by_author": "SELECT author, count(*) AS lines, count(DISTINCT commit_hash) AS commits FROM (SELECT DISTINCT blame_id, author, commit_hash FROM blame_lines) GROUP BY author ORDER BY lines DESC, author NULLS FIRST LIMIT 20",
     "epoch_dates": "SELECT event_id, (DATE '1970-01-01' + (event_id * 7 % 30000)::INT)::VARCHAR AS day, strftime(make_timestamp((event_id * 86399 + 59 + (event_id % 5 - 2) * 30 * 60) * 1000000), '%Y-%m-%d %H:%M') AS time FROM events",

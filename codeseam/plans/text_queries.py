@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
 from codeseam.operators import grep as G
-from codeseam.operators import stats
+from codeseam.operators import stats, views
 from codeseam.session import table
 from codeseam.sources import corpus
 
@@ -92,7 +92,7 @@ def static_importance(spark: SparkSession, d: str) -> DataFrame:
 def query_importance(spark: SparkSession, d: str) -> DataFrame:
     terms = G.terms_of(TERMS)
     score = C.query_importance(F.col("path"), F.col("content"), terms) + C.importance(F.col("path"), F.col("bytes"))
-    return corpus.once(corpus.file_rows(spark, d).select("file_id", F.round(score, 6).alias("importance"))).orderBy(F.desc("importance"), "file_id").limit(200)
+    return corpus.once(corpus.file_rows(spark, d).select("file_id", F.round(score, 6).alias("importance")))
 
 
 # --- filters ----------------------------------------------------------------------------------------------------------
@@ -180,10 +180,11 @@ def read_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_read(spark: SparkSession, d: str) -> DataFrame:
-    """Requested paths with their size and lines, or why there is none."""
-    rows = corpus.file_rows(spark, d).where("repo = 'harbor-mono'").groupBy("path").agg(F.max("bytes").alias("bytes"), F.max(F.size(C.lines(F.col("content")))).alias("n_lines"))
-    wanted = corpus.files(spark, d).where("file_id < 200").select("path").distinct()
-    return wanted.join(rows, "path", "left").select("path", "bytes", "n_lines", F.when(F.col("bytes").isNull(), "not found").alias("error"))
+    """The files of all search results, with their size and lines, or why there is none."""
+    rows = corpus.file_rows(spark, d).select("repo", "path", "bytes", F.size(C.lines(F.col("content"))).alias("n_lines"))
+    rows = rows.groupBy("repo", "path").agg(F.max("bytes").alias("bytes"), F.max("n_lines").alias("n_lines"))
+    wanted = table(spark, d, "find_results").select("repo", F.translate("rel_path", "\\", "/").alias("path")).distinct()
+    return wanted.join(rows, ["repo", "path"], "left").select("repo", "path", "bytes", "n_lines", F.when(F.col("bytes").isNull(), "not found").alias("error"))
 
 
 # --- statistics -------------------------------------------------------------------------------------------------------
@@ -232,20 +233,23 @@ def group_best(spark: SparkSession, d: str) -> DataFrame:
 
 def selection_algebra(spark: SparkSession, d: str) -> DataFrame:
     """Per repository: paths selected by one rule, added by another, in both, and left after removal."""
-    rows = corpus.files(spark, d).groupBy("repo").agg(F.collect_set(F.when(F.col("ext") == "py", F.col("path"))).alias("a"), F.collect_set(F.when(F.col("path").startswith("src/"), F.col("path"))).alias("b"))
-    return rows.select("repo", F.size(F.array_union("a", "b")).alias("n_union"), F.size(F.array_intersect("a", "b")).alias("n_both"), F.size(F.array_except("a", "b")).alias("n_left"))
+    return stats.selections(corpus.files(spark, d), F.col("ext") == "py", F.col("path").startswith("src/"))
 
 
 def prompt_sink(spark: SparkSession, d: str) -> DataFrame:
-    """Paths by category as one text each, ready to be pasted."""
-    rows = corpus.categorised(spark, d).where("repo = 'harbor-mono'").groupBy("category").agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    return rows.select("category", F.concat(F.lit("## "), "category", F.lit("\n"), F.array_join(F.transform("paths", lambda p: F.concat(F.lit("- "), p)), "\n")).alias("text"))
+    """Paths by repository and category as texts of at most 200 paths, ready to be pasted."""
+    return views.path_prompts(corpus.categorised(spark, d))
+
+
+def content_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the texts of all files, fifty a piece."""
+    return views.content_prompts(corpus.distinct_file_rows(spark, d), 50).select("repo", "piece", "files", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 QUERIES = (
     describe_files, category_path, file_kinds, char_bitmask, token_estimate, line_truncate, path_header, path_guard, query_tokens, color_slots, static_importance, query_importance, ext_filter, path_prefix, module_subtree,
     category_prefix, keyword_haystack, module_list, grep_any_topk, grep_all_topk, grep_exact, grep_regex, grep_files_only, grep_max_per_file, grep_context, grep_total_matches, term_doc_freq, term_idf_topk, read_lines, batch_read,
-    search_modules, stats_totals, stats_lang_breakdown, stats_size_buckets, stats_top_files, facets, status_rollup, subtree_rollup, tri_state_selection, group_best, selection_algebra, prompt_sink,
+    search_modules, stats_totals, stats_lang_breakdown, stats_size_buckets, stats_top_files, facets, status_rollup, subtree_rollup, tri_state_selection, group_best, selection_algebra, prompt_sink, content_prompt,
 )
 
 # --- SQL --------------------------------------------------------------------------------------------------------------
@@ -296,7 +300,7 @@ SQL = {
         {_PATH_EXT} IN ({_EXTS}) AND NOT regexp_matches('/' || lower(path), '/({'|'.join(C.EMBED_SKIP_DIRS)})/') AND {_BYTES.format('content')} <= 524288 AS is_embeddable FROM files""",
     "char_bitmask": f"WITH {FILES} SELECT file_id, {_MASK('filename')} AS name_mask, {_MASK('path')} AS path_mask FROM files",
     "token_estimate": f"SELECT doc_id, ceil({_BYTES.format('text')} / 3)::BIGINT AS tokens, floor({_BYTES.format('text')} / 4)::BIGINT AS read_tokens, CASE WHEN ceil({_BYTES.format('text')} / 3) * 20 > 100000 THEN 'danger' WHEN ceil({_BYTES.format('text')} / 3) * 20 > 50000 THEN 'warn' ELSE 'ok' END AS level, substr(text, 1, 200) AS snippet FROM documents WHERE text IS NOT NULL",
-    "line_truncate": "SELECT DISTINCT blame_id, CASE WHEN length(content) > 40 THEN substr(content, 1, 40) || '...' ELSE content END AS line FROM blame_lines WHERE content IS NOT NULL",
+    "line_truncate": "SELECT DISTINCT blame_id, CASE WHEN strlen(content) > 40 THEN substr(content, 1, list_max(list_filter(range(0, 41), lambda n: strlen(substr(content, 1, n)) <= 40))) || '...' ELSE content END AS line FROM blame_lines WHERE content IS NOT NULL",
     "path_header": f"""WITH {FILES}, p AS (SELECT file_id, filename, list_filter(string_split(path, '/'), lambda x: x <> filename AND x NOT IN ({', '.join(repr(x) for x in C.CONTEXT_NOISE)})) AS parts FROM files)
         SELECT file_id, CASE WHEN len(parts) = 0 THEN '// File: ' || filename ELSE '// File: ' || filename || ' (' || array_to_string(parts[greatest(len(parts) - 2, 1):len(parts)], ' > ') || ')' END AS header FROM p""",
     "path_guard": f"WITH {FILES} SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 'absolute' WHEN file_id % 7 = 1 THEN 'parent' WHEN file_id % 7 = 2 THEN 'empty' WHEN contains(path, '..') THEN 'parent' WHEN starts_with(path, '/') THEN 'absolute' END AS error FROM files",
@@ -307,7 +311,7 @@ SQL = {
         SELECT category, (abs(h) % 8)::INT AS slot FROM h""",
     "static_importance": f"WITH {FILES} SELECT file_id, round({_IMPORTANCE}, 6) AS importance FROM files",
     "query_importance": f"""WITH {FILES} SELECT file_id, round({' + '.join(f"CASE WHEN contains(lower(path), '{t}') THEN 10.0 ELSE 0.0 END + CASE WHEN contains(lower(substr(content, 1, 4000)), '{t}') THEN 3.0 ELSE 0.0 END" for t in TERMS.split())} + {_IMPORTANCE}, 6) AS importance
-        FROM files ORDER BY importance DESC, file_id LIMIT 200""",
+        FROM files""",
     "ext_filter": f"WITH {FILES} SELECT file_id, ext FROM files WHERE ext IN ('py', 'rs', 'h')",
     "path_prefix": f"WITH {FILES} SELECT file_id, path FROM files WHERE starts_with(path, 'src/')",
     "module_subtree": f"""WITH {CATEGORISED}, f AS (SELECT repo, string_split(min(category), ' > ')[1] AS module FROM categorised GROUP BY repo)
@@ -320,7 +324,7 @@ SQL = {
     "grep_exact": "WITH " + _grep_sql(_EXACT, PHRASE.split(), 100),
     "grep_regex": "WITH " + _grep_sql(f"regexp_matches(line, '(?i){PATTERN}')", [PATTERN.lower()], 100),
     "grep_files_only": f"WITH {LINES} SELECT repo, path, count(*) AS match_count FROM lines WHERE {_ANY} GROUP BY file_id, repo, path",
-    "grep_max_per_file": f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS k FROM lines WHERE {_ANY}) SELECT repo, path, idx + 1 AS line_no, CASE WHEN length(line) > 40 THEN substr(line, 1, 40) || '...' ELSE line END AS line FROM r WHERE k <= 8",
+    "grep_max_per_file": f"WITH {LINES}, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY idx) AS k FROM lines WHERE {_ANY}) SELECT repo, path, idx + 1 AS line_no, CASE WHEN strlen(line) > 40 THEN substr(line, 1, list_max(list_filter(range(0, 41), lambda n: strlen(substr(line, 1, n)) <= 40))) || '...' ELSE line END AS line FROM r WHERE k <= 8",
     "grep_context": f"""WITH {LINES}, m AS (SELECT *, max(CASE WHEN {_EXACT} THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines),
         k AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY file_id ORDER BY idx) = 1 THEN 0 ELSE 1 END AS s FROM m WHERE near = 1)
         SELECT repo, path, sum(s) OVER (PARTITION BY file_id ORDER BY idx) AS block, idx + 1 AS line_no, {_EXACT} AS is_match, line FROM k""",
@@ -329,8 +333,9 @@ SQL = {
     "term_doc_freq": f"WITH {FILES}{_TERM_SETS} SELECT term, df FROM df",
     "term_idf_topk": f"WITH {FILES}{_TERM_SETS} SELECT term, df, round(greatest(1.0, ln((n + 1) / (df + 1)) + 1), 6) AS idf FROM df, n WHERE df >= 3 ORDER BY idf DESC, term LIMIT 100",
     "read_lines": f"WITH {LINES} SELECT file_id, lpad((idx + 1)::VARCHAR, 5, ' ') || ' | ' || line AS numbered FROM lines WHERE idx BETWEEN 2 AND 4",
-    "batch_read": f"""WITH {LINES}, r AS (SELECT path, max({_BYTES.format('content')}) AS bytes FROM files WHERE repo = 'harbor-mono' GROUP BY path), l AS (SELECT path, max(n_lines) AS n_lines FROM lines WHERE repo = 'harbor-mono' GROUP BY path)
-        SELECT w.path, bytes, CASE WHEN bytes IS NULL THEN NULL ELSE coalesce(n_lines, 0) END AS n_lines, CASE WHEN bytes IS NULL THEN 'not found' END AS error FROM (SELECT DISTINCT path FROM files WHERE file_id < 200) w LEFT JOIN r USING (path) LEFT JOIN l USING (path)""",
+    "batch_read": rf"""WITH {LINES}, r AS (SELECT repo, path, max({_BYTES.format('content')}) AS bytes FROM files GROUP BY repo, path), l AS (SELECT repo, path, max(n_lines) AS n_lines FROM lines GROUP BY repo, path)
+        SELECT w.repo, w.path, bytes, CASE WHEN bytes IS NULL THEN NULL ELSE coalesce(n_lines, 0) END AS n_lines, CASE WHEN bytes IS NULL THEN 'not found' END AS error
+        FROM (SELECT DISTINCT repo, replace(rel_path, '\', '/') AS path FROM find_results) w LEFT JOIN r USING (repo, path) LEFT JOIN l USING (repo, path)""",
     "search_modules": f"WITH {CATEGORISED} SELECT category AS id, lower(category) AS id_lower, string_split(category, ' > ')[-1] AS name, count(*) AS file_count FROM categorised GROUP BY category",
     "stats_totals": f"WITH {CATEGORISED} SELECT count(*) AS files, sum({_BYTES.format('content')}) AS bytes, ceil(sum({_BYTES.format('content')}) / 40)::BIGINT AS loc, count(DISTINCT string_split(category, ' > ')[1]) AS modules FROM categorised",
     "stats_lang_breakdown": f"WITH {FILES} SELECT ext, count(*) AS files, sum({_BYTES.format('content')}) AS bytes FROM files WHERE ext <> '' GROUP BY ext ORDER BY files DESC, ext LIMIT 8",
@@ -343,7 +348,11 @@ SQL = {
     "group_best": "SELECT category, count(*) AS members, max(grep_count) AS best FROM (SELECT DISTINCT result_id, category, grep_count FROM find_results) GROUP BY category",
     "selection_algebra": f"""WITH {FILES}, s AS (SELECT DISTINCT repo, path, ext = 'py' AS a, starts_with(path, 'src/') AS b FROM files)
         SELECT repo, count(*) FILTER (WHERE a OR b) AS n_union, count(*) FILTER (WHERE a AND b) AS n_both, count(*) FILTER (WHERE a AND NOT b) AS n_left FROM s GROUP BY repo""",
-    "prompt_sink": f"WITH {CATEGORISED} SELECT category, '## ' || category || chr(10) || string_agg('- ' || path, chr(10) ORDER BY path) AS text FROM (SELECT DISTINCT category, path FROM categorised WHERE repo = 'harbor-mono') GROUP BY category",
+    "prompt_sink": f"""WITH {CATEGORISED}, p AS (SELECT repo, category, path, (row_number() OVER (PARTITION BY repo, category ORDER BY path) - 1) // 200 AS piece FROM (SELECT DISTINCT repo, category, path FROM categorised))
+        SELECT repo, category, piece, '## ' || category || chr(10) || string_agg('- ' || path, chr(10) ORDER BY path) AS text FROM p GROUP BY repo, category, piece""",
+    "content_prompt": f"""WITH {FILES}, p AS (SELECT repo, path, content, (row_number() OVER (PARTITION BY repo ORDER BY path, file_id) - 1) // 50 AS piece, file_id FROM files),
+        t AS (SELECT repo, piece, count(*) AS files, string_agg('// File: ' || path || chr(10) || content, chr(10) || chr(10) ORDER BY path, file_id) AS text FROM p GROUP BY repo, piece)
+        SELECT repo, piece, files, length(text) AS chars, md5(text) AS digest FROM t""",
 }
 
 
@@ -355,6 +364,6 @@ def typed(sql: str, columns: str, kind: str) -> str:
 for _name, _columns, _kind in (
     ("static_importance", "importance", "DOUBLE"), ("query_importance", "importance", "DOUBLE"), ("grep_any_topk", "match_count first_line", "INT"), ("grep_all_topk", "match_count first_line", "INT"), ("grep_exact", "match_count first_line", "INT"),
     ("grep_regex", "match_count first_line", "INT"), ("grep_files_only", "match_count", "INT"), ("grep_max_per_file", "line_no", "INT"), ("grep_context", "line_no", "INT"), ("grep_context", "block", "BIGINT"), ("grep_total_matches", "shown_matches all_matches", "BIGINT"),
-    ("batch_read", "bytes n_lines", "INT"), ("stats_totals", "bytes", "BIGINT"), ("stats_lang_breakdown", "bytes", "BIGINT"), ("stats_top_files", "bytes", "INT"), ("selection_algebra", "n_union n_both n_left", "INT"),
+    ("batch_read", "bytes n_lines", "INT"), ("stats_totals", "bytes", "BIGINT"), ("stats_lang_breakdown", "bytes", "BIGINT"), ("stats_top_files", "bytes", "INT"), ("selection_algebra", "n_union n_both n_left", "BIGINT"), ("content_prompt", "chars", "INT"),
 ):
     SQL[_name] = typed(SQL[_name], _columns, _kind)

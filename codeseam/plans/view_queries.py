@@ -53,16 +53,16 @@ def cache_identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def flat_tree(spark: SparkSession, d: str) -> DataFrame:
-    return views.flat_tree(corpus.categorised(spark, d).where("repo = 'harbor-mono'"))
+    return views.flat_tree(corpus.categorised(spark, d))
 
 
 def index_increment(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of those files only that the cache lacks or holds in an older state."""
-    rows = corpus.file_rows(spark, d)
+    rows = corpus.distinct_file_rows(spark, d)
     cached = rows.where("file_id % 3 = 0").select("repo", "path", (F.col("size") + F.when(F.col("file_id") % 2 == 0, 1).otherwise(0)).alias("size"), "mtime")
     state = incremental.cache_state(cached, rows.select("repo", "path", "size", "mtime"), ["repo", "path"], ["size", "mtime"])
     todo = rows.join(small_side(state.where("state <> 'hit'").select("repo", "path")), ["repo", "path"], "left_semi").where(C.embeddable(F.col("path"), F.col("bytes")))
-    return corpus.once(todo.select("file_id", "repo", "path", encode(F.concat_ws("\n", C.path_header(F.col("path")), "content"), "hash-96").alias("embedding"))).drop("file_id")
+    return todo.select("repo", "path", encode(F.concat_ws("\n", C.path_header(F.col("path")), "content"), "hash-96").alias("embedding"))
 
 
 def mask_prefilter(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ SQL = {
         SELECT file_id, round((SELECT max(score) FROM s) * 0.3::DOUBLE, 6) AS score FROM f WHERE ext = 'h' AND module IN (SELECT m FROM n) AND file_id NOT IN (SELECT file_id FROM s)""",
     "chunk_preview": r"SELECT DISTINCT chunk_id, list_filter(string_split_regex(regexp_replace(snippet, '\r?\n$', ''), '\r?\n'), lambda x: trim(x) <> '' AND NOT starts_with(x, '// File:'))[1] AS preview FROM chunks WHERE snippet IS NOT NULL",
     "cache_identity": "SELECT repo, 'git.test_team_' || lower(repo) AS identity FROM scan_configs",
-    "flat_tree": f"WITH {CATEGORISED}, n AS (SELECT node, count(*) AS files FROM (SELECT unnest({_ANC}) AS node FROM categorised WHERE repo = 'harbor-mono') GROUP BY node) SELECT node, len(string_split(node, ' > '))::INT AS depth, files, (row_number() OVER (ORDER BY array_to_string(string_split(node, ' > '), chr(1))) - 1)::INT AS place FROM n",
+    "flat_tree": f"WITH {CATEGORISED}, n AS (SELECT repo, node, count(*) AS files FROM (SELECT repo, unnest({_ANC}) AS node FROM categorised) GROUP BY repo, node) SELECT repo, node, len(string_split(node, ' > '))::INT AS depth, files, (row_number() OVER (PARTITION BY repo ORDER BY array_to_string(string_split(node, ' > '), chr(1))) - 1)::INT AS place FROM n",
     "mask_prefilter": f"WITH {FILES} SELECT file_id, filename FROM files WHERE " + " AND ".join(f"contains(lower(filename), '{c}')" for c in "rtgph"),
     "config_keys": rf"WITH {FILES}, k AS (SELECT DISTINCT unnest(regexp_extract_all(content, '(?m)^([a-z_]+)\s*[=:]', 1)) AS key FROM files WHERE ext IN ('toml', 'ini', 'yaml')) SELECT key, levenshtein(key, 'cache_graph')::INT AS distance FROM k WHERE levenshtein(key, 'cache_graph') <= 3",
 }

@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
-from codeseam.session import small_side, table
+from codeseam.session import distinct_rows, small_side, table
 
 
 def file_rows(spark: SparkSession, d: str) -> DataFrame:
     """Scanned files with their text, as they were delivered: file_id, repo, path (with /), filename, ext (lower case), size, mtime, bytes, content.
 
-    Files without text or path are left out. A file may occur twice: what is derived from its text is made once by
-    `once`, after the text is gone, so that texts are never shuffled for it.
+    Files without text or path are left out. A file may occur twice; see distinct_file_rows.
     """
     path = F.translate(F.col("rel_path"), "\\", "/")
     rows = table(spark, d, "source_files").where("content is not null and rel_path is not null").select("file_id", "repo", path.alias("path"), "size", "mtime", "content")
     return rows.select("file_id", "repo", "path", C.filename(F.col("path")).alias("filename"), F.lower(C.extension(F.col("path"))).alias("ext"), "size", "mtime", F.octet_length("content").alias("bytes"), "content")
 
 
+def distinct_file_rows(spark: SparkSession, d: str) -> DataFrame:
+    """file_rows with each file once; which rows stay is decided by ids, and only the texts of files delivered twice are shuffled."""
+    return distinct_rows(file_rows(spark, d), "file_id")
+
+
 def once(rows: DataFrame) -> DataFrame:
     """One row for each file."""
     return rows.dropDuplicates(["file_id"])
@@ -46,7 +50,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 def module_deps(spark: SparkSession, d: str) -> DataFrame:
     """(module, dep, kind): packages and what they depend on, public or private, from orders of parts by suppliers."""
     kind = F.when(F.col("l_returnflag") == "N", "public").otherwise("private")
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("module"), F.concat(F.lit("p"), F.col("l_partkey") % 97).alias("dep"), kind.alias("kind")).distinct()
+    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("module"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dep"), kind.alias("kind")).distinct()
 
 
 def fk_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +61,7 @@ def fk_edges(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(edge("customer", "customer", "c_custkey", "nation", "c_nationkey"))
         .unionByName(edge("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"))
         .unionByName(edge("orders", "orders", "o_orderkey", "customer", "o_custkey"))
+        .unionByName(table(spark, d, "lineitem").select(F.concat(F.lit("lineitem:"), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("src"), F.concat(F.lit("orders:"), F.col("l_orderkey")).alias("dst")))
     )
 
 
