@@ -14,16 +14,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeseam.session import durable, join_counted, parts_for, small_side
+from codeseam.session import HOT_ROWS as HOT_ITEMS
+from codeseam.session import by_size, durable, join_counted, numbered, running
 
 #: The usual constant of reciprocal rank fusion.
 RRF_K = 60
-#: Groups with more rows are spread over all tasks.
-HOT_ITEMS = 200_000
-#: Rows of a range partition of a spread group.
-RANGE_ROWS = 200_000
 #: Equal values with more rows than this and than 1/500 of all items are joined by broadcast (at most 2000 of them).
-HOT_ROWS = 20_000
+HOT_VALUES = 20_000
 
 
 def usable(score: Column) -> Column:
@@ -32,35 +29,6 @@ def usable(score: Column) -> Column:
     return F.when(v.isNotNull() & ~F.isnan(v) & (v > 0), v)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]], weight: str, out: str, part_rows: int = RANGE_ROWS) -> DataFrame:
-    """df with `out`: the sum of `weight` over the rows before this one in its group (keys), by order (column, descending).
-
-    Rows are unique by keys and order. They are dealt out by range, counted by partition and group, and summed within;
-    so a group is cut wherever it has to be, and no task holds more of it than a partition.
-    """
-    by = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
-    kept = durable(df)
-    placed = kept.repartitionByRange(parts_for(kept.count(), part_rows), *keys, *by)
-    placed = durable(placed.withColumn("__part", F.spark_partition_id()))  # the partition of a row is fixed from here on
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy(*keys, "__part").agg(F.sum(weight).alias("__sum"))
-    base = sums.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy(*keys, "__part").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    rows = placed.join(small_side(base), [*keys, "__part"])
-    return rows.withColumn(out, F.col("__base") + F.coalesce(F.sum(weight).over(within), F.lit(0))).drop("__part", "__base")
-
-
-def _by_size(df: DataFrame, group: str, hot_items: int) -> tuple[DataFrame, DataFrame | None]:
-    """df's rows of the groups of ordinary size, and those of the large ones (None if there is none)."""
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    rows, largest = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    bound = max(hot_items, rows // 20_000)
-    if largest <= bound:
-        return df, None
-    hot = F.broadcast(durable(sizes.where(F.col("n") > bound).select(group)))  # fewer than 20 000 rows, as they share all rows
-    return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
-
-
 def _total(ranks: Sequence[Column], k: int) -> Column:
     """The sum of 1 / (k + rank), rounded to 12 digits so that it doesn't depend on the order of the sum; nulls add nothing."""
     parts = [F.coalesce(1 / (F.lit(float(k)) + r), F.lit(0.0)) for r in ranks]
@@ -81,7 +49,7 @@ def _fuse_spread(rows: DataFrame, n_scores: int, k: int) -> DataFrame:
     long = items.select("g", "i", F.expr(unpivot)).where("value is not null")
     counts = long.groupBy("g", "kind", "value").agg(F.count("*").alias("n"))
     ranks = running(counts, ["g", "kind"], [("value", True)], "n", "above")
-    hot_from = max(HOT_ROWS, items.count() // 500)  # of the n_scores rows that an item has at most, one in 2000
+    hot_from = max(HOT_VALUES, items.count() // 500)  # of the n_scores rows that an item has at most, one in 2000
     ranked = join_counted(long, ranks, ["g", "kind", "value"], "n", "i", hot_from)
     ranked = ranked.groupBy("g", "i").pivot("kind", list(range(n_scores))).agg(F.max(F.col("above") + 1))
     total = _total([F.col(f"`{n}`") for n in range(n_scores)], k)
@@ -100,7 +68,7 @@ def fuse(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int = R
     share the best rank, as in SQL's rank(), so that a tie lifts nobody above another. An item delivered several times
     counts once (per score its largest usable value). Rows without group or item are left out.
     """
-    meeting, spread = _by_size(_scored(df, group, item, scores), "g", hot_items)
+    meeting, spread = by_size(_scored(df, group, item, scores), "g", hot_items)
     fused = _fuse_meeting(meeting, len(scores), k)
     if spread is not None:
         fused = fused.unionByName(_fuse_spread(spread, len(scores), k))
@@ -119,7 +87,7 @@ def _order_spread(fused: DataFrame) -> DataFrame:
 
 def ranking(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int = RRF_K, hot_items: int = HOT_ITEMS) -> DataFrame:
     """(group, item, fused, position): fuse and full_order in one, with one shuffle for all but the large groups."""
-    meeting, spread = _by_size(_scored(df, group, item, scores), "g", hot_items)
+    meeting, spread = by_size(_scored(df, group, item, scores), "g", hot_items)
     ordered = _order_meeting(_fuse_meeting(meeting, len(scores), k))
     if spread is not None:
         ordered = ordered.unionByName(_order_spread(_fuse_spread(spread, len(scores), k)))
@@ -128,12 +96,8 @@ def ranking(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int
 
 def full_order(fused: DataFrame, group: str, item: str, hot_items: int = HOT_ITEMS) -> DataFrame:
     """Every item with its position in its group, 1 first; equal totals in the order of the item, of whatever type it is."""
-    rows = durable(fused.select(F.col(group).alias("g"), F.col(item).alias("i"), "fused"))
-    meeting, spread = _by_size(rows, "g", hot_items)
-    ordered = _order_meeting(meeting)
-    if spread is not None:
-        ordered = ordered.unionByName(_order_spread(spread))
-    return ordered.select(F.col("g").alias(group), F.col("i").alias(item), "fused", "position")
+    rows = durable(fused.select(group, item, "fused"))
+    return numbered(rows, group, [("fused", True), (item, False)], "position", hot_items).withColumn("position", F.col("position") + 1)
 
 
 def top(ordered: DataFrame, group: str, wants: DataFrame, want: str) -> DataFrame:

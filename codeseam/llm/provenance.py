@@ -120,19 +120,34 @@ def copies(index: DataFrame) -> DataFrame:
 KEPT = frozenset("yaml yml ini env toml conf cfg cnf properties json xml md rst txt sh bash gradle tf tfvars editorconfig".split())
 _VENDOR_DIRS = frozenset("node_modules third_party thirdparty third-party vendor vendors vendored external externals extern contrib bower_components site-packages".split())
 _MADE_NAMES = re.compile(r"(?:\.min\.(?:js|css|mjs)|\.bundle\.js|\.(?:pb|g|generated|designer)\.\w+|_pb2(?:_grpc)?\.py|\.pb\.go|-lock\.(?:json|yaml)|\.lock|go\.sum)$", re.I)
+#: Banners by which tools mark what they write, as their makers document them; whole head comments are searched.
 _MADE = re.compile(
-    r"@generated\b|<auto-?generated|\bauto-?generated\b|\bcode generated\b|\b(?:file|code|source|this)\b[^\n]{0,30}\b(?:generated|created|produced|emitted|written|made) (?:automatically )?(?:by|from|with)\b"
-    r"|^\W*(?:automatically )?generated (?:by|from|with|automatically)\b|\bmanual (?:changes|edits)\b[^\n]{0,20}\b(?:lost|overwritten)|\bmachine[ -](?:made|generated|written)\b|\bgenerator: *\w|^\W*do not (?:edit|modify|touch)\W*$"
-    r"|\b(?:automatisch|maschinell) (?:erzeugt|erstellt|generiert)\b|\bänderungen gehen verloren\b|\bnicht (?:bearbeiten|ändern|editieren)\b"
-    r"|\b(?:archivo|código|fichero) (?:creado|generado|producido)\b|\bno (?:tocar|modificar|editar)\b|\b(?:fichier|code) (?:produit|généré|créé)\b|\bne pas (?:modifier|éditer|toucher)\b",
+    r"@generated\b|<auto-?generated|\bauto-?generated\b|\bautomatically generated\b|\bcode generated\b|^\W*generated (?:by|from|with|automatically|on)\b|\b(?:file|code|source|content|this)\b[^\n]{0,30}\bgenerated (?:automatically )?(?:by|from|with)\b"
+    r"|\bmachine[ -](?:made|generated|written)\b|^\W*generator: *\w|\bgenerated (?:file|code|source)\b|^\W*do not (?:edit|modify|touch)\W*$|[.,;:!-]\s*do not (?:edit|modify|touch)\W*$|\bmanual (?:changes|edits)\b[^\n]{0,20}\b(?:lost|overwritten)"
+    r"|\b(?:automatisch|maschinell) (?:erzeugt|erstellt|generiert)\b|\bänderungen gehen verloren\b|\bnicht (?:bearbeiten|ändern|editieren)\W*$|\b(?:generado|generada) (?:automáticamente|por)\b|[,;.]\s*no (?:tocar|modificar|editar)\W*$"
+    r"|\bgénérée? (?:automatiquement|par)\b|[,;.]\s*ne pas (?:modifier|éditer|toucher)\W*$",
     re.I | re.M,
 )
-_NOT_MADE = re.compile(r"edit freely|lives? in a file of its own|generated (?:part|id|key|name)|hand-?written|written by hand", re.I)
+#: Verbs that people use too: they tell a tool only where what follows is named like one (a version, a dash or an underscore
+#: in its name, a word for a tool) or says that it was automatic.
+_PRODUCED = re.compile(r"\b(?:created|produced|emitted|written|made|built|creado|producido|produit|créé|erzeugt|erstellt) (?:automatically|automatiquement|automáticamente|automatisch)?\s*(?:by|from|with|por|par|von|mit) ((?:the |el |le |dem )?[^\n]{1,60})", re.I)
+_TOOL = re.compile(r"^(?:the )?[\w.]*(?:[a-z][-_][a-z]|\d)[\w.-]*|^\S+\s+v?\d+(?:\.\d+)+|\b(?:generator|compiler|codegen|tool|script|builder|bundler|exporter|converter|protoc|gen)\b", re.I)
+_NOT_MADE = re.compile(r"\b(?:not|never|nicht|no es|n'est pas) (?:a )?(?:auto-?)?generated\b|\bgenerated (?:part|id|key|name|value|token|password|hash)\b|hand-?written|written by hand", re.I)
+#: How published code names its source: a name, its version and a licence on one line, or words of vendoring.
 _FOREIGN = re.compile(
-    r"^\W*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)*(?:[-+]\w+)? (?:by the \w+ authors|- .*(?:licen[cs]e|free for any use|terms in|copying))|\bimported unchanged\b|\breport (?:faults|bugs|issues) upstream\b"
+    r"^\W*[\w.@/-]+ v?\d+\.\d+(?:\.\d+)*(?:[-+]\w+)? (?:by the \w+ authors|[-|(,][^\n]*\b(?:licen[cs]e[ds]?|copying|copyright|terms|rights|permission|public domain|free (?:for|to|software))\b)"
     r"|\bvendored (?:from|copy)\b|\bcopied (?:verbatim )?from (?:https?:|upstream)|\bthird[- ]party (?:code|source|library)\b",
     re.I | re.M,
 )
+
+
+def _marked(head: str) -> bool:
+    """Whether the comments at the head say that a tool made the file."""
+    if _NOT_MADE.search(head):
+        return False
+    return bool(_MADE.search(head)) or any(_TOOL.search(m[1].strip()) for m in _PRODUCED.finditer(head))
+
+
 _COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|pragma|!)|/\*|\*|--|<!--|;|%|\"\"\"|'''|/\*!)")
 _WORD = re.compile(r"\w+")
 _LITERAL = re.compile(r"([\"'`])([^\"'`\s]{48,})\1")
@@ -180,7 +195,7 @@ def made_by_tool(path: str | None, text: str | None, skip_dirs: frozenset[str] =
     ext = name.rsplit(".", 1)[1] if "." in name else ""
     text = text or ""
     head = _head(text)
-    if _MADE.search(head) and not _NOT_MADE.search(head):
+    if _marked(head):
         return "marker"
     if _FOREIGN.search(head):
         return "foreign"

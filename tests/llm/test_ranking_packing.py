@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeseam.llm import fusion, mixing, packing, splitting, tokens
+from codeseam.session import running
 
 NAN = float("nan")
 RESULTS = "result_id long, query_id long, name_score double, grep_score double, grep_count long, terms_matched int, position string, fused string"
@@ -82,7 +83,7 @@ def test_a_hot_group_is_cut_into_even_parts(spark):
     n = 100
     placed = rows.repartitionByRange(n, F.col("g"), F.col("fused").desc(), F.col("i"))
     assert placed.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 400_000 * 2 / n
-    got = fusion.running(rows, ["g"], [("fused", True), ("i", False)], "one", "before", 20_000)
+    got = running(rows, ["g"], [("fused", True), ("i", False)], "one", "before", 20_000)
     assert got.agg(F.countDistinct("before"), F.min("before"), F.max("before")).first() == (400_000, 0, 399_999)
 
 

@@ -177,6 +177,9 @@ CODE = "import a\n" + "".join(f"def handler_{n}(value, other):\n    result = oth
         ("a/b.py", "# (c) team\n#\n# Source: a.yaml\n# Generator: tool --lang py\n" + CODE, "marker"),
         ("a/b.py", "# Edit freely: the generated part lives in a file of its own.\n" + CODE, None),
         ("a/b.py", "# do not edit the list while a reader is open\n" + CODE, None),
+        ("a/b.py", "# This code is written with care by the team\n" + CODE, None), ("a/b.py", "# created by hand\n" + CODE, None), ("a/b.py", "# This is not generated by a tool\n" + CODE, None),
+        ("a/b.py", "# Written by Ann Other, made with love\n" + CODE, None), ("a/b.py", "# File created by schema-gen 2.1\n" + CODE, "marker"), ("a/b.py", "# produced by the grammar compiler, do not edit\n" + CODE, "marker"),
+        ("a/b.py", "# kit 2.0 is what we call it here\n" + CODE, None), ("a/b.py", "/* kit v2.0.1 | MIT License */\n" + CODE, "foreign"),
         ("a/b.py", "# kit 1.2.3 by the kit authors, all rights kept\n# imported unchanged, report faults upstream\n" + CODE, "foreign"),
         ("a/node_modules/b.py", CODE, "path"), ("a/vendor_portal/b.py", CODE, None), ("out/b.py", CODE, "path"), ("a/x.min.js", "f()", "path"),
         ("a/b.js", "!function(a){a.b=(c)=>c+1}(d);" * 60, "minified"), ("a/b.h", "int t[] = {\n" + "  1, 2, 3, 44, 5, 6, 7, 8,\n" * 20 + "};\n", "data"),
