@@ -11,6 +11,7 @@ from codeseam.functions import columns as C
 from codeseam.functions import encoder
 from codeseam.operators import budget, fuzzy, graph, history, incremental, ranking, stats, stubs
 from codeseam.operators import grep as G
+from codeseam.session import durable, numbered
 from codeseam.sources import manifests
 
 #: Older names of commands, and what they stand for with the arguments they imply.
@@ -19,6 +20,7 @@ ALIASES: dict[str, tuple[str, dict]] = {
     "impact": ("imports", {"transitive": True}), "read_file": ("read", {}), "read_files": ("read", {}), "context": ("read_budget", {}), "blame": ("git", {"action": "blame"}), "file_history": ("git", {"action": "history"}),
     "changed": ("git", {"action": "changed"}), "hotspots": ("git", {"action": "hotspots"}), "session": ("status", {}), "list_repos": ("status", {}),
 }
+READ_MOST = 50
 LIMITS = {"search": (30, 100), "grep": (50, 200), "history": (10, 100), "hotspots": (20, 200), "imports": (50, 500)}
 
 
@@ -30,7 +32,7 @@ def bounded(command: str, limit: int | None) -> int:
 
 @dataclass(frozen=True)
 class Corpus:
-    """Tables of one or more repositories.
+    """Tables of one or more repositories. deps: module, dep, kind; deps_modules: module, module_category.
 
     files: repo, file_id, path, filename, ext, size, mtime, content, category. commits and commit_files: see history;
     blame: lines with authors; chunks: file_path, start_line, embedding of the encoder; reads: reads of sessions.
@@ -43,10 +45,22 @@ class Corpus:
     chunks: DataFrame | None = None
     reads: DataFrame | None = None
     encoder_name: str = "hash-384"
+    deps: DataFrame | None = None
+    deps_modules: DataFrame | None = None
 
     def repo(self, name: str | None) -> Corpus:
-        """The corpus of one repository; all of it for None."""
-        return self if name is None else replace(self, files=self.files.where(F.col("repo") == name))
+        """The corpus of one repository; all of it for None. Raises ValueError for one that isn't there."""
+        if name is None:
+            return self
+        mine = self.files.where(F.col("repo") == name)
+        if mine.isEmpty():
+            raise ValueError(f"no repository {name!r}")
+        of = lambda rows: rows.where(F.col("repo") == name) if rows is not None and "repo" in rows.columns else rows
+        return replace(self, files=mine, blame=of(self.blame), chunks=of(self.chunks))
+
+    def display_path(self, several: bool) -> Column:
+        """The path, after the repository's name in brackets where files of several are shown."""
+        return F.format_string("[%s] %s", "repo", "path") if several else F.col("path")
 
     def _filtered(self, ext: str | None, path: str | None, category: str | None) -> DataFrame:
         rows = self.files
@@ -56,8 +70,17 @@ class Corpus:
             rows = rows.where(F.col("path").startswith(path))
         return rows.where(F.col("category").startswith(category)) if category else rows
 
-    def grep(self, query: str, match_mode: str = "all", ext: str | None = None, path: str | None = None, category: str | None = None, limit: int | None = None) -> DataFrame:
-        return G.grep(self._filtered(ext, path, category), query, match_mode, bounded("grep", limit))
+    def grep(self, query: str, match_mode: str = "all", ext: str | None = None, path: str | None = None, category: str | None = None, limit: int | None = None, output: str = "files", per_file: int = 8, snippets: bool = False) -> DataFrame:
+        """Matching files by relevance (output 'files'), or their first per_file matching lines ('lines'), or counts ('count')."""
+        rows = self._filtered(ext, path, category)
+        if output == "lines":
+            best = G.grep(rows, query, match_mode, bounded("grep", limit)).select("repo", "path", "score")
+            return G.first_matches(rows, query, match_mode, per_file).join(F.broadcast(best), ["repo", "path"]).orderBy(F.desc("score"), "repo", "path", "line_no")
+        if output == "count":
+            return G.match_totals(rows, query, match_mode, bounded("grep", limit))
+        if output != "files":
+            raise ValueError(f"output {output}")
+        return G.grep(rows, query, match_mode, bounded("grep", limit), snippets)
 
     def grep_lines(self, query: str, match_mode: str = "all", context: int = 2, **filters: str | None) -> DataFrame:
         rows = self._filtered(filters.get("ext"), filters.get("path"), filters.get("category"))
@@ -72,21 +95,32 @@ class Corpus:
         if self.chunks is None:
             return found.select("repo", "path", F.col("combined").alias("score"), F.col("match").alias("source"))
         asked = self.files.sparkSession.range(1).select(encoder.encode(F.lit(query), self.encoder_name).alias("query"))
-        near = ranking.rerank(self.chunks, asked, query.split(), most).select(F.col("file_path").alias("path"), "score")
-        fused = ranking.reciprocal_ranks([found.select("path", F.col("combined").alias("score")), near], "path", "score", most)
-        both = fused.join(found.select("repo", "path", "match"), "path", "left").join(near.select("path", F.lit(True).alias("vector")), "path", "left")
+        # Files are told apart by repository and path; chunks without a repository belong to every file of their path.
+        named = self.chunks if "repo" in self.chunks.columns else self.chunks.join(self.files.select("repo", F.col("path").alias("file_path")), "file_path")
+        key = F.concat_ws("\x00", "repo", "path").alias("key")
+        near = ranking.rerank(named.withColumn("file_path", F.concat_ws("\x00", "repo", "file_path")), asked, query.split(), most).select(F.col("file_path").alias("key"), "score")
+        found = found.select("*", key)
+        fused = ranking.reciprocal_ranks([found.select("key", F.col("combined").alias("score")), near], "key", "score", most)
+        both = fused.join(found.select("key", "match"), "key", "left").join(near.select("key", F.lit(True).alias("vector")), "key", "left")
+        both = both.select("*", F.split("key", "\x00")[0].alias("repo"), F.split("key", "\x00")[1].alias("path"))
         source = F.when(F.col("match").isNotNull() & F.col("vector").isNotNull(), "both").when(F.col("vector").isNotNull(), "semantic").otherwise(F.col("match"))
-        return both.select("repo", "path", F.col("fused").alias("score"), source.alias("source")).orderBy(F.desc("score"), "path")
+        return both.select("repo", "path", F.col("fused").alias("score"), source.alias("source")).orderBy(F.desc("score"), "repo", "path")
 
     def search_modules(self, query: str, limit: int = 5) -> DataFrame:
         return fuzzy.search_modules(stats.modules(self.files), query, min(50, limit))
 
     def read(self, paths: list[str], mode: str = "full", start: int | None = None, end: int | None = None) -> DataFrame:
-        """(path, content, lines, size, error) for each path asked for (at most 50); a range of lines is numbered."""
+        """(repo, path, content, lines, size, error) for each path asked for, of every repository that has it; a range of lines is numbered.
+
+        A path that leaves its root, isn't found, or is beyond the first READ_MOST has a row with an error.
+        """
         if start is not None and end is not None and start > end:
             raise ValueError("start is after end")
-        asked = self.files.sparkSession.createDataFrame([(p,) for p in paths[:50]], "path string").withColumn("bad", C.path_error(F.col("path")))
-        rows = self.files.select("path", "content", "ext", "size").dropDuplicates(["path"])
+        unique = list(dict.fromkeys(paths))
+        asked = self.files.sparkSession.createDataFrame([(p, n >= READ_MOST) for n, p in enumerate(unique)], "path string, beyond boolean")
+        asked = asked.select("path", F.coalesce(C.path_error(F.col("path")), F.when(F.col("beyond"), f"more than {READ_MOST} paths")).alias("bad"))
+        wanted = F.col("path").isin([p for p in unique[:READ_MOST]])
+        rows = self.files.where(wanted).select("repo", "path", "content", "ext", "size").dropDuplicates(["repo", "path"])
         lines = C.lines(F.col("content"))
         body: Column = F.col("content") if mode == "full" else stubs.stub_column(F.col("content"), F.col("ext"))
         if start is not None or end is not None:
@@ -94,22 +128,36 @@ class Corpus:
             last = F.least(F.lit(end or 2**31 - 1), F.size(lines))
             numbered = F.transform(F.slice(lines, first, F.greatest(last - first + 1, F.lit(0))), lambda x, i: F.concat(F.lpad((i + first).cast("string"), 5, " "), F.lit(" | "), x))
             body = F.array_join(numbered, "\n")
-        found = rows.join(F.broadcast(asked.where("bad is null").select("path")), "path", "left_semi").select("path", body.alias("content"), F.size(lines).alias("lines"), "size")
-        out = asked.join(found, "path", "left")
-        return out.select("path", "content", "lines", "size", F.coalesce("bad", F.when(F.col("lines").isNull(), "not found")).alias("error"))
+        found = rows.select("repo", "path", body.alias("content"), F.size(lines).alias("lines"), "size")
+        out = asked.where("bad is null").join(found, "path", "left").unionByName(asked.where("bad is not null"), allowMissingColumns=True)
+        return out.select("repo", "path", "content", "lines", "size", F.coalesce("bad", F.when(F.col("lines").isNull(), "not found")).alias("error"))
 
     def read_budget(self, paths: list[str], tokens: int = 50_000, query: str = "", seen: list[str] | None = None, ordering: str = "importance") -> DataFrame:
-        """(path, tier, tokens, importance, place) of the paths, as much of each as the budget allows."""
+        """(path, tier, tokens, importance, place, content, error) of the paths, as much of each as the budget allows.
+
+        Where several repositories are asked, path has the repository in front. With dependencies, files one step from the
+        module of a file that matches well count more. A path that isn't found has a row with an error.
+        """
         terms = [t for t in query.lower().split() if len(t) >= 2]
-        rows = self.files.where(F.col("path").isin(paths)).dropDuplicates(["path"])
+        several = self.files.select("repo").distinct().limit(2).count() > 1
+        rows = self.files.where(F.col("path").isin(paths)).dropDuplicates(["repo", "path"])
         score = C.importance(F.col("path"), F.octet_length("content")) + C.query_importance(F.col("path"), F.col("content"), terms)
-        rows = rows.withColumn("importance", budget.seen_penalty(score, F.col("path").isin(seen or [])))
-        packed = budget.pack_requests(rows.select(F.lit(1).alias("request_id"), "path", "ext", "content", C.describe(F.col("path")).alias("desc"), "importance"), tokens, query)
-        if ordering == "attention":
-            return graph.attention_order(packed, "request_id", "importance", "path")
-        from pyspark.sql import Window
-
-        return packed.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("importance"), "path")) - 1)
+        rows = rows.withColumn("importance", score)
+        if self.deps is not None:
+            rows = budget.connected_bonus(rows, self.deps, self.deps_modules)
+        rows = rows.withColumn("importance", budget.seen_penalty(F.col("importance"), F.col("path").isin(seen or [])))
+        shown = F.concat_ws("/", "repo", "path") if several else F.col("path")
+        asked = rows.select(shown.alias("path"), "ext", "content", C.describe(F.col("path")).alias("desc"), "importance", F.lit(1).alias("request_id"))
+        packed = durable(budget.answer(asked, tokens, query)).withColumn("request_id", F.lit(1))
+        texts = graph.attention_order(packed, "request_id", "importance", "path") if ordering == "attention" else numbered(packed, "request_id", [("importance", True), ("path", False)], "place")
+        missing = self.files.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string").join(rows.select("path"), "path", "left_anti").select("path", F.lit("not found").alias("error"))
+        columns = ["path", "tier", "tokens", "importance", "place", "content"]
+        return texts.select(*columns, F.lit(None).cast("string").alias("error")).unionByName(missing, allowMissingColumns=True).orderBy(F.col("place").asc_nulls_last(), "path")
+
+    def budget_map(self, answer: DataFrame) -> DataFrame:
+        """The map row of an answer of read_budget: one text with a line for each file that was given less than whole."""
+        lines = answer.where("tier > 1").select("place", F.concat(F.lit("- "), "path", F.lit(" (tier "), F.col("tier").cast("string"), F.lit(")")).alias("line"))
+        return lines.agg(F.array_join(F.array_sort(F.collect_list(F.struct("place", "line")))["line"], "\n").alias("content"), F.count("*").alias("files"))
 
     def modules(self, action: str = "list", module: str = "", limit: int = 1000) -> DataFrame:
         if action == "list":
@@ -121,9 +169,8 @@ class Corpus:
         raise ValueError(f"action {action}")
 
     def import_edges(self) -> DataFrame:
-        """(src, dst) of resolved imports, with the repository in front of the path."""
-        found = graph.resolve_imports(graph.extract_imports(self.files), self.files).where("dst is not null")
-        return found.select(F.concat_ws("/", "repo", "src").alias("src"), F.concat_ws("/", "repo", "dst").alias("dst")).distinct()
+        """(src, dst) of imports, at home, by namespace or in another repository, with the repository in front of the path."""
+        return graph.all_edges(self.files)
 
     def imports(self, path: str, transitive: bool = False, max_depth: int = 5, limit: int | None = None) -> DataFrame:
         edges = self.import_edges()

@@ -190,6 +190,21 @@ def pack_requests(requests: DataFrame, budget: int, query: str = "") -> DataFram
     return whole.unionByName(mention(placed.where(~fits & crowded))).unionByName(shared)
 
 
+def answer(files: DataFrame, budget: int, query: str = "") -> DataFrame:
+    """(path, tier, tokens, importance, content) of the files that one command asked for by name, in one task.
+
+    files: path, ext, content, desc, importance; a list of paths that somebody wrote, for whole repositories see pack_requests.
+    """
+    terms = [t for t in query.lower().split() if len(t) >= 2]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("path")
+        rows = allocate([(p, e or "", stub(t, e), d, i) for p, e, t, d, i in zip(frame["path"], frame["ext"], frame["content"], frame["desc"], frame["importance"])], budget, terms)
+        return pd.DataFrame(rows, columns=["path", "tier", "tokens", "content"]).assign(importance=frame["importance"].to_numpy())[["path", "tier", "tokens", "importance", "content"]]
+
+    return files.select("path", "ext", "content", "desc", "importance").groupBy().applyInPandas(run, "path string, tier int, tokens long, importance double, content string")
+
+
 def summary(packed: DataFrame, budget: int) -> DataFrame:
     """One row per request: files, tokens, and files by tier."""
     tier = lambda n: F.count_if(F.col("tier") == n)

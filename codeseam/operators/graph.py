@@ -75,6 +75,24 @@ def cross_repo_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
     return missing.join(there, "stem").where("from_repo <> to_repo").select("from_repo", "from_file", "to_repo", "to_file").distinct()
 
 
+def all_edges(files: DataFrame) -> DataFrame:
+    """(src, dst) of every import: at home by name or stem, by namespace, and what isn't found at home in the others.
+
+    Nodes are repository/path. files: repo, path, filename, ext, content.
+    """
+    imports = durable(extract_imports(files))
+    names = files.select("repo", "path", "filename")
+    resolved = durable(resolve_imports(imports, names))
+    spaces = namespace_edges(imports, files)
+    node = lambda repo, path: F.concat_ws("/", repo, path)
+    home = resolved.where("dst is not null").select("repo", "src", "dst").unionByName(spaces)
+    # A `using` that a namespace answers isn't looked for elsewhere.
+    open_imports = resolved.join(spaces.select("repo", "src").distinct().withColumn("spaced", F.lit(True)), ["repo", "src"], "left").where(~(F.coalesce("spaced", F.lit(False)) & F.col("src").endswith(".cs"))).drop("spaced")
+    away = cross_repo_edges(open_imports, names)
+    edges = home.select(node("repo", "src").alias("src"), node("repo", "dst").alias("dst"))
+    return edges.unionByName(away.select(node("from_repo", "from_file").alias("src"), node("to_repo", "to_file").alias("dst"))).distinct()
+
+
 # --- traversal --------------------------------------------------------------------------------------------------------
 
 

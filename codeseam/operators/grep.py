@@ -6,6 +6,7 @@ import re
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,8 +47,8 @@ def _check_pattern(pattern: str) -> None:
     jvm = SparkSession.active()._jvm
     try:
         jvm.java.util.regex.Pattern.compile("(?i)" + pattern)
-    except Py4JJavaError as e:
-        raise ValueError(f"invalid pattern: {e.java_exception.getDescription()}") from e
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        raise ValueError(f"invalid pattern: {str(e).splitlines()[0]}") from e
 
 
 def words(text: Column) -> Column:

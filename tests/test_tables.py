@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from codeseam.api import Corpus
 from codeseam.functions import encoder
-from codeseam.operators import graph, incremental, ranking, treemap
+from codeseam.operators import graph, history, incremental, ranking, treemap
 from codeseam.sources import cache, git, manifests, walk
 from codeseam.streaming import watch
 
@@ -37,6 +37,19 @@ def test_scan_and_config(spark, tmp_path):
     assert "gen" in config.skip_dirs and "target" in config.skip_dirs and config.unknown == ("scan_dir",)
     rows = {r["path"]: r for r in walk.scan(spark, "r", config).collect()}
     assert set(rows) == {"src/Private/Save.h", "src/sp ace.txt"} and rows["src/Private/Save.h"]["desc"] == "Save (header)"
+    (tmp_path / "src/long.txt").write_text("é" * 300_000)
+    assert walk.scan(spark, "r", config).where("path = 'src/long.txt'").select("size", "truncated", F.octet_length("content")).first() == (600_000, True, 512 * 1024)
+    assert walk.scan_file(spark, "r", config, "src/Private/Save.h").first()["content"] == "int x;"
+    assert all(walk.scan_file(spark, "r", config, p).count() == 0 for p in ("src/bin.dat", "src/none", "../x", "src"))
+    assert walk.guarded(str(tmp_path), "src/bin.dat").endswith("bin.dat")
+    (tmp_path / "src/out").symlink_to("/etc")
+    for path in ("src/out/passwd", "../x", "/etc/passwd", ""):
+        with pytest.raises(ValueError):
+            walk.guarded(str(tmp_path), path)
+    listed = str(tmp_path / "repos.toml")
+    assert walk.add_repo(listed, "a", str(tmp_path)) and not walk.add_repo(listed, "a", "/other") and walk.add_repo(listed, "b.c", "/tmp")
+    with open(listed) as f:
+        assert walk.registry(f.read()) == {"a": str(tmp_path), "b.c": "/tmp"}
     assert walk.registry('[repos.a]\nroot = "/x"\n') == {"a": "/x"}
     with pytest.raises(ValueError):
         walk.registry("[repos.a]\n")
@@ -51,6 +64,10 @@ def test_git_source(spark, tmp_path):
         run("-c", "user.name=n", "-c", "user.email=e@e", "commit", "-q", "-m", f"m {text}")
     rows = git.git_history(spark, [str(tmp_path)]).select("path", "status", "message").collect()
     assert sorted(map(tuple, rows)) == [("x.txt", "added", "m a"), ("x.txt", "modified", "m b"), ("y.txt", "added", "m c")]
+    assert sorted(map(tuple, git.git_changed(spark, [str(tmp_path)], "HEAD~2").select("path", "status").collect())) == [("x.txt", "modified"), ("y.txt", "added")]
+    asked = spark.createDataFrame([(str(tmp_path), "x.txt"), (str(tmp_path), "none")], "repo string, path string")
+    lines = {r["path"]: r for r in git.git_blame(asked).collect()}
+    assert (lines["x.txt"]["line_no"], lines["x.txt"]["author"], lines["x.txt"]["content"]) == (1, "n", "b") and lines["none"]["error"] == "not found"
 
 
 def test_imports_resolve_by_name_then_stem(spark):
@@ -73,6 +90,8 @@ def test_namespaces(spark):
 def test_traversal(spark):
     edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("a", "d")], "src string, dst string")
     assert {tuple(r) for r in graph.reach(edges, ["a"], 5).collect()} == {("b", 1), ("d", 1), ("c", 2)}
+    chain = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}") for k in range(16)], "src string, dst string")
+    assert graph.shortest_paths(chain, "n00", ["n15"]).first()["hops"] == 15
     assert sorted(tuple(r) for r in graph.shortest_paths(edges, "c", ["d", "c", "zz"]).collect()) == [("c", "c", 0), ("d", "c -> b -> a -> d", 3)]
     deps = edges.select(F.col("src").alias("module"), F.col("dst").alias("dep"), F.lit("public").alias("kind"))
     assert sorted(tuple(r) for r in graph.connections(deps, ["a", "b", "c"]).collect()) == [("a", "b", "public", "b -> a"), ("a", "c", "path", "a -> d -> c"), ("b", "c", "public", "c -> b")]
@@ -104,6 +123,59 @@ def test_change_stream_keeps_table(spark, tmp_path):
         query.stop()
 
 
+CHANGE = "repo string, path string, ts string, size long, content string, deleted boolean"
+
+
+def change(spark, *rows):
+    return spark.createDataFrame(list(rows), CHANGE).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def files_of(spark, folder):
+    return {(r["repo"], r["path"]): r["content"] for r in watch.current(spark, folder)[0].collect()}
+
+
+def test_late_events_change_nothing(spark, tmp_path):
+    out = str(tmp_path / "t")
+    watch.apply_changes(spark, change(spark, ("r", "a", "2025-01-01 00:10:00", 1, "new", False), ("r", "b", "2025-01-01 00:00:00", 1, "b", False)), out, 0)
+    watch.apply_changes(spark, change(spark, ("r", "a", "2025-01-01 00:05:00", 1, "old", False), ("r", "b", "2025-01-01 00:10:00", 0, None, True)), out, 1)
+    assert files_of(spark, out) == {("r", "a"): "new"}
+    watch.apply_changes(spark, change(spark, ("r", "b", "2025-01-01 00:09:00", 1, "late", False), ("s", "a", "2025-01-01 00:00:00", 1, "s", None), (None, "x", "2025-01-01 00:00:00", 1, "s", None)), out, 2)
+    assert files_of(spark, out) == {("r", "a"): "new", ("s", "a"): "s"}
+    watch.apply_changes(spark, change(spark, ("r", "a", "2026-01-01 00:00:00", 1, "again", False)), out, 1)  # a version that was written before
+    assert files_of(spark, out)["r", "a"] == "new"
+    watch.apply_changes(spark, change(spark), out, 3)
+    assert watch.current(spark, out)[1] == 3 and len(files_of(spark, out)) == 2
+
+
+def test_a_batch_writes_what_it_touches(spark, tmp_path):
+    out = str(tmp_path / "t")
+    watch.apply_changes(spark, change(spark, *(("r", f"f{n}", "2025-01-01 00:00:00", 1, "x", False) for n in range(300))), out, 0, buckets=16)
+    first = sorted(p.name for p in (tmp_path / "t" / "v-0").glob("bucket=*"))
+    assert len(first) == 16
+    for n in range(1, 5):
+        watch.apply_changes(spark, change(spark, ("r", "f7", f"2025-01-0{n + 1} 00:00:00", 1, f"y{n}", False)), out, n)
+        assert len(list((tmp_path / "t" / f"v-{n}").glob("bucket=*"))) == 1
+    assert not (tmp_path / "t" / "v-1").exists() and len(list((tmp_path / "t" / "v-0").glob("bucket=*"))) == 15  # expired
+    assert files_of(spark, out)["r", "f7"] == "y4" and len(files_of(spark, out)) == 300
+
+
+def test_rescan_of_a_repository(spark, tmp_path):
+    out = str(tmp_path / "t")
+    scan = lambda *rows: spark.createDataFrame(list(rows), "path string, size long, content string")
+    watch.rescan(spark, out, "r", scan(("a", 1, "a"), ("b", 1, "b"), ("b", 1, "b")), "2025-01-01 00:00:00", 0)
+    watch.rescan(spark, out, "s", scan(("a", 1, "s")), "2025-01-01 00:00:00", 1)
+    watch.rescan(spark, out, "r", scan(("a", 2, "aa"), ("c", 1, None)), "2025-01-02 00:00:00", 2)
+    assert files_of(spark, out) == {("r", "a"): "aa", ("r", "c"): None, ("s", "a"): "s"}
+
+
+def test_changes_since_are_a_diff_of_states(spark):
+    commits = spark.createDataFrame([(n, "a", f"2025-01-{n:02d} 00:00:00") for n in range(1, 10)], "hash long, author string, t string").select("hash", "author", F.to_timestamp_ntz("t").alias("ts"))
+    steps = {"kept": [(1, "added")], "new": [(6, "added")], "new2": [(6, "added"), (7, "modified")], "gone": [(1, "added"), (7, "deleted")], "brief": [(6, "added"), (7, "deleted")], "back": [(1, "added"), (6, "deleted"), (8, "added")], "old": [(6, "modified")], "dead": [(1, "added"), (2, "deleted"), (8, "added")]}
+    files = spark.createDataFrame([(h, p, s) for p, x in steps.items() for h, s in x], "hash long, path string, status string")
+    got = {r["path"]: r["status"] for r in history.changed_since(commits, files, "2025-01-05 00:00:00").collect()}
+    assert got == {"new": "added", "new2": "added", "gone": "deleted", "back": "modified", "old": "modified", "dead": "added"}
+
+
 def test_live_sessions(spark, tmp_path):
     inbox = str(tmp_path / "in")
     rows = [(1, "f", 5, "2025-01-01 00:00:00"), (1, "g", 6, "2025-01-01 00:10:00"), (1, "f", 7, "2025-01-01 02:00:00"), (2, "f", 1, "2025-01-02 00:00:00")]
@@ -136,8 +208,16 @@ def test_encoder_and_commands(spark):
     assert corpus.read(["src/load.py"], start=1, end=1).first()["content"] == "    1 | def load(save): pass"
     assert corpus.call("module_files", module="core").count() == 2 and corpus.status().count() == 2
     assert {r["tier"] for r in corpus.read_budget(["src/load.py", "src/save_game.py"], 5, "save").collect()} <= {2, 4}
-    with pytest.raises(ValueError):
-        corpus.call("_filtered")
+    assert corpus.read([f"p{n}" for n in range(60)]).where("error is not null").count() == 60
+    twice = rows.unionByName(rows.withColumn("repo", F.lit("q")))
+    assert {(r["repo"], r["path"]) for r in Corpus(twice).read(["src/load.py"]).collect()} == {("r", "src/load.py"), ("q", "src/load.py")}
+    assert {r["repo"] for r in Corpus(twice).search("save").collect()} == {"r", "q"}
+    answer = Corpus(twice).read_budget(["src/load.py", "nope"], 10_000).collect()
+    assert [(r["path"], r["error"]) for r in answer] == [("q/src/load.py", None), ("r/src/load.py", None), ("nope", "not found")] and "def load" in answer[0]["content"]
+    assert corpus.grep("save", output="lines", per_file=1).count() == 2 and corpus.grep("def save", snippets=True).first()["snippet"] == "def save(): pass"
+    for bad in (lambda: corpus.call("_filtered"), lambda: corpus.repo("none"), lambda: corpus.grep("(?P<x>a)", "regex")):
+        with pytest.raises(ValueError):
+            bad()
     v = encoder.ENCODERS["hash-96"]()(["alpha beta", ""])
     assert abs((v[0] ** 2).sum() - 1) < 1e-5 and not v[1].any()
 
