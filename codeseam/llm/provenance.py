@@ -1,10 +1,11 @@
 """Problem 4: source files that nobody wrote by hand: generated, minified, copied from outside, or data kept as code.
 
-Copies are found by an inverted index over hashes of lines. Each line names all published files that have it, and of our
-own the oldest; a file is held line by line against the owners that its lines name. So a copy with edits is found, and
-of a group of copies, however large, mostly links to the owner arise; only files that no such owner holds, though most of
-their lines are known, are held against all that share one of their rarest lines. What isn't a copy is judged by its
-head, its path and the composition of its tokens.
+Copies are found by an inverted index over hashes of lines. A file that lies to COPIED in an owner shares with it one of
+the lines that are rarest among owners, so only these are looked up; published files are all looked up so. Of our own
+files each line names the oldest that has it, and a file is held against those that its lines name; so of a group of
+copies, however large, mostly links to the owner arise. Only files that no such owner holds, though most of their lines
+are known, are held against all that share one of their rarest lines. What isn't a copy is judged by its head, its path
+and the composition of its tokens.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeseam.session import durable, join_counted, small_side
+from codeseam.session import distinct_rows, durable, join_counted, small_side
 
 #: Lines count from this length (after inner blanks are made single).
 LINE_CHARS = 12
@@ -25,35 +26,71 @@ LINE_CHARS = 12
 MIN_LINES = 5
 #: Share of a file's lines that must name one owner for a look, and that must be in the owner.
 LOOK, COPIED = 0.3, 0.7
+#: Rows of a key from which it is spread, and at least 1/2000 of all.
+HOT_FROM = 10_000
 
 
 def line_hashes(text: Column) -> Column:
     """The different lines of a text as hashes, without indentation, doubled blanks and short lines."""
-    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    lines = F.transform(F.split(F.regexp_replace(text, r"[^\S\n]+", " "), "\n"), lambda x: F.trim(x))
     return F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x)))
 
 
 def line_index(files: DataFrame, published: DataFrame) -> DataFrame:
-    """(id, repo, n, whole, h): one row per file and line; ids of published files are below 0, whole is a hash of all lines.
+    """(id, repo, n, whole, lines): one row per file with its line hashes; ids of published files are below 0, whole is a hash of all lines.
 
     files: file_id, repo, rel_path, content. published: lib, rel_path, content. A file that occurs twice counts once.
     """
-    own = files.where("file_id is not null and content is not null").select(F.col("file_id").cast("long").alias("id"), F.hash(F.coalesce("repo", F.lit(""))).alias("repo"), line_hashes(F.col("content")).alias("lines"))
+    own = distinct_rows(files.select("file_id", "repo", "content"), "file_id").where("content is not null")
+    own = own.select(F.col("file_id").cast("long").alias("id"), F.hash(F.coalesce("repo", F.lit(""))).alias("repo"), line_hashes(F.col("content")).alias("lines"))
     key = F.xxhash64("lib", "rel_path", "content").bitwiseOR(F.lit(-(1 << 63)))
-    theirs = published.where("content is not null").select(key.alias("id"), F.hash(F.lit("published"), "lib").alias("repo"), line_hashes(F.col("content")).alias("lines"))
-    rows = own.unionByName(theirs).where(F.size("lines") >= MIN_LINES).select("id", "repo", F.size("lines").alias("n"), F.xxhash64(F.array_sort("lines")).alias("whole"), F.explode("lines").alias("h"))
-    return rows.groupBy("id", "h").agg(F.min("repo").alias("repo"), F.min("n").alias("n"), F.min("whole").alias("whole"))
+    theirs = published.where("content is not null").select(key.alias("id"), F.hash(F.lit("published"), "lib").alias("repo"), line_hashes(F.col("content")).alias("lines")).dropDuplicates(["id"])
+    return own.unionByName(theirs).where(F.size("lines") >= MIN_LINES).select("id", "repo", F.size("lines").alias("n"), F.xxhash64(F.array_sort("lines")).alias("whole"), "lines")
 
 
-def _contained(pairs: DataFrame, index: DataFrame, hot_from: int) -> DataFrame:
+def _by_line(rows: DataFrame, *columns: str | Column) -> DataFrame:
+    return rows.select(*columns, F.explode("lines").alias("h"))
+
+
+def _hot_from(rows: DataFrame) -> int:
+    return max(HOT_FROM, rows.count() // 2000)
+
+
+def _known(files: DataFrame, owned: DataFrame, hot_from: int) -> DataFrame:
+    """(id, n, repo, h, and what owned has of the line) for the lines of files that are in owned (h, files, ...), kept.
+
+    files is the number of those files that have the line: of hot lines there are few, and they are broadcast.
+    """
+    rows = _by_line(files, "id", "n", "repo")
+    if owned.limit(100_001).count() <= 100_000:
+        return durable(rows.join(F.broadcast(owned), "h"))
+    return durable(join_counted(rows, owned.withColumn("held", F.col("files")), ["h"], "files", "id", hot_from).where("held is not null").withColumnRenamed("held", "files"))
+
+
+def _rarest(known: DataFrame, k: DataFrame) -> DataFrame:
+    """Of each file of k (id, k known lines) the lines of which an owner that holds COPIED of it must have one: the rarest.
+
+    An owner lacks n - ceil(COPIED n) lines at most, so it has one of that many and one more, to which all lines belong
+    that nobody else has.
+    """
+    rows = known.join(k.select("id", "k"), "id")
+    spare = F.col("n") - F.ceil(COPIED * F.col("n") - 1e-9) + 1 - (F.col("n") - F.col("k"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("files", "h"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= spare).select("h", "id", "n", F.col("repo").alias("own_repo"))
+
+
+def _mostly_known(known: DataFrame) -> DataFrame:
+    return known.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= COPIED * F.col("n"))
+
+
+def _contained(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """Of the pairs (id, n, own_repo, owner) those with COPIED of the lines in the owner, with owner_repo and containment."""
-    pairs = durable(pairs)
-    # The lines of the owners, each with the number of files that are held against it.
+    pairs = durable(pairs.distinct())
+    mine = index.select("id", "lines").join(small_side(pairs), "id")
     owners = pairs.groupBy("owner").agg(F.count("*").alias("lookers"))
-    have = index.join(owners, index["id"] == owners["owner"]).select("owner", "h", "lookers", F.lit(1).alias("there"), index["repo"].alias("owner_repo"))
-    mine = index.select("id", "h").join(pairs, "id")
-    shared = join_counted(mine, have, ["owner", "h"], "lookers", "id", hot_from).where("there = 1")
-    held = shared.groupBy("id", "n", "own_repo", "owner", "owner_repo").agg(F.count("*").alias("shared")).withColumn("containment", F.col("shared") / F.col("n"))
+    have = index.select(F.col("id").alias("owner"), F.col("repo").alias("owner_repo"), F.col("lines").alias("there")).join(small_side(owners), "owner")
+    both = join_counted(mine, have, ["owner"], "lookers", "id", _hot_from(pairs))
+    held = both.select("id", "n", "own_repo", "owner", "owner_repo", (F.size(F.array_intersect("lines", "there")) / F.col("n")).alias("containment"))
     return durable(held.where(F.col("containment") >= COPIED))
 
 
@@ -71,38 +108,34 @@ def _largest(rows: DataFrame) -> DataFrame:
 def copies(index: DataFrame) -> DataFrame:
     """(id, owner, containment) of the files that were copied: from a published file or between repositories.
 
-    The owner itself is among them if it is a file of ours; containment is the share of the file's lines in the owner, the
-    largest where several hold it. Every published file counts as an owner. Files that none of them holds are compared
-    with those of our files that own LOOK of their lines, and what is left with all that share one of its rarest lines.
+    The owner itself is among them if it is a file of ours, as which of two equal files was first can't be told from
+    them; containment is the share of the file's lines in the owner, the largest where several hold it. Every published
+    file counts as an owner. Files that none of them holds are compared with those of our files that own LOOK of their
+    lines, and what is left with all that share one of its rarest lines.
     """
     index = durable(index)
-    hot_from = max(10_000, index.count() // 2000)
-    own = index.where("id >= 0")
-    counts = own.groupBy("h").agg(F.count("*").alias("files"))
-    theirs = index.where("id < 0").groupBy("h").agg(F.collect_list("id").alias("owners")).join(counts, "h")
-    named = join_counted(own.select("id", "n", "h"), theirs, ["h"], "files", "id", hot_from).select("id", "n", F.explode("owners").alias("owner"))
-    shared = named.groupBy("id", "n", "owner").agg(F.count("*").alias("shared")).withColumn("containment", F.col("shared") / F.col("n"))
-    direct = durable(_largest(shared.where(F.col("containment") >= COPIED)))
+    own, published = index.where("id >= 0"), index.where("id < 0")
+    hot_lines = max(HOT_FROM, (index.agg(F.sum("n")).first()[0] or 0) // 2000)
+    offered = durable(_by_line(published, F.col("id").alias("owner")))
+    known = _known(own, offered.groupBy("h").agg(F.count("*").alias("files")), hot_lines)
+    asked = _rarest(known, _mostly_known(known))
+    direct = durable(_largest(_contained(asked.join(small_side(offered), "h").select("id", "n", "own_repo", "owner"), index)))
 
     # Files of one repository with the same lines are one: the smallest id stands for them.
-    same = own.groupBy("id").agg(F.min("repo").alias("repo"), F.min("whole").alias("whole"))
-    stands = same.groupBy("repo", "whole").agg(F.min("id").alias("one"), F.count("*").alias("members"))
-    same = durable(join_counted(same, stands, ["repo", "whole"], "members", "id", hot_from).select("id", "one"))
-    own = durable(own.drop("whole").join(same.where("id = one").select("id"), "id", "left_semi"))
-    lines = own.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("files")).where("files > 1").withColumn("held", F.col("files"))
-    held = join_counted(own, lines, ["h"], "files", "id", hot_from).where("held is not null")
-    able = held.groupBy("id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= COPIED * F.col("n")).join(direct.select("id"), "id", "left_anti").select("id", "k")
-    held = durable(held.join(able, "id"))
-    votes = held.where("first <> id").groupBy("id", "n", F.col("repo").alias("own_repo"), F.col("first").alias("owner")).agg(F.count("*").alias("votes"))
-    contained = _contained(votes.where(F.col("votes") >= LOOK * F.col("n")).drop("votes"), own, hot_from)
+    stands = own.groupBy("repo", "whole").agg(F.min("id").alias("one"), F.count("*").alias("members"))
+    same = durable(join_counted(own.select("id", "repo", "whole"), stands, ["repo", "whole"], "members", "id", _hot_from(own)).select("id", "one"))
+    own = own.join(small_side(same.where("id <> one").select("id")), "id", "left_anti")
+    lines = durable(_by_line(own, "id").groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("files")).where("files > 1"))
+    known = _known(own, lines, hot_lines)
+    able = durable(_mostly_known(known).join(direct.select("id"), "id", "left_anti"))
+    votes = known.where("first <> id").join(small_side(able.select("id")), "id", "left_semi").groupBy("id", "n", F.col("repo").alias("own_repo"), F.col("first").alias("owner")).agg(F.count("*").alias("votes"))
+    contained = _contained(votes.where(F.col("votes") >= LOOK * F.col("n")).drop("votes"), index)
     foreign = _foreign(contained)
-    known = contained.join(foreign, "owner", "left_semi").select("id").union(foreign.select(F.col("owner").alias("id"))).distinct()
-    # An owner lacks n - ceil(0.7 n) lines at most, so it has one of the file's rarest lines, one more than these.
-    spare = F.col("n") - F.ceil(COPIED * F.col("n") - 1e-9) + 1 - (F.col("n") - F.col("k"))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("held", "h"))
-    rarest = held.join(known, "id", "left_anti").withColumn("nth", nth).where(F.col("nth") <= spare).select("h", "id", "n", F.col("repo").alias("own_repo"))
-    others = small_side(durable(rarest)).join(own.select("h", F.col("id").alias("owner")), "h").where("owner <> id")
-    contained = contained.unionByName(_contained(others.select("id", "n", "own_repo", "owner").distinct(), own, hot_from)).distinct()
+    settled = contained.join(foreign, "owner", "left_semi").select("id").union(foreign.select(F.col("owner").alias("id"))).distinct()
+    rarest = _rarest(known, able.join(settled, "id", "left_anti"))
+    others = small_side(durable(rarest)).join(_by_line(own, F.col("id").alias("owner")), "h").where("owner <> id")
+    contained = contained.unionByName(_contained(others.select("id", "n", "own_repo", "owner"), index)).distinct()
+    hot_from = _hot_from(contained)
     foreign = _foreign(contained).withColumn("foreign", F.lit(True))
     members = join_counted(contained.select("id", "owner", "containment"), foreign, ["owner"], "members", "id", hot_from).where("foreign")
     members = durable(_largest(members).unionByName(direct))
@@ -110,8 +143,7 @@ def copies(index: DataFrame) -> DataFrame:
     found = members.unionByName(originals)
     each = same.groupBy("one").agg(F.count("*").alias("members"))
     found = found.join(each, found["id"] == each["one"]).select("one", "owner", "containment", "members")  # direct ones find themselves below
-    mates = join_counted(same, found, ["one"], "members", "id", hot_from).where("owner is not null").select("id", "owner", "containment")
-    return mates
+    return join_counted(same, found, ["one"], "members", "id", hot_from).where("owner is not null").select("id", "owner", "containment")
 
 
 # --- files by themselves ----------------------------------------------------------------------------------------------
