@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeseam.llm import fusion, mixing, neighbors, packing, provenance, reading, secrets, splitting, tokens
-from codeseam.session import durable, small_side, table
+from codeseam.session import distinct_rows, durable, small_side, table
 
 SCORES = ("name_score", "grep_score", "grep_count", "terms_matched")
 
@@ -33,7 +33,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every file and every blamed line with its secrets masked; origin and record_id as in p2_found."""
-    files = table(spark, d, "source_files").select("file_id", "rel_path", "content").dropDuplicates(["file_id"])
+    files = distinct_rows(table(spark, d, "source_files").select("file_id", "rel_path", "content"), "file_id")
     texts = secrets.redacted(files, "file_id", "rel_path", "content").select(F.lit("file").alias("origin"), F.col("file_id").alias("record_id"), "content", "n_secrets")
     lines = secrets.redacted_lines(table(spark, d, "blame_lines")).select(F.lit("blame").alias("origin"), F.col("blame_id").alias("record_id"), "content", "n_secrets")
     return texts.unionByName(lines)
@@ -47,6 +47,19 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.valid_vectors(table(spark, d, "chunks"), table(spark, d, "model_configs"), "chunk_id", "model_name", "embedding")
 
 
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """p3_nearest by comparing all with all: what recall is measured against."""
+    edges = neighbors.search_exact(_vectors(spark, d), 10, asking_every=50)
+    return neighbors.best_of(edges, 10).select(F.col("id").alias("chunk_id"), F.col("other").alias("similar_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """One row: how many of the ten nearest of the asking chunks p3_nearest finds."""
+    found = p3_nearest(spark, d).select("chunk_id", "similar_id", F.lit(1).alias("found"))
+    rows = p3_exact(spark, d).join(found, ["chunk_id", "similar_id"], "left")
+    return rows.agg(F.count("*").alias("nearest"), F.count("found").alias("found"), F.round(F.count("found") / F.count("*"), 4).alias("recall"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """As pairs count from 0.80 only, the ten best of a chunk among those decide."""
     edges = neighbors.search(_vectors(spark, d), 10, PROBES_ALL, at_least=0.80)
@@ -85,7 +98,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All pieces of every chunk, a chunk delivered twice once."""
     chunks = table(spark, d, "chunks").withColumnRenamed("model_name", "model")
-    return _pieces(spark, d, chunks.select("chunk_id", "text", "model", "start_line")).dropDuplicates(["chunk_id", "piece_no"])
+    return _pieces(spark, d, distinct_rows(chunks.select("chunk_id", "text", "model", "start_line"), "chunk_id"))
 
 
 def _capacity(spark: SparkSession, d: str, name: str) -> int:
@@ -144,7 +157,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_order, p2_found, p2_places, p2_redacted, p3_found, p3_nearest, p4_found, p4_reasons, p4_copies, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_order, p2_found, p2_places, p2_redacted, p3_found, p3_nearest, p3_exact, p3_recall, p4_found, p4_reasons, p4_copies, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
 
 
 _FUSED = """
@@ -170,5 +183,12 @@ SELECT query_id, result_id FROM (
   FROM fused f JOIN (SELECT query_id, max(want_k) AS want_k FROM find_queries GROUP BY query_id) q USING (query_id))
 WHERE n <= want_k""",
         "p1_order": _FUSED + "SELECT query_id, result_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, result_id) AS position FROM fused",
+        "p3_exact": """
+WITH c AS (SELECT DISTINCT chunk_id, model_name, embedding::DOUBLE[] AS e FROM chunks JOIN model_configs USING (model_name)
+  WHERE chunk_id IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT chunk_id, model_name, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM c),
+s AS (SELECT q.chunk_id, o.chunk_id AS similar_id, round(list_dot_product(q.e, o.e), 9) AS similarity FROM u q JOIN u o ON q.model_name = o.model_name AND q.chunk_id <> o.chunk_id WHERE q.chunk_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY similarity DESC, similar_id)::INT AS rank FROM s)
+SELECT chunk_id, similar_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 10""",
         "p5_found": "SELECT DISTINCT chunk_id FROM chunks JOIN model_configs USING (model_name) WHERE length(text) > max_chunk_chars",
     }

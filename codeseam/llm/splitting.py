@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -21,11 +22,24 @@ LEVELS = tuple(
     )
 )
 LINE_END = re.compile(r"\r\n|\n|\r")
+#: The most characters that are kept together as one.
+GRAPHEME = 32
 PIECES = "piece_no int, n_pieces int, start_char int, start_line int, piece string"
 
 
-def _units(text: str, lo: int, hi: int, most: int, level: int, out: list[int]) -> None:
-    """Append the ends of units of at most `most` characters that cover text[lo:hi], from the highest level that does."""
+def _joined(text: str, at: int) -> bool:
+    """Whether a cut at this place would part what is one character to a reader: CR LF, marks, joiners, variants, tones, flags."""
+    a, b = text[at - 1], text[at]
+    if a == "\r" and b == "\n" or "\u200d" in (a, b) or "\ufe00" <= b <= "\ufe0f" or "\U0001f3fb" <= b <= "\U0001f3ff" or unicodedata.combining(b):
+        return True
+    flags = 0
+    while flags < 256 and at - flags > 0 and "\U0001f1e6" <= text[at - flags - 1] <= "\U0001f1ff":
+        flags += 1
+    return flags % 2 == 1 and "\U0001f1e6" <= b <= "\U0001f1ff"
+
+
+def _units(text: str, lo: int, hi: int, most: int, level: int, out: list[tuple[int, int]]) -> None:
+    """Append (end, level) of units of at most `most` characters that cover text[lo:hi], from the highest level that does."""
     while hi - lo > most and level < len(LEVELS):
         ends = [m.end() for m in LEVELS[level].finditer(text, lo, hi) if lo < m.end() < hi]
         level += 1
@@ -33,34 +47,42 @@ def _units(text: str, lo: int, hi: int, most: int, level: int, out: list[int]) -
             for end in [*ends, hi]:
                 if end - lo > most:
                     _units(text, lo, end, most, level, out)
+                    out[-1] = (end, level)
                 else:
-                    out.append(end)
+                    out.append((end, level))
                 lo = end
             return
     while hi - lo > most:
         cut = lo + most
-        if text[cut - 1] == "\r" and text[cut] == "\n" and most > 1:
+        while cut > lo + 1 and cut > lo + most - GRAPHEME and _joined(text, cut):
             cut -= 1
-        out.append(cut)
-        lo = cut
-    out.append(hi)
+        out.append((cut if cut > lo + 1 and not _joined(text, cut) else lo + most, level + 1))
+        lo = out[-1][0]
+    out.append((hi, level + 1))
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """[start, end) of the pieces, none longer than limit, in characters; a text within the limit is one piece.
 
     Every piece but the first starts exactly `overlap` characters before the end of the one before (at most half of the
-    limit); the ends lie at the best boundary, as many units as fit. An empty text is one empty piece.
+    limit); as many units are packed as fit, but within the last quarter of a piece the end of the highest level is taken:
+    a section's end rather than a word after it. An empty text is one empty piece.
     """
     if len(text) <= limit:
         return [(0, len(text))]
     limit = max(1, limit)
     overlap = max(0, min(overlap, limit // 2))
-    ends: list[int] = []
-    _units(text, 0, len(text), limit - overlap, 0, ends)
+    units: list[tuple[int, int]] = []
+    _units(text, 0, len(text), limit - overlap, 0, units)
+    ends, levels = [e for e, _ in units], [v for _, v in units]
     pieces, start = [], 0
     while True:
-        end = ends[bisect_right(ends, start + limit) - 1]
+        last = best = bisect_right(ends, start + limit) - 1
+        while ends[last] < len(text) and best > 0 and ends[best - 1] > start + max(overlap, limit - limit // 4):
+            best -= 1
+            if levels[best] < levels[last]:
+                last = best
+        end = ends[last]
         pieces.append((start, end))
         if end == len(text):
             return pieces

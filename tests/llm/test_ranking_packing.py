@@ -105,6 +105,13 @@ def test_cuts_are_natural():
     text = "# A\n" + "One two three. " * 6 + "\n\n" + "Four five six. " * 6 + "\n\n# B\n" + "Seven. " * 10
     ends = [text[:b] for _, b in splitting.split_text(text, 120, 10)]
     assert all(e.endswith(("\n", ". ", "."))for e in ends)
+    text = "word " * 30 + "\n\n" + "next " * 100
+    assert text[: splitting.split_text(text, 170, 10)[0][1]].endswith("\n\n")
+    family = "\U0001f468\u200d\U0001f469\u200d\U0001f467"
+    for unit in (family, "e\u0301", "\U0001f1e9\U0001f1ea", "\U0001f44d\U0001f3fd", "\r\n"):
+        for limit in range(7, 14):
+            ends = [b for _, b in splitting.split_text(unit * 40, limit, 0)]
+            assert all(b % len(unit) == 0 for b in ends), (unit, limit)
     assert splitting.split_text("x" * 1_000_000, 1000, 100)[-1][1] == 1_000_000
 
 
