@@ -58,10 +58,6 @@ class Corpus:
         of = lambda rows: rows.where(F.col("repo") == name) if rows is not None and "repo" in rows.columns else rows
         return replace(self, files=mine, blame=of(self.blame), chunks=of(self.chunks))
 
-    def display_path(self, several: bool) -> Column:
-        """The path, after the repository's name in brackets where files of several are shown."""
-        return F.format_string("[%s] %s", "repo", "path") if several else F.col("path")
-
     def _filtered(self, ext: str | None, path: str | None, category: str | None) -> DataFrame:
         rows = self.files
         if ext:

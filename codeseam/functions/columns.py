@@ -174,3 +174,8 @@ def embeddable(path: Column, size: Column) -> Column:
     folded = F.concat(F.lit("/"), F.lower(path))
     skipped = folded.rlike("/(" + "|".join(EMBED_SKIP_DIRS) + ")/")
     return extension(path).isin(list(EMBEDDABLE)) & ~skipped & (size <= EMBED_MAX_BYTES)
+
+
+def display_path(repo: Column, path: Column, several: Column) -> Column:
+    """The path, after the repository's name in brackets where files of several are shown."""
+    return F.when(several, F.format_string("[%s] %s", repo, path)).otherwise(path)

@@ -197,3 +197,24 @@ def name_rank(files: DataFrame, word: str, limit: int | None) -> DataFrame:
     score = F.when((stem == low) | (name == low), EXACT).when(stem.startswith(low) & (F.lit(len(low)) >= PREFIX_FROM), PREFIX + PREFIX_SHARE * len(low) / F.length(stem))
     rows = files.select("repo", "path", F.round(score, 6).alias("score")).where("score is not null")
     return rows if limit is None else rows.orderBy(F.desc("score"), "repo", "path").limit(limit)
+
+
+def highlights(files: DataFrame, query: str, limit: int, compat: bool = False) -> DataFrame:
+    """search_files with name_indices and path_indices: which characters (from 0) of the name and the path the words match."""
+    tokens = [Token(w, compat) for w in query.split()]
+
+    def indices(text: str) -> list[int]:
+        found: set[int] = set()
+        for t in tokens:
+            if got := fuzzy_score(text, t.pattern, t.case):
+                found.update(got[1])
+        return sorted(found)
+
+    @F.pandas_udf("array<int>")
+    def matched(texts: pd.Series) -> pd.Series:
+        return texts.map(indices)
+
+    best = search_files(files, query, limit, compat)
+    names = files.select("repo", "path", "filename").dropDuplicates(["repo", "path"])
+    rows = names.join(F.broadcast(best), ["repo", "path"])  # at most `limit`
+    return rows.select("repo", "path", "score", matched("filename").alias("name_indices"), matched("path").alias("path_indices"))

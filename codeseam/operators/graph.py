@@ -200,9 +200,13 @@ def expand(deps: DataFrame, matched: DataFrame) -> DataFrame:
     return ahead.unionByName(behind).distinct().join(m, "module", "left_anti")
 
 
-def levels(deps: DataFrame, root: str, max_depth: int) -> DataFrame:
-    """(node, depth, kind): the tree of dependencies below a module, each node once, public edges before private ones."""
+def levels(deps: DataFrame, root: str, max_depth: int, reverse: bool = False) -> DataFrame:
+    """(node, depth, kind): the tree of dependencies below a module, each node once, public edges before private ones; or, in
+    reverse, of what depends on it."""
     spark = deps.sparkSession
+    if reverse:
+        deps = deps.select(F.col("dep").alias("module"), F.col("module").alias("dep"), "kind")
+    deps = durable(deps.select("module", "dep", "kind").distinct().repartition("module"))
     seen = spark.createDataFrame([(root, 0, "root")], "node string, depth int, kind string")
     newest, n = seen, 1
     for depth in range(1, max_depth + 1):
@@ -214,6 +218,33 @@ def levels(deps: DataFrame, root: str, max_depth: int) -> DataFrame:
     return seen
 
 
+def adjacency(deps: DataFrame, modules: DataFrame) -> DataFrame:
+    """(node, group, kind, neighbour): every edge from both its ends, with the first part of the node's category ('' if unknown).
+
+    modules: module, module_category. An edge of both kinds counts as public.
+    """
+    one = deps.groupBy("module", "dep").agg(F.max("kind").alias("kind"))  # public is the later word
+    both = one.select(F.col("module").alias("node"), "kind", F.col("dep").alias("neighbour")).unionByName(one.select(F.col("dep").alias("node"), "kind", F.col("module").alias("neighbour")))
+    groups = modules.groupBy(F.col("module").alias("node")).agg(F.min(F.split("module_category", " > ")[0]).alias("group"))
+    return both.groupBy("node", "neighbour").agg(F.max("kind").alias("kind")).join(groups, "node", "left").select("node", F.coalesce("group", F.lit("")).alias("group"), "kind", "neighbour")
+
+
+def lookup(categories: DataFrame, modules: DataFrame) -> DataFrame:
+    """(category, module): the module named like the last part of a category, else the first whose category it is; null if none."""
+    names = modules.groupBy(F.lower("module").alias("last")).agg(F.min("module").alias("named"))
+    places = modules.groupBy(F.col("module_category").alias("category")).agg(F.min("module").alias("placed"))
+    asked = categories.select("category").distinct().withColumn("last", F.lower(F.element_at(F.split("category", " > "), -1)))
+    return asked.join(names, "last", "left").join(places, "category", "left").select("category", F.coalesce("named", "placed").alias("module"))
+
+
+def closure(deps: DataFrame, modules: DataFrame, files: DataFrame, module: str) -> DataFrame:
+    """(repo, path) of the files of a module, of what it depends on and of what depends on it, with their subtrees. files: repo, path, category."""
+    near = expand(deps, deps.sparkSession.createDataFrame([(module,)], "module string"))
+    wanted = modules.join(near.unionByName(deps.sparkSession.createDataFrame([(module,)], "module string")), "module", "left_semi")
+    up = files.select("repo", "path", F.explode(C.ancestors(F.col("category"))).alias("module_category"))
+    return up.join(wanted.select("module_category").distinct(), "module_category", "left_semi").select("repo", "path").distinct()
+
+
 def longest_module(files: DataFrame, modules: DataFrame) -> DataFrame:
     """files with the module whose category is theirs or the nearest above: a join on ancestors, of at most five."""
     up = files.select("file_id", F.explode(C.ancestors(F.col("category"))).alias("module_category"))

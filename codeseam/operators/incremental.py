@@ -43,3 +43,9 @@ def debounce(events: DataFrame, key: str, quiet: str) -> DataFrame:
 def session_summary(reads: DataFrame) -> DataFrame:
     """(session_id, files_read, tokens_served, started_at, last_read)."""
     return reads.groupBy("session_id").agg(F.countDistinct("path").alias("files_read"), F.sum("tokens").alias("tokens_served"), F.min("ts").alias("started_at"), F.max("ts").alias("last_read"))
+
+
+def active(reads: DataFrame, now: str, idle: str = "30 minutes") -> DataFrame:
+    """session_summary of the sessions that read something within the idle time before now; the others are pruned."""
+    end = F.lit(now).cast("timestamp_ntz")
+    return session_summary(reads.where(F.col("ts") <= end)).where(F.col("last_read") >= end - F.expr(f"interval {idle}"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
+from codeseam.session import numbered
 
 
 def modules(files: DataFrame) -> DataFrame:
@@ -54,6 +55,24 @@ def subtrees(files: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.count("*").alias("files"), F.countDistinct("ext").alias("exts"))
 
 
+def subtree_extensions(files: DataFrame, most: int = 5) -> DataFrame:
+    """(node, ext, files): the extensions of each subtree with most files."""
+    rows = files.where("ext <> ''").select("ext", F.explode(C.ancestors(F.col("category"))).alias("node")).groupBy("node", "ext").agg(F.count("*").alias("files"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("files"), "ext"))  # of extensions, not of files
+    return rows.withColumn("place", place).where(F.col("place") <= most).select("node", "ext", "files")
+
+
+def ordered(files: DataFrame) -> DataFrame:
+    """(file_id, repo, place): files of each repository by category, path and id."""
+    rows = files.select("file_id", "repo", F.struct("category", "path", "file_id").alias("key"))
+    return numbered(rows, "repo", [("key", False)], "place").select("file_id", "repo", "place")
+
+
+def import_sources(imports: DataFrame) -> DataFrame:
+    """(repo, sources, targets) of files that import anything and of what is imported, with a total whose repo is null."""
+    return imports.rollup("repo").agg(F.countDistinct("repo", "src").alias("sources"), F.countDistinct("target").alias("targets"))
+
+
 def selection(files: DataFrame) -> DataFrame:
     """(node, files, selected, state): whether all, some or none of a subtree's files are selected."""
     rows = files.select("selected", F.explode(C.ancestors(F.col("category"))).alias("node"))

@@ -17,6 +17,32 @@ def values(files: DataFrame) -> DataFrame:
     return rows.select("node", parent.alias("parent"), F.size(parts).alias("depth"), "files", F.round(F.cbrt("files"), 6).alias("value"))
 
 
+def unwrapped(files: DataFrame, most: int = 5) -> DataFrame:
+    """files without the first parts of their categories that all of them share, as long as something is left of each."""
+    parts = F.split("category", " > ")
+    n = [F.countDistinct(F.get(parts, F.lit(k))).alias(f"n{k}") for k in range(most)]
+    row = files.agg(*n, F.min(F.size(parts)).alias("shortest")).first()
+    skip = 0
+    while skip < most and row[f"n{skip}"] == 1 and row["shortest"] > skip + 1:
+        skip += 1
+    return files.withColumn("category", F.array_join(F.slice(parts, F.lit(skip + 1), F.size(parts)), " > ")) if skip else files
+
+
+def damped(files: DataFrame) -> DataFrame:
+    """(node, parent, depth, files, value): as values, but summed up from below: a category's own files count by their cube
+    root where it has siblings, so that every node is as large as what is drawn in it; shared first parts are left out."""
+    rows = unwrapped(files)
+    own = rows.groupBy("category").agg(F.count("*").alias("n"))
+    parts = F.split("category", " > ")
+    parent = lambda c: F.array_join(F.slice(F.split(c, " > "), F.lit(1), F.size(F.split(c, " > ")) - 1), " > ")
+    nodes = own.select(F.explode(C.ancestors(F.col("category"))).alias("node")).distinct().withColumn("parent", parent("node"))
+    siblings = nodes.groupBy("parent").agg(F.count("*").alias("siblings"))
+    drawn = own.withColumn("parent", parent("category")).join(siblings, "parent")
+    value = F.when(F.col("siblings") >= 2, F.cbrt("n")).otherwise(F.col("n").cast("double"))
+    up = drawn.select("n", value.alias("v"), F.explode(C.ancestors(F.array_join(parts, " > "))).alias("node"))
+    return up.groupBy("node").agg(F.sum("n").alias("files"), F.round(F.sum("v"), 6).alias("value")).select("node", parent("node").alias("parent"), F.size(F.split("node", " > ")).alias("depth"), "files", "value")
+
+
 def _worst(row: list[float], side: float) -> float:
     total = sum(row)
     return max(max(side * side * v / total**2, total**2 / (side * side * v)) for v in row)

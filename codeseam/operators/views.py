@@ -25,6 +25,12 @@ def highlight(deps: DataFrame, focus: str) -> DataFrame:
     return near.distinct().where(F.col("node") != focus).withColumn("role", F.lit("neighbour")).unionByName(deps.sparkSession.createDataFrame([(focus, "focus")], "node string, role string"))
 
 
+def search_set(modules: DataFrame, term: str) -> DataFrame:
+    """(module) of the modules whose name or category holds a term, whatever its case; all for an empty one."""
+    low = F.lit(term.lower())
+    return modules.where(F.contains(F.lower("module"), low) | F.contains(F.lower("module_category"), low)).select("module").distinct()
+
+
 def blended(files: DataFrame, palette: dict[str, tuple[int, int, int]], base: int = 128, mix: float = 0.35) -> DataFrame:
     """(node, red, green, blue): colours of the extensions below each category, weighted by files, mixed into a base."""
     rows = files.select(F.explode(C.ancestors(F.col("category"))).alias("node"), "ext").where(F.col("ext").isin(list(palette)))
@@ -46,9 +52,14 @@ def related_headers(files: DataFrame, scores: DataFrame, deps: DataFrame) -> Dat
 
 
 def selected_modules(files: DataFrame, modules: DataFrame) -> DataFrame:
-    """(module): modules whose category is that of a selected file or above it. files: category, selected; modules: module, module_category."""
-    up = files.where("selected").select(F.explode(C.ancestors(F.col("category"))).alias("module_category")).distinct()
-    return modules.join(up, "module_category", "left_semi").select("module").distinct()
+    """(module): modules whose category is that of a selected file or above it, or that are named like the last part of one.
+
+    files: category, selected; modules: module, module_category.
+    """
+    chosen = files.where("selected").select("category").distinct()
+    up = chosen.select(F.explode(C.ancestors(F.col("category"))).alias("module_category")).distinct()
+    last = chosen.select(F.element_at(F.split("category", " > "), -1).alias("module")).distinct()
+    return modules.join(up, "module_category", "left_semi").select("module").unionByName(modules.join(last, "module", "left_semi").select("module")).distinct()
 
 
 def preview(snippet: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeseam.plans import graph_queries, text_queries, view_queries
+from codeseam.plans import explore_queries, graph_queries, text_queries, view_queries
 
-_MODULES = (text_queries, graph_queries, view_queries)
+_MODULES = (text_queries, graph_queries, view_queries, explore_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
