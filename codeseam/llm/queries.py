@@ -156,8 +156,13 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return p8_levels(spark, d).join(source, "doc_id").groupBy("source", "language", "band").agg(F.count("*").alias("n_docs"), F.round(F.avg("grade"), 3).alias("mean_grade"))
 
 
+def p8_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of grades on held-out sources and languages."""
+    return reading.quality(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_order, p2_found, p2_places, p2_redacted, p3_found, p3_nearest, p3_exact, p3_recall, p4_found, p4_reasons, p4_copies, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p1_order, p2_found, p2_places, p2_redacted, p3_found, p3_nearest, p3_exact, p3_recall, p4_found, p4_reasons, p4_copies, p5_found, p5_pieces, p6_found, p6_windows, p6_fill, p7_found, p7_mix, p7_shares, p8_found, p8_levels, p8_profile, p8_quality)}
 
 
 _FUSED = """

@@ -258,7 +258,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grader:
-    """Trees and the calibration of their predictions; report holds the cross-validated figures."""
+    """Trees and the calibration of their predictions; held holds the grade of each training row by trees and a calibration
+    that saw no row of its source (NaN where too few were left to learn from)."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, groups: np.ndarray, folds: int = 5) -> None:
         held = np.full(len(y), np.nan)
@@ -272,8 +273,11 @@ class Grader:
         ok = ~np.isnan(held)
         self.trees = Trees().fit(x, y)
         self.knots = isotonic(held[ok], y[ok]) if ok.sum() >= 50 else (np.array([1.0, 5.0]), np.array([1.0, 5.0]))
-        graded = self.calibrate(held[ok])
-        self.report = {"rows": int(len(y)), "held_out": int(ok.sum()), "mae": float(np.abs(graded - y[ok]).mean()) if ok.any() else None, "within_half": float((np.abs(graded - y[ok]) <= 0.5).mean()) if ok.any() else None}
+        self.held = np.full(len(y), np.nan)
+        for k in range(folds):
+            test, rest = ok & (fold == k), ok & (fold != k)
+            if test.any() and rest.sum() >= 50:
+                self.held[test] = np.clip(np.interp(held[test], *isotonic(held[rest], y[rest])), 1, 5)
 
     def calibrate(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, *self.knots)
@@ -322,16 +326,22 @@ def _inputs(frame: pd.DataFrame, scale: dict[str, tuple[np.ndarray, np.ndarray]]
     return np.hstack([z, raw[:, 10:15], raw[:, 18:24]])
 
 
-def train(measures: DataFrame, labels: DataFrame, documents: DataFrame, scale: dict[str, tuple[np.ndarray, np.ndarray]], rows: int = TRAIN_ROWS) -> Grader:
-    """Fit on the mean rating of each rated document (null ratings left out), at most `rows` of them."""
+#: Rated documents below which nothing is learnt.
+LEAST_RATED = 10
+
+
+def rated_rows(measures: DataFrame, labels: DataFrame, documents: DataFrame, rows: int = TRAIN_ROWS) -> pd.DataFrame:
+    """The measures of rated documents with their mean rating (null ratings left out) and source: at most `rows` of them, by hash."""
     from codeseam.llm.mixing import source_key
 
     rated = labels.where("doc_id is not null and reading_band is not null").groupBy("doc_id").agg(F.avg("reading_band").alias("band"))
     rated = small_side(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     source = documents.select("doc_id", source_key(F.col("source")).alias("group"))
     frame = measures.join(rated, "doc_id").join(source, "doc_id").toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    if len(frame) < 10:
-        raise ValueError("fewer than 10 rated documents have running text")
+    return frame.reset_index(drop=True)
+
+
+def train(frame: pd.DataFrame, scale: dict[str, tuple[np.ndarray, np.ndarray]]) -> Grader:
     return Grader(_inputs(frame, scale), frame["band"].to_numpy(dtype=float), frame["group"].fillna("").to_numpy())
 
 
@@ -350,10 +360,41 @@ def graded(measures: DataFrame, grader: Grader, scale: dict[str, tuple[np.ndarra
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, language, grade, band) of every document with running text; see the functions above.
 
-    Documents without doc_id or running text have no level. With no documents the result is empty.
+    Documents without doc_id or running text have no level. With no documents the result is empty; with fewer than
+    LEAST_RATED rated ones grade and band are null.
     """
     measures = measured(documents)
     scale = scales(measures)
-    if not scale:
+    frame = rated_rows(measures, labels, documents) if scale else pd.DataFrame()
+    if len(frame) < LEAST_RATED:
         return measures.select("doc_id", "language", F.lit(None).cast("double").alias("grade"), F.lit(None).cast("int").alias("band"))
-    return graded(measures, train(measures, labels, documents, scale), scale)
+    return graded(measures, train(frame, scale), scale)
+
+
+def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(held_out, name, rated, mean_error, within_half): how near grades come to ratings of documents that weren't learnt from.
+
+    held_out 'source': each source graded by trees and a calibration without it and the other sources of its fold;
+    'language': each language graded by what was learnt from the others; 'all': all sources. A name without grade has nulls.
+    """
+    schema = "held_out string, name string, rated long, mean_error double, within_half double"
+    measures = measured(documents)
+    scale = scales(measures)
+    frame = rated_rows(measures, labels, documents) if scale else pd.DataFrame()
+    if len(frame) < LEAST_RATED:
+        return documents.sparkSession.createDataFrame([], schema)
+    y, groups, languages = frame["band"].to_numpy(dtype=float), frame["group"].fillna("").to_numpy(), frame["language"].fillna("").to_numpy()
+    x = _inputs(frame, scale)
+    held = Grader(x, y, groups).held
+    found = [("all", "", np.ones(len(y), dtype=bool), held), *(("source", g, groups == g, held) for g in np.unique(groups))]
+    for name in np.unique(languages):
+        rest = languages != name
+        by_others = np.full(len(y), np.nan)
+        if rest.sum() >= LEAST_RATED:
+            by_others[~rest] = np.clip(Grader(x[rest], y[rest], groups[rest]).grade(x[~rest]), 1, 5)
+        found.append(("language", name, ~rest, by_others))
+    rows = []
+    for kind, name, mine, grades in found:
+        error = np.abs(grades - y)[mine & ~np.isnan(grades)]
+        rows.append((kind, str(name), int(mine.sum()), float(error.mean().round(4)) if len(error) else None, float((error <= 0.5).mean().round(4)) if len(error) else None))
+    return documents.sparkSession.createDataFrame(rows, schema)

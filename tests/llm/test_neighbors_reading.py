@@ -182,3 +182,8 @@ def test_levels_on_held_out_documents(spark):
     held = [n for n in range(250, 500)]
     assert np.mean([abs(got["grade"][n] - level[n]) for n in held]) < 0.7
     assert reading.reading_levels(documents.limit(0), labels).count() == 0
+    unrated = reading.reading_levels(documents, labels.limit(0)).collect()
+    assert len(unrated) == len(level) and all(r["grade"] is None and r["band"] is None for r in unrated)
+    report = {(r["held_out"], r["name"]): r for r in reading.quality(documents, labels).collect()}
+    assert report["all", ""]["rated"] == 250 and report["all", ""]["mean_error"] < 0.7 and report["source", "src3"]["rated"] > 20
+    assert reading.quality(documents, labels.limit(0)).count() == 0
