@@ -12,8 +12,9 @@ from codeseam.operators import grep as G
 from codeseam.plans.graph_queries import _DEPS, _EXTRACT, _READS, SELECTED
 from codeseam.plans.text_queries import _ANY, CATEGORISED, FILES, LINES, TERMS, typed
 from codeseam.plans.view_queries import _ANC
-from codeseam.session import table
-from codeseam.sources import corpus
+from codeseam.session import shared_folder, table
+from codeseam.sources import corpus, manifests
+from codeseam.streaming import watch
 
 NOW = "2024-01-15 00:00:00"
 
@@ -123,8 +124,41 @@ def file_vectors(spark: SparkSession, d: str) -> DataFrame:
     return v.select("file_id", F.size("v").alias("dim"), (F.abs(norm - 1) < 1e-4).alias("unit"))
 
 
+def manifest_deps(spark: SparkSession, d: str) -> DataFrame:
+    """The dependencies of modules, written as manifests of five formats and read again."""
+    deps = corpus.module_deps(spark, d).groupBy("module", "dep").agg(F.max("kind").alias("kind"))  # a manifest names each once
+    sides = deps.groupBy("module").agg(*(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("dep")))).alias(k) for k in ("public", "private")))
+    join = lambda side, form, sep: F.array_join(F.transform(side, lambda x: F.format_string(form, x)), sep)
+    keys = lambda side: F.to_json(F.map_from_arrays(side, F.transform(side, lambda x: F.lit("1"))))
+    texts = (
+        F.format_string('{"name": "%s", "dependencies": %s, "devDependencies": %s}', "module", keys("public"), keys("private")),
+        F.format_string('[package]\nname = "%s"\n\n[dependencies]\n%s\n\n[dev-dependencies]\n%s\n', "module", join("public", '%s = "1"', "\n"), join("private", '%s = { version = "1" }', "\n")),
+        F.format_string("project(%s)\ntarget_link_libraries(%s PUBLIC %s PRIVATE %s)\n", "module", "module", join("public", "x::%s", " "), join("private", "%s", "\n  ")),
+        F.format_string('PublicDependencyModuleNames.AddRange(new string[] { %s });\nPrivateDependencyModuleNames.AddRange(new string[] { %s });\n', join("public", '"%s"', ", "), join("private", '"%s"', ", ")),
+        F.format_string("module x.test/%s\n\nrequire (\n%s\n)\n", "module", join(F.concat("public", "private"), "\tx.test/a/%s v1.0.0", "\n")),
+    )
+    names = ("package.json", "Cargo.toml", "CMakeLists.txt", None, "go.mod")
+    kind = F.substring("module", 2, 9).cast("int") % 5
+    pick = lambda options: F.coalesce(*(F.when(kind == k, o) for k, o in enumerate(options)))
+    name = pick([F.lit(n) if n else F.concat("module", F.lit(".Build.cs")) for n in names])
+    files = sides.select(F.lit("r").alias("repo"), F.concat_ws("/", "module", name).alias("path"), pick(texts).alias("content"), F.lit("x").alias("category"))
+    return manifests.edges(manifests.modules(files)).select("module", "dep", "kind")
+
+
+def change_table(spark: SparkSession, d: str) -> DataFrame:
+    """A file table after the events in two batches, the later ones first."""
+    rows = table(spark, d, "events").select(
+        F.concat(F.lit("r"), F.col("user_id") % 7).alias("repo"), F.concat(F.lit("f"), F.col("user_id") % 400).alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("size"),
+        F.concat(F.lit("text "), "event_id").alias("content"), (F.col("event_type") == "click").alias("deleted"), "event_id",
+    )
+    folder = shared_folder(spark, "files")
+    for version, parity in enumerate((1, 0)):
+        watch.apply_changes(spark, rows.where(F.col("event_id") % 2 == parity).drop("event_id"), folder, version, buckets=8, keep_deleted_days=100_000)
+    return watch.current(spark, folder)[0].select("repo", "path", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "size")
+
+
 QUERIES = (
-    subtree_extensions, file_order, display_paths, dep_adjacency, dep_tree_reverse, module_lookup, selection_closure, dep_search_set, treemap_damped, namespace_edges, import_sources, import_graph, dep_connections, grep_snippets,
+    manifest_deps, change_table, subtree_extensions, file_order, display_paths, dep_adjacency, dep_tree_reverse, module_lookup, selection_closure, dep_search_set, treemap_damped, namespace_edges, import_sources, import_graph, dep_connections, grep_snippets,
     name_highlights, syntax_kinds, module_page, active_sessions, token_counts, file_vectors,
 )
 
@@ -132,6 +166,9 @@ _MODS = "mods AS (SELECT DISTINCT string_split(category, ' > ')[-1] AS module, c
 _TERM_COUNT = " + ".join(f"CASE WHEN contains(lower(line), '{t}') THEN 1 ELSE 0 END" for t in TERMS.split())
 _EMBEDDABLE = ", ".join(repr(x) for x in C.EMBEDDABLE)
 SQL = {
+    "manifest_deps": f"WITH {_DEPS}, o AS (SELECT module, dep, max(kind) AS kind FROM deps GROUP BY ALL) SELECT module, dep, CASE WHEN substr(module, 2)::INT % 5 = 4 THEN 'public' ELSE kind END AS kind FROM o",
+    "change_table": """WITH e AS (SELECT 'r' || (user_id % 7) AS repo, 'f' || (user_id % 400) AS path, ts, floor(value)::BIGINT AS size, event_type = 'click' AS deleted FROM events),
+        n AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY ts DESC, deleted DESC, size DESC) AS k FROM e) SELECT repo, path, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, size FROM n WHERE k = 1 AND NOT deleted""",
     "subtree_extensions": f"""WITH {CATEGORISED}, r AS (SELECT ext, unnest({_ANC}) AS node FROM categorised WHERE ext <> ''), c AS (SELECT node, ext, count(*) AS files FROM r GROUP BY node, ext)
         SELECT node, ext, files FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY files DESC, ext) AS n FROM c) WHERE n <= 5""",
     "file_order": f"WITH {CATEGORISED} SELECT file_id, repo, row_number() OVER (PARTITION BY repo ORDER BY category, path, file_id) - 1 AS place FROM categorised",

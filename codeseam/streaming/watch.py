@@ -97,12 +97,12 @@ def current(spark: SparkSession, folder: str) -> tuple[DataFrame, int] | None:
     return rows.where("not deleted").select("repo", "path", "ts", "size", "content"), manifest["version"]
 
 
-def apply_changes(spark: SparkSession, batch: DataFrame, folder: str, version: int, skip_dirs: frozenset[str] = frozenset(), buckets: int = BUCKETS) -> None:
+def apply_changes(spark: SparkSession, batch: DataFrame, folder: str, version: int, skip_dirs: frozenset[str] = frozenset(), buckets: int = BUCKETS, keep_deleted_days: int = KEEP_DELETED_DAYS) -> None:
     """Bring the file table up to date with a batch; a version written before is not written again.
 
     Of all changes of a path, in whatever batch they come, the one of the largest ts counts (of equal ones a deletion, then
     the larger size): an older event that arrives later changes nothing. Deleted files stay as marks for
-    KEEP_DELETED_DAYS before the newest event, so that late events don't bring them back. Files in skip_dirs, and rows
+    keep_deleted_days before the newest event, so that late events don't bring them back. Files in skip_dirs, and rows
     without repository, path or ts, are left out. Whatever is derived from the table is a query over it.
     """
     store = _Store(spark, folder)
@@ -118,7 +118,7 @@ def apply_changes(spark: SparkSession, batch: DataFrame, folder: str, version: i
     if touched:
         old = store.read(manifest, touched)
         merged = incremental.latest(rows if old is None else old.unionByName(rows), ["repo", "path"], ["ts", "deleted", "size"])
-        merged = merged.where(~F.col("deleted") | (F.col("ts") >= F.lit(newest) - F.make_dt_interval(F.lit(KEEP_DELETED_DAYS))))
+        merged = merged.where(~F.col("deleted") | (F.col("ts") >= F.lit(newest) - F.make_dt_interval(F.lit(keep_deleted_days))))
         merged = merged.withColumn("content", F.when(~F.col("deleted"), F.col("content")))
         merged.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store.folder}/v-{version}")
         there = {n.split("=")[1] for n in store.names(f"v-{version}", "bucket=")}
