@@ -43,17 +43,18 @@ def _first(rows: DataFrame, keys: list[str]) -> DataFrame:
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, src, target, dst): within the repository by file name, else by the last part as a stem; dst is null if there is none.
 
-    Of several candidates the first path counts; a file never imports itself.
+    Of several candidates the first path counts; a file never imports itself. Each spelling of a target is looked up once,
+    however many files import it, and each stem is its first path, however many files have it.
     """
-    paths = files.select("repo", F.col("path").alias("dst"), F.col("filename").alias("name"), C.stem(F.col("path")).alias("stem"))
-    keys = ["repo", "src", "target"]
+    keys = ["repo", "target"]
     last = F.regexp_extract("target", "([^/.]*)$", 1)
-    asked = imports.select(*keys, C.filename(F.col("target")).alias("name"), last.alias("stem")).distinct()
-    by_name = _first(asked.join(paths.drop("stem"), ["repo", "name"]), keys).withColumnRenamed("dst", "by_name")
-    rest = asked.join(by_name, keys, "left_anti")
-    by_stem = rest.join(paths.drop("name"), ["repo", "stem"]).groupBy(*keys).agg(F.min("dst").alias("by_stem"))
-    rows = asked.select(*keys).join(by_name, keys, "left").join(by_stem, keys, "left").withColumn("dst", F.coalesce("by_name", "by_stem"))
-    return rows.select(*keys, F.when(F.col("dst") != F.col("src"), F.col("dst")).alias("dst"))
+    targets = imports.select(*keys).distinct().select(*keys, C.filename(F.col("target")).alias("name"), last.alias("stem"))
+    named = files.select("repo", F.col("path").alias("dst"), F.col("filename").alias("name"))
+    by_name = _first(targets.select(*keys, "name").join(named, ["repo", "name"]), keys).withColumnRenamed("dst", "by_name")
+    by_stem = files.groupBy("repo", C.stem(F.col("path")).alias("stem")).agg(F.min("path").alias("by_stem"))
+    found = targets.join(by_name, keys, "left").join(by_stem, ["repo", "stem"], "left").select(*keys, F.coalesce("by_name", "by_stem").alias("dst"))
+    rows = imports.select("repo", "src", "target").distinct().join(found, keys, "left")
+    return rows.select("repo", "src", "target", F.when(F.col("dst") != F.col("src"), F.col("dst")).alias("dst"))
 
 
 def namespace_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -189,7 +190,8 @@ def shared(deps: DataFrame, selected: list[str], most: int = 15) -> DataFrame:
 
 
 def reverse_index(deps: DataFrame) -> DataFrame:
-    return deps.groupBy("dep").agg(F.array_sort(F.collect_set("module")).alias("modules"))
+    """(dep, module): who depends on it, once each; rows and no list, as one dependency may have most of the modules."""
+    return deps.select("dep", "module").distinct()
 
 
 def expand(deps: DataFrame, matched: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def shared_deps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reverse_deps(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reverse_index(corpus.module_deps(spark, d)).select("dep", F.array_join("modules", ",").alias("modules"))
+    return graph.reverse_index(corpus.module_deps(spark, d))
 
 
 def dep_expansion(spark: SparkSession, d: str) -> DataFrame:
@@ -369,7 +369,11 @@ SQL = {
     "dep_degree": f"""WITH {_DEPS}, e AS (SELECT module AS node, 1 AS o, 0 AS i FROM deps UNION ALL SELECT dep, 0, 1 FROM deps), c AS (SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM e GROUP BY node)
         SELECT *, round(greatest(1.5, CASE WHEN out_degree + in_degree <= 25 THEN 0.8 * sqrt(out_degree + in_degree) ELSE 4 + 1.5 * log2((out_degree + in_degree) / 25) END), 6) AS radius FROM c""",
     "shared_deps": f"WITH {_DEPS} SELECT dep, count(DISTINCT module) AS modules FROM deps WHERE module IN ({_SEL}) AND dep NOT IN ({_SEL}) GROUP BY dep HAVING count(DISTINCT module) >= 2 ORDER BY modules DESC, dep LIMIT 15",
-    "reverse_deps": f"WITH {_DEPS} SELECT dep, string_agg(module, ',' ORDER BY module) AS modules FROM (SELECT DISTINCT module, dep FROM deps) GROUP BY dep",
+    "reverse_deps": f"WITH {_DEPS} SELECT DISTINCT dep, module FROM deps",
+    "greedy_cap": f"""WITH RECURSIVE {FILES}, o AS (SELECT repo, file_id, ceil({_BYTES.format('content')} / 3)::BIGINT AS tokens, row_number() OVER (PARTITION BY repo ORDER BY round({_IMPORTANCE}, 6) DESC, file_id) AS k FROM files),
+        w AS (SELECT repo, file_id, tokens, k, tokens AS used, true AS taken FROM o WHERE k = 1
+          UNION ALL SELECT o.repo, o.file_id, o.tokens, o.k, CASE WHEN used + o.tokens <= 3000 THEN used + o.tokens ELSE used END, used + o.tokens <= 3000 FROM w JOIN o ON o.repo = w.repo AND o.k = w.k + 1)
+        SELECT repo, file_id, tokens FROM w WHERE taken""",
     "dep_expansion": f"WITH {_DEPS} SELECT DISTINCT m AS module FROM (SELECT dep AS m FROM deps WHERE module IN ({_SEL}) UNION SELECT module FROM deps WHERE dep IN ({_SEL})) WHERE m NOT IN ({_SEL})",
     "dep_tree": f"""WITH {_DEPS}, g AS (SELECT * FROM deps WHERE module IN ('s1', 's2', 's3') UNION ALL SELECT DISTINCT dep, 's' || substr(dep, 2), kind FROM deps WHERE kind = 'private'),
         d1 AS (SELECT dep AS node, 1 AS depth, max(kind) AS kind FROM g WHERE module = 's1' AND dep <> 's1' GROUP BY dep), d2 AS (SELECT g.dep AS node, 2 AS depth, max(g.kind) AS kind FROM g JOIN d1 ON g.module = d1.node WHERE g.dep <> 's1' AND g.dep NOT IN (SELECT node FROM d1) GROUP BY g.dep)
