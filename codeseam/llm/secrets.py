@@ -73,15 +73,26 @@ def _repeats(value: str) -> bool:
     return len(set(body)) <= 2 or bool(re.search(r"([Xx*.\-_0])\1{6,}", body))
 
 
+_SPECIAL = re.compile(r"[^\w\s.,:;'\"()/\[\]{}<>=|\\-]")
+
+
 def opaque(value: str) -> bool:
-    """Whether a literal can be a secret: no reference, placeholder, word, path, sentence, id or checksum."""
-    if len(value) < 6 or any(c.isspace() for c in value):
+    """Whether a literal can be a secret: no reference, placeholder, word, path, sentence, id or checksum.
+
+    Values of letters alone count where their case changes often, those with three kinds of small and capital letters,
+    digits and special characters from five characters on. Values with a blank don't, nor those that hold "example".
+    """
+    if len(value) < 5 or any(c.isspace() for c in value):
         return False
     if _PLACEHOLDER.search(value) or _repeats(value) or _DIGEST.match(value) or _UUID.fullmatch(value) or "://" in value or value.startswith(("data:", "./", "../", "~/")):
         return False
     if value[0] == "/" and (len(value) < 24 or not re.search(r"[A-Z].*[A-Z]", value) or not re.search(r"\d", value) or "." in value):
         return False
     upper, lower, digit = (sum(map(f, value)) for f in (str.isupper, str.islower, str.isdigit))
+    if (upper > 0) + (lower > 0) + (digit > 0) + bool(_SPECIAL.search(value)) >= 3 and not _DOTTED.fullmatch(value):
+        return True
+    if len(value) < 6:
+        return False
     if digit == 0:
         turns = sum(a.isupper() != b.isupper() for a, b in zip(value, value[1:]))
         return len(value) >= 12 and upper >= 3 and lower >= 3 and turns >= 5 and not _DOTTED.fullmatch(value)
