@@ -12,7 +12,7 @@ from codeseam.functions import encoder
 from codeseam.operators import budget, fuzzy, graph, history, incremental, ranking, stats, stubs
 from codeseam.operators import grep as G
 from codeseam.session import durable, numbered
-from codeseam.sources import manifests
+from codeseam.sources import manifests, walk
 
 #: Older names of commands, and what they stand for with the arguments they imply.
 ALIASES: dict[str, tuple[str, dict]] = {
@@ -157,7 +157,8 @@ class Corpus:
 
     def modules(self, action: str = "list", module: str = "", limit: int = 1000) -> DataFrame:
         if action == "list":
-            return stats.modules(self.files).where(F.col("id").startswith(module)).orderBy("id").limit(limit)
+            found = stats.modules(self.files).where(F.col("id").startswith(module))
+            return found.orderBy("id").limit(limit).crossJoin(F.broadcast(found.agg(F.count("*").alias("total"))))  # one row
         if action == "files":
             return self.files.where(C.in_module(F.col("category"), F.lit(module))).select("repo", "path", "category")
         if action == "deps":
@@ -165,18 +166,28 @@ class Corpus:
         raise ValueError(f"action {action}")
 
     def import_edges(self) -> DataFrame:
-        """(src, dst) of imports, at home, by namespace or in another repository, with the repository in front of the path."""
+        """(src, dst, away) of imports, at home, by namespace or in another repository, with the repository in front of the path."""
         return graph.all_edges(self.files)
 
-    def imports(self, path: str, transitive: bool = False, max_depth: int = 5, limit: int | None = None) -> DataFrame:
+    def imports(self, path: str, transitive: bool = False, max_depth: int = 5, limit: int | None = None, direction: str = "both") -> DataFrame:
+        """Neighbours of a file ('imports', 'imported_by' or 'both'), or all that depends on it at its least depth."""
+        if direction not in ("both", "imports", "imported_by"):
+            raise ValueError(f"direction {direction}")
         edges = self.import_edges()
         if not transitive:
-            return graph.neighbours(edges, path)
-        return graph.reach(edges, [path], min(20, max_depth)).orderBy("depth", "node").limit(bounded("imports", limit))
+            near = graph.neighbours(edges, path)
+            return near if direction == "both" else near.where(F.col("direction") == direction)
+        return graph.impact(edges, [path], min(20, max_depth)).orderBy("depth", "node").limit(bounded("imports", limit))
 
     def git(self, action: str, path: str = "", since: str = "", days: int = 90, repo: str = "", limit: int | None = None) -> DataFrame:
+        """History by action; a path that leaves its root, or a blamed file that isn't there, raises ValueError."""
+        if action in ("blame", "history") and walk.path_is_bad(path):
+            raise ValueError("Invalid path")
         if action == "blame":
-            return history.blame(self.blame, repo).where(F.col("path") == path).orderBy("line_no")
+            rows = history.blame(self.blame, repo).where(F.col("path") == path)
+            if rows.isEmpty():
+                raise ValueError(f"no blame of {path!r}")
+            return rows.orderBy("line_no")
         if action == "history":
             return history.file_history(self.commits, self.commit_files, path, bounded("history", limit))
         if action == "changed":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,26 @@ def hashing(dim: int) -> Callable[[], Encode]:
 ENCODERS: dict[str, Callable[[], Encode]] = {"hash-96": hashing(96), "hash-384": hashing(384)}
 
 
+class Preset(NamedTuple):
+    dim: int
+    chunk_chars: int
+
+
+# Models that are known by name; any other is taken to be as the last.
+PRESETS = {"minilm": Preset(384, 1500), "codebert": Preset(768, 2000), "starencoder": Preset(768, 2000)}
+OTHER = Preset(768, 2000)
+
+
+def preset(name: str) -> Preset:
+    """The length of a model's vectors and of the chunks that it takes."""
+    return PRESETS.get(name.lower(), OTHER)
+
+
+def add_encoder(name: str, load: Callable[[], Encode] | None = None) -> None:
+    """Make an encoder known under a name; without one, words are hashed to vectors of the length of the model's preset."""
+    ENCODERS[name] = load or hashing(preset(name).dim)
+
+
 def encode(text: Column, name: str = "hash-384") -> Column:
     """The vector of a text; of nothing but zeros for null and for texts without words."""
     load = ENCODERS[name]

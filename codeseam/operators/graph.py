@@ -77,7 +77,7 @@ def cross_repo_edges(resolved: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def all_edges(files: DataFrame) -> DataFrame:
-    """(src, dst) of every import: at home by name or stem, by namespace, and what isn't found at home in the others.
+    """(src, dst, away) of every import: at home by name or stem, by namespace, and (away) what isn't found at home in the others.
 
     Nodes are repository/path. files: repo, path, filename, ext, content.
     """
@@ -90,8 +90,8 @@ def all_edges(files: DataFrame) -> DataFrame:
     # A `using` that a namespace answers isn't looked for elsewhere.
     open_imports = resolved.join(spaces.select("repo", "src").distinct().withColumn("spaced", F.lit(True)), ["repo", "src"], "left").where(~(F.coalesce("spaced", F.lit(False)) & F.col("src").endswith(".cs"))).drop("spaced")
     away = cross_repo_edges(open_imports, names)
-    edges = home.select(node("repo", "src").alias("src"), node("repo", "dst").alias("dst"))
-    return edges.unionByName(away.select(node("from_repo", "from_file").alias("src"), node("to_repo", "to_file").alias("dst"))).distinct()
+    edges = home.select(node("repo", "src").alias("src"), node("repo", "dst").alias("dst")).distinct().withColumn("away", F.lit(False))
+    return edges.unionByName(away.select(node("from_repo", "from_file").alias("src"), node("to_repo", "to_file").alias("dst"), F.lit(True).alias("away")))
 
 
 # --- traversal --------------------------------------------------------------------------------------------------------
@@ -122,6 +122,15 @@ def reach(edges: DataFrame, start: list[str], max_depth: int) -> DataFrame:
     return seen.where("depth > 0")
 
 
+def impact(edges: DataFrame, start: list[str], max_depth: int) -> DataFrame:
+    """(node, depth) as reach along the edges at home; files of other repositories that import one of these, or the start, come a step later and go no further."""
+    edges = durable(edges)
+    home = reach(edges.where("not away"), start, max_depth)
+    there = home.unionByName(edges.sparkSession.createDataFrame([(s, 0) for s in start], "node string, depth int"))
+    far = edges.where("away").join(there.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg((F.min("depth") + 1).cast("int").alias("depth"))
+    return home.unionByName(far.where(F.col("depth") <= max_depth).join(there.select("node"), "node", "left_anti"))
+
+
 def shortest_paths(edges: DataFrame, start: str, goals: list[str], max_depth: int | None = None) -> DataFrame:
     """(goal, path, hops) with a shortest way along the edges to each goal, the first in order among equals; goals out of reach have no row.
 

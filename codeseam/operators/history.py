@@ -24,6 +24,15 @@ def blame(lines: DataFrame, repo: str, first: int = 1, last: int | None = None)
     )
 
 
+def blame_drift(lines: DataFrame, current: DataFrame) -> DataFrame:
+    """(repo, path, lines, same, differ, gone): blamed lines against the current ones (repo, path, line_no, line) of their files."""
+    blamed = lines.where("repo is not null and rel_path is not null and line_no is not null").select("blame_id", "repo", F.translate("rel_path", "\\", "/").alias("path"), "line_no", "content").dropDuplicates(["blame_id"])
+    rows = blamed.join(current, ["repo", "path", "line_no"], "left")
+    same = F.coalesce(F.regexp_replace("content", "\r$", "") == F.col("line"), F.lit(False))
+    counts = F.count("*").alias("lines"), F.count_if(same).alias("same"), F.count_if(~same & F.col("line").isNotNull()).alias("differ"), F.count_if(F.col("line").isNull()).alias("gone")
+    return rows.groupBy("repo", "path").agg(*counts)
+
+
 def file_history(commits: DataFrame, files: DataFrame, path: str, limit: int, most_files: int = 50) -> DataFrame:
     """(hash, author, ts, files_changed, paths): the latest commits that touched a path, with the files they changed.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeseam.functions import columns as C
 from codeseam.functions import encoder, tokenizers
-from codeseam.operators import fuzzy, graph, incremental, stats, syntax, treemap, views
+from codeseam.operators import fuzzy, graph, history, incremental, stats, syntax, treemap, views
 from codeseam.operators import grep as G
 from codeseam.plans.graph_queries import _DEPS, _EXTRACT, _READS, SELECTED
 from codeseam.plans.text_queries import _ANY, CATEGORISED, FILES, LINES, TERMS, typed
@@ -157,8 +157,13 @@ def change_table(spark: SparkSession, d: str) -> DataFrame:
     return watch.current(spark, folder)[0].select("repo", "path", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "size")
 
 
+def blame_drift(spark: SparkSession, d: str) -> DataFrame:
+    lines = corpus.distinct_file_rows(spark, d).select("repo", "path", F.posexplode(C.lines(F.col("content"))).alias("at", "line"))
+    return history.blame_drift(table(spark, d, "blame_lines"), lines.select("repo", "path", (F.col("at") + 1).alias("line_no"), "line"))
+
+
 QUERIES = (
-    manifest_deps, change_table, subtree_extensions, file_order, display_paths, dep_adjacency, dep_tree_reverse, module_lookup, selection_closure, dep_search_set, treemap_damped, namespace_edges, import_sources, import_graph, dep_connections, grep_snippets,
+    blame_drift, manifest_deps, change_table, subtree_extensions, file_order, display_paths, dep_adjacency, dep_tree_reverse, module_lookup, selection_closure, dep_search_set, treemap_damped, namespace_edges, import_sources, import_graph, dep_connections, grep_snippets,
     name_highlights, syntax_kinds, module_page, active_sessions, token_counts, file_vectors,
 )
 
@@ -166,6 +171,9 @@ _MODS = "mods AS (SELECT DISTINCT string_split(category, ' > ')[-1] AS module, c
 _TERM_COUNT = " + ".join(f"CASE WHEN contains(lower(line), '{t}') THEN 1 ELSE 0 END" for t in TERMS.split())
 _EMBEDDABLE = ", ".join(repr(x) for x in C.EMBEDDABLE)
 SQL = {
+    "blame_drift": rf"""WITH {LINES}, b AS (SELECT DISTINCT blame_id, repo, replace(rel_path, '\', '/') AS path, line_no, regexp_replace(content, '\r$', '') AS content FROM blame_lines WHERE repo IS NOT NULL AND rel_path IS NOT NULL AND line_no IS NOT NULL)
+        SELECT b.repo, b.path, count(*) AS lines, count(*) FILTER (WHERE content = line) AS same, count(*) FILTER (WHERE line IS NOT NULL AND content IS DISTINCT FROM line) AS differ, count(*) FILTER (WHERE line IS NULL) AS gone
+        FROM b LEFT JOIN lines l ON b.repo = l.repo AND b.path = l.path AND b.line_no = l.idx + 1 GROUP BY b.repo, b.path""",
     "manifest_deps": f"WITH {_DEPS}, o AS (SELECT module, dep, max(kind) AS kind FROM deps GROUP BY ALL) SELECT module, dep, CASE WHEN substr(module, 2)::INT % 5 = 4 THEN 'public' ELSE kind END AS kind FROM o",
     "change_table": """WITH e AS (SELECT 'r' || (user_id % 7) AS repo, 'f' || (user_id % 400) AS path, ts, floor(value)::BIGINT AS size, event_type = 'click' AS deleted FROM events),
         n AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY ts DESC, deleted DESC, size DESC) AS k FROM e) SELECT repo, path, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, size FROM n WHERE k = 1 AND NOT deleted""",

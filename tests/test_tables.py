@@ -93,6 +93,8 @@ def test_traversal(spark):
     chain = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}") for k in range(16)], "src string, dst string")
     assert graph.shortest_paths(chain, "n00", ["n15"]).first()["hops"] == 15
     assert sorted(tuple(r) for r in graph.shortest_paths(edges, "c", ["d", "c", "zz"]).collect()) == [("c", "c", 0), ("d", "c -> b -> a -> d", 3)]
+    away = edges.withColumn("away", F.col("src") == "c").unionByName(spark.createDataFrame([("x", "b", True), ("y", "x", False), ("z", "a", True)], "src string, dst string, away boolean"))
+    assert {tuple(r) for r in graph.impact(away, ["a"], 5).collect()} == {("b", 1), ("d", 1), ("c", 2), ("x", 2), ("z", 1)}
     deps = edges.select(F.col("src").alias("module"), F.col("dst").alias("dep"), F.lit("public").alias("kind"))
     assert sorted(tuple(r) for r in graph.connections(deps, ["a", "b", "c"]).collect()) == [("a", "b", "public", "b -> a"), ("a", "c", "path", "a -> d -> c"), ("b", "c", "public", "c -> b")]
     assert graph.shortest_paths(edges, "a", ["zz"]).count() == 0 and graph.reach(edges, ["zz"], 3).count() == 0
@@ -215,7 +217,9 @@ def test_encoder_and_commands(spark):
     answer = Corpus(twice).read_budget(["src/load.py", "nope"], 10_000).collect()
     assert [(r["path"], r["error"]) for r in answer] == [("q/src/load.py", None), ("r/src/load.py", None), ("nope", "not found")] and "def load" in answer[0]["content"]
     assert corpus.grep("save", output="lines", per_file=1).count() == 2 and corpus.grep("def save", snippets=True).first()["snippet"] == "def save(): pass"
-    for bad in (lambda: corpus.call("_filtered"), lambda: corpus.repo("none"), lambda: corpus.grep("(?P<x>a)", "regex")):
+    assert {tuple(r) for r in corpus.imports("r/src/load.py").collect()} == set() and corpus.modules().first()["total"] == 2
+    assert encoder.preset("MiniLM") == (384, 1500) and encoder.preset("x/y") == (768, 2000)
+    for bad in (lambda: corpus.imports("x", direction="up"), lambda: corpus.git("history", "../x"), lambda: corpus.call("_filtered"), lambda: corpus.repo("none"), lambda: corpus.grep("(?P<x>a)", "regex")):
         with pytest.raises(ValueError):
             bad()
     v = encoder.ENCODERS["hash-96"]()(["alpha beta", ""])
