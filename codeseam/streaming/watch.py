@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codeseam.operators import incremental
-from codeseam.session import distinct_rows
+from codeseam.session import distinct_rows, durable, small_side
 
 CHANGES = "repo string, path string, ts timestamp, size long, content string, deleted boolean"
 #: Buckets of a new table; for a large one more, so that each is of a size that a task writes.
@@ -146,8 +146,10 @@ def rescan(spark: SparkSession, folder: str, repo: str, files: DataFrame, ts: st
     now = current(spark, folder)
     there = spark.createDataFrame([], CHANGES).select("path", "size", "content") if now is None else now[0].where(F.col("repo") == repo).select("path", "size", "content")
     state = lambda rows, name: rows.select("path", F.struct("size", F.sha2(F.coalesce("content", F.lit("")), 256).alias("h")).alias(name))
-    both = state(there, "old").join(state(distinct_rows(files, "path"), "new"), "path", "full_outer").where("not (old <=> new)").select("path", F.col("new").isNull().alias("deleted"))
-    rows = both.join(distinct_rows(files, "path").select("path", "size", "content"), "path", "left")
+    once = distinct_rows(files, "path")
+    both = durable(state(there, "old").join(state(once, "new"), "path", "full_outer").where("not (old <=> new)").select("path", F.col("new").isNull().alias("deleted")))
+    fresh = once.select("path", "size", "content").join(small_side(both.where("not deleted")), "path")
+    rows = fresh.unionByName(both.where("deleted"), allowMissingColumns=True)
     apply_changes(spark, rows.select(F.lit(repo).alias("repo"), "path", F.lit(ts).cast("timestamp").alias("ts"), "size", "content", "deleted"), folder, version)
 
 
