@@ -16,8 +16,12 @@ from codeseam.sources import manifests, walk
 
 #: Older names of commands, and what they stand for with the arguments they imply.
 ALIASES: dict[str, tuple[str, dict]] = {
-    "find": ("search", {}), "semantic": ("search", {}), "list_modules": ("modules", {"action": "list"}), "module_files": ("modules", {"action": "files"}), "deps": ("modules", {"action": "deps"}),
-    "impact": ("imports", {"transitive": True}), "read_file": ("read", {}), "read_files": ("read", {}), "context": ("read_budget", {}), "blame": ("git", {"action": "blame"}), "file_history": ("git", {"action": "history"}),
+    "find": ("search", {}), "semantic": ("search", {}), "list_modules": ("modules", {"action": "list"}), "module_files": (
+        "modules", {"action": "files"}
+    ), "deps": ("modules", {"action": "deps"}),
+    "impact": (
+        "imports", {"transitive": True}
+    ), "read_file": ("read", {}), "read_files": ("read", {}), "context": ("read_budget", {}), "blame": ("git", {"action": "blame"}), "file_history": ("git", {"action": "history"}),
     "changed": ("git", {"action": "changed"}), "hotspots": ("git", {"action": "hotspots"}), "session": ("status", {}), "list_repos": ("status", {}),
 }
 READ_MOST = 50
@@ -66,7 +70,10 @@ class Corpus:
             rows = rows.where(F.col("path").startswith(path))
         return rows.where(F.col("category").startswith(category)) if category else rows
 
-    def grep(self, query: str, match_mode: str = "all", ext: str | None = None, path: str | None = None, category: str | None = None, limit: int | None = None, output: str = "files", per_file: int = 8, snippets: bool = False) -> DataFrame:
+    def grep(
+        self, query: str, match_mode: str = "all", ext: str | None = None, path: str | None = None, category: str | None = None,
+        limit: int | None = None, output: str = "files", per_file: int = 8, snippets: bool = False
+    ) -> DataFrame:
         """Matching files by relevance (output 'files'), or their first per_file matching lines ('lines'), or counts ('count')."""
         rows = self._filtered(ext, path, category)
         if output == "lines":
@@ -145,8 +152,12 @@ class Corpus:
         shown = F.concat_ws("/", "repo", "path") if several else F.col("path")
         asked = rows.select(shown.alias("path"), "ext", "content", C.describe(F.col("path")).alias("desc"), "importance", F.lit(1).alias("request_id"))
         packed = durable(budget.answer(asked, tokens, query)).withColumn("request_id", F.lit(1))
-        texts = graph.attention_order(packed, "request_id", "importance", "path") if ordering == "attention" else numbered(packed, "request_id", [("importance", True), ("path", False)], "place")
-        missing = self.files.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string").join(rows.select("path"), "path", "left_anti").select("path", F.lit("not found").alias("error"))
+        texts = graph.attention_order(packed, "request_id", "importance", "path") if ordering == "attention" else numbered(
+            packed, "request_id", [("importance", True), ("path", False)], "place"
+        )
+        missing = self.files.sparkSession.createDataFrame(
+            [(p,) for p in dict.fromkeys(paths)], "path string"
+        ).join(rows.select("path"), "path", "left_anti").select("path", F.lit("not found").alias("error"))
         columns = ["path", "tier", "tokens", "importance", "place", "content"]
         return texts.select(*columns, F.lit(None).cast("string").alias("error")).unionByName(missing, allowMissingColumns=True).orderBy(F.col("place").asc_nulls_last(), "path")
 

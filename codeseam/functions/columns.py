@@ -107,7 +107,9 @@ def token_level(n: Column) -> Column:
 
 
 def byte_label(n: Column) -> Column:
-    return F.when(n >= 1_048_576, F.concat(F.format_string("%.1f", n / 1_048_576), F.lit("M"))).when(n >= 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit("K"))).otherwise(n.cast("string"))
+    return F.when(
+        n >= 1_048_576, F.concat(F.format_string("%.1f", n / 1_048_576), F.lit("M"))
+    ).when(n >= 1024, F.concat(F.format_string("%.1f", n / 1024), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def cut_line(text: Column, most: int) -> Column:

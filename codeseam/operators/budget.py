@@ -172,18 +172,31 @@ def pack_requests(requests: DataFrame, budget: int, query: str = "") -> DataFram
     """
     kind = requests.schema["request_id"].dataType.simpleString()
     terms = [t for t in query.lower().split() if len(t) >= 2]
-    summary = requests.select("request_id", "path", "importance", C.tokens(C.manifest_line(F.col("path"), F.col("desc"))).cast("long").alias("mention_cost"), F.explode(F.array(stub_column(F.col("content"), F.col("ext")))).alias("s"))
-    rows = durable(summary.select("request_id", "path", "importance", "mention_cost", C.tokens(F.col("s")).cast("long").alias("full_cost"), (F.trim(F.regexp_replace("s", r"\s+", " ")) == "").alias("blank")))
+    summary = requests.select(
+        "request_id", "path", "importance", C.tokens(C.manifest_line(F.col("path"), F.col("desc"))).cast("long").alias("mention_cost"),
+        F.explode(F.array(stub_column(F.col("content"), F.col("ext")))).alias("s")
+    )
+    rows = durable(
+        summary.select(
+            "request_id", "path", "importance", "mention_cost", C.tokens(F.col("s")).cast("long").alias("full_cost"),
+            (F.trim(F.regexp_replace("s", r"\s+", " ")) == "").alias("blank")
+        )
+    )
     sums = rows.groupBy("request_id").agg(F.sum("full_cost").alias("__full"), F.sum(F.greatest("mention_cost", F.lit(1))).alias("__mentions"))
     placed = rows.join(sums, "request_id")
     fits, crowded = F.col("__full") <= budget, F.col("__mentions") > budget
     mention = lambda rows: rows.select("request_id", "path", F.lit(4).alias("tier"), F.col("mention_cost").alias("tokens"), "importance")
-    whole = placed.where(fits).select("request_id", "path", F.when(F.col("blank"), 4).otherwise(1).alias("tier"), F.when(F.col("blank"), F.col("mention_cost")).otherwise(F.col("full_cost")).alias("tokens"), "importance")
+    whole = placed.where(fits).select(
+        "request_id", "path", F.when(F.col("blank"), 4).otherwise(1).alias("tier"),
+        F.when(F.col("blank"), F.col("mention_cost")).otherwise(F.col("full_cost")).alias("tokens"), "importance"
+    )
     rest = placed.where(~fits & ~crowded).drop("__full", "__mentions")
     given = durable(rest.join(fill_requests(rest, budget), ["request_id", "path"]))
     columns = ["request_id", "path", "importance", "mention_cost"]
     none, full = (F.col("allowed") <= 0) | F.col("blank"), F.col("allowed") >= F.col("full_cost")
-    settled = given.where(none | full).select(*columns, F.when(none, 4).otherwise(1).alias("tier"), F.when(none, F.col("mention_cost")).otherwise(F.col("full_cost")).alias("tokens"))
+    settled = given.where(none | full).select(
+        *columns, F.when(none, 4).otherwise(1).alias("tier"), F.when(none, F.col("mention_cost")).otherwise(F.col("full_cost")).alias("tokens")
+    )
     cut = requests.select("request_id", "path", "ext", "content").join(small_side(given.where(~none & ~full).select(*columns, "allowed")), ["request_id", "path"])
     cut = cut.mapInPandas(_shorten(terms), f"request_id {kind}, path string, importance double, mention_cost long, tier int, tokens long")
     shared = settled.unionByName(cut).groupBy("request_id").applyInPandas(_trim(budget), f"request_id {kind}, path string, tier int, tokens long, importance double")
@@ -200,7 +213,9 @@ def answer(files: DataFrame, budget: int, query: str = "") -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("path")
         rows = allocate([(p, e or "", stub(t, e), d, i) for p, e, t, d, i in zip(frame["path"], frame["ext"], frame["content"], frame["desc"], frame["importance"])], budget, terms)
-        return pd.DataFrame(rows, columns=["path", "tier", "tokens", "content"]).assign(importance=frame["importance"].to_numpy())[["path", "tier", "tokens", "importance", "content"]]
+        return pd.DataFrame(
+            rows, columns=["path", "tier", "tokens", "content"]
+        ).assign(importance=frame["importance"].to_numpy())[["path", "tier", "tokens", "importance", "content"]]
 
     return files.select("path", "ext", "content", "desc", "importance").groupBy().applyInPandas(run, "path string, tier int, tokens long, importance double, content string")
 
@@ -208,7 +223,9 @@ def answer(files: DataFrame, budget: int, query: str = "") -> DataFrame:
 def summary(packed: DataFrame, budget: int) -> DataFrame:
     """One row per request: files, tokens, and files by tier."""
     tier = lambda n: F.count_if(F.col("tier") == n)
-    return packed.groupBy("request_id").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), tier(1).alias("whole"), tier(2).alias("pruned"), tier(4).alias("mentioned")).withColumn("within", F.col("tokens") <= budget)
+    return packed.groupBy("request_id").agg(
+        F.count("*").alias("files"), F.sum("tokens").alias("tokens"), tier(1).alias("whole"), tier(2).alias("pruned"), tier(4).alias("mentioned")
+    ).withColumn("within", F.col("tokens") <= budget)
 
 
 def connected_bonus(files: DataFrame, deps: DataFrame, modules: DataFrame) -> DataFrame:
@@ -256,7 +273,9 @@ def greedy(files: DataFrame, group: str, budget: int, hot_rows: int = HOT_ROWS)
         now = durable(marked.where(here).select("g", "file_id", "tokens", "o", "used", "first"))
         spent = now.groupBy(F.col("g").alias("__g")).agg(F.sum("tokens").alias("spent"))
         left = marked.where(~here).join(F.broadcast(spent), F.col("g").eqNullSafe(F.col("__g"))).drop("__g")
-        left = left.withColumn("used", F.col("used") + F.col("spent")).where(F.col("used") + F.col("tokens") <= budget).select("g", "file_id", "tokens", "o", "used", F.lit(False).alias("first"))
+        left = left.withColumn("used", F.col("used") + F.col("spent")).where(F.col("used") + F.col("tokens") <= budget).select(
+            "g", "file_id", "tokens", "o", "used", F.lit(False).alias("first")
+        )
         taken = taken.unionByName(now)
         few, many = by_size(durable(left), "g", hot_rows)
         taken = taken.unionByName(few.groupBy("g").applyInPandas(run, schema))
@@ -271,5 +290,7 @@ def requests_of(files: DataFrame) -> DataFrame:
     mention = C.tokens(C.manifest_line(F.col("path"), C.describe(F.col("path"))))
     text = ["content"] if "content" in files.columns else []
     return files.select(
-        "file_id", F.col("repo").alias("request_id"), "path", "ext", *text, C.describe(F.col("path")).alias("desc"), C.importance(F.col("path"), F.col("bytes")).alias("importance"), F.ceil(F.col("bytes") / 3).cast("long").alias("full_cost"), mention.alias("mention_cost")
+        "file_id", F.col("repo").alias("request_id"), "path", "ext", *text, C.describe(F.col("path")).alias("desc"), C.importance(
+            F.col("path"), F.col("bytes")
+        ).alias("importance"), F.ceil(F.col("bytes") / 3).cast("long").alias("full_cost"), mention.alias("mention_cost")
     )

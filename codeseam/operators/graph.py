@@ -30,7 +30,9 @@ SYSTEM_NAMESPACES = ("System", "Microsoft")
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """(repo, src, ext, target): what each file imports, as written, once each; every file is read once."""
-    own = lambda exts, pattern: F.when(F.col("ext").isin(exts.split()), F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    own = lambda exts, pattern: F.when(
+        F.col("ext").isin(exts.split()), F.regexp_extract_all("content", F.lit(pattern), F.lit(1))
+    ).otherwise(F.array().cast("array<string>"))
     found = F.array_distinct(F.flatten(F.array(*(own(*i) for i in IMPORTS))))
     return files.select("repo", F.col("path").alias("src"), "ext", F.explode(found).alias("target")).where("target <> ''").select("repo", "src", "ext", "target").distinct()
 
@@ -64,7 +66,10 @@ def namespace_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     exact = using.join(spaces, (using["repo"] == spaces["repo"]) & (using["target"] == spaces["space"])).select(using["repo"], "src", "target", "dst")
     # A namespace lies below each of its prefixes: an equi-join on those instead of a comparison of all with all.
     parts = F.split("space", r"\.")
-    above = spaces.select("repo", "dst", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("target")) if spaces.columns else spaces
+    above = spaces.select(
+        "repo", "dst",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("target")
+    ) if spaces.columns else spaces
     below = using.join(exact.select("repo", "src", "target"), ["repo", "src", "target"], "left_anti").join(above, ["repo", "target"])
     return exact.select("repo", "src", "dst").unionByName(below.select("repo", "src", "dst")).where("src <> dst").distinct()
 
@@ -88,7 +93,9 @@ def all_edges(files: DataFrame) -> DataFrame:
     node = lambda repo, path: F.concat_ws("/", repo, path)
     home = resolved.where("dst is not null").select("repo", "src", "dst").unionByName(spaces)
     # A `using` that a namespace answers isn't looked for elsewhere.
-    open_imports = resolved.join(spaces.select("repo", "src").distinct().withColumn("spaced", F.lit(True)), ["repo", "src"], "left").where(~(F.coalesce("spaced", F.lit(False)) & F.col("src").endswith(".cs"))).drop("spaced")
+    open_imports = resolved.join(
+        spaces.select("repo", "src").distinct().withColumn("spaced", F.lit(True)), ["repo", "src"], "left"
+    ).where(~(F.coalesce("spaced", F.lit(False)) & F.col("src").endswith(".cs"))).drop("spaced")
     away = cross_repo_edges(open_imports, names)
     edges = home.select(node("repo", "src").alias("src"), node("repo", "dst").alias("dst")).distinct().withColumn("away", F.lit(False))
     return edges.unionByName(away.select(node("from_repo", "from_file").alias("src"), node("to_repo", "to_file").alias("dst"), F.lit(True).alias("away")))
@@ -162,7 +169,9 @@ def connections(deps: DataFrame, selected: list[str], max_nodes: int = 6) -> Dat
     chosen = sorted(set(selected))
     direct = {(r["module"], r["dep"]): r["kind"] for r in deps.where(F.col("module").isin(chosen) & F.col("dep").isin(chosen)).groupBy("module", "dep").agg(F.max("kind").alias("kind")).collect()}
     edges = deps.select(F.col("module").alias("src"), F.col("dep").alias("dst"))
-    ways = {(a, r["goal"]): r["path"] for a in chosen for r in shortest_paths(edges, a, [x for x in chosen if x != a], max_nodes - 1).collect()} if any((a, b) not in direct and (b, a) not in direct for a, b in pairs) else {}
+    ways = {(a, r["goal"]): r["path"] for a in chosen for r in shortest_paths(edges, a, [x for x in chosen if x != a], max_nodes - 1).collect()} if any(
+        (a, b) not in direct and (b, a) not in direct for a, b in pairs
+    ) else {}
     out = []
     for a, b in pairs:
         if (a, b) in direct:
@@ -185,7 +194,9 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
 
 def degrees(deps: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree, radius): edges counted by kind, with the size of the node in a drawing."""
-    ends = deps.select(F.col("module").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(deps.select(F.col("dep").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    ends = deps.select(F.col("module").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        deps.select(F.col("dep").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    )
     rows = ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
     c = F.col("out_degree") + F.col("in_degree")
     radius = F.greatest(F.lit(1.5), F.when(c <= 25, 0.8 * F.sqrt(c.cast("double"))).otherwise(4 + 1.5 * F.log2(c / 25)))
@@ -235,9 +246,13 @@ def adjacency(deps: DataFrame, modules: DataFrame) -> DataFrame:
     modules: module, module_category. An edge of both kinds counts as public.
     """
     one = deps.groupBy("module", "dep").agg(F.max("kind").alias("kind"))  # public is the later word
-    both = one.select(F.col("module").alias("node"), "kind", F.col("dep").alias("neighbour")).unionByName(one.select(F.col("dep").alias("node"), "kind", F.col("module").alias("neighbour")))
+    both = one.select(F.col("module").alias("node"), "kind", F.col("dep").alias("neighbour")).unionByName(
+        one.select(F.col("dep").alias("node"), "kind", F.col("module").alias("neighbour"))
+    )
     groups = modules.groupBy(F.col("module").alias("node")).agg(F.min(F.split("module_category", " > ")[0]).alias("group"))
-    return both.groupBy("node", "neighbour").agg(F.max("kind").alias("kind")).join(groups, "node", "left").select("node", F.coalesce("group", F.lit("")).alias("group"), "kind", "neighbour")
+    return both.groupBy("node", "neighbour").agg(F.max("kind").alias("kind")).join(groups, "node", "left").select(
+        "node", F.coalesce("group", F.lit("")).alias("group"), "kind", "neighbour"
+    )
 
 
 def lookup(categories: DataFrame, modules: DataFrame) -> DataFrame:

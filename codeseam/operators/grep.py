@@ -129,12 +129,16 @@ def _scanned(files: DataFrame, query: str, mode: str, terms: list[str]) -> DataF
     lines = C.lines(F.col("content"))
     numbered = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("idx"), x.alias("line"))), lambda s: line_match(s["line"], query, mode))
     none = F.array().cast("array<struct<idx:int,line:string>>")
-    rows = files.select("file_id", "repo", "path", "filename", "ext", F.when(_may_match(query, mode), numbered).otherwise(none).alias("hits"), F.greatest(F.size(lines), F.lit(1)).alias("n_lines"),
+    rows = files.select("file_id", "repo", "path", "filename", "ext", F.when(
+        _may_match(query, mode), numbered
+    ).otherwise(none).alias("hits"), F.greatest(F.size(lines), F.lit(1)).alias("n_lines"),
                         *(((F.octet_length("content") <= MAX_TERM_BYTES) & holds_word(F.col("content"), t)).alias(f"h{k}") for k, t in enumerate(terms)))
     seen = sum((F.exists("hits", _holds(t)).cast("int") for t in terms), F.lit(0))
     in_line = lambda h: sum((F.contains(F.lower(h["line"]), F.lit(t)).cast("int") for t in terms), F.lit(0))
     best = F.array_max(F.transform("hits", lambda h: F.struct(in_line(h).alias("n"), (-h["idx"]).alias("minus"), h["line"].alias("line"))))
-    return rows.select("file_id", "repo", "path", "filename", "ext", F.size("hits").alias("match_count"), F.get(F.col("hits"), F.lit(0))["idx"].alias("first_line"), "n_lines", seen.alias("terms_matched"),
+    return rows.select("file_id", "repo", "path", "filename", "ext", F.size("hits").alias("match_count"), F.get(
+        F.col("hits"), F.lit(0)
+    )["idx"].alias("first_line"), "n_lines", seen.alias("terms_matched"),
                        (-best["minus"] + 1).alias("best_line"), C.cut_line(best["line"], SNIPPET_BYTES).alias("snippet"), *(f"h{k}" for k in range(len(terms)))).dropDuplicates(["file_id"])
 
 

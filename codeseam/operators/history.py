@@ -20,16 +20,22 @@ def blame(lines: DataFrame, repo: str, first: int = 1, last: int | None = None)
     rows = lines.where((F.col("repo") == repo) & (F.col("line_no") >= first))
     rows = rows if last is None else rows.where(F.col("line_no") <= last)
     return rows.dropDuplicates(["blame_id"]).select(
-        "blame_id", F.translate("rel_path", "\\", "/").alias("path"), "line_no", "author", F.date_format("committed_at", "yyyy-MM-dd HH:mm").alias("time"), F.substring("commit_hash", 1, 8).alias("hash"), "content"
+        "blame_id", F.translate("rel_path", "\\", "/").alias("path"), "line_no", "author", F.date_format(
+            "committed_at", "yyyy-MM-dd HH:mm"
+        ).alias("time"), F.substring("commit_hash", 1, 8).alias("hash"), "content"
     )
 
 
 def blame_drift(lines: DataFrame, current: DataFrame) -> DataFrame:
     """(repo, path, lines, same, differ, gone): blamed lines against the current ones (repo, path, line_no, line) of their files."""
-    blamed = lines.where("repo is not null and rel_path is not null and line_no is not null").select("blame_id", "repo", F.translate("rel_path", "\\", "/").alias("path"), "line_no", "content").dropDuplicates(["blame_id"])
+    blamed = lines.where("repo is not null and rel_path is not null and line_no is not null").select(
+        "blame_id", "repo", F.translate("rel_path", "\\", "/").alias("path"), "line_no", "content"
+    ).dropDuplicates(["blame_id"])
     rows = blamed.join(current, ["repo", "path", "line_no"], "left")
     same = F.coalesce(F.regexp_replace("content", "\r$", "") == F.col("line"), F.lit(False))
-    counts = F.count("*").alias("lines"), F.count_if(same).alias("same"), F.count_if(~same & F.col("line").isNotNull()).alias("differ"), F.count_if(F.col("line").isNull()).alias("gone")
+    counts = F.count("*").alias("lines"), F.count_if(same).alias("same"), F.count_if(
+        ~same & F.col("line").isNotNull()
+    ).alias("differ"), F.count_if(F.col("line").isNull()).alias("gone")
     return rows.groupBy("repo", "path").agg(*counts)
 
 
@@ -52,9 +58,13 @@ def changed_since(commits: DataFrame, files: DataFrame, since: str) -> DataFrame
     it was there before unless that change added it. What was added and deleted since shows nothing, what was added and
     then modified is added. Renames show as deleted and added.
     """
-    rows = files.join(commits.select("hash", "ts"), "hash").select("path", "status", F.struct("ts", "hash", "status").alias("at"), (F.col("ts") > F.lit(since).cast("timestamp_ntz")).alias("late"))
+    rows = files.join(commits.select("hash", "ts"), "hash").select(
+        "path", "status", F.struct("ts", "hash", "status").alias("at"), (F.col("ts") > F.lit(since).cast("timestamp_ntz")).alias("late")
+    )
     ends = rows.groupBy("path").agg(
-        F.max_by("status", F.when(~F.col("late"), F.col("at"))).alias("old"), F.min_by("status", F.when(F.col("late"), F.col("at"))).alias("first"), F.max_by("status", "at").alias("last"), F.max("late").alias("changed")
+        F.max_by(
+            "status", F.when(~F.col("late"), F.col("at"))
+        ).alias("old"), F.min_by("status", F.when(F.col("late"), F.col("at"))).alias("first"), F.max_by("status", "at").alias("last"), F.max("late").alias("changed")
     )
     was, is_now = F.coalesce(F.col("old") != "deleted", F.col("first") != "added"), F.col("last") != "deleted"
     status = F.when(was & is_now, "modified").when(is_now, "added").when(was, "deleted")

@@ -31,7 +31,9 @@ def cache_state(cached: DataFrame, current: DataFrame, keys: list[str], same: li
 
 def sessions(reads: DataFrame, gap: str) -> DataFrame:
     """(session_id, start, end, reads, tokens): runs of reads without a pause of the gap; works on streams with a watermark."""
-    return reads.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("reads"), F.sum("tokens").alias("tokens")).select("session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "reads", "tokens")
+    return reads.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("reads"), F.sum("tokens").alias("tokens")).select(
+        "session_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "reads", "tokens"
+    )
 
 
 def debounce(events: DataFrame, key: str, quiet: str) -> DataFrame:
@@ -42,7 +44,10 @@ def debounce(events: DataFrame, key: str, quiet: str) -> DataFrame:
 
 def session_summary(reads: DataFrame) -> DataFrame:
     """(session_id, files_read, tokens_served, started_at, last_read)."""
-    return reads.groupBy("session_id").agg(F.countDistinct("path").alias("files_read"), F.sum("tokens").alias("tokens_served"), F.min("ts").alias("started_at"), F.max("ts").alias("last_read"))
+    return reads.groupBy("session_id").agg(
+        F.countDistinct("path").alias("files_read"), F.sum("tokens").alias("tokens_served"), F.min("ts").alias("started_at"),
+        F.max("ts").alias("last_read")
+    )
 
 
 def active(reads: DataFrame, now: str, idle: str = "30 minutes") -> DataFrame:

@@ -33,7 +33,9 @@ def hybrid(rows: DataFrame, group: Sequence[str], name: str, content: str, terms
 
 def find(names: DataFrame, contents: DataFrame, n_terms: int, limit: int) -> DataFrame:
     """(repo, path, name_score, content_score, combined, match): both sides by path, the best `limit`."""
-    rows = names.select("repo", "path", F.col("score").alias("name_score")).join(contents.select("repo", "path", F.col("score").alias("content_score")), ["repo", "path"], "full_outer")
+    rows = names.select("repo", "path", F.col("score").alias("name_score")).join(
+        contents.select("repo", "path", F.col("score").alias("content_score")), ["repo", "path"], "full_outer"
+    )
     rows = rows.fillna(0.0, ["name_score", "content_score"]).withColumn("terms", F.lit(n_terms))
     scored = hybrid(rows, [], "name_score", "content_score", "terms").select("repo", "path", "name_score", "content_score", "combined", "match")
     return scored.orderBy(F.desc("combined"), "repo", "path").limit(limit)
@@ -45,7 +47,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def nearest(chunks: DataFrame, query: DataFrame, limit: int | None, at_least: float | None = MIN_COSINE) -> DataFrame:
     """(file_path, start_line, cosine) of the chunks most like the one query vector (a row with `query`), in unit length; all in no order if limit is None."""
-    scored = chunks.crossJoin(F.broadcast(query.select("query").limit(1))).select("file_path", "start_line", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("cosine"))  # one row
+    scored = chunks.crossJoin(F.broadcast(query.select("query").limit(1))).select(
+        "file_path", "start_line", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("cosine")
+    )  # one row
     scored = scored if at_least is None else scored.where(F.col("cosine") >= at_least)
     return scored if limit is None else scored.orderBy(F.desc("cosine"), "file_path", "start_line").limit(limit)
 

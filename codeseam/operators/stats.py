@@ -87,4 +87,7 @@ def group_best(rows: DataFrame, group: str, score: str) -> DataFrame:
 def selections(files: DataFrame, first: Column, second: Column) -> DataFrame:
     """(repo, n_union, n_both, n_left): paths selected by either rule, by both, and by the first but not the second, each once."""
     rows = files.groupBy("repo", "path").agg(F.max(first).alias("a"), F.max(second).alias("b"))
-    return rows.groupBy("repo").agg(F.count_if(F.col("a") | F.col("b")).alias("n_union"), F.count_if(F.col("a") & F.col("b")).alias("n_both"), F.count_if(F.col("a") & ~F.col("b")).alias("n_left"))
+    return rows.groupBy("repo").agg(
+        F.count_if(F.col("a") | F.col("b")).alias("n_union"), F.count_if(F.col("a") & F.col("b")).alias("n_both"),
+        F.count_if(F.col("a") & ~F.col("b")).alias("n_left")
+    )

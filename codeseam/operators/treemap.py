@@ -40,7 +40,9 @@ def damped(files: DataFrame) -> DataFrame:
     drawn = own.withColumn("parent", parent("category")).join(siblings, "parent")
     value = F.when(F.col("siblings") >= 2, F.cbrt("n")).otherwise(F.col("n").cast("double"))
     up = drawn.select("n", value.alias("v"), F.explode(C.ancestors(F.array_join(parts, " > "))).alias("node"))
-    return up.groupBy("node").agg(F.sum("n").alias("files"), F.round(F.sum("v"), 6).alias("value")).select("node", parent("node").alias("parent"), F.size(F.split("node", " > ")).alias("depth"), "files", "value")
+    return up.groupBy("node").agg(F.sum("n").alias("files"), F.round(F.sum("v"), 6).alias("value")).select(
+        "node", parent("node").alias("parent"), F.size(F.split("node", " > ")).alias("depth"), "files", "value"
+    )
 
 
 def _worst(row: list[float], side: float) -> float:

@@ -22,7 +22,9 @@ def cluster_bounds(points: DataFrame, group: str) -> DataFrame:
 def highlight(deps: DataFrame, focus: str) -> DataFrame:
     """(node, role): the focus and its neighbours in either direction."""
     near = deps.where(F.col("module") == focus).select(F.col("dep").alias("node")).unionByName(deps.where(F.col("dep") == focus).select(F.col("module").alias("node")))
-    return near.distinct().where(F.col("node") != focus).withColumn("role", F.lit("neighbour")).unionByName(deps.sparkSession.createDataFrame([(focus, "focus")], "node string, role string"))
+    return near.distinct().where(F.col("node") != focus).withColumn("role", F.lit("neighbour")).unionByName(
+        deps.sparkSession.createDataFrame([(focus, "focus")], "node string, role string")
+    )
 
 
 def search_set(modules: DataFrame, term: str) -> DataFrame:
@@ -77,7 +79,9 @@ def flat_tree(files: DataFrame) -> DataFrame:
     """(repo, node, depth, files, place): the categories of each repository in the order in which a tree shows them, parents before children."""
     rows = files.select("repo", F.explode(C.ancestors(F.col("category"))).alias("node")).groupBy("repo", "node").agg(F.count("*").alias("files"))
     keyed = rows.withColumn("key", F.array_join(F.split("node", " > "), "\x01"))
-    return numbered(keyed, "repo", [("key", False)], "place").select("repo", "node", F.size(F.split("node", " > ")).alias("depth"), "files", F.col("place").cast("int").alias("place"))
+    return numbered(keyed, "repo", [("key", False)], "place").select(
+        "repo", "node", F.size(F.split("node", " > ")).alias("depth"), "files", F.col("place").cast("int").alias("place")
+    )
 
 
 def tree_json(files: DataFrame) -> str:

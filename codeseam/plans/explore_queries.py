@@ -69,7 +69,10 @@ def treemap_damped(spark: SparkSession, d: str) -> DataFrame:
 
 def namespace_edges(spark: SparkSession, d: str) -> DataFrame:
     """`using` lines against namespaces named by the first import of each file."""
-    rows = corpus.distinct_file_rows(spark, d).where("ext = 'cs'").select("repo", "path", "ext", F.concat("content", F.lit("\nnamespace Acme."), F.initcap(F.regexp_extract("path", "([a-z]+)[^/]*$", 1)), F.lit("\n")).alias("content"))
+    rows = corpus.distinct_file_rows(spark, d).where("ext = 'cs'").select(
+        "repo", "path", "ext",
+        F.concat("content", F.lit("\nnamespace Acme."), F.initcap(F.regexp_extract("path", "([a-z]+)[^/]*$", 1)), F.lit("\n")).alias("content")
+    )
     return graph.namespace_edges(graph.extract_imports(rows), rows)
 
 
@@ -132,7 +135,10 @@ def manifest_deps(spark: SparkSession, d: str) -> DataFrame:
     keys = lambda side: F.to_json(F.map_from_arrays(side, F.transform(side, lambda x: F.lit("1"))))
     texts = (
         F.format_string('{"name": "%s", "dependencies": %s, "devDependencies": %s}', "module", keys("public"), keys("private")),
-        F.format_string('[package]\nname = "%s"\n\n[dependencies]\n%s\n\n[dev-dependencies]\n%s\n', "module", join("public", '%s = "1"', "\n"), join("private", '%s = { version = "1" }', "\n")),
+        F.format_string(
+            '[package]\nname = "%s"\n\n[dependencies]\n%s\n\n[dev-dependencies]\n%s\n', "module", join("public", '%s = "1"', "\n"),
+            join("private", '%s = { version = "1" }', "\n")
+        ),
         F.format_string("project(%s)\ntarget_link_libraries(%s PUBLIC %s PRIVATE %s)\n", "module", "module", join("public", "x::%s", " "), join("private", "%s", "\n  ")),
         F.format_string('PublicDependencyModuleNames.AddRange(new string[] { %s });\nPrivateDependencyModuleNames.AddRange(new string[] { %s });\n', join("public", '"%s"', ", "), join("private", '"%s"', ", ")),
         F.format_string("module x.test/%s\n\nrequire (\n%s\n)\n", "module", join(F.concat("public", "private"), "\tx.test/a/%s v1.0.0", "\n")),
@@ -148,7 +154,9 @@ def manifest_deps(spark: SparkSession, d: str) -> DataFrame:
 def change_table(spark: SparkSession, d: str) -> DataFrame:
     """A file table after the events in two batches, the later ones first."""
     rows = table(spark, d, "events").select(
-        F.concat(F.lit("r"), F.col("user_id") % 7).alias("repo"), F.concat(F.lit("f"), F.col("user_id") % 400).alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("size"),
+        F.concat(F.lit("r"), F.col("user_id") % 7).alias("repo"), F.concat(
+            F.lit("f"), F.col("user_id") % 400
+        ).alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("size"),
         F.concat(F.lit("text "), "event_id").alias("content"), (F.col("event_type") == "click").alias("deleted"), "event_id",
     )
     folder = shared_folder(spark, "files")

@@ -44,7 +44,9 @@ def hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def result_facets(spark: SparkSession, d: str) -> DataFrame:
     """Results per query by extension, at most six extensions each."""
-    rows = table(spark, d, "find_results").dropDuplicates(["result_id"]).where("ext is not null and ext <> ''").groupBy("query_id", F.lower("ext").alias("ext")).agg(F.count("*").alias("results"))
+    rows = table(spark, d, "find_results").dropDuplicates(["result_id"]).where("ext is not null and ext <> ''").groupBy(
+        "query_id", F.lower("ext").alias("ext")
+    ).agg(F.count("*").alias("results"))
     top = rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("results"), "ext")))
     return top.where("n <= 6").select("query_id", "ext", "results")
 
@@ -140,7 +142,9 @@ def dep_tree(spark: SparkSession, d: str) -> DataFrame:
 def longest_module(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.categorised(spark, d).select("file_id", "repo", "category")
     modules = rows.where("file_id % 3 = 0").select(F.col("category").alias("module_category")).distinct().select(F.col("module_category").alias("module"), "module_category")
-    modules = modules.unionByName(rows.where("file_id % 2 = 0").select(F.split("category", " > ")[0].alias("module_category")).distinct().select(F.col("module_category").alias("module"), "module_category")).distinct()
+    modules = modules.unionByName(
+        rows.where("file_id % 2 = 0").select(F.split("category", " > ")[0].alias("module_category")).distinct().select(F.col("module_category").alias("module"), "module_category")
+    ).distinct()
     return graph.longest_module(rows, modules)
 
 
@@ -166,7 +170,10 @@ def budget_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_cap(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.files(spark, d).select("repo", "file_id", F.round(C.importance(F.col("path"), F.col("bytes")), 6).alias("importance"), F.ceil(F.col("bytes") / 3).cast("long").alias("tokens"))
+    rows = corpus.files(spark, d).select(
+        "repo", "file_id", F.round(C.importance(F.col("path"), F.col("bytes")), 6).alias("importance"),
+        F.ceil(F.col("bytes") / 3).cast("long").alias("tokens")
+    )
     return budget.greedy(rows, "repo", 3_000)
 
 
@@ -240,7 +247,9 @@ def churn_by_author(spark: SparkSession, d: str) -> DataFrame:
 def epoch_dates(spark: SparkSession, d: str) -> DataFrame:
     days = (F.col("event_id") * 7 % 30_000).cast("int")
     seconds = F.col("event_id") * 86_399 + 59
-    return table(spark, d, "events").select("event_id", history.civil_date(days).cast("string").alias("day"), history.commit_time(seconds, (F.col("event_id") % 5 - 2) * 30).alias("time"))
+    return table(spark, d, "events").select(
+        "event_id", history.civil_date(days).cast("string").alias("day"), history.commit_time(seconds, (F.col("event_id") % 5 - 2) * 30).alias("time")
+    )
 
 
 # --- increments -------------------------------------------------------------------------------------------------------
@@ -248,7 +257,9 @@ def epoch_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def upsert_delete(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("doc_id % 4 <> 3").select("doc_id", "n_chars", "doc_kind")
-    changes = table(spark, d, "documents").where("doc_id % 4 >= 2").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"), "doc_kind", (F.col("doc_id") % 8 == 2).alias("deleted"))
+    changes = table(spark, d, "documents").where("doc_id % 4 >= 2").select(
+        "doc_id", (F.col("n_chars") + 1).alias("n_chars"), "doc_kind", (F.col("doc_id") % 8 == 2).alias("deleted")
+    )
     return incremental.upsert(rows, changes, ["doc_id"])
 
 
@@ -258,7 +269,10 @@ def latest_entry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cache_state(spark: SparkSession, d: str) -> DataFrame:
-    cached = incremental.latest(table(spark, d, "chunks").select("repo", F.translate("file_path", "\\", "/").alias("path"), "file_size", "mtime", "embedded_at", "chunk_id"), ["repo", "path"], ["embedded_at", "chunk_id"])
+    cached = incremental.latest(
+        table(spark, d, "chunks").select("repo", F.translate("file_path", "\\", "/").alias("path"), "file_size", "mtime", "embedded_at", "chunk_id"),
+        ["repo", "path"], ["embedded_at", "chunk_id"]
+    )
     current = corpus.files(spark, d).select("repo", "path", F.col("size").alias("file_size"), "mtime")
     return incremental.cache_state(cached, current, ["repo", "path"], ["file_size", "mtime"])
 
@@ -306,7 +320,9 @@ _NEAR = lambda v: f"(SELECT file_path, start_line, round(list_dot_product(e, (SE
 _ADJUSTED = "round(cosine * CASE WHEN regexp_extract(file_path, '([^.]*)$', 1) IN ('h', 'hpp', 'hxx') THEN 1.15 ELSE 1.0 END * (1 + 0.15 * (CASE WHEN contains(lower(file_path), 'engine') THEN 1 ELSE 0 END + CASE WHEN contains(lower(file_path), 'label') THEN 1 ELSE 0 END)), 6)"
 _PATTERNS = graph.IMPORTS
 _EXTRACT = FILES + ",\nimports AS (SELECT DISTINCT repo, path AS src, ext, target FROM (" + " UNION ALL ".join(
-    "SELECT repo, path, ext, unnest(regexp_extract_all(content, '{}', 1)) AS target FROM files WHERE ext IN ({})".format(p.replace("'", "''"), ", ".join(repr(e) for e in exts.split())) for exts, p in _PATTERNS
+    "SELECT repo, path, ext, unnest(regexp_extract_all(content, '{}', 1)) AS target FROM files WHERE ext IN ({})".format(
+        p.replace("'", "''"), ", ".join(repr(e) for e in exts.split())
+    ) for exts, p in _PATTERNS
 ) + ") WHERE target <> '')"
 _RESOLVE = _EXTRACT + r""",
 named AS (SELECT repo, lower(regexp_extract(path, '^(.*)/[^/]*$', 1) || '/' || regexp_extract(regexp_replace(filename, '\.[^.]*$', ''), '([^_]*)$', 1) || '.' || ext) AS dst FROM files),

@@ -48,7 +48,10 @@ def category_path(spark: SparkSession, d: str) -> DataFrame:
 
 def file_kinds(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("path")
-    return corpus.files(spark, d).select("file_id", "ext", C.lookup(F.col("ext"), C.FAMILIES, "unknown").alias("family"), F.col("ext").isin(list(C.DEFINITION_EXTS)).alias("is_definition"), C.embeddable(p, F.col("bytes")).alias("is_embeddable"))
+    return corpus.files(spark, d).select(
+        "file_id", "ext", C.lookup(F.col("ext"), C.FAMILIES, "unknown").alias("family"),
+        F.col("ext").isin(list(C.DEFINITION_EXTS)).alias("is_definition"), C.embeddable(p, F.col("bytes")).alias("is_embeddable")
+    )
 
 
 def char_bitmask(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +60,10 @@ def char_bitmask(spark: SparkSession, d: str) -> DataFrame:
 
 def token_estimate(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", C.tokens(t).alias("tokens"), C.read_tokens(t).alias("read_tokens"), C.token_level(C.tokens(t) * 20).alias("level"), C.snippet(t).alias("snippet"))
+    return table(spark, d, "documents").where("text is not null").select(
+        "doc_id", C.tokens(t).alias("tokens"), C.read_tokens(t).alias("read_tokens"), C.token_level(C.tokens(t) * 20).alias("level"),
+        C.snippet(t).alias("snippet")
+    )
 
 
 def line_truncate(spark: SparkSession, d: str) -> DataFrame:
@@ -69,14 +75,18 @@ def path_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_guard(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("file_id") % 7 == 0, F.concat(F.lit("/"), F.col("path"))).when(F.col("file_id") % 7 == 1, F.concat(F.lit("../"), F.col("path"))).when(F.col("file_id") % 7 == 2, F.lit("")).otherwise(F.col("path"))
+    raw = F.when(F.col("file_id") % 7 == 0, F.concat(F.lit("/"), F.col("path"))).when(
+        F.col("file_id") % 7 == 1, F.concat(F.lit("../"), F.col("path"))
+    ).when(F.col("file_id") % 7 == 2, F.lit("")).otherwise(F.col("path"))
     return corpus.files(spark, d).select("file_id", C.path_error(raw).alias("error"))
 
 
 def query_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Queries without the known extensions of file names in them, word by word."""
     known = [e for group in C.HINTS.values() for e in group.split() if e not in {"props", "targets"}]
-    word = lambda w: F.when(F.regexp_extract(w, r"\.([^.]*)$", 1).isin(known) & (F.length(F.regexp_replace(w, r"\.[^.]*$", "")) > 0), F.regexp_replace(w, r"\.[^.]*$", "")).otherwise(w)
+    word = lambda w: F.when(
+        F.regexp_extract(w, r"\.([^.]*)$", 1).isin(known) & (F.length(F.regexp_replace(w, r"\.[^.]*$", "")) > 0), F.regexp_replace(w, r"\.[^.]*$", "")
+    ).otherwise(w)
     words = F.filter(F.split(F.concat("raw_query", F.when(F.col("query_id") % 3 == 0, ".py").otherwise(" .md x.zip")), r"\s+"), lambda w: w != "")
     return table(spark, d, "find_queries").where("raw_query is not null").select("query_id", F.array_join(F.transform(words, word), " ").alias("stripped"))
 
@@ -362,8 +372,16 @@ def typed(sql: str, columns: str, kind: str) -> str:
 
 
 for _name, _columns, _kind in (
-    ("static_importance", "importance", "DOUBLE"), ("query_importance", "importance", "DOUBLE"), ("grep_any_topk", "match_count first_line", "INT"), ("grep_all_topk", "match_count first_line", "INT"), ("grep_exact", "match_count first_line", "INT"),
-    ("grep_regex", "match_count first_line", "INT"), ("grep_files_only", "match_count", "INT"), ("grep_max_per_file", "line_no", "INT"), ("grep_context", "line_no", "INT"), ("grep_context", "block", "BIGINT"), ("grep_total_matches", "shown_matches all_matches", "BIGINT"),
-    ("batch_read", "bytes n_lines", "INT"), ("stats_totals", "bytes", "BIGINT"), ("stats_lang_breakdown", "bytes", "BIGINT"), ("stats_top_files", "bytes", "INT"), ("selection_algebra", "n_union n_both n_left", "BIGINT"), ("content_prompt", "chars", "INT"),
+    ("static_importance", "importance", "DOUBLE"), ("query_importance", "importance", "DOUBLE"), (
+        "grep_any_topk", "match_count first_line", "INT"
+    ), ("grep_all_topk", "match_count first_line", "INT"), ("grep_exact", "match_count first_line", "INT"),
+    (
+        "grep_regex", "match_count first_line", "INT"
+    ), ("grep_files_only", "match_count", "INT"), ("grep_max_per_file", "line_no", "INT"), ("grep_context", "line_no", "INT"), ("grep_context", "block", "BIGINT"), (
+        "grep_total_matches", "shown_matches all_matches", "BIGINT"
+    ),
+    ("batch_read", "bytes n_lines", "INT"), ("stats_totals", "bytes", "BIGINT"), ("stats_lang_breakdown", "bytes", "BIGINT"), ("stats_top_files", "bytes", "INT"), (
+        "selection_algebra", "n_union n_both n_left", "BIGINT"
+    ), ("content_prompt", "chars", "INT"),
 ):
     SQL[_name] = typed(SQL[_name], _columns, _kind)

@@ -73,12 +73,17 @@ def mask_prefilter(spark: SparkSession, d: str) -> DataFrame:
 
 def config_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys of configuration files near to a known one, by edit distance up to 3."""
-    keys = corpus.file_rows(spark, d).where("ext in ('toml', 'ini', 'yaml')").select(F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^([a-z_]+)\s*[=:]"), F.lit(1))).alias("key")).distinct()
+    keys = corpus.file_rows(spark, d).where("ext in ('toml', 'ini', 'yaml')").select(
+        F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^([a-z_]+)\s*[=:]"), F.lit(1))).alias("key")
+    ).distinct()
     distance = F.levenshtein("key", F.lit("cache_graph"))
     return keys.select("key", distance.alias("distance")).where("distance <= 3")
 
 
-QUERIES = (cluster_bounds, dep_highlight, category_colors, selected_modules, related_headers, chunk_preview, cache_identity, flat_tree, index_increment, mask_prefilter, config_keys)
+QUERIES = (
+    cluster_bounds, dep_highlight, category_colors, selected_modules, related_headers, chunk_preview, cache_identity, flat_tree, index_increment,
+    mask_prefilter, config_keys
+)
 
 _ANC = "list_transform(range(1, len(string_split(category, ' > ')) + 1), lambda n: array_to_string(string_split(category, ' > ')[1:n], ' > '))"
 _COLOR = lambda k: "CASE ext " + " ".join(f"WHEN '{e}' THEN {v[k]}" for e, v in PALETTE.items()) + " END"

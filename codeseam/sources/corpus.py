@@ -16,7 +16,10 @@ def file_rows(spark: SparkSession, d: str) -> DataFrame:
     """
     path = F.translate(F.col("rel_path"), "\\", "/")
     rows = table(spark, d, "source_files").where("content is not null and rel_path is not null").select("file_id", "repo", path.alias("path"), "size", "mtime", "content")
-    return rows.select("file_id", "repo", "path", C.filename(F.col("path")).alias("filename"), F.lower(C.extension(F.col("path"))).alias("ext"), "size", "mtime", F.octet_length("content").alias("bytes"), "content")
+    return rows.select(
+        "file_id", "repo", "path", C.filename(F.col("path")).alias("filename"), F.lower(C.extension(F.col("path"))).alias("ext"), "size", "mtime",
+        F.octet_length("content").alias("bytes"), "content"
+    )
 
 
 def distinct_file_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -43,14 +46,18 @@ def categorised(spark: SparkSession, d: str) -> DataFrame:
 def chunks(spark: SparkSession, d: str) -> DataFrame:
     """One row per vector of the embeddings table, as a chunk of a file named after its label."""
     return table(spark, d, "embeddings").select(
-        F.concat(F.lit("src/engine/label_"), F.col("label").cast("string"), F.when(F.col("vec_id") % 3 == 0, ".h").otherwise(".cpp")).alias("file_path"), F.col("vec_id").alias("start_line"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.concat(
+            F.lit("src/engine/label_"), F.col("label").cast("string"), F.when(F.col("vec_id") % 3 == 0, ".h").otherwise(".cpp")
+        ).alias("file_path"), F.col("vec_id").alias("start_line"), F.col("embedding").cast("array<double>").alias("embedding")
     )
 
 
 def module_deps(spark: SparkSession, d: str) -> DataFrame:
     """(module, dep, kind): packages and what they depend on, public or private, from orders of parts by suppliers."""
     kind = F.when(F.col("l_returnflag") == "N", "public").otherwise("private")
-    return table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("module"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dep"), kind.alias("kind")).distinct()
+    return table(spark, d, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey")).alias("module"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dep"), kind.alias("kind")
+    ).distinct()
 
 
 def fk_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -61,12 +68,20 @@ def fk_edges(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(edge("customer", "customer", "c_custkey", "nation", "c_nationkey"))
         .unionByName(edge("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"))
         .unionByName(edge("orders", "orders", "o_orderkey", "customer", "o_custkey"))
-        .unionByName(table(spark, d, "lineitem").select(F.concat(F.lit("lineitem:"), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("src"), F.concat(F.lit("orders:"), F.col("l_orderkey")).alias("dst")))
+        .unionByName(
+            table(spark, d, "lineitem").select(
+                F.concat(F.lit("lineitem:"), F.col("l_orderkey"), F.lit("."), F.col("l_linenumber")).alias("src"),
+                F.concat(F.lit("orders:"), F.col("l_orderkey")).alias("dst")
+            )
+        )
     )
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("hash"), F.concat(F.lit("a"), F.col("o_custkey")).alias("author"), F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("message"))
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("hash"), F.concat(F.lit("a"), F.col("o_custkey")).alias("author"), F.col("o_orderdate").alias("ts"),
+        F.col("o_orderpriority").alias("message")
+    )
 
 
 def commit_files(spark: SparkSession, d: str) -> DataFrame:
@@ -76,4 +91,7 @@ def commit_files(spark: SparkSession, d: str) -> DataFrame:
 
 def session_reads(spark: SparkSession, d: str) -> DataFrame:
     """(session_id, path, tokens, ts) of reads in sessions, from events."""
-    return table(spark, d, "events").select(F.col("user_id").alias("session_id"), F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("path"), F.floor(F.col("value")).cast("long").alias("tokens"), "ts")
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("session_id"), F.concat(F.lit("f"), F.get_json_object("props", "$.k")).alias("path"),
+        F.floor(F.col("value")).cast("long").alias("tokens"), "ts"
+    )

@@ -95,5 +95,8 @@ def modules(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataF
 
 def edges(table: DataFrame) -> DataFrame:
     """(repo, module, dep, kind), one row per dependency."""
-    both = F.concat(F.transform("public", lambda x: F.struct(x.alias("dep"), F.lit("public").alias("kind"))), F.transform("private", lambda x: F.struct(x.alias("dep"), F.lit("private").alias("kind"))))
+    both = F.concat(
+        F.transform("public", lambda x: F.struct(x.alias("dep"), F.lit("public").alias("kind"))),
+        F.transform("private", lambda x: F.struct(x.alias("dep"), F.lit("private").alias("kind")))
+    )
     return table.select("repo", "module", F.explode(both).alias("e")).select("repo", "module", "e.dep", "e.kind")

@@ -57,7 +57,9 @@ def parse_config(text: str, root: str = ".") -> ScanConfig:
         warnings.warn(f"unknown key {key!r}" + (f", did you mean {near!r}?" if edit_distance(key, near) <= 3 else ""), stacklevel=2)
     bare = lambda names: frozenset(e.lstrip(".") for e in names)
     return ScanConfig(
-        root, tuple(given.get("scan_dirs", (".",))), SKIP_DIRS | set(given.get("skip_dirs", ())), bare(given.get("extensions", ())), NOISE_DIRS | set(given.get("noise_dirs", ())), given.get("semantic_model"), unknown
+        root, tuple(
+            given.get("scan_dirs", (".",))
+        ), SKIP_DIRS | set(given.get("skip_dirs", ())), bare(given.get("extensions", ())), NOISE_DIRS | set(given.get("noise_dirs", ())), given.get("semantic_model"), unknown
     )
 
 
@@ -136,7 +138,10 @@ def _reader(config: ScanConfig):
 
 def _described(texts: DataFrame, repo: str, config: ScanConfig) -> DataFrame:
     category = C.category(F.col("path"), F.array(*map(F.lit, (d for d in config.scan_dirs if d != "."))).cast("array<string>"), F.array(*map(F.lit, sorted(config.noise_dirs))))
-    return texts.select(F.lit(repo).alias("repo"), "path", "size", "mtime", C.extension(F.col("path")).alias("ext"), C.describe(F.col("path")).alias("desc"), category.alias("category"), "content", (F.col("size") > READ_CAP).alias("truncated"))
+    return texts.select(
+        F.lit(repo).alias("repo"), "path", "size", "mtime", C.extension(F.col("path")).alias("ext"), C.describe(F.col("path")).alias("desc"),
+        category.alias("category"), "content", (F.col("size") > READ_CAP).alias("truncated")
+    )
 
 
 def scan(spark: SparkSession, repo: str, config: ScanConfig) -> DataFrame:

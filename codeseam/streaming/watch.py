@@ -97,7 +97,10 @@ def current(spark: SparkSession, folder: str) -> tuple[DataFrame, int] | None:
     return rows.where("not deleted").select("repo", "path", "ts", "size", "content"), manifest["version"]
 
 
-def apply_changes(spark: SparkSession, batch: DataFrame, folder: str, version: int, skip_dirs: frozenset[str] = frozenset(), buckets: int = BUCKETS, keep_deleted_days: int = KEEP_DELETED_DAYS) -> None:
+def apply_changes(
+    spark: SparkSession, batch: DataFrame, folder: str, version: int, skip_dirs: frozenset[str] = frozenset(), buckets: int = BUCKETS,
+    keep_deleted_days: int = KEEP_DELETED_DAYS
+) -> None:
     """Bring the file table up to date with a batch; a version written before is not written again.
 
     Of all changes of a path, in whatever batch they come, the one of the largest ts counts (of equal ones a deletion, then
@@ -128,7 +131,10 @@ def apply_changes(spark: SparkSession, batch: DataFrame, folder: str, version: i
     store.expire()
 
 
-def keep_current(changes: DataFrame, folder: str, checkpoint: str, skip_dirs: frozenset[str] = frozenset(), after: Callable[[DataFrame], None] | None = None, every: str = "500 milliseconds") -> StreamingQuery:
+def keep_current(
+    changes: DataFrame, folder: str, checkpoint: str, skip_dirs: frozenset[str] = frozenset(), after: Callable[[DataFrame], None] | None = None,
+    every: str = "500 milliseconds"
+) -> StreamingQuery:
     """Keep the file table of a folder current; `after` gets the table after each batch."""
     spark = changes.sparkSession
 
