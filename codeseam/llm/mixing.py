@@ -70,7 +70,9 @@ def plan_mix(sized: DataFrame, targets: DataFrame) -> DataFrame:
     count as 0 and 1. The driver holds one row per listed source.
     """
     listed = targets.where("source is not null").groupBy(source_key(F.col("source")).alias("key")).agg(
-        F.min("source").alias("source"), F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("long").alias("max_repeats")
+        F.min("source").alias("source"), F.sum(
+            F.coalesce("target_share", F.lit(0.0))
+        ).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(1))).cast("long").alias("max_repeats")
     )
     have = sized.groupBy(F.col("source").alias("key")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n_docs"))
     found = small_side(listed).join(have, "key", "left").orderBy("key").collect()
@@ -99,7 +101,9 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
             break
         shift = BITS * (LEVELS - level - 1)
         at = small_side(spark.createDataFrame(state, schema))
-        inside = sized.join(at, (F.col("source") == F.col("key")) & (F.shiftright("h", shift + BITS) == F.col("prefix"))) if level else sized.join(at, F.col("source") == F.col("key"))
+        inside = sized.join(
+            at, (F.col("source") == F.col("key")) & (F.shiftright("h", shift + BITS) == F.col("prefix"))
+        ) if level else sized.join(at, F.col("source") == F.col("key"))
         hist = inside.groupBy("key", "prefix", "left_tokens", F.shiftright("h", shift).alias("bucket")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
         upto = F.sum("t").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
         over = hist.withColumn("upto", upto).where("upto > left_tokens")
@@ -130,7 +134,10 @@ def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
     short is read off the mix: its tokens of the source are below the target although every document of the source is in
     it as often as it may be.
     """
-    used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"), F.min("repeats").alias("least_repeats"), F.count("*").alias("used_docs"))
+    used = mixed.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"),
+        F.min("repeats").alias("least_repeats"), F.count("*").alias("used_docs")
+    )
     rows = plan.join(used, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0).cast("long")))
     total = rows.agg(F.sum("mixed_tokens").alias("all_tokens"))
     rows = rows.join(F.broadcast(total))  # one row

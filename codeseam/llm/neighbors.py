@@ -214,7 +214,9 @@ def fit_index(sample: np.ndarray, vectors: int) -> Index:
 def valid_vectors(rows: DataFrame, models: DataFrame, item: str, model: str, vector: str) -> DataFrame:
     """(id, model, vector) of the rows whose vector has the length of its model; zeros and NaN are left out later on."""
     dims = small_side(models.where(F.col(model).isNotNull()).groupBy(F.col(model).alias("model")).agg(F.max("dim").alias("dim")))
-    known = rows.select(F.col(item).cast("long").alias("id"), F.col(model).alias("model"), F.col(vector).cast("array<float>").alias("vector")).where("id is not null and vector is not null")
+    known = rows.select(
+        F.col(item).cast("long").alias("id"), F.col(model).alias("model"), F.col(vector).cast("array<float>").alias("vector")
+    ).where("id is not null and vector is not null")
     return known.join(dims, "model").where("size(vector) = dim").select("id", "model", "vector")
 
 
@@ -345,8 +347,14 @@ def place(vectors: DataFrame, indexes: dict[str, Index], probes: int, asking_eve
                 codes_all = pa.concat_arrays([_binary(codes[m]), pa.nulls(len(r), pa.binary())])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([model] * len(take), pa.string()), pa.array(np.concatenate([home[m], cells]).astype(np.int64)), pa.array(np.concatenate([own_block[m], block]).astype(np.int32)), pa.array(ids[take]),
-                        pa.array(np.arange(len(take)) < len(m)), pa.array(asks[take]), _binary(x[take]), codes_all, pa.array(norm[take]), pa.array(along[take].astype(np.float32)), pa.array(across[take].astype(np.float32)),
+                        pa.array([model] * len(take), pa.string()), pa.array(np.concatenate([home[m], cells]).astype(np.int64)), pa.array(
+                            np.concatenate([own_block[m], block]).astype(np.int32)
+                        ), pa.array(ids[take]),
+                        pa.array(np.arange(len(take)) < len(m)), pa.array(asks[take]), _binary(x[take]), codes_all, pa.array(norm[take]), pa.array(
+                            along[take].astype(np.float32)
+                        ), pa.array(
+                            across[take].astype(np.float32)
+                        ),
                     ],
                     names=[c.split()[0] for c in _PLACED.split(", ")],
                 )

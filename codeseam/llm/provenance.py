@@ -44,7 +44,9 @@ def line_index(files: DataFrame, published: DataFrame) -> DataFrame:
     own = distinct_rows(files.select("file_id", "repo", "content"), "file_id").where("content is not null")
     own = own.select(F.col("file_id").cast("long").alias("id"), F.hash(F.coalesce("repo", F.lit(""))).alias("repo"), line_hashes(F.col("content")).alias("lines"))
     key = F.xxhash64("lib", "rel_path", "content").bitwiseOR(F.lit(-(1 << 63)))
-    theirs = published.where("content is not null").select(key.alias("id"), F.hash(F.lit("published"), "lib").alias("repo"), line_hashes(F.col("content")).alias("lines")).dropDuplicates(["id"])
+    theirs = published.where("content is not null").select(
+        key.alias("id"), F.hash(F.lit("published"), "lib").alias("repo"), line_hashes(F.col("content")).alias("lines")
+    ).dropDuplicates(["id"])
     return own.unionByName(theirs).where(F.size("lines") >= MIN_LINES).select("id", "repo", F.size("lines").alias("n"), F.xxhash64(F.array_sort("lines")).alias("whole"), "lines")
 
 
@@ -128,7 +130,9 @@ def copies(index: DataFrame) -> DataFrame:
     lines = durable(_by_line(own, "id").groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("files")).where("files > 1"))
     known = _known(own, lines, hot_lines)
     able = durable(_mostly_known(known).join(direct.select("id"), "id", "left_anti"))
-    votes = known.where("first <> id").join(small_side(able.select("id")), "id", "left_semi").groupBy("id", "n", F.col("repo").alias("own_repo"), F.col("first").alias("owner")).agg(F.count("*").alias("votes"))
+    votes = known.where("first <> id").join(small_side(able.select("id")), "id", "left_semi").groupBy(
+        "id", "n", F.col("repo").alias("own_repo"), F.col("first").alias("owner")
+    ).agg(F.count("*").alias("votes"))
     contained = _contained(votes.where(F.col("votes") >= LOOK * F.col("n")).drop("votes"), index)
     foreign = _foreign(contained)
     settled = contained.join(foreign, "owner", "left_semi").select("id").union(foreign.select(F.col("owner").alias("id"))).distinct()

@@ -87,7 +87,10 @@ def p4_copies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pieces(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
-    return splitting.split_items(chunks, "chunk_id", "text", table(spark, d, "model_configs").withColumnRenamed("model_name", "model"), "model", "max_chunk_chars", "overlap_chars", "start_line")
+    return splitting.split_items(
+        chunks, "chunk_id", "text", table(spark, d, "model_configs").withColumnRenamed("model_name", "model"), "model", "max_chunk_chars",
+        "overlap_chars", "start_line"
+    )
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -160,8 +160,12 @@ def measure(text: str | None) -> tuple[str | None, list[float]] | None:
     links = [len(a & b) / min(len(a), len(b)) for a, b in zip(bags, bags[1:]) if a and b]
     (word_mean, word_sd), (sent_mean, sent_sd) = _spread(size), _spread(per)
     values = [
-        log1p(n), log1p(m), word_mean, word_sd, float(size[n // 2]), float(size[min(n - 1, n * 9 // 10)]), float(size[-1]), 1 - bisect_left(size, 7) / n, 1 - bisect_left(size, 10) / n, 1 - bisect_left(size, 13) / n,
-        sent_mean, sent_sd, float(per[m // 2]), float(per[min(m - 1, m * 9 // 10)]), float(per[-1]), sum(size) / m, len(seen) / n, len(set(long)) / max(1, len(long)), sum(clauses) / m, sum(map(bool, clauses)) / m,
+        log1p(n), log1p(m), word_mean, word_sd, float(size[n // 2]), float(
+            size[min(n - 1, n * 9 // 10)]
+        ), float(size[-1]), 1 - bisect_left(size, 7) / n, 1 - bisect_left(size, 10) / n, 1 - bisect_left(size, 13) / n,
+        sent_mean, sent_sd, float(per[m // 2]), float(
+            per[min(m - 1, m * 9 // 10)]
+        ), float(per[-1]), sum(size) / m, len(seen) / n, len(set(long)) / max(1, len(long)), sum(clauses) / m, sum(map(bool, clauses)) / m,
         commas / m, sum(links) / len(links) if links else 0.0, 1 - bisect_right(per, 20) / m, len(long) / m,
     ]
     return language_of(seen), values

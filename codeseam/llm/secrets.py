@@ -164,7 +164,10 @@ _SAID = re.compile(
 _USE_SAID = re.compile(r"\b(?:use|using|try|enter|type|set)\b[^\n\"'=:]{0,20}?(?:\b|\+)(?:pass(?:word|wd|phrase)?|pwd|pw|pin|secret|token|key|kennwort|passwort|contraseña)\s+['\"`]?([^\s,\"'`]+)", re.I)
 _LOGIN_SAID = re.compile(r"\b(?:login|logon|credentials?|account|zugang|user)\b[^\n\"'=]{0,24}?\s(?:is|are|was|lautet|:)\s+\S+\s*(?:/|\bwith\b|\band\b)\s*([^\s,]+)", re.I)
 #: What lines with the name of a secret, or a phrase about one, have in them.
-_HINT_WORDS = ("pass", "pwd", "pw", "secret", "token", "key", "kennwort", "passwort", "mot", "contrase", "clave", "senha", "parola", "wachtwoord", "credential", "login", "auth", "pin", "bearer", "basic ")
+_HINT_WORDS = (
+    "pass", "pwd", "pw", "secret", "token", "key", "kennwort", "passwort", "mot", "contrase", "clave", "senha", "parola", "wachtwoord", "credential",
+    "login", "auth", "pin", "bearer", "basic "
+)
 _HINT = re.compile("|".join(_HINT_WORDS), re.I)
 #: The whole run of name characters, once: what follows it is the same wherever in the run the name begins.
 _NAME_BEFORE_QUOTE = re.compile(r"(?<![\w.\-])([\w.\-]++)[\"'`]?\]?\s*+(?:(?::=|=>|==?|:|,|\()\s*+)?(?:[rbfu]{1,2}(?=[\"'`]))?(\"\"\"|\'\'\'|[\"'`])")
@@ -299,7 +302,9 @@ def _issued(text: str) -> Iterator[Secret]:
         if prefix in text:
             for m in pattern.finditer(text):
                 before = text[m.start() - 1 : m.start()]
-                if not (before.isalnum() or before == "_") and not _repeats(m[0][len(prefix) :]) and not _PLACEHOLDER.search(m[0]) and re.search(r"\d|[A-Z].*[a-z].*[A-Z]", m[0][len(prefix) :]):
+                if not (before.isalnum() or before == "_") and not _repeats(m[0][len(prefix) :]) and not _PLACEHOLDER.search(m[0]) and re.search(
+                    r"\d|[A-Z].*[a-z].*[A-Z]", m[0][len(prefix) :]
+                ):
                     yield Secret("issued token", m.start(), (m.span(),))
     if "eyJ" in text:
         for m in _JWT.finditer(text):
@@ -544,7 +549,10 @@ def _der_kind(data: bytes) -> str | None:
 
 def key_container(data: bytes) -> str | None:
     """The kind of private key container the bytes are, by their grammar: PKCS#1, #8, #12, SEC 1, OpenSSH, JKS, OpenPGP; else None."""
-    for start, kind, holds in ((b"openssh-key-v1\x00", "openssh", _openssh), (b"\xfe\xed\xfe\xed", "keystore", _key_store), (b"\xce\xce\xce\xce", "keystore", _key_store), (None, "openpgp", _openpgp)):
+    for start, kind, holds in (
+        (b"openssh-key-v1\x00", "openssh", _openssh), (b"\xfe\xed\xfe\xed", "keystore", _key_store), (b"\xce\xce\xce\xce", "keystore", _key_store),
+        (None, "openpgp", _openpgp)
+    ):
         if data.startswith(start) if start else data[:1] in (b"\x94", b"\x95", b"\x96", b"\xc5"):
             try:
                 return kind if holds(data) else None
@@ -804,6 +812,11 @@ def redacted_lines(lines: DataFrame, item: str = "blame_id", repo: str = "repo",
             yield pd.DataFrame(rows, columns=["record_id", "body", "n_secrets"])
 
     alone = F.when(F.col(repo).isNull() | F.col(path).isNull() | F.col(line_no).isNull(), F.col(item))
-    rows = lines.where(F.col(item).isNotNull()).select(F.col(repo).alias("repo"), F.col(path).alias("path"), alone.alias("alone"), F.struct(F.col(line_no).cast("int").alias("n"), F.col(item).alias("k"), F.col(text).alias("t")).alias("line"))
-    files = rows.groupBy("repo", "path", "alone").agg(F.array_sort(F.collect_list("line")).alias("lines")).select("path", F.col("lines.k").alias("keys"), F.col("lines.n").alias("numbers"), F.col("lines.t").alias("texts"))
+    rows = lines.where(F.col(item).isNotNull()).select(
+        F.col(repo).alias("repo"), F.col(path).alias("path"), alone.alias("alone"),
+        F.struct(F.col(line_no).cast("int").alias("n"), F.col(item).alias("k"), F.col(text).alias("t")).alias("line")
+    )
+    files = rows.groupBy("repo", "path", "alone").agg(F.array_sort(F.collect_list("line")).alias("lines")).select(
+        "path", F.col("lines.k").alias("keys"), F.col("lines.n").alias("numbers"), F.col("lines.t").alias("texts")
+    )
     return files.mapInPandas(mask, f"record_id {kind}, body string, n_secrets int").select(F.col("record_id").alias(item), F.col("body").alias(text), "n_secrets")

@@ -113,7 +113,10 @@ def split_items(df: DataFrame, item: str, text: str, limits: DataFrame, on: str,
     rows = df.select(F.col(item).alias("item_id"), F.col(text).alias("body"), F.col(on).alias("rule"), F.col(start_line).cast("int").alias("line")).where("body is not null")
     rows = rows.join(rules, "rule", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     long = F.coalesce(F.length("body") > F.col("most"), F.lit(False))
-    whole = rows.where(~long).select("item_id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_char"), F.col("line").alias("start_line"), F.col("body").alias("piece"))
+    whole = rows.where(~long).select(
+        "item_id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start_char"), F.col("line").alias("start_line"),
+        F.col("body").alias("piece")
+    )
     kind = rows.schema["item_id"].dataType.simpleString()
     cut = rows.where(long).select("item_id", "body", "most", "shared", "line").mapInPandas(_split_batches, f"item_id {kind}, {PIECES}")
     return whole.unionByName(cut).withColumnRenamed("item_id", item)
