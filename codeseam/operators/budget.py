@@ -162,13 +162,46 @@ def _trim(budget: int):
     return run
 
 
-def pack_requests(requests: DataFrame, budget: int, query: str = "") -> DataFrame:
+#: Bytes of texts up to which the summaries of a request go to one task.
+TOGETHER_BYTES = 64_000_000
+
+
+def pack_requests(requests: DataFrame, budget: int, query: str = "", together: int = TOGETHER_BYTES) -> DataFrame:
     """(request_id, path, tier, tokens, importance) for rows of request_id, path, ext, content, desc, importance, as allocate.
 
+    path is unique in a request. Requests of at most `together` bytes are one task's work each, larger ones are spread.
+    """
+    sizes = requests.groupBy("request_id").agg(F.sum(F.octet_length("content")).alias("__bytes"))
+    large = sizes.where(F.col("__bytes") > together).select(F.col("request_id").alias("__large"))
+    if large.isEmpty():
+        return _pack_together(requests, budget, query)
+    large = small_side(durable(large))
+    same = F.col("request_id").eqNullSafe(F.col("__large"))
+    return _pack_together(requests.join(large, same, "left_anti"), budget, query).unionByName(_pack_spread(requests.join(large, same, "left_semi"), budget, query))
+
+
+def _pack_together(requests: DataFrame, budget: int, query: str) -> DataFrame:
+    """pack_requests where the summaries of a request fit into a task; they are made before they meet."""
+    kind = requests.schema["request_id"].dataType.simpleString()
+    terms = [t for t in query.lower().split() if len(t) >= 2]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("path")
+        rows = allocate(list(zip(frame["path"], frame["ext"], frame["stub"], frame["desc"], frame["importance"])), budget, terms)
+        return pd.DataFrame({
+            "request_id": frame["request_id"], "path": [r[0] for r in rows], "tier": [r[1] for r in rows], "tokens": [r[2] for r in rows], "importance": frame["importance"],
+        })
+
+    rows = requests.select("request_id", "path", "ext", stub_column(F.col("content"), F.col("ext")).alias("stub"), "desc", "importance")
+    return rows.groupBy("request_id").applyInPandas(run, f"request_id {kind}, path string, tier int, tokens long, importance double")
+
+
+def _pack_spread(requests: DataFrame, budget: int, query: str) -> DataFrame:
+    """pack_requests for requests of any size.
+
     The summaries are measured once; numbers are kept. A request whose summaries all fit is whole, one whose mentions
     alone come to the budget is all mentions: both are told from sums. The others have fewer files than the budget has
-    tokens; numbers alone are shared out, and only the texts of files that are to be cut down are read again. path is
-    unique in a request.
+    tokens; numbers alone are shared out, and only the texts of files that are to be cut down are read again.
     """
     kind = requests.schema["request_id"].dataType.simpleString()
     terms = [t for t in query.lower().split() if len(t) >= 2]

@@ -73,12 +73,14 @@ def requests(spark, n, seed):
 @pytest.mark.parametrize("tokens", [10, 600, 1500, 1_000_000])
 def test_packed_requests_are_those_of_one_task(spark, tokens):
     rows, frame = requests(spark, 90, 3)
-    got = {(r["request_id"], r["path"]): (r["tier"], r["tokens"]) for r in budget.pack_requests(frame, tokens, "k1 f2").collect()}
+    spread, mixed, together = (
+        {(r["request_id"], r["path"]): (r["tier"], r["tokens"]) for r in budget.pack_requests(frame, tokens, "k1 f2", b).collect()} for b in (0, 9_500, 10**9)
+    )
     want = {}
     for request in range(3):
         files = sorted(((p, e, stubs.stub(t, e), d, i) for q, p, e, t, d, i in rows if q == request), key=lambda f: f[0])
         want |= {(request, p): (tier, cost) for p, tier, cost, _ in budget.allocate(files, tokens, ["k1", "f2"])}
-    assert got == want
+    assert spread == mixed == together == want
 
 
 def test_greedy_rounds_are_the_plain_loop(spark):
